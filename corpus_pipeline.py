@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, langid, mixing, tokenfile
+from graphloom.llm import decontaminate, langid, minhash, mixing, tokenfile
 from graphloom.llm.common import crc32_of, staged, table
 from graphloom.llm.queries import tokenizer_path
 
@@ -18,6 +18,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.deduplicated(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of benchmark passages."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -35,6 +40,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("language ID", language_id),
+    ("near-duplicates", near_dedup),
     ("decontamination", decontamination),
     ("source mixing", source_mixing),
     ("token output", token_output),

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, langid, mixing, sharding, tokenfile, toxicity
+from graphloom.llm import decontaminate, langid, minhash, mixing, sharding, tokenfile, toxicity
 from graphloom.llm.common import crc32_of, table
 
 #: Shards 0 to 15, all of one weight; grown by one.
@@ -57,6 +57,10 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), crc32_of(F.col("doc_id")) % 5
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), part != 0))
@@ -64,12 +68,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op5_source_mixing, op6_decontamination, op7_token_files, op8_rendezvous_shards, op10_toxicity)
+    own = (op1_language_id, op5_source_mixing, op6_decontamination, op7_token_files, op8_rendezvous_shards, op9_circulant_minhash, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": MIXING_SQL, "op6_decontamination": DECONTAMINATION_SQL}
+    return {"op5_source_mixing": MIXING_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op9_circulant_minhash": NEAR_DUPLICATE_SQL}
 
 
 MIXING_SQL = r"""
@@ -109,3 +113,16 @@ SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS big
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
+
+NEAR_DUPLICATE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT rid, hash(array_to_string(w[k:k + 4], ' ')) AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(k) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.rid < y.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY 1)
+SELECT doc_id, cast(coalesce(n, 0) AS bigint) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN m USING (rid) LEFT JOIN n USING (rid)
+"""
