@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, langid, minhash, mixing, neighbours, sharding, tokenfile, toxicity
+from graphloom.llm import decontaminate, langid, minhash, mixing, neighbours, sharding, substrings, tokenfile, toxicity
 from graphloom.llm.common import crc32_of, table
 
 #: Shards 0 to 15, all of one weight; grown by one.
@@ -34,6 +34,10 @@ def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("copies", F.lit(1))["position"].alias("position"))
@@ -72,7 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op3_learned_partitions, op5_source_mixing, op6_decontamination, op7_token_files, op8_rendezvous_shards, op9_circulant_minhash, op10_toxicity)
+    own = (op1_language_id, op3_learned_partitions, op4_suffix_dedup, op5_source_mixing, op6_decontamination, op7_token_files, op8_rendezvous_shards, op9_circulant_minhash, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
