@@ -11,15 +11,18 @@ slices of one array.
    meet in a bucket.
 2. K = 160 coordinates make 32 bands of 5.  A pair at the threshold 0.85 shares
    no band with probability (1 - 0.85^5)^32 < 1e-8.
-3. Each class of a bucket is paired with the bucket's least class (a star, so
-   pairs stay linear in the bucket), and pairs are verified on full sets:
-   100 |A n B| >= 85 |A u B|.  Verified links give components.
-4. In a bucket that then still holds several components, every class outside
-   the bucket's largest component is compared with all classes of the others,
-   in blocks of ``BLOCK`` classes, first on byte sketches of the signatures
-   (estimates below ``SURELY_LESS``, over five standard deviations under the
-   threshold, are passed by), then on full sets.  So no link that shares a band
-   is lost, and nothing is capped.
+3. Full sets are made for the classes that share a bucket.  Each class of a
+   bucket is paired with one leader (stars, so pairs stay linear in buckets):
+   first the least class, then, for those not yet in the leader's component,
+   the one with most links.  Pairs are verified on full sets,
+   100 |A n B| >= 85 |A u B|, and verified links give components.
+4. Where a bucket still holds several components, their classes are compared by
+   byte sketches of the signatures; estimates of ``NEAR`` (four and a half
+   standard deviations under the threshold) or more join components into
+   neighbourhoods.  In each of these every class outside the largest component
+   is intersected with all others, exactly, in blocks of bounded size.  Only a
+   spanning forest of the links found leaves a task, never all pairs, and
+   nothing is capped.
 
 Nulls and odd input.  A text without words, or null, has the empty set and is
 linked with nothing, itself alone.  A text with fewer than five words is one
@@ -47,7 +50,9 @@ BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 UNIVERSE = 1 << 20
 BLOCK = 4096
-SURELY_LESS = 0.68
+NEAR = 0.725
+#: Shingles of a neighbourhood that one task holds, about.
+HELD = 1_500_000
 SIGNED = "doc_id long, x long, n_shingles long, node binary, bands array<long>, sketch binary"
 
 _TABLES: dict[str, np.ndarray] = {}
@@ -124,13 +129,9 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, SIGNED)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold.
-
-    Sets are made again from the texts of one document of each class in a
-    pair; others' texts are read but not shuffled beyond the semi-join."""
-    pairs = staged(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, n, own: the full sets of the given classes, made again from the
+    text of a document of each; other texts go no further than the semi-join."""
     named = [F.coalesce("doc_id", F.lit(0)).alias("_m"), F.col("doc_id").isNull().alias("_n")]
     wanted = classes.join(nodes, "node", "left_semi").select(F.col("member").alias("doc_id")).select(*named).distinct()
     # a doc_id that stands for several texts brings them all; nodes tell them apart
@@ -139,10 +140,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: i
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own = [shingles(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "own"])
+            cols = [pa.array([node_of(x) for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "own"])
+
+    return staged(rows.mapInArrow(sets, "node binary, n long, own binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
 
-    full = staged(rows.mapInArrow(sets, "node binary, own binary").dropDuplicates(["node"]), "sets")
-    joined = pairs.join(full.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").join(full.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the threshold."""
+    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,51 +164,133 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: i
     return joined.select("a", "b", "own_a", "own_b").mapInArrow(check, "a binary, b binary")
 
 
-def _rest(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes of different components in one bucket that the sketches
-    don't rule out."""
+class Union:
+    """Disjoint sets of numbers; the forest is what joined them."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def top(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _pair_table(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+
+def _in_blocks(own: DataFrame, group: str, more: list[str]) -> DataFrame:
+    """Rows of each group dealt to tasks (group, o, b): every row outside the
+    group's main component meets every row of the group in one of them.  own:
+    node, label, main, nb and no (numbers of blocks of all and of outside rows)."""
+    spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    each = own.select(group, "node", "label", *more, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("o"), spot(F.col("nb"), 1).alias("b"))
+    outside = own.where(F.col("label") != F.col("main"))
+    outside = outside.select(group, "node", "label", *more, F.lit(True).alias("outside"), spot(F.col("no"), 2).alias("o"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
+    return each.unionByName(outside)
+
+
+def _labels_of(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, Union, np.ndarray]:
+    """Names and numbers of labels, rows outside and not, and disjoint sets."""
+    out = np.array(table.column("outside").to_pylist(), bool)
+    names, label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)
+    return [bytes.fromhex(x) for x in names], label, np.flatnonzero(out), Union(len(names)), np.flatnonzero(~out)
+
+
+def neighbourhoods(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """label, hood: components that sketches bring near each other."""
     marked = rows.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
-    # buckets of several components; of buckets with the same classes, one
     several = parts.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
+    # of buckets with the same classes, one; two classes alone were compared
     several = several.where("c > 1 and n > 2").groupBy("n", "h").agg(F.min_by(F.struct("key", "main", "most"), "key").alias("s"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     several = several.select("s.key", "s.main", blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("s.most")).alias("no"))
     own = marked.join(several, "key").join(classes.select("node", "sketch"), "node")
-    spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
-    each = own.select("key", "node", "label", "sketch", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("o"), spot(F.col("nb"), 1).alias("b"))
-    outside = own.where(F.col("label") != F.col("main"))
-    outside = outside.select("key", "node", "label", "sketch", F.lit(True).alias("outside"), spot(F.col("no"), 2).alias("o"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
 
     def compare(table: pa.Table) -> pa.Table:
-        out = np.array(table.column("outside").to_pylist(), bool)
-        node, label = table.column("node").to_pylist(), np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+        names, label, outside, sets, rest = _labels_of(table)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, K)
-        rest, found = np.flatnonzero(~out), set()
-        for i in np.flatnonzero(out):
-            for j in rest[(label[rest] != label[i]) & ((sketch[rest] == sketch[i]).mean(axis=1) >= SURELY_LESS)]:
-                found.add((min(node[i], node[j]), max(node[i], node[j])))
-        pairs = sorted(found)
-        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
-
-    return each.unionByName(outside).groupBy("key", "o", "b").applyInArrow(compare, "a binary, b binary").distinct()
+        mine, pairs = sketch[rest], []
+        for i in outside:
+            near = (mine == sketch[i]).sum(axis=1) >= NEAR * K
+            for j in np.unique(label[rest[near]]):
+                if sets.join(int(label[i]), int(j)):
+                    pairs.append((names[label[i]], names[j]))
+        return _pair_table(pairs)
+
+    near = _in_blocks(own, "key", ["sketch"]).groupBy("key", "o", "b").applyInArrow(compare, "a binary, b binary")
+    return components(near).select(F.col("node").alias("label"), F.col("label").alias("hood"))
+
+
+def exact_links(hoods: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """a, b: links between components (by their labels) within neighbourhoods."""
+    own = sets.join(labels, "node", "left").select("node", "n", "own", F.coalesce("label", "node").alias("label")).join(hoods, "label")
+    parts = own.groupBy("hood", "label").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / HELD)).cast("int")
+    sizes = parts.groupBy("hood").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("n").alias("all"), F.max_by("n", F.struct("c", "label")).alias("most"))
+    sizes = sizes.select("hood", "main", blocks(F.col("all")).alias("nb"), blocks(F.col("all") - F.col("most")).alias("no"))
+
+    def link(table: pa.Table) -> pa.Table:
+        names, label, outside, sets_, rest = _labels_of(table)
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("own").combine_chunks()]
+        if not len(outside) or not len(rest):
+            return _pair_table([])
+        # for each shingle, the rows that hold it, one after another
+        size = np.array([len(each[j]) for j in rest])
+        flat = np.concatenate([each[j] for j in rest])
+        order = np.argsort(flat, kind="stable")
+        flat, holder = flat[order], np.repeat(np.arange(len(rest)), size)[order]
+        pairs = []
+        for i in outside:
+            lo, hi = np.searchsorted(flat, each[i], "left"), np.searchsorted(flat, each[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(holder[at], minlength=len(rest))
+            linked = 100 * both >= threshold * (size + len(each[i]) - both)
+            for j in np.unique(label[rest[linked]]):
+                if sets_.join(int(label[i]), int(j)):
+                    pairs.append((names[label[i]], names[j]))
+        return _pair_table(pairs)
+
+    return _in_blocks(own.join(sizes, "hood"), "hood", ["own"]).groupBy("hood", "o", "b").applyInArrow(link, "a binary, b binary")
 
 
 def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """doc_id, x, n_shingles, node of each document, and node, label of each
-    class: the least class of its component."""
+    """doc_id, x, n_shingles, node of each document, and node, member, label of
+    each class: label is the least class of its component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = staged(sign(docs), "signed")
     first = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("member"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     classes = staged(first, "classes")
-    rows = classes.select("node", F.explode("bands").alias("key"))
-    stars = rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    pairs = rows.join(stars, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    links = staged(verified(pairs, classes, docs, threshold), "links")
+    exploded = classes.select("node", F.explode("bands").alias("key"))
+    shared = exploded.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    rows = staged(exploded.join(shared, "key").select("key", "node", "a"), "rows")
+    sets = full_sets(rows.select("node").distinct(), classes, docs)
+    pairs = staged(rows.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    links = staged(verified(pairs, sets, threshold), "links")
+    labels = components(links)
+    rows = rows.select("key", "node")
+    # again, with each bucket's most linked class in the lead
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    marked = rows.join(labels, "node", "left").join(degree, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), F.coalesce("d", F.lit(0)).alias("d"))
+    lead = marked.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.struct("d", "node")).alias("lead"))
+    again = marked.join(lead, "key").where(F.col("label") != F.col("lead.label")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+    links = links.unionByName(staged(verified(staged(again.join(pairs, ["a", "b"], "left_anti"), "pairs"), sets, threshold), "links"))
     labels = components(links)
-    rest = staged(_rest(rows, labels, classes), "rest")
-    if rest.limit(1).count():
-        labels = components(links.unionByName(verified(rest, classes, docs, threshold)))
+    hoods = neighbourhoods(rows, labels, classes)
+    if hoods.limit(1).count():
+        by_label = components(staged(exact_links(hoods, labels, sets, threshold), "links"))
+        least = by_label.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+        every = rows.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        labels = every.join(least, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
     named = classes.select("node", "member").join(labels, "node", "left").select("node", "member", F.coalesce("label", "node").alias("label"))
     return signed.select("doc_id", "x", "n_shingles", "node"), named
 
