@@ -62,6 +62,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(int(lo), int(hi - lo))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def worker_memory(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks.  Workers are
+    used again by whatever runs next, so one operator's memory ends where
+    another's begins."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
 def lengths(col: pa.Array) -> np.ndarray:
     """Bytes of each value of a string or binary column, null as 0."""
     import pyarrow.compute as pc

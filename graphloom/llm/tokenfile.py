@@ -31,17 +31,18 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, staged
+from graphloom.llm.common import slices, staged, worker_memory
 
 BLOCK = 1 << 15
-#: Pieces of text whose ids a worker remembers (about 130 MB).
-PIECES = 700_000
+#: Pieces of text whose ids a worker remembers (about 160 MB).
+PIECES = 800_000
 END = 1
 ENCODED = "doc_id long, checksum long, n long, bits int, ids binary"
 BLOCKS = "shard int, block int, first long, n int, bits int, payload binary, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
@@ -81,14 +82,12 @@ def cut_pieces(text: str) -> list[bytes]:
     return _CUT.sub(rb" \g<0>", raw).split()
 
 
-_CODERS: dict[str, PieceEncoder] = {}
-
-
 def coder_for(path: str) -> PieceEncoder:
     """A worker's encoder of this path, kept between tasks."""
-    if path not in _CODERS:
-        _CODERS[path] = PieceEncoder(path)
-    return _CODERS[path]
+    coders = worker_memory("tokens")
+    if path not in coders:
+        coders[path] = PieceEncoder(path)
+    return coders[path]
 
 
 class PieceEncoder:
@@ -99,6 +98,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.symbols = _Symbols()
         self.vocab = self.tokenizer.get_vocab_size()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -109,12 +109,36 @@ class PieceEncoder:
             known.clear()
             new = {p for pieces in cut for p in pieces}
         if new:
-            # one call for all, on this thread: workers already fill the cores
-            got = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            known.update(zip(new, [array("I", e.ids).tobytes() for e in got], strict=True))
+            self._learn(new)
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
 
+    def _learn(self, new: set[bytes]) -> None:
+        """Ids of new pieces.  A piece of small Latin letters in normal form is
+        one word to the tokenizer whatever its normalizer does, so its model
+        is asked alone; the rest take the whole way, in one call on this
+        thread, since workers already fill the cores."""
+        known, rest, tokenize = self.known, [], self.tokenizer.model.tokenize
+        for p in new:
+            s = p.decode()
+            if s.isalpha() and max(s) < "\u0250" and s == s.lower() and is_normalized("NFC", s):
+                known[p] = array("I", [t.id for t in tokenize(s.translate(self.symbols))]).tobytes()
+            else:
+                rest.append(p)
+        got = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
+        known.update(zip(rest, [array("I", e.ids).tobytes() for e in got], strict=True))
+
+
+class _Symbols(dict):
+    """The byte-level symbols of a letter, asked of the library once each."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self[code] = out = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0]
+        return out
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame:
     """doc_id, checksum, n, bits, ids: each whole text's ids, packed.  No shuffle."""
 
