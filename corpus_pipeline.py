@@ -13,9 +13,11 @@ from graphloom.llm.queries import tokenizer_path
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter go."""
     model = langid.fit(docs, crc32_of(F.col("doc_id")) % 4 != 2)
-    rest = docs.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)], "text", "doc_id")
-    found = langid.identify(rest, model, [f"_c{k}" for k in range(len(docs.columns))])
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    # other columns under names that can't clash with what is added
+    names = {c: c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    found = langid.identify(plain, model, [n for n in names.values() if n != "doc_id"])
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,33 +200,37 @@ def item_blocks(benchmark: DataFrame, most: int = ITEM_BLOCK) -> Iterator[list[t
     yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, extra: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, extra: list[str] | None = None, cut: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, items, spans for each document; spans are merged
     half-open word spans.  extra: further columns of docs to carry along, whose
-    names must not be among these.  Nothing is shuffled; with more than one
+    names must not be among these; cut: text among them comes without the
+    words of any span.  Nothing is shuffled; with more than one
     block of items, passes add to what was found, with a written table between."""
     blocks, extra = item_blocks(benchmark), list(extra or [])
     block, following = next(blocks), next(blocks, None)
-    found = _find(docs, Phrases(block, width), extra if following is None else [*dict.fromkeys(["text", *extra])])
+    found = _find(docs, Phrases(block, width), extra if following is None else [*dict.fromkeys(["text", *extra])], cut=cut and following is None)
     while following is not None:
         block, following = following, next(blocks, None)
-        found = _find(staged(found, "found"), Phrases(block, width), extra if following is None else [*dict.fromkeys(["text", *extra])], more=True)
+        found = _find(staged(found, "found"), Phrases(block, width), extra if following is None else [*dict.fromkeys(["text", *extra])], True, cut and following is None)
     return found
 
 
-def _find(docs: DataFrame, phrases: Phrases, extra: list[str], more: bool = False) -> DataFrame:
+def _find(docs: DataFrame, phrases: Phrases, extra: list[str], more: bool = False, cut: bool = False) -> DataFrame:
     """more: docs holds items and spans of earlier blocks, to be added to."""
     held = docs.sparkSession.sparkContext.broadcast(phrases)
     schema = FOUND + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    rest = [c for c in extra if c != "text"]
     lead = 4 if more else 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            got = search_shard(batch.column(1).to_pylist(), held.value)
+            texts = batch.column(1).to_pylist()
+            got = search_shard(texts, held.value)
             if more:
                 old = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
                 got = [(n, _merged(spans, before), sorted({*items, *known})) for (n, spans, items), (known, before) in zip(got, old, strict=True)]
+            text = pa.array([cut_spans(t, x[1]) if x[1] else t for t, x in zip(texts, got, strict=True)], pa.string()) if cut else batch.column(1)
             cols = [
                 batch.column(0).cast(pa.int64()),
                 pa.array([x[0] for x in got], pa.int64()),
@@ -234,10 +238,11 @@ def _find(docs: DataFrame, phrases: Phrases, extra: list[str], more: bool = Fals
                 pa.array([x[2] for x in got], pa.list_(pa.string())),
                 pa.array([[{"begin": a, "end": b} for a, b in x[1]] for x in got], kind),
             ]
-            yield pa.RecordBatch.from_arrays(cols + [batch.column(k) for k in range(lead, batch.num_columns)], names=["doc_id", "n_words", "n_hit", "items", "spans", *extra])
+            carried = [text if c == "text" else batch.column(lead + rest.index(c)) for c in extra]
+            yield pa.RecordBatch.from_arrays(cols + carried, names=["doc_id", "n_words", "n_hit", "items", "spans", *extra])
 
     own = ["doc_id", F.col("text").alias("_text"), *(["items", "spans"] if more else [])]
-    return docs.select(*own, *extra).mapInArrow(run, schema)
+    return docs.select(*own, *rest).mapInArrow(run, schema)
 
 
 def _merged(spans: list[tuple[int, int]], before: list[dict]) -> list[tuple[int, int]]:
@@ -266,17 +271,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     """The documents with their own columns, without the words of any hit span;
     texts without a hit stay as they are."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # other columns under names that can't clash with what the search adds
     renamed = docs.select("doc_id", "text", *[F.col(c).alias(f"x_{k}") for k, c in enumerate(rest)])
-    found = find(renamed, benchmark, width, ["text", *[f"x_{k}" for k in range(len(rest))]])
-    schema = "doc_id long, text string" + "".join(f", x_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(rest))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            new = [cut_spans(t, [(s["begin"], s["end"]) for s in own]) if own else t for t, own in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), *(batch.column(k) for k in range(3, batch.num_columns))], names=[x.split()[0] for x in schema.split(", ")])
-
-    out = found.select("doc_id", "text", "spans", *[f"x_{k}" for k in range(len(rest))]).mapInArrow(cut, schema)
+    out = find(renamed, benchmark, width, ["text", *[f"x_{k}" for k in range(len(rest))]], cut=True)
     back = {c: F.col(f"x_{k}").alias(c) for k, c in enumerate(rest)}
     if "n_chars" in rest:
         back["n_chars"] = F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices
+from graphloom.llm.common import slices, worker_memory
 
 PER_LANG = 400
 LETTERS = 40_000
@@ -47,14 +47,12 @@ STRETCH = 2_048
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
 
-_CODES: dict[str, np.ndarray] = {}
-
-
 def _letter_table() -> np.ndarray:
     """For every code point, whether it is a letter (made once in a worker)."""
-    if "letters" not in _CODES:
-        _CODES["letters"] = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), np.uint8)
-    return _CODES["letters"]
+    codes = worker_memory("langid")
+    if "letters" not in codes:
+        codes["letters"] = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), np.uint8)
+    return codes["letters"]
 
 
 def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
@@ -126,10 +124,10 @@ class Model:
         keep = np.ones(len(flat), bool)
         keep[1:] = (flat[1:] != 0) | (flat[:-1] != 0)
         keep[(ends[:-1])[ends[:-1] < len(flat)]] = True
-        upto = np.concatenate([[0], np.cumsum(keep)])
+        upto = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])
         flat = flat[keep]
         at = upto[np.concatenate([[0], ends])]
-        real = np.concatenate([[0], np.cumsum(flat != 0)])
+        real = np.concatenate([[0], np.cumsum(flat != 0, dtype=np.int32)])
         return flat, at, real[at[1:]] - real[at[:-1]]
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,14 +217,16 @@ def fit(docs: DataFrame, learn: Column) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score of every document.  No shuffle."""
+    """doc_id, lang_pred, score of every document and its columns in ``extra``
+    (not named as these three; text may be among them).  No shuffle."""
     held, extra = docs.sparkSession.sparkContext.broadcast(model), list(extra or [])
+    rest = [c for c in extra if c != "text"]
     schema = PREDICTED + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             lang, score = held.value.predict(batch.column(1).to_pylist())
             cols = [batch.column(0).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols + [batch.column(k) for k in range(2, batch.num_columns)], names=["doc_id", "lang_pred", "score", *extra])
+            yield pa.RecordBatch.from_arrays(cols + [batch.column(1 if c == "text" else 2 + rest.index(c)) for c in extra], names=["doc_id", "lang_pred", "score", *extra])
 
-    return docs.select("doc_id", F.col("text").alias("_text"), *extra).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *rest).mapInArrow(run, schema)

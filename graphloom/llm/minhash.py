@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, staged
+from graphloom.llm.common import slices, staged, worker_memory
 from graphloom.llm.components import components
 
 WIDTH, THRESHOLD = 5, 85
@@ -55,18 +55,16 @@ NEAR = 0.725
 HELD = 1_500_000
 SIGNED = "doc_id long, x long, n_shingles long, node binary, bands array<long>, sketch binary"
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     """sigma, and rows of pi for every position: row i is pi[i-K+1 .. i]."""
-    if not _TABLES:
+    tables = worker_memory("minhash")
+    if not tables:
         rng = np.random.default_rng(20240229)
-        _TABLES["sigma"] = rng.permutation(UNIVERSE).astype(np.uint32)
+        tables["sigma"] = rng.permutation(UNIVERSE).astype(np.uint32)
         pi = rng.permutation(UNIVERSE).astype(np.uint32)
         ring = np.concatenate([pi[-(K - 1) :], pi])
-        _TABLES["rows"] = np.lib.stride_tricks.sliding_window_view(ring, K)
-    return _TABLES["sigma"], _TABLES["rows"]
+        tables["rows"] = np.lib.stride_tricks.sliding_window_view(ring, K)
+    return tables["sigma"], tables["rows"]
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
