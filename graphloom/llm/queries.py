@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, langid, minhash, mixing, neighbours, sharding, substrings, tokenfile, toxicity
+from graphloom.llm import decontaminate, langid, minhash, mixing, neighbours, secrets, sharding, substrings, tokenfile, toxicity
 from graphloom.llm.common import crc32_of, table
 
 #: Shards 0 to 15, all of one weight; grown by one.
@@ -30,6 +30,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.example_findings(spark)))
+    return found.select("doc_id", "begin", "end", F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256"), "score")
+
+
 def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -76,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op3_learned_partitions, op4_suffix_dedup, op5_source_mixing, op6_decontamination, op7_token_files, op8_rendezvous_shards, op9_circulant_minhash, op10_toxicity)
+    own = (op1_language_id, op2_secret_scan, op3_learned_partitions, op4_suffix_dedup, op5_source_mixing, op6_decontamination, op7_token_files, op8_rendezvous_shards, op9_circulant_minhash, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
