@@ -106,8 +106,13 @@ class Block:
         n = len(self.buf) - SPAN + 1
         if n <= 0:
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        anchor, hashed = np.empty(n, np.int64), np.empty(n, np.uint64)
-        offset = np.uint64(0xFFFF)
+        # windows that reach over the end of their text are none
+        outside = np.zeros(n + 1, np.int8)
+        ends = self.begin + self.sizes + 1
+        np.add.at(outside, np.minimum(np.maximum(self.begin, ends - SPAN), n), 1)
+        np.add.at(outside, np.minimum(ends, n), -1)
+        outside = np.cumsum(outside[:-1], dtype=np.int8) > 0
+        offset, firsts, anchors, hashes, stops, last = np.uint64(0xFFFF), [], [], [], [], -1
         for lo in range(0, n, CHUNK):
             hi = min(n, lo + CHUNK)
             h = gram_hashes(self.buf[lo : hi + SPAN - 1])
@@ -118,16 +123,20 @@ class Block:
                 width *= 2
             rest = SLIDE - width
             least = np.minimum(least[: len(least) - rest], least[rest:])[: hi - lo]
-            anchor[lo:hi], hashed[lo:hi] = (least & offset).astype(np.int64) + lo, least >> np.uint64(16)
-        text = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)[:n]
-        inside = np.arange(n) + SPAN <= (self.begin + self.sizes)[text]
-        change = np.ones(n, bool)
-        change[1:] = (anchor[1:] != anchor[:-1]) | ~inside[:-1]
-        first = np.flatnonzero(change & inside)
-        # a run ends where the next begins or where windows leave the text
-        end = np.append(np.flatnonzero(change | ~inside), n)
-        last = end[np.searchsorted(end, first, side="right")] - 1
-        return first, last, anchor[first], hashed[first], text[first]
+            anchor, out = (least & offset).astype(np.int64) + lo, outside[lo:hi]
+            # a run of windows begins at another anchor or after windows outside
+            change = np.diff(anchor, prepend=last) != 0
+            change[1:] |= out[:-1]
+            change[0] |= lo > 0 and outside[lo - 1]
+            at = np.flatnonzero(change & ~out)
+            firsts.append(at + lo)
+            anchors.append(anchor[at])
+            hashes.append(least[at] >> np.uint64(16))
+            stops.append(np.flatnonzero(change | out) + lo)
+            last = anchor[-1]
+        first, stop = np.concatenate(firsts), np.append(np.concatenate(stops), n)
+        text = np.searchsorted(self.begin, first, side="right") - 1
+        return first, stop[np.searchsorted(stop, first, side="right")] - 1, np.concatenate(anchors), np.concatenate(hashes), text
 
 
 def make_blocks(docs: DataFrame, partitions: int) -> DataFrame:
@@ -281,7 +290,10 @@ def block_runs(block: Block, found: tuple, part: np.ndarray) -> tuple[dict[int,
 def front_code(strings: list[bytes], ids: list[int]) -> bytes:
     """A sorted run: prefix lengths shared with the string before, lengths of
     the rests, doc_ids and the rests themselves."""
-    shared = [0, *(common(a, b, 0) for a, b in zip(strings, strings[1:]))]
+    width = max(map(len, strings))
+    # a byte that no string holds fills up, so that it differs from any other
+    even = np.frombuffer(b"".join([x.ljust(width, b"\xfe") for x in strings]), np.uint8).reshape(-1, width)
+    shared = [0, *(even[1:] != even[:-1]).argmax(axis=1).tolist()]
     rests = [x[k:] for x, k in zip(strings, shared, strict=True)]
     head = np.array([len(strings)], np.int64).tobytes() + np.array(ids, np.int64).tobytes()
     return _press(head + bytes(shared) + bytes(map(len, rests)) + b"".join(rests))
