@@ -20,17 +20,17 @@ else, so a text's ids are its pieces' ids in sequence.  A bounded
 memory of pieces spares most calls; it never changes a result.
 
 Nulls and odd input.  A null text is an empty one: only the end id.  Null
-doc_ids stand first.  Equal doc_ids are ordered by text checksum and length; repeated rows
-each keep their own.  Extra columns are ignored.  No rows, no blocks.
+doc_ids stand first.  Equal doc_ids are ordered by a checksum of their ids and
+length; repeated rows each keep their own.  Extra columns are ignored.  No rows, no blocks.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import slices, staged, worker_memory
 
 BLOCK = 1 << 15
-#: Pieces of text whose ids a worker remembers (about 160 MB).
-PIECES = 800_000
+#: Pieces of text whose ids a worker remembers (about 200 MB).
+PIECES = 1_000_000
 END = 1
 ENCODED = "doc_id long, checksum long, n long, bits int, ids binary"
 BLOCKS = "shard int, block int, first long, n int, bits int, payload binary, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
@@ -68,18 +68,13 @@ def unpack(payload: bytes, n: int, bits: int) -> np.ndarray:
     return (flat.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-#: Punctuation that ends a word before white space is a token of its own.
-_CUT = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \n])")
-
-
 def cut_pieces(text: str) -> list[bytes]:
-    """A text's pieces, cut only where the tokenizer cuts: at white space and
-    between a word and the comma or stop after it.  Letters A-Z fold, as the
-    tokenizer does, unless a special token may stand in the text."""
+    """A text's pieces, cut at white space, where the tokenizer cuts too.
+    Letters A-Z fold, as the tokenizer does, unless a special token may stand
+    in the text."""
     raw = text.encode()
-    raw = raw if b"<|" in raw else raw.lower()
     # bytes.split() cuts at ASCII white space only
-    return _CUT.sub(rb" \g<0>", raw).split()
+    return (raw if b"<|" in raw else raw.lower()).split()
 
 
 def coder_for(path: str) -> PieceEncoder:
@@ -99,34 +94,54 @@ class PieceEncoder:
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.symbols = _Symbols()
+        self.marks = {ord(c): array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
         self.vocab = self.tokenizer.get_vocab_size()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known, cut = self.known, [cut_pieces(t) if t else [] for t in texts]
-        new = {p for pieces in cut for p in pieces if p not in known}
+        own = set(chain.from_iterable(cut))
+        new = own.difference(known)
         if new and len(known) + len(new) > self.most:
             known.clear()
-            new = {p for pieces in cut for p in pieces}
+            new = own
         if new:
             self._learn(new)
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
 
     def _learn(self, new: set[bytes]) -> None:
-        """Ids of new pieces.  A piece of small Latin letters in normal form is
-        one word to the tokenizer whatever its normalizer does, so its model
-        is asked alone; the rest take the whole way, in one call on this
-        thread, since workers already fill the cores."""
-        known, rest, tokenize = self.known, [], self.tokenizer.model.tokenize
+        """Ids of new pieces.  A comma or stop after a letter or digit is a
+        token of its own, so such a piece is the one before it and that."""
+        known, tokenize, rest, ended = self.known, self.tokenizer.model.tokenize, [], []
         for p in new:
-            s = p.decode()
-            if s.isalpha() and max(s) < "\u0250" and s == s.lower() and is_normalized("NFC", s):
-                known[p] = array("I", [t.id for t in tokenize(s.translate(self.symbols))]).tobytes()
-            else:
+            if p.isalpha() and p.islower():  # bytes: a-z only, one word whatever the normalizer does
+                known[p] = array("I", [t.id for t in tokenize(p.decode())]).tobytes()
+            elif len(p) > 1 and p[-1] in b".," and p[-2:-1].isalnum():
+                ended.append(p)
+            elif not self._plain(p):
                 rest.append(p)
+        for p in ended:
+            q = p[:-1]
+            if q not in known:
+                if q.isalpha() and q.islower():
+                    known[q] = array("I", [t.id for t in tokenize(q.decode())]).tobytes()
+                elif not self._plain(q):
+                    rest.append(q)
+        # one call on this thread, since workers already fill the cores
         got = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
         known.update(zip(rest, [array("I", e.ids).tobytes() for e in got], strict=True))
+        for p in ended:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
+
+    def _plain(self, piece: bytes) -> bool:
+        """Learns a piece of small Latin letters in normal form, which the
+        normalizer leaves as it is, from the model alone."""
+        s = piece.decode()
+        if not (s.isalpha() and s.islower() and max(s) < "\u0250" and s == s.lower() and is_normalized("NFC", s)):
+            return False
+        self.known[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(s.translate(self.symbols))]).tobytes()
+        return True
 
 
 class _Symbols(dict):
@@ -151,7 +166,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end: int = END) -> Da
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
-                    pa.array([zlib.crc32(t.encode()) if t else 0 for t in texts], pa.int64()),
+                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
                     pa.array([len(x) // 4 for x in raw], pa.int64()),
                     pa.array([bits] * len(raw), pa.int32()),
                     pa.array([pack(np.frombuffer(x, "<u4"), bits) for x in raw], pa.binary()),
@@ -254,7 +269,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "block", "at", "doc_id", "length", "n", "crc"])
 
-    pieces = blocks.mapInArrow(parts, "shard int, block int, at long, doc_id long, length long, n long, crc long")
+    pieces = staged(blocks.mapInArrow(parts, "shard int, block int, at long, doc_id long, length long, n long, crc long"), "pieces")
     whole = F.col("length") == F.col("n")
     done = pieces.where(whole).select("shard", "at", "doc_id", F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     # Only documents that cross a block: their first piece starts a group.
