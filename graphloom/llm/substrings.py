@@ -136,7 +136,9 @@ class Block:
             last = anchor[-1]
         first, stop = np.concatenate(firsts), np.append(np.concatenate(stops), n)
         text = np.searchsorted(self.begin, first, side="right") - 1
-        return first, stop[np.searchsorted(stop, first, side="right")] - 1, np.concatenate(anchors), np.concatenate(hashes), text
+        # least hashes crowd near zero: mixed again, they spread over all ranges
+        mixed = np.concatenate(hashes) * _M1 >> np.uint64(16)
+        return first, stop[np.searchsorted(stop, first, side="right")] - 1, np.concatenate(anchors), mixed, text
 
 
 def make_blocks(docs: DataFrame, partitions: int) -> DataFrame:
@@ -205,7 +207,7 @@ class Ranges:
         return hashed >> self.cut
 
     def of(self, short: np.ndarray) -> np.ndarray:
-        return ((short << self.cut) * np.uint64(self.parts) // np.uint64(1 << 48)).astype(np.int64) if self.parts < 1 << 15 else ((short << self.cut) // np.uint64(-(-(1 << 48) // self.parts))).astype(np.int64)
+        return ((short << self.cut) // np.uint64(-(-(1 << 48) // self.parts))).astype(np.int64)
 
 
 def _anchors(block: Block, ranges: Ranges) -> tuple[tuple, np.ndarray, np.ndarray]:
