@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.plans import history_queries
 from graphloom.plans.queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "history_queries"]
