@@ -33,9 +33,9 @@ def w1_absolute_reward(spark, d):
     return P.history(spark, d).select("task", "iteration", F.round(H.absolute_reward(F.col("metric")), 6).alias("reward"))
 
 
-@query(REWARDS + "SELECT task, iteration, improved, plateau_duration, round(absolute, 8) AS absolute, round(reward, 8) AS reward FROM rewards")
+@query(REWARDS + "SELECT task, iteration, improved, plateau_duration, round(absolute, 11) AS absolute, round(reward, 11) AS reward FROM rewards")
 def w2_gated_rewards(spark, d):
-    return rounded(H.gated_rewards(P.history(spark, d)), "absolute", "reward", places=8).drop("metric")
+    return rounded(H.gated_rewards(P.history(spark, d)), "absolute", "reward", places=11).drop("metric")
 
 
 @query(REWARDS + f", g AS (SELECT *, row_number() {W}) - 1 AS k FROM rewards) SELECT task, round(sum(pow(0.99::double, k) * reward), 6) AS discounted_return, count(*) AS n FROM g GROUP BY 1")
@@ -288,6 +288,6 @@ def a15_failure_patterns(spark, d):
     return H.improvements(P.history(spark, d)).where("delta < -0.02D").groupBy("task", "edge_type").agg(F.count("*").alias("failures")).where("failures >= 2")
 
 
-@query(HIST + "SELECT task, count(*) AS n, count(DISTINCT edge_type) AS edge_types, round(avg(metric), 8) AS mean_metric, round(max(metric), 8) AS best_metric FROM hist GROUP BY 1")
+@query(HIST + "SELECT task, count(*) AS n, count(DISTINCT edge_type) AS edge_types, round(avg(metric), 11) AS mean_metric, round(max(metric), 11) AS best_metric FROM hist GROUP BY 1")
 def a11_memory_stats(spark, d):
-    return rounded(P.history(spark, d).groupBy("task").agg(F.count("*").alias("n"), F.countDistinct("edge_type").alias("edge_types"), F.avg("metric").alias("mean_metric"), F.max("metric").alias("best_metric")), "mean_metric", "best_metric", places=8)
+    return rounded(P.history(spark, d).groupBy("task").agg(F.count("*").alias("n"), F.countDistinct("edge_type").alias("edge_types"), F.avg("metric").alias("mean_metric"), F.max("metric").alias("best_metric")), "mean_metric", "best_metric", places=11)
