@@ -192,7 +192,8 @@ def _in_blocks(own: DataFrame, group: str, more: list[str]) -> DataFrame:
     each = own.select(group, "node", "label", *more, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("o"), spot(F.col("nb"), 1).alias("b"))
     outside = own.where(F.col("label") != F.col("main"))
     outside = outside.select(group, "node", "label", *more, F.lit(True).alias("outside"), spot(F.col("no"), 2).alias("o"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
-    return each.unionByName(outside)
+    # dealt by task, for a join by group would leave all of a group's tasks in one
+    return each.unionByName(outside).repartition(group, "o", "b")
 
 
 def _labels_of(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, Union, np.ndarray]:
