@@ -46,16 +46,16 @@ def clustering(assigned: DataFrame, by: list[str]) -> DataFrame:
     cells = assigned.groupBy(*by, "truth", "cluster").agg(F.count("*").alias("n"))
     a = cells.groupBy(*by, "truth").agg(F.sum("n").alias("a"))
     b = cells.groupBy(*by, "cluster").agg(F.sum("n").alias("b"))
-    total = cells.groupBy(*by).agg(F.sum("n").alias("N"))
+    total = cells.groupBy(*by).agg(F.sum("n").alias("all"))
     two = lambda c: F.col(c) * (F.col(c) - 1) / 2.0
-    ent = lambda c: -F.sum(F.col(c) / F.col("N") * F.log(F.col(c) / F.col("N")))
+    ent = lambda c: -F.sum(F.col(c) / F.col("all") * F.log(F.col(c) / F.col("all")))
     sa = a.join(total, by).groupBy(*by).agg(F.sum(two("a")).alias("ca"), ent("a").alias("ha"))
     sb = b.join(total, by).groupBy(*by).agg(F.sum(two("b")).alias("cb"), ent("b").alias("hb"))
-    joint = cells.join(a, [*by, "truth"]).join(b, [*by, "cluster"]).join(total, by)
-    mi = F.sum(F.col("n") / F.col("N") * F.log(F.col("n").cast("double") * F.col("N") / (F.col("a") * F.col("b"))))
-    sj = joint.groupBy(*by).agg(F.sum(two("n")).alias("cj"), mi.alias("mi"), F.max("N").alias("N"))
+    joint = cells.withColumnRenamed("n", "m").join(a, [*by, "truth"]).join(b, [*by, "cluster"]).join(total, by)
+    mi = F.sum(F.col("m") / F.col("all") * F.log(F.col("m").cast("double") * F.col("all") / (F.col("a") * F.col("b"))))
+    sj = joint.groupBy(*by).agg(F.sum(two("m")).alias("cj"), mi.alias("mi"), F.max("all").alias("all"))
     s = sj.join(sa, by).join(sb, by)
-    expected = F.col("ca") * F.col("cb") / F.greatest(F.col("N") * (F.col("N") - 1) / 2.0, F.lit(1.0))
+    expected = F.col("ca") * F.col("cb") / F.greatest(F.col("all") * (F.col("all") - 1) / 2.0, F.lit(1.0))
     top = (F.col("ca") + F.col("cb")) / 2.0 - expected
     ari = F.when(F.abs(top) < 1e-12, 1.0).otherwise((F.col("cj") - expected) / F.when(F.abs(top) < 1e-12, 1.0).otherwise(top))
     h = F.when(F.col("ha") > 0, F.col("mi") / F.when(F.col("ha") > 0, F.col("ha")).otherwise(1.0)).otherwise(1.0)

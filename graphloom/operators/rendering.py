@@ -66,7 +66,7 @@ def section_items(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def short_description(text: Column, most: int = 200) -> Column:
     """None for texts of ten characters or fewer; longer ones end at a word."""
-    cut = F.when(F.length(text) >= most, F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s\S*$", ""), F.lit("..."))).otherwise(text)
+    cut = F.when(F.length(text) >= most, F.concat(F.regexp_replace(F.substring(text, 1, most), r" [^ ]*\z", ""), F.lit("..."))).otherwise(text)
     return F.when(F.length(text) > 10, cut)
 
 

@@ -138,3 +138,8 @@ SQL["emb"] = "emb AS (SELECT 'P' || vec_id AS id, embedding::double[] AS emb, la
 def with_sql(*names: str) -> str:
     """A WITH clause of the named expressions."""
     return "WITH " + ",\n".join(SQL[n] for n in names) + "\n"
+
+
+def gene_of(key):
+    """Like ``gene`` for a column."""
+    return F.concat(F.lit("P"), key.cast("string"))
