@@ -161,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     while parts < PARTS[1] and parts * PART_ROWS < count:
         parts *= 2
     sample = [r[0] for r in units.orderBy("k1", "k2").limit(SAMPLE).select("e").collect()]
-    router = train_router(np.array(sample, np.float64).reshape(len(sample), -1), parts)
+    router = train_router(np.array(sample, np.float64).reshape(len(sample), len(sample[0]) if sample else 0), parts)
     held = units.sparkSession.sparkContext.broadcast(router)
 
     def route(batches):

@@ -234,7 +234,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, shards: int | None = None
     packed ids are shuffled, once, to the shard of their doc_id."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = shard_bounds(docs, shards)
-    shard = F.coalesce(_rank(F.col("doc_id"), bounds), F.lit(0))
+    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(F.col("doc_id"), bounds))
     encoded = encode_documents(docs, tokenizer_path, end).withColumn("shard", shard)
     placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "checksum", "n")
     return staged(placed.select("shard", "doc_id", "n", "bits", "ids").mapInArrow(_blocks, BLOCKS), "tokens")

@@ -1,0 +1,32 @@
+"""The pipeline: its stages' decisions take effect and clean documents stay."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1)).withColumn("__x", F.lit("a"))
+    odd = spark.createDataFrame([(10**9, "123 456", "en", "s", 7, 1, "a"), (10**9 + 1, None, None, None, None, 1, "a")], docs.schema)
+    docs, names = docs.unionByName(odd), [n for n, _ in corpus_pipeline.STAGES]
+    assert 4 <= len(names) <= 5
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF).cache()
+        assert out.columns == docs.columns, name
+        if name == "language ID":
+            assert out.count() == before - 2 and not out.where("doc_id >= 1000000000").count()
+        docs = out
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() == docs.count()
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)]])
+def test_empty_stages(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
