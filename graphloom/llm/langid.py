@@ -200,8 +200,14 @@ def build(samples: dict[str, list[str]]) -> Model:
 def fit(docs: DataFrame, learn: Column) -> Model:
     """Model from the rows of ``docs`` (doc_id, text, lang) where ``learn`` holds."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # Three times the rows wanted of each language, by their hashes alone, come
+    # to its window, however many it has; the model is a table of languages too.
+    share, unit = F.lit(1.0), (F.xxhash64("doc_id").cast("double") / 2.0**64) + 0.5
+    for lang, n in rows.groupBy("lang").count().collect():
+        share = F.when(F.col("lang") == lang, min(1.0, 3.0 * PER_LANG / n)).otherwise(share)
+    few = rows.where(unit <= share).select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
     by = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= PER_LANG)
+    chosen = few.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= PER_LANG)
     ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
     known = [i for i in ids if i is not None]
     among = F.col("doc_id").isin(known)
