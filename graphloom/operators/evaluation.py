@@ -147,3 +147,69 @@ def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int
             own = auc(s, ["model", "fold"]).join(average_precision(s, ["model", "fold"]), ["model", "fold"])
             out = own if out is None else out.unionByName(own)
     return out
+
+
+SILHOUETTE_BLOCK = 2048
+
+
+def silhouette(points: DataFrame, label: str, emb: str) -> DataFrame:
+    """Mean Euclidean silhouette of all points, exactly.
+
+    Points are dealt to blocks; each pair of blocks is one task's bounded
+    distance matrix, of which only sums by point and class leave the task, so
+    no pair of points is ever a row.  The work is quadratic, as the measure is."""
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = max(1, -(-points.count() // SILHOUETTE_BLOCK))
+    own = points.select("id", F.col(label).cast("string").alias("label"), F.col(emb).alias("emb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("home"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = own.select("id", "label", F.col("emb").alias("a"), F.col("home").alias("i"), every.alias("j"))
+    right = own.select(F.col("id").alias("other"), F.col("label").alias("to"), F.col("emb").alias("b"), every.alias("i"), F.col("home").alias("j"))
+
+    def sums(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y):
+            return pa.table({"id": pa.array([], pa.string()), "label": pa.array([], pa.string()), "to": pa.array([], pa.string()), "s": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        p, q = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((x, "a"), (y, "b")))
+        ids, names = x.column("id").to_pylist(), y.column("other").to_pylist()
+        classes, code = np.unique(np.array(y.column("to").to_pylist()), return_inverse=True)
+        at, out = {n: k for k, n in enumerate(names)}, []
+        for k, one in enumerate(p):
+            d = np.sqrt(((q - one) ** 2).sum(axis=1))
+            n = np.bincount(code, minlength=len(classes))
+            if ids[k] in at:
+                d[at[ids[k]]], n = 0.0, n - (np.arange(len(classes)) == code[at[ids[k]]])
+            out += [(ids[k], classes[c], s, int(n[c])) for c, s in enumerate(np.bincount(code, d, len(classes))) if n[c]]
+        label_of = dict(zip(ids, x.column("label").to_pylist(), strict=True))
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table({"id": pa.array(cols[0], pa.string()), "label": pa.array([label_of[i] for i in cols[0]], pa.string()), "to": pa.array([str(c) for c in cols[1]], pa.string()), "s": pa.array(cols[2], pa.float64()), "n": pa.array(cols[3], pa.int64())})
+
+    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(sums, "id string, label string, to string, s double, n long")
+    mean = parts.groupBy("id", "label", "to").agg((F.sum("s") / F.sum("n")).alias("m"))
+    ab = mean.groupBy("id", "label").agg(F.max(F.when(F.col("to") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("to") != F.col("label"), F.col("m"))).alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))
+    return ab.agg(F.avg(s).alias("silhouette"))
+
+
+def davies_bouldin(points: DataFrame, label: str, emb: str) -> DataFrame:
+    """Mean over classes of the worst ratio of spreads to centroid distance."""
+    from graphloom.operators.scoring import dot
+
+    geo = centroid_geometry(points, label, emb)
+    long = points.select(label, F.posexplode(emb).alias("dim", "x")).groupBy(label, "dim").agg(F.avg("x").alias("c"))
+    cent = long.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "c"))), lambda x: x["c"]).alias("v")).join(geo, label)
+    a, b = cent.select(F.col(label).alias("i"), F.col("v").alias("vi"), F.col("within").alias("si")), cent.select(F.col(label).alias("j"), F.col("v").alias("vj"), F.col("within").alias("sj"))
+    gap = F.zip_with("vi", "vj", lambda x, y: x - y)
+    r = a.join(b, F.col("i") != F.col("j")).select("i", ((F.col("si") + F.col("sj")) / F.sqrt(dot(gap, gap))).alias("r"))
+    return r.groupBy("i").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+
+
+def knn_regression(neighbors: DataFrame, targets: DataFrame) -> DataFrame:
+    """query_id, predicted: means of the neighbours' targets weighed by inverse
+    distance; a neighbour at distance 0 decides alone.
+
+    neighbors: query_id, id, distance; targets: id, y."""
+    w = Window.partitionBy("query_id")
+    n = neighbors.join(targets, "id").withColumn("zero", F.max((F.col("distance") == 0).cast("int")).over(w))
+    weight = F.when(F.col("zero") == 1, (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.when(F.col("distance") == 0, 1.0).otherwise(F.col("distance")))
+    return n.withColumn("w", weight).groupBy("query_id").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("predicted"))
