@@ -48,7 +48,7 @@ def crc32_of(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``most`` bytes in each
     (one row at least), which bounds what a kernel allocates."""
     for batch in batches:
@@ -70,11 +70,26 @@ def worker_memory(owner: str) -> dict:
     used again by whatever runs next, so one operator's memory ends where
     another's begins."""
     if owner not in _KEPT:
+        had = bool(_KEPT)
         _KEPT.clear()
         _KEPT[owner] = {}
+        if had:
+            _give_back()
     return _KEPT[owner]
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where that can be asked for."""
+    import contextlib
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lengths(col: pa.Array) -> np.ndarray:
     """Bytes of each value of a string or binary column, null as 0."""
     import pyarrow.compute as pc

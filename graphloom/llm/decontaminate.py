@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, spans_union, staged
+from graphloom.llm.common import slices, spans_union, staged, worker_memory
 
 WIDTH = 10
 ITEM_BLOCK = 16 << 20
@@ -225,6 +225,7 @@ def _find(docs: DataFrame, phrases: Phrases, extra: list[str], more: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
+            worker_memory("decontaminate")
             texts = batch.column(1).to_pylist()
             got = search_shard(texts, held.value)
             if more:

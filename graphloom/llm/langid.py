@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: Model, extra: list[str] | None = None) -> D
     schema = PREDICTED + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             lang, score = held.value.predict(batch.column(1).to_pylist())
             cols = [batch.column(0).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols + [batch.column(1 if c == "text" else 2 + rest.index(c)) for c in extra], names=["doc_id", "lang_pred", "score", *extra])
