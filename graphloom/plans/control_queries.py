@@ -44,12 +44,12 @@ def x16_features_from_keywords(spark, d):
 @query(HQ.IMP + """, sc AS (SELECT task, edge_type AS edge_types, round(max(delta), 9) AS improvement FROM imp WHERE delta > 0 GROUP BY 1, 2), s AS (SELECT *, task % 10 AS family, row_number() OVER (PARTITION BY task ORDER BY improvement DESC, edge_types) AS r FROM sc),
 c AS (SELECT task AS for_task, task % 10 AS f, edge_type AS now FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r FROM hist) WHERE r = 1), top AS (SELECT * FROM s WHERE r = 1 ORDER BY improvement DESC, task LIMIT 80),
 u AS (SELECT for_task, 'same_task' AS source, task, edge_types, improvement, now FROM s JOIN c ON task = for_task WHERE r <= 3 UNION ALL SELECT for_task, 'similar_task', task, edge_types, improvement, now FROM s JOIN c ON family = f AND task <> for_task WHERE r <= 2 UNION ALL SELECT for_task, 'best_from', task, edge_types, improvement, now FROM top, c WHERE task <> for_task),
-k AS (SELECT *, row_number() OVER (PARTITION BY for_task ORDER BY improvement DESC, source, task, edge_types) AS rank FROM u WHERE edge_types <> now) SELECT for_task, source, task, edge_types, round(improvement, 6) AS improvement, rank FROM k WHERE rank <= 3""")
+k AS (SELECT *, row_number() OVER (PARTITION BY for_task ORDER BY improvement DESC, source, task, edge_types) AS rank FROM u WHERE edge_types <> now) SELECT for_task, source, task, edge_types, improvement, rank FROM k WHERE rank <= 3""")
 def t11_memory_suggestions(spark, d):
     h = P.history(spark, d)
     s = H.improvements(h).where("delta > 0").groupBy("task", F.col("edge_type").alias("edge_types")).agg(F.round(F.max("delta"), 9).alias("improvement")).withColumn("family", F.col("task") % 10)
     now = h.groupBy("task").agg(F.max_by("edge_type", "iteration").alias("edge_types")).withColumn("family", F.col("task") % 10)
-    return rounded(St.suggestions(s, now), "improvement")
+    return St.suggestions(s, now)
 
 
 @query(HQ.HIST.rstrip() + f", k AS (SELECT task, iteration, {HQ.KEY} AS strategy, metric FROM hist), p AS (SELECT task, strategy, count(*) AS n, avg(metric) AS mean FROM k GROUP BY 1, 2), u AS (SELECT task, strategy, round(mean + sqrt(ln(greatest(sum(n) OVER (PARTITION BY task), 2)::double) / n) * 1.414::double, 9) AS ucb FROM p), b AS (SELECT *, max(ucb) OVER (PARTITION BY task) AS best FROM u), l AS (SELECT task, strategy FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r FROM k) WHERE r = 1) SELECT task, strategy, best > ucb AS explore FROM b JOIN l USING (task, strategy)")
@@ -79,10 +79,10 @@ def w44_thinking_mode(spark, d):
 
 @query(HQ.REWARDS + """, a AS (SELECT task, iteration, round(reward, 9) AS reward FROM rewards), b AS (SELECT *, max(reward) OVER (PARTITION BY task) AS best, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS back FROM a), c AS (SELECT *, best <= 0 OR reward >= best * 0.99::double AS good FROM b), e AS (SELECT *, max(good::int) OVER (PARTITION BY task) AS n_good FROM c),
 f AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS b2 FROM e WHERE good OR (n_good = 0 AND back <= 2)), g AS (SELECT *, reward - lag(reward) OVER (PARTITION BY task ORDER BY iteration) AS d FROM f WHERE b2 <= 3)
-SELECT task, iteration, round(reward, 6) AS reward, CASE WHEN d IS NULL THEN 'BASELINE' WHEN d > 0 THEN 'EFFECTIVE' WHEN d < 0 THEN 'INEFFECTIVE' ELSE 'NEUTRAL' END AS effect FROM g""")
+SELECT task, iteration, reward, CASE WHEN d IS NULL THEN 'BASELINE' WHEN d > 0 THEN 'EFFECTIVE' WHEN d < 0 THEN 'INEFFECTIVE' ELSE 'NEUTRAL' END AS effect FROM g""")
 def w49_prompt_history(spark, d):
     r = H.gated_rewards(P.history(spark, d)).select("task", "iteration", F.round("reward", 9).alias("reward"))
-    return rounded(St.prompt_history(r), "reward")
+    return St.prompt_history(r)
 
 
 @query(HQ.WEIGHTS + ", w AS (SELECT task, edge_type, CASE WHEN hi > lo THEN round(pow((raw - lo) / (hi - lo), 0.7::double) * 0.95::double + 0.05::double, 3) ELSE 0.5::double END AS weight FROM mm) SELECT task, edge_type, CASE WHEN weight >= 0.8 THEN 'RECOMMENDED' WHEN weight >= 0.6 THEN 'useful' WHEN weight <= 0.3 THEN 'discouraged' WHEN weight <= 0.5 THEN 'neutral' ELSE '' END AS band FROM w")

@@ -177,10 +177,10 @@ def scores(spark, d) -> DataFrame:
     return out.withColumn("total", F.round("total", 9))
 
 
-@query(SCORED + "SELECT center, neighbor, edge_type, direction, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("structural", "task_relevance", "semantic", "memory", "confidence", "total")) + " FROM scores")
+@query(SCORED + "SELECT center, neighbor, edge_type, direction, " + ", ".join(f"round({c}, 9) AS {c}" for c in ("structural", "task_relevance", "semantic", "memory", "confidence", "total")) + " FROM scores")
 def m6_neighbor_scores(spark, d):
     cols = ("structural", "task_relevance", "semantic", "memory", "confidence", "total")
-    return rounded(scores(spark, d), *cols).select("center", "neighbor", "edge_type", "direction", *cols)
+    return rounded(scores(spark, d), *cols, places=9).select("center", "neighbor", "edge_type", "direction", *cols)
 
 
 @query(SCORED + "SELECT center, neighbor, rank FROM (SELECT center, neighbor, row_number() OVER (PARTITION BY center ORDER BY total DESC, neighbor) AS rank FROM scores WHERE total >= 0.45) WHERE rank <= 5")

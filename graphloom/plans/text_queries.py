@@ -157,9 +157,9 @@ def _found(spark, d, k):
     return V.top_k(*_index(spark, d), k)
 
 
-@query(TRIP + "SELECT query_id, id, rank, round(score, 6) AS score FROM rk WHERE rank <= 10")
+@query(TRIP + "SELECT query_id, id, rank, score FROM rk WHERE rank <= 10")
 def v2_top_k(spark, d):
-    return rounded(_found(spark, d, 10).select("query_id", "id", "rank", "score"), "score")
+    return _found(spark, d, 10).select("query_id", "id", "rank", "score")
 
 
 @query(TRIP + ", f AS (SELECT * FROM rk WHERE rank <= 20 AND score >= 0.3 AND edge_type = 'PPI') SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
@@ -179,9 +179,9 @@ def v5_diverse(spark, d):
 
 
 @query(TRIP + """, f AS (SELECT *, round(score * 0.7::double + least(CASE WHEN src = query_id OR dst = query_id THEN 0.5::double ELSE 0.0::double END + CASE WHEN edge_type = 'PPI' THEN conf * 0.3::double ELSE 0.0::double END + CASE edge_type WHEN 'TRRUST' THEN 0.25::double ELSE 0.15::double END, 1.0::double) * (1 - 0.7::double), 9) AS s FROM rk WHERE rank <= 20)
-SELECT query_id, id, r AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS r FROM f) WHERE r <= 10""")
+SELECT query_id, id, r AS rank, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS r FROM f) WHERE r <= 10""")
 def v6_hybrid(spark, d):
-    return rounded(V.hybrid(_found(spark, d, 20).withColumn("gene", F.col("query_id")), 10).select("query_id", "id", "rank", "score"), "score")
+    return V.hybrid(_found(spark, d, 20).withColumn("gene", F.col("query_id")), 10).select("query_id", "id", "rank", "score")
 
 
 @query(TRIP + """, f AS (SELECT query_id, edge_type, id AS text, score, rank, row_number() OVER (PARTITION BY query_id, edge_type ORDER BY rank) AS r FROM rk WHERE rank <= 30),
