@@ -138,28 +138,21 @@ def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own = [shingles(t) for t in batch.column(0).to_pylist()]
-            cols = [pa.array([node_of(x) for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())]
+            cols = [pa.array([node_of(x) for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "own"])
 
-    return staged(rows.mapInArrow(sets, "node binary, n long, own binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return staged(rows.mapInArrow(sets, "node binary, n long, own array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
+    """The pairs (a, b) of classes whose full sets reach the threshold.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (p, q) if len(p) < len(q) else (q, p)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * both >= threshold * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("a", "b", "own_a", "own_b").mapInArrow(check, "a binary, b binary")
+    Sets meet row by row inside the join, so memory is that of two sets, however
+    long the texts of a pair and however many pairs a class has."""
+    one = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}"))
+    both = F.size(F.array_intersect("own_a", "own_b"))
+    close = 100 * both >= threshold * (F.col("n_a") + F.col("n_b") - both)
+    return pairs.join(one("b"), "b").join(one("a"), "a").where(close).select("a", "b")
 
 
 class Union:
@@ -239,7 +232,9 @@ def exact_links(hoods: DataFrame, labels: DataFrame, sets: DataFrame, threshold:
 
     def link(table: pa.Table) -> pa.Table:
         names, label, outside, sets_, rest = _labels_of(table)
-        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("own").combine_chunks()]
+        own = table.column("own").combine_chunks()
+        values, cuts = own.values.to_numpy(zero_copy_only=False), own.offsets.to_numpy()
+        each = [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         if not len(outside) or not len(rest):
             return _pair_table([])
         # for each shingle, the rows that hold it, one after another
