@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_STAGES: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +41,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> int:
+    """Deletes what ``staged`` has written in this driver, once no result that
+    reads it is needed; returns the number of tables.  Any Hadoop file system."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_STAGES)
+    while _STAGES:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def crc32_of(key: Column) -> Column:
     """Unsigned crc32 of a key's decimal text; null keys count as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))

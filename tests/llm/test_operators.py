@@ -49,6 +49,16 @@ def none(spark):
     return table(spark, [])
 
 
+def test_stages_can_be_dropped(spark):
+    from graphloom.llm import common
+
+    common.drop_stages(spark)
+    df = common.staged(spark.range(3), "x")
+    assert df.count() == 3 and common.drop_stages(spark) == 1
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found|no such"):
+        spark.read.parquet(df.inputFiles()[0] if df.inputFiles() else "/nowhere").count()
+
+
 # ---- 1 language ID
 
 
