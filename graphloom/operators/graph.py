@@ -17,10 +17,14 @@ LEAST_CAP = 5
 
 
 def incident(edges: DataFrame, undirected: tuple[str, ...] = UNDIRECTED) -> DataFrame:
-    """center, neighbor, edge_type, score, evidence, direction."""
-    out = edges.select(F.col("src").alias("center"), F.col("dst").alias("neighbor"), "edge_type", "score", "evidence", F.lit("out").alias("direction"))
-    back = edges.where(F.col("edge_type").isin(*undirected)).select(F.col("dst").alias("center"), F.col("src").alias("neighbor"), "edge_type", "score", "evidence", F.lit("in").alias("direction"))
-    return out.unionByName(back)
+    """center, neighbor, edge_type, score, evidence, direction.
+
+    Undirected edges give both ends' rows in one pass over the edges, so that
+    what makes them runs once."""
+    end = lambda a, b, way: F.struct(F.col(a).alias("center"), F.col(b).alias("neighbor"), F.lit(way).alias("direction"))
+    out, back = end("src", "dst", "out"), end("dst", "src", "in")
+    ends = F.explode(F.when(F.col("edge_type").isin(*undirected), F.array(out, back)).otherwise(F.array(out)))
+    return edges.select(ends.alias("e"), "edge_type", "score", "evidence").select("e.center", "e.neighbor", "edge_type", "score", "evidence", "e.direction")
 
 
 def cap_of(k: int, weights: dict[str, float] | None = None) -> Column:

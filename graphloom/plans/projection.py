@@ -23,11 +23,12 @@ def gene(key: str):
 
 
 def ppi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one order interact; an order has few lines, which bounds the
-    self-join, and the pair counts are combined before their shuffle."""
-    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = own.select("l_orderkey", F.col("l_partkey").alias("a")), own.select("l_orderkey", F.col("l_partkey").alias("b"))
-    pairs = a.join(b, "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """Parts of one order interact.  An order has few lines, so its parts come
+    together in one shuffle by order and its pairs are made where they lie; pair
+    counts are combined before their shuffle."""
+    own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts")).where(F.size("parts") > 1)
+    each = own.select("parts", F.explode("parts").alias("a"))
+    pairs = each.select("a", F.explode(F.filter("parts", lambda b: b > F.col("a"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     score = F.round(F.least(F.lit(1000.0), (F.col("n") * 100 + F.pmod(F.col("a") + F.col("b"), F.lit(900))).cast("double")) / 1000.0, 3)
     return pairs.select(gene("a").alias("src"), gene("b").alias("dst"), F.lit("PPI").alias("edge_type"), score.alias("score"), F.lit("STRING").alias("evidence"))
 
