@@ -36,8 +36,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's ids stand in the token files, read back."""
-    return tokenfile.read_documents(tokenfile.write_tokens(docs, tokenizer_path()))
+    """Where each document's ids stand in the token files, read back.  Workers
+    remember fewer pieces here, since executors hold other stages' leftovers."""
+    return tokenfile.read_documents(tokenfile.write_tokens(docs, tokenizer_path(), pieces=250_000))
 
 
 STAGES = [

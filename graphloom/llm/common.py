@@ -72,6 +72,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = np.flatnonzero(np.diff(group)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(col)], strict=True):
             yield batch.slice(int(lo), int(hi - lo))
+    _give_back()  # the worker may idle for long after this task
 
 
 _KEPT: dict[str, dict] = {}
@@ -84,9 +85,9 @@ def worker_memory(owner: str) -> dict:
     if owner not in _KEPT:
         had = bool(_KEPT)
         _KEPT.clear()
-        _KEPT[owner] = {}
         if had:
             _give_back()
+        _KEPT[owner] = {}
     return _KEPT[owner]
 
 

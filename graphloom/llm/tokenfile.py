@@ -77,12 +77,12 @@ def cut_pieces(text: str) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
-def coder_for(path: str) -> PieceEncoder:
+def coder_for(path: str, most: int) -> PieceEncoder:
     """A worker's encoder of this path, kept between tasks."""
     coders = worker_memory("tokens")
-    if path not in coders:
-        coders[path] = PieceEncoder(path)
-    return coders[path]
+    if (path, most) not in coders:
+        coders[path, most] = PieceEncoder(path, most)
+    return coders[path, most]
 
 
 class PieceEncoder:
@@ -154,11 +154,11 @@ class _Symbols(dict):
         return out
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, end: int = END, pieces: int = PIECES) -> DataFrame:
     """doc_id, checksum, n, bits, ids: each whole text's ids, packed.  No shuffle."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, tail = coder_for(tokenizer_path), np.array([end], "<u4").tobytes()
+        coder, tail = coder_for(tokenizer_path, pieces), np.array([end], "<u4").tobytes()
         bits = bits_for(max(coder.vocab, end + 1))
         for batch in slices(batches, most=4 << 20):
             texts = batch.column(1).to_pylist()
@@ -227,15 +227,16 @@ def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, shards: int | None = None, end: int = END) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, shards: int | None = None, end: int = END, pieces: int = PIECES) -> DataFrame:
     """Encodes, orders and writes the documents; returns the written blocks.
 
-    shards: as many as the session's shuffle partitions by default.  Only
+    shards: as many as the session's shuffle partitions by default.  pieces:
+    how many a worker remembers; fewer take less memory and more time.  Only
     packed ids are shuffled, once, to the shard of their doc_id."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = shard_bounds(docs, shards)
     shard = F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(F.col("doc_id"), bounds))
-    encoded = encode_documents(docs, tokenizer_path, end).withColumn("shard", shard)
+    encoded = encode_documents(docs, tokenizer_path, end, pieces).withColumn("shard", shard)
     placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "checksum", "n")
     return staged(placed.select("shard", "doc_id", "n", "bits", "ids").mapInArrow(_blocks, BLOCKS), "tokens")
 
