@@ -16,7 +16,9 @@ W_RELATIVE, W_RAW, W_BASELINE = 0.10, 0.80, 0.10
 PLATEAU_SHARE, PLATEAU_BASE, PLATEAU_STEP, PLATEAU_MOST = 0.01, -0.05, 0.3, -0.3
 FLAT, STEEP = 0.005, 0.01
 EMA_KEEP = 0.7
-TREND_VALUES = {"improving": 0.8, "plateau": 0.4, "oscillating": 0.3, "declining": 0.2, "unknown": 0.5}
+# What an edge type weighs before anything is learned.
+PRIORS = {"PPI": 0.7, "GO": 0.6, "HPO": 0.7, "TRRUST": 0.5, "CellMarker": 0.4, "Reactome": 0.5}
+TREND_VALUES = {"improving": 0.85, "plateau": 0.15, "declining": 0.05, "oscillating": 0.20, "unknown": 0.40}
 
 
 def by(order: str = "iteration"):
@@ -151,11 +153,14 @@ def improvements(history: DataFrame) -> DataFrame:
     return history.withColumn("delta", F.col("metric") - F.lag("metric").over(by())).where(F.col("delta").isNotNull())
 
 
-def edge_weights(effects: DataFrame, least_samples: int = 2, prior: float = 0.5) -> DataFrame:
-    """Weight of each edge type of a task from its record, spread over
-    [0.05, 1] within the task (0.5 if all are equal)."""
+def edge_weights(effects: DataFrame, least_samples: int = 2, priors: dict[str, float] | None = None) -> DataFrame:
+    """Weight of each edge type of a task from its record and its prior (0.5 if
+    it has none), spread over [0.05, 1] within the task (0.5 if all are equal)."""
+    prior = F.lit(0.5)
+    for t, w in (PRIORS if priors is None else priors).items():
+        prior = F.when(F.col("edge_type") == t, w).otherwise(prior)
     learned = F.col("successes") / F.col("usage") * 0.6 + clip((F.col("ema") + 0.1) / 0.2, 0.0, 1.0) * 0.4
-    raw = F.when(F.col("usage") < least_samples, F.lit(prior)).otherwise(F.lit(prior) * 0.5 + learned * 0.5)
+    raw = F.when(F.col("usage") < least_samples, prior).otherwise(prior * 0.5 + learned * 0.5)
     w = Window.partitionBy("task")
     e = effects.withColumn("raw", raw).withColumn("low", F.min("raw").over(w)).withColumn("high", F.max("raw").over(w))
     spread = F.when(F.col("high") > F.col("low"), F.round(F.pow((F.col("raw") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0), F.lit(0.7)) * 0.95 + 0.05, 3)).otherwise(0.5)
@@ -174,7 +179,7 @@ def ucb(history: DataFrame, keys: list[str], reward: str, c: float = 1.414) -> D
     return per.withColumn("ucb", F.col("mean") + F.sqrt(F.log(F.greatest(total, F.lit(2)).cast("double")) / F.col("n")) * c)
 
 
-def epsilon(direction: Column, convergence: Column, iteration: Column, start: float = 0.3, decay: float = 0.3, floor: float = 0.05, plateau: float = 0.2, decline: float = 0.15) -> Column:
+def epsilon(direction: Column, convergence: Column, iteration: Column, start: float = 0.2, decay: float = 0.3, floor: float = 0.05, plateau: float = 0.05, decline: float = 0.1) -> Column:
     base = F.greatest(F.lit(floor), F.lit(start) / (iteration * decay + 1.0))
     up = F.when(direction == "plateau", plateau).when(direction == "declining", decline).when(direction == "oscillating", plateau * 0.5).otherwise(0.0)
     raised = F.least(F.lit(1.0), base + up)
@@ -267,13 +272,18 @@ def prune_mode(history: DataFrame) -> DataFrame:
 
 
 def rollbacks(history: DataFrame, declines: int = 3, by_more: float = 0.01) -> DataFrame:
-    """Runs of consecutive declines of over 0.01; rollback at the third."""
-    fall = F.when(F.col("metric") - F.lag("metric").over(by()) < -by_more, 1).otherwise(0)
+    """Consecutive declines of over 0.01; every third one rolls back, and the
+    count begins anew."""
+    fall = F.when(F.col("metric") < F.lag("metric").over(by()) - by_more, 1).otherwise(0)
     h = history.withColumn("fall", fall).withColumn("island", F.sum(1 - F.col("fall")).over(by().rowsBetween(Window.unboundedPreceding, 0)))
     run = F.sum("fall").over(Window.partitionBy("task", "island").orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0))
-    return h.select("task", "iteration", run.cast("long").alias("declines"), (run >= declines).alias("rollback"))
+    nth = F.when(run > 0, F.pmod(run - 1, F.lit(declines)) + 1).otherwise(0)
+    return h.select("task", "iteration", nth.cast("long").alias("declines"), (nth == declines).alias("rollback"))
 
 
 def verdicts(history: DataFrame, margin: float = 0.02) -> DataFrame:
+    """Whether a hypothesis holds after its iteration, and why: the first one
+    does, later ones where the metric rose by more than the margin."""
     delta = F.col("metric") - F.lag("metric").over(by())
-    return history.select("task", "iteration", F.when(delta >= margin, "VALIDATED").when(delta <= -margin, "INVALIDATED").otherwise("INCONCLUSIVE").alias("verdict"))
+    why = F.when(delta.isNull(), "first").when(delta > margin, "improved").when(delta < -margin, "decreased").otherwise("stagnant")
+    return history.select("task", "iteration", why.alias("evidence")).withColumn("validated", F.col("evidence").isin("first", "improved"))

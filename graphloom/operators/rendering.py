@@ -20,7 +20,11 @@ SECTIONS = {
     "Reactome": ("Participates in {n} biological pathways:", "No pathway information found.", 10),
 }
 CONTEXT_ORDER = ("HPO", "TRRUST", "GO", "PPI", "Reactome", "CellMarker", "OMIM", "GTEx", "CORUM")
-LINES = {"minimal": 5, "standard": 15, "extended": 30}
+HEADERS = {
+    "PPI": "Protein-Protein Interactions", "GO": "Gene Ontology Annotations", "HPO": "Phenotype Associations", "TRRUST": "Regulatory Relationships", "Reactome": "Pathway Membership",
+    "CellMarker": "Cell Type Markers", "OMIM": "Disease Associations", "GTEx": "Tissue Expression", "CORUM": "Protein Complex Membership",
+}
+LINES = {"minimal": 5, "local": 15, "extended": 30}
 
 
 def scaled_score(score: Column) -> Column:
@@ -113,26 +117,40 @@ def contexts(found: DataFrame, per_type: int = 10) -> DataFrame:
     top = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_type)
     lines = top.groupBy("query_id", "edge_type").agg(F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit("- "), "text", F.lit(" (relevance: "), F.format_string("%.2f", F.col("score")), F.lit(")")).alias("line")))).alias("rows"))
     place = F.array_position(F.array(*[F.lit(t) for t in CONTEXT_ORDER]), F.col("edge_type"))
-    section = F.concat(F.lit("### "), "edge_type", F.lit(" ("), F.col("k").cast("string"), F.lit(" items):\n"), F.array_join(F.transform("rows", lambda x: x["line"]), "\n"))
+    header = F.col("edge_type")
+    for t, name in HEADERS.items():
+        header = F.when(F.col("edge_type") == t, name).otherwise(header)
+    section = F.concat(F.lit("### "), header, F.lit(" ("), F.col("k").cast("string"), F.lit(" items):\n"), F.array_join(F.transform("rows", lambda x: x["line"]), "\n"))
     parts = lines.select("query_id", F.struct(F.when(place == 0, 100).otherwise(place).alias("p"), F.col("edge_type").alias("t"), section.alias("s")).alias("part"))
     return parts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["s"]), "\n\n").alias("context"))
 
 
 def context_window(text: Column, window: str) -> Column:
-    """The first lines of a text, as many as the window's name allows."""
+    """The first lines of a text, or parts between commas if it has few lines,
+    as many as the window's name allows; other windows keep all."""
     if window not in LINES:
         return text
-    return F.array_join(F.slice(F.split(text, "\n"), 1, LINES[window]), "\n")
+    k, lines, parts = LINES[window], F.split(text, "\n"), F.split(text, ", ")
+    few = F.when(F.size(parts) > k, F.concat(F.array_join(F.slice(parts, 1, k), ", "), F.lit(", ... ("), (F.size(parts) - k).cast("string"), F.lit(" more)"))).otherwise(text)
+    return F.when(F.size(lines) > k, F.concat(F.array_join(F.slice(lines, 1, k), "\n"), F.lit(f"\n... (truncated to {k} items)"))).otherwise(few)
 
 
 def feedback(metric: Column, best: Column) -> Column:
     """The verdict's wording for a metric and what it did to the best one."""
     # Lower bounds and wordings.
-    bands = ((0.95, "EXCEPTIONAL"), (0.92, "EXCELLENT"), (0.88, "VERY GOOD"), (0.85, "GOOD"), (0.75, "MODERATE"), (0.65, "BELOW AVERAGE"), (0.55, "POOR"))
-    level = F.lit("VERY POOR")
+    bands = (
+        (0.95, "EXCEPTIONAL - Outstanding strategy performance."),
+        (0.92, "EXCELLENT - The strategy is working very well."),
+        (0.88, "VERY GOOD - Strong performance with minor room for improvement."),
+        (0.85, "GOOD - The strategy is effective."),
+        (0.75, "MODERATE - There is room for improvement."),
+        (0.65, "BELOW AVERAGE - The strategy needs changes."),
+        (0.55, "POOR - The strategy needs significant changes."),
+    )
+    level = F.lit("VERY POOR - Consider a major strategy revision.")
     for bound, name in reversed(bands):
         level = F.when(metric >= bound, name).otherwise(level)
     d = metric - best
     number = lambda x: F.format_string("%.4f", x)
-    suffix = F.when(best.isNull(), "").when(d > 0.001, F.concat(F.lit(" (up "), number(d), F.lit(" from best, NEW BEST)"))).when(d < -0.01, F.concat(F.lit(" (down "), number(-d), F.lit(" from best)"))).when(d < -0.001, F.concat(F.lit(" (down "), number(-d), F.lit(" from best, minor decline)"))).otherwise(" (about best)")
+    suffix = F.when(best.isNull(), "").when(d > 0.001, F.concat(F.lit(" (\u2191"), number(d), F.lit(" from best, NEW BEST!)"))).when(d < -0.01, F.concat(F.lit(" (\u2193"), number(-d), F.lit(" from best)"))).when(d < -0.001, F.concat(F.lit(" (\u2193"), number(-d), F.lit(" from best, minor decline)"))).otherwise(" (\u2248 best performance)")
     return F.concat(F.lit("Performance: "), level, suffix)

@@ -208,7 +208,7 @@ def w28_noisy_or_beneficial(spark, d):
     return H.ablation(strategies(spark, d)).where("n_added + n_removed >= 2 AND abs(net) > 0.01").select("task", "edge_type", (F.col("net") > 0).alias("beneficial"))
 
 
-@query(HIST + f"SELECT task, iteration, CASE WHEN metric - lag(metric) {W}) >= 0.02::double THEN 'VALIDATED' WHEN metric - lag(metric) {W}) <= -0.02::double THEN 'INVALIDATED' ELSE 'INCONCLUSIVE' END AS verdict FROM hist")
+@query(HIST.rstrip() + f", l AS (SELECT *, metric - lag(metric) {W}) AS delta FROM hist), v AS (SELECT task, iteration, CASE WHEN delta IS NULL THEN 'first' WHEN delta > 0.02::double THEN 'improved' WHEN delta < -0.02::double THEN 'decreased' ELSE 'stagnant' END AS evidence FROM l) SELECT task, iteration, evidence, evidence IN ('first', 'improved') AS validated FROM v")
 def w30_hypothesis_verdicts(spark, d):
     return H.verdicts(P.history(spark, d))
 
@@ -227,8 +227,8 @@ def w31_ucb(spark, d):
     return rounded(H.ucb(k, ["task", "strategy"], "metric"), "mean", "ucb")
 
 
-@query(TREND + """, b AS (SELECT *, greatest(0.05::double, 0.3::double / (iteration * 0.3::double + 1.0::double)) AS base FROM trend)
-SELECT task, iteration, round(CASE WHEN direction = 'improving' AND convergence > 0.7::double THEN greatest(0.05::double, base - convergence * 0.2::double) ELSE least(1.0::double, base + CASE direction WHEN 'plateau' THEN 0.2::double WHEN 'declining' THEN 0.15::double ELSE 0.0::double END) END, 6) AS epsilon FROM b""")
+@query(TREND + """, b AS (SELECT *, greatest(0.05::double, 0.2::double / (iteration * 0.3::double + 1.0::double)) AS base FROM trend)
+SELECT task, iteration, round(CASE WHEN direction = 'improving' AND convergence > 0.7::double THEN greatest(0.05::double, base - convergence * 0.2::double) ELSE least(1.0::double, base + CASE direction WHEN 'plateau' THEN 0.05::double WHEN 'declining' THEN 0.1::double ELSE 0.0::double END) END, 6) AS epsilon FROM b""")
 def w33_epsilon(spark, d):
     t = H.trends(P.history(spark, d))
     return t.select("task", "iteration", F.round(H.epsilon(F.col("direction"), F.col("convergence"), F.col("iteration")), 6).alias("epsilon"))
@@ -237,7 +237,7 @@ def w33_epsilon(spark, d):
 CRITIC = TREND.rstrip() + f""",
 c0 AS (SELECT *, CASE WHEN coalesce(metric <= lag(metric, 1) {W}) AND lag(metric, 1) {W}) <= lag(metric, 2) {W}), false) THEN 'declining' ELSE direction END AS tr, max(metric) {W} ROWS UNBOUNDED PRECEDING) AS best, avg(metric) {W} ROWS 4 PRECEDING) AS mean, stddev_pop(metric) {W} ROWS 4 PRECEDING) AS std FROM trend),
 c1 AS (SELECT *, CASE WHEN n >= 3 AND mean > 1e-8 THEN 1 - least(1.0::double, std / greatest(mean, 1e-8) * 2) ELSE 0.5::double END AS consistency FROM c0),
-c2 AS (SELECT *, greatest(-1.0::double, least(1.0::double, (CASE tr WHEN 'improving' THEN 0.8::double WHEN 'plateau' THEN 0.4::double WHEN 'oscillating' THEN 0.3::double WHEN 'declining' THEN 0.2::double ELSE 0.5::double END * 0.35::double + greatest(0.0::double, least(1.0::double, best)) * 0.3::double + consistency * 0.2::double + greatest(0.0::double, least(1.0::double, metric)) * 0.15::double) * 2 - 1)) AS raw FROM c1),
+c2 AS (SELECT *, greatest(-1.0::double, least(1.0::double, (CASE tr WHEN 'improving' THEN 0.85::double WHEN 'plateau' THEN 0.15::double WHEN 'oscillating' THEN 0.2::double WHEN 'declining' THEN 0.05::double ELSE 0.4::double END * 0.35::double + greatest(0.0::double, least(1.0::double, best)) * 0.3::double + consistency * 0.2::double + greatest(0.0::double, least(1.0::double, metric)) * 0.15::double) * 2 - 1)) AS raw FROM c1),
 c3 AS (SELECT *, list(raw) {W} ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS past FROM c2),
 critic AS (SELECT *, list_reduce(past, lambda a, x: x * 0.7::double + a * 0.3::double) AS value FROM c3)
 """
@@ -273,7 +273,7 @@ def w45_prune_mode(spark, d):
     return H.prune_mode(P.history(spark, d))
 
 
-@query(HIST.rstrip() + f", f AS (SELECT *, CASE WHEN metric - lag(metric) {W}) < -0.01::double THEN 1 ELSE 0 END AS fall FROM hist), i AS (SELECT *, sum(1 - fall) {W} ROWS UNBOUNDED PRECEDING) AS island FROM f), r AS (SELECT *, cast(sum(fall) OVER (PARTITION BY task, island ORDER BY iteration ROWS UNBOUNDED PRECEDING) AS bigint) AS declines FROM i) SELECT task, iteration, declines, declines >= 3 AS rollback FROM r")
+@query(HIST.rstrip() + f", f AS (SELECT *, CASE WHEN metric < lag(metric) {W}) - 0.01::double THEN 1 ELSE 0 END AS fall FROM hist), i AS (SELECT *, sum(1 - fall) {W} ROWS UNBOUNDED PRECEDING) AS island FROM f), r AS (SELECT *, cast(sum(fall) OVER (PARTITION BY task, island ORDER BY iteration ROWS UNBOUNDED PRECEDING) AS bigint) AS declines FROM i) SELECT task, iteration, CASE WHEN declines > 0 THEN (declines - 1) % 3 + 1 ELSE 0 END AS declines, declines > 0 AND declines % 3 = 0 AS rollback FROM r")
 def w46_rollbacks(spark, d):
     return H.rollbacks(P.history(spark, d))
 

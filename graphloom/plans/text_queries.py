@@ -108,16 +108,16 @@ def x9_short_description(spark, d):
     return P.table(spark, d, "documents").select("doc_id", R.short_description(F.col("text")).alias("description"))
 
 
-@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:5], chr(10)) AS lines FROM documents")
+@query("SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 5 THEN array_to_string(string_split(text, chr(10))[1:5], chr(10)) || chr(10) || '... (truncated to 5 items)' WHEN len(string_split(text, ', ')) > 5 THEN array_to_string(string_split(text, ', ')[1:5], ', ') || ', ... (' || (len(string_split(text, ', ')) - 5) || ' more)' ELSE text END AS lines FROM documents")
 def x14_context_window(spark, d):
     return P.table(spark, d, "documents").select("doc_id", R.context_window(F.col("text"), "minimal").alias("lines"))
 
 
-_bands = "CASE WHEN metric >= 0.95 THEN 'EXCEPTIONAL' WHEN metric >= 0.92 THEN 'EXCELLENT' WHEN metric >= 0.88 THEN 'VERY GOOD' WHEN metric >= 0.85 THEN 'GOOD' WHEN metric >= 0.75 THEN 'MODERATE' WHEN metric >= 0.65 THEN 'BELOW AVERAGE' WHEN metric >= 0.55 THEN 'POOR' ELSE 'VERY POOR' END"
+_bands = "CASE WHEN metric >= 0.95 THEN 'EXCEPTIONAL - Outstanding strategy performance.' WHEN metric >= 0.92 THEN 'EXCELLENT - The strategy is working very well.' WHEN metric >= 0.88 THEN 'VERY GOOD - Strong performance with minor room for improvement.' WHEN metric >= 0.85 THEN 'GOOD - The strategy is effective.' WHEN metric >= 0.75 THEN 'MODERATE - There is room for improvement.' WHEN metric >= 0.65 THEN 'BELOW AVERAGE - The strategy needs changes.' WHEN metric >= 0.55 THEN 'POOR - The strategy needs significant changes.' ELSE 'VERY POOR - Consider a major strategy revision.' END"
 
 
 @query(with_sql("history").rstrip() + f""", b AS (SELECT *, max(metric) OVER (PARTITION BY task ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM hist)
-SELECT task, iteration, 'Performance: ' || {_bands} || CASE WHEN best IS NULL THEN '' WHEN metric - best > 0.001::double THEN ' (up ' || printf('%.4f', metric - best) || ' from best, NEW BEST)' WHEN metric - best < -0.01::double THEN ' (down ' || printf('%.4f', best - metric) || ' from best)' WHEN metric - best < -0.001::double THEN ' (down ' || printf('%.4f', best - metric) || ' from best, minor decline)' ELSE ' (about best)' END AS feedback FROM b""")
+SELECT task, iteration, 'Performance: ' || {_bands} || CASE WHEN best IS NULL THEN '' WHEN metric - best > 0.001::double THEN ' (↑' || printf('%.4f', metric - best) || ' from best, NEW BEST!)' WHEN metric - best < -0.01::double THEN ' (↓' || printf('%.4f', best - metric) || ' from best)' WHEN metric - best < -0.001::double THEN ' (↓' || printf('%.4f', best - metric) || ' from best, minor decline)' ELSE ' (≈ best performance)' END AS feedback FROM b""")
 def x28_feedback(spark, d):
     h = P.history(spark, d)
     w = Window.partitionBy("task").orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,7 +186,7 @@ def v6_hybrid(spark, d):
 
 @query(TRIP + """, f AS (SELECT query_id, edge_type, id AS text, score, rank, row_number() OVER (PARTITION BY query_id, edge_type ORDER BY rank) AS r FROM rk WHERE rank <= 30),
 g AS (SELECT query_id, edge_type, count(*) AS k, string_agg('- ' || text || ' (relevance: ' || printf('%.2f', score) || ')', chr(10) ORDER BY r) AS b FROM f WHERE r <= 10 GROUP BY 1, 2)
-SELECT query_id, string_agg('### ' || edge_type || ' (' || k || ' items):' || chr(10) || b, chr(10) || chr(10) ORDER BY list_position(['HPO','TRRUST','GO','PPI'], edge_type)) AS context FROM g GROUP BY 1""")
+SELECT query_id, string_agg('### ' || CASE edge_type WHEN 'PPI' THEN 'Protein-Protein Interactions' ELSE 'Regulatory Relationships' END || ' (' || k || ' items):' || chr(10) || b, chr(10) || chr(10) ORDER BY list_position(['HPO','TRRUST','GO','PPI'], edge_type)) AS context FROM g GROUP BY 1""")
 def x13_contexts(spark, d):
     return R.contexts(_found(spark, d, 30).withColumn("text", F.col("id")))
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.identifiers import exploded, first_of, last_of
 
+# Accepted sources of symbols.
 STRING_SOURCES = ("BioMart_HUGO", "Ensembl_HGNC", "Ensembl_HGNC_symbol", "BLAST_KEGG_NAME")
 # Inheritance codes in the order in which they are tried.
-INHERITANCE = (("AD", "Autosomal dominant"), ("AR", "Autosomal recessive"), ("XL", "X-linked"), ("XLR", "X-linked recessive"), ("XLD", "X-linked dominant"), ("YL", "Y-linked"), ("MT", "Mitochondrial"), ("SM", "Somatic mutation"), ("MF", "Multifactorial"))
+INHERITANCE = (("AD", "Autosomal dominant"), ("AR", "Autosomal recessive"), ("XL", "X-linked"), ("XLR", "X-linked recessive"), ("XLD", "X-linked dominant"), ("YL", "Y-linked"), ("Mi", "Mitochondrial"))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
