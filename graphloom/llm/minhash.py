@@ -10,15 +10,15 @@ slices of one array.
 1. Documents with equal sets form a class; only classes go on, so copies never
    meet in a bucket.
 2. K = 160 coordinates make 32 bands of 5.  A pair at the threshold 0.85 shares
-   no band with probability (1 - 0.85^5)^32 < 1e-8.
+   no band with probability (1 - 0.85^5)^32 < 1e-8, one at 0.80 with 3e-6.
 3. Full sets are made for the classes that share a bucket.  Each class of a
    bucket is paired with one leader (stars, so pairs stay linear in buckets):
    first the least class, then, for those not yet in the leader's component,
    the one with most links.  Pairs are verified on full sets,
    100 |A n B| >= 85 |A u B|, and verified links give components.
 4. Where a bucket still holds several components, their classes are compared by
-   byte sketches of the signatures; estimates of ``NEAR`` (four and a half
-   standard deviations under the threshold) or more join components into
+   byte sketches of the signatures; estimates of ``near_estimate`` (four and a
+   half standard deviations under the threshold) or more join components into
    neighbourhoods.  In each of these every class outside the largest component
    is intersected with all others, exactly, in blocks of bounded size.  Only a
    spanning forest of the links found leaves a task, never all pairs, and
@@ -50,7 +50,6 @@ BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 UNIVERSE = 1 << 20
 BLOCK = 4096
-NEAR = 0.725
 #: Shingles of a neighbourhood that one task holds, about.
 HELD = 1_500_000
 SIGNED = "doc_id long, x long, n_shingles long, node binary, bands array<long>, sketch binary"
@@ -196,8 +195,16 @@ def _labels_of(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, Un
     return [bytes.fromhex(x) for x in names], label, np.flatnonzero(out), Union(len(names)), np.flatnonzero(~out)
 
 
-def neighbourhoods(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def near_estimate(threshold: int = THRESHOLD) -> float:
+    """The share of equal coordinates that a pair at the threshold reaches but
+    for four and a half standard deviations: 0.723 at 85, 0.658 at 80."""
+    t = threshold / 100
+    return t - 4.5 * (t * (1 - t) / K) ** 0.5
+
+
+def neighbourhoods(rows: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """label, hood: components that sketches bring near each other."""
+    least = near_estimate(threshold) * K
     marked = rows.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
     several = parts.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
@@ -212,7 +219,7 @@ def neighbourhoods(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> Da
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, K)
         mine, pairs = sketch[rest], []
         for i in outside:
-            near = (mine == sketch[i]).sum(axis=1) >= NEAR * K
+            near = (mine == sketch[i]).sum(axis=1) >= least
             for j in np.unique(label[rest[near]]):
                 if sets.join(int(label[i]), int(j)):
                     pairs.append((names[label[i]], names[j]))
@@ -279,7 +286,7 @@ def grouped(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     again = marked.join(lead, "key").where(F.col("label") != F.col("lead.label")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
     links = links.unionByName(staged(verified(staged(again.join(pairs, ["a", "b"], "left_anti"), "pairs"), sets, threshold), "links"))
     labels = components(links)
-    hoods = neighbourhoods(rows, labels, classes)
+    hoods = neighbourhoods(rows, labels, classes, threshold)
     if hoods.limit(1).count():
         by_label = components(staged(exact_links(hoods, labels, sets, threshold), "links"))
         least = by_label.select(F.col("node").alias("label"), F.col("label").alias("_to"))
