@@ -222,3 +222,22 @@ def test_streaming_equals_batch(spark, tmp_path):
     last = spark.read.parquet(str(tmp_path / "out")).groupBy("task", "edge_type").agg(F.max_by("ema", "usage").alias("ema"), F.max("usage").alias("usage"))
     want = H.ema(df, ["task", "edge_type"], "iteration", "delta")
     assert {(r.task, r.edge_type): (r.usage, round(r.ema, 9)) for r in last.collect()} == {(r.task, r.edge_type): (r.usage, round(r.ema, 9)) for r in want.collect()}
+
+
+def test_expand_of_all_parts(spark):
+    from graphloom.plans import projection as P
+    from graphloom.plans.queries import g4_expand
+
+    sf, inc, best = "/root/testdata/sf0.001", {}, {}
+    for e in P.edges(spark, sf, ("PPI", "TRRUST")).collect():
+        ends = [(e.src, e.dst, "out")] + ([(e.dst, e.src, "in")] if e.edge_type == "PPI" else [])
+        for a, b, way in ends:
+            inc.setdefault((a, e.edge_type), []).append((-(e.score or 0), b, way))
+            best.setdefault(a, {})[b] = max(e.score or 0, best.get(a, {}).get(b, 0))
+    want, centers = set(), ["P" + str(r.p_partkey) for r in P.table(spark, sf, "part").collect()]
+    for c in centers:
+        h1 = {b for t in ("PPI", "TRRUST") for _, b, _ in sorted(inc.get((c, t), []))[:5]} - {c}
+        h2 = {b for n in h1 for b in sorted(best.get(n, {}), key=lambda b: (-best[n][b], b))[: max(5, 10 // len(h1))]} - h1 - {c}
+        want |= {(c, c, 0)} | {(c, n, 1) for n in h1} | {(c, n, 2) for n in h2}
+    got = [tuple(r) for r in g4_expand(spark, sf).select("center", "node", "hop").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({r[0] for r in got}) == len(centers) > 100
