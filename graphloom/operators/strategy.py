@@ -82,14 +82,17 @@ def suggestions(successes: DataFrame, current: DataFrame, k: int = 3) -> DataFra
 
     successes: task, family, edge_types (a sorted, joined list), improvement;
     current: task, family, edge_types.  Tasks meet by family or through the
-    table of best entries, of which each task has one."""
+    table of best entries, of which 2 (k + 1) are enough for all."""
     rank = F.row_number().over(Window.partitionBy("task").orderBy(F.desc("improvement"), "edge_types"))
     s = successes.withColumn("r", rank)
     now = current.select(F.col("task").alias("for_task"), F.col("family").alias("f"), F.col("edge_types").alias("now"))
     own = s.where(F.col("r") <= k).join(now, F.col("task") == F.col("for_task")).withColumn("source", F.lit("same_task"))
     kin = s.where("r <= 2").join(now, (F.col("family") == F.col("f")) & (F.col("task") != F.col("for_task"))).withColumn("source", F.lit("similar_task"))
-    # only the k + 1 best tasks' bests can be among a task's k, with one its own
-    top = s.where("r = 1").orderBy(F.desc("improvement"), "task").limit(20 * (k + 1))
+    # a task needs the k + 1 best (one can be its own) without its current edge
+    # types: of each value of edge_types k + 1 are enough, and of these the first
+    # 2 (k + 1) hold k + 1 of other values, whichever value is left out
+    of_types = F.row_number().over(Window.partitionBy("edge_types").orderBy(F.desc("improvement"), "task"))
+    top = s.where("r = 1").withColumn("t", of_types).where(F.col("t") <= k + 1).drop("t").orderBy(F.desc("improvement"), "task").limit(2 * (k + 1))
     best = now.crossJoin(F.broadcast(top)).where(F.col("task") != F.col("for_task")).withColumn("source", F.lit("best_from"))
     cols = ["for_task", "source", "task", "edge_types", "improvement", "now"]
     rows = own.select(*cols).unionByName(kin.select(*cols)).unionByName(best.select(*cols)).where(F.col("edge_types") != F.col("now"))

@@ -14,6 +14,7 @@ from graphloom.operators import identifiers as I
 from graphloom.operators import rendering as R
 from graphloom.operators import retrieval as V
 from graphloom.operators import scoring as C
+from graphloom.operators import strategy as St
 from graphloom.sources import biofiles as S
 from graphloom.streaming.effects import streaming_effects
 
@@ -241,3 +242,14 @@ def test_expand_of_all_parts(spark):
         want |= {(c, c, 0)} | {(c, n, 1) for n in h1} | {(c, n, 2) for n in h2}
     got = [tuple(r) for r in g4_expand(spark, sf).select("center", "node", "hop").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len({r[0] for r in got}) == len(centers) > 100
+
+
+def test_suggestions_past_a_hot_edge_type(spark):
+    # the 100 best tasks' bests are all of the type that the asking tasks have now
+    s = spark.createDataFrame([(t, t, "PPI", 0.9) for t in range(100)] + [(100 + t, 100 + t, "GO", 0.5 - t / 100) for t in range(5)], "task long, family long, edge_types string, improvement double")
+    now = spark.createDataFrame([(t, t, "PPI") for t in (0, 7, 100)], "task long, family long, edge_types string")
+    got = {}
+    for r in St.suggestions(s, now).orderBy("for_task", "rank").collect():
+        got.setdefault(r.for_task, []).append((r.source, r.task))
+    best = [("best_from", t) for t in (100, 101, 102, 103)]
+    assert got == {0: best[:3], 7: best[:3], 100: [("same_task", 100), *best[1:3]]}
