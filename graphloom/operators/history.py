@@ -8,6 +8,8 @@ islands (plateaus), never as loops on the driver.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,13 +215,16 @@ def critic_values(history: DataFrame, direction: DataFrame) -> DataFrame:
     return h.withColumn("raw", raw).select("task", "iteration", "metric", consistency.alias("consistency"), fold.alias("value"))
 
 
-def gae(rows: DataFrame, gamma: float = 0.99, lam: float = 0.95, reach: int = 200) -> DataFrame:
+def gae(rows: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     """Temporal differences and generalised advantages of (task, iteration,
-    reward, value); beyond ``reach`` steps a term weighs under 1e-5."""
+    reward, value), to the end of the task; terms beyond ``reach`` steps (601 by
+    default) weigh under 1e-16, less than a double holds."""
+    decay = gamma * lam
+    reach = Window.unboundedFollowing if decay >= 1 else math.ceil(math.log(1e-16) / math.log(decay)) if decay > 0 else 0
     nxt = F.coalesce(F.lead("value").over(by()), F.lit(0.0))
     r = rows.withColumn("td", F.col("reward") + nxt * gamma - F.col("value"))
     ahead = F.collect_list("td").over(by().rowsBetween(0, reach))
-    return r.select("task", "iteration", "td", F.aggregate(F.reverse(ahead), F.lit(0.0), lambda a, x: x + a * (gamma * lam)).alias("advantage"))
+    return r.select("task", "iteration", "td", F.aggregate(F.reverse(ahead), F.lit(0.0), lambda a, x: x + a * decay).alias("advantage"))
 
 
 def strategy_distance(history: DataFrame) -> DataFrame:

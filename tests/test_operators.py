@@ -253,3 +253,12 @@ def test_suggestions_past_a_hot_edge_type(spark):
         got.setdefault(r.for_task, []).append((r.source, r.task))
     best = [("best_from", t) for t in (100, 101, 102, 103)]
     assert got == {0: best[:3], 7: best[:3], 100: [("same_task", 100), *best[1:3]]}
+
+
+def test_gae_to_the_end_of_a_task(spark):
+    df = spark.range(1500).selectExpr("1 AS task", "id AS iteration", "cast(id % 7 AS double) AS reward", "cast(id % 3 AS double) AS value")
+    want, after, ahead = [], 0.0, 0.0
+    for i in reversed(range(1500)):
+        after, ahead = i % 7 + 0.99 * ahead - i % 3 + 0.99 * 0.95 * after, i % 3
+        want.insert(0, after)
+    assert [r.advantage for r in H.gae(df).orderBy("iteration").collect()] == pytest.approx(want, rel=1e-12, abs=1e-12)
