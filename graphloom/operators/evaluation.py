@@ -127,7 +127,7 @@ def ridge(points: DataFrame, features: str, target: str, alpha: float = 1.0):
     return w, float(sy / m - sx @ w / m)
 
 
-def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int = 20):
+def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int = 100):
     """Fold metrics of a balanced logistic regression and a random forest.
 
     points: id, label (0/1), emb.  Returns rows of model, fold, auc, ap."""
@@ -139,7 +139,7 @@ def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int
     weights = n.select("label", (total / (F.lit(2) * F.col("_c"))).alias("weight"))
     data = folds(points, k, "label", "id", seed).join(F.broadcast(weights), "label").select("id", F.col("label").cast("double").alias("y"), "fold", "weight", array_to_vector("emb").alias("features")).cache()
     out, size = None, max(1, data.count())
-    models = {"logistic": LogisticRegression(labelCol="y", weightCol="weight", maxIter=50, regParam=1.0 / size, standardization=False), "forest": RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, seed=42)}
+    models = {"logistic": LogisticRegression(labelCol="y", weightCol="weight", maxIter=1000, regParam=1.0 / size, standardization=False), "forest": RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, seed=42)}
     for f in range(k):
         for name, model in models.items():
             test = model.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f))

@@ -262,3 +262,19 @@ def test_gae_to_the_end_of_a_task(spark):
         after, ahead = i % 7 + 0.99 * ahead - i % 3 + 0.99 * 0.95 * after, i % 3
         want.insert(0, after)
     assert [r.advantage for r in H.gae(df).orderBy("iteration").collect()] == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+def test_cross_validation_fits_whole_models(spark, monkeypatch):
+    from pyspark.ml import classification
+
+    seen = {}
+
+    def forest(**kw):
+        seen.update(kw)
+        raise InterruptedError
+
+    monkeypatch.setattr(classification, "LogisticRegression", lambda **kw: seen.update(kw))
+    monkeypatch.setattr(classification, "RandomForestClassifier", forest)
+    with pytest.raises(InterruptedError):
+        E.cross_validated(spark.createDataFrame([(i, i % 2, [float(i)]) for i in range(20)], "id long, label int, emb array<double>"))
+    assert (seen["numTrees"], seen["maxIter"]) == (100, 1000)
