@@ -15,18 +15,21 @@ alone, and a payload unpacks with a few numpy operations (``unpack``).
 Documents stand in ascending doc_id order over shards and within them: shard
 bounds are quantiles of doc_id, so that the shards' ranges follow each other.
 
-Pieces are encoded once each: the tokenizer cuts at white space before anything
-else, so a text's ids are its pieces' ids in sequence.  A bounded
-memory of pieces spares most calls; it never changes a result.
+Pieces are encoded once each: where the tokenizer's own settings say that it cuts
+at white space (``cuts_at_spaces``), a text's ids are its pieces' ids in sequence,
+and a bounded memory of pieces spares most calls; it never changes a result.  Any
+other tokenizer is given whole texts.
 
 Nulls and odd input.  A null text is an empty one: only the end id.  Null
 doc_ids stand first.  Equal doc_ids are ordered by a checksum of their ids and
-length; repeated rows each keep their own.  Extra columns are ignored.  No rows, no blocks.
+length, and are dealt over several shards by it where they are many; repeated rows each keep their own.  Extra columns are ignored.  No rows, no blocks.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,16 +38,18 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, staged, worker_memory
+from graphloom.llm.common import slices, staged, utf8, worker_memory
 
 BLOCK = 1 << 15
 #: Pieces of text whose ids a worker remembers (about 200 MB).
 PIECES = 1_000_000
 END = 1
-ENCODED = "doc_id long, checksum long, n long, bits int, ids binary"
+ENCODED = "doc_id long, checksum long, n long, bits int, ids binary, shard int"
+_LEAST = -(1 << 63)
 BLOCKS = "shard int, block int, first long, n int, bits int, payload binary, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
 
 
@@ -68,15 +73,6 @@ def unpack(payload: bytes, n: int, bits: int) -> np.ndarray:
     return (flat.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def cut_pieces(text: str) -> list[bytes]:
-    """A text's pieces, cut at white space, where the tokenizer cuts too.
-    Letters A-Z fold, as the tokenizer does, unless a special token may stand
-    in the text."""
-    raw = text.encode()
-    # bytes.split() cuts at ASCII white space only
-    return (raw if b"<|" in raw else raw.lower()).split()
-
-
 def coder_for(path: str, most: int) -> PieceEncoder:
     """A worker's encoder of this path, kept between tasks."""
     coders = worker_memory("tokens")
@@ -85,54 +81,112 @@ def coder_for(path: str, most: int) -> PieceEncoder:
     return coders[path, most]
 
 
+#: The normalizer and pre-tokenizer whose pieces may be encoded
+#: one by one.  A tokenizer with others gets whole texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def cuts_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its pieces in sequence:
+    it normalizes and splits as above, and no added token reaches over a space,
+    or stands in a text without ``<|``."""
+    model, added = settings.get("model", {}), settings.get("added_tokens") or []
+    return (
+        settings.get("normalizer") == NORMALIZER
+        and settings.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        and settings.get("truncation") is None
+        and settings.get("padding") is None
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or "<|" not in t["content"] or t["content"].split() != [t["content"]] for t in added)
+    )
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte 0 space, 1 ASCII letter or digit, 2 a sign that joins neither
+    (no quote, which begins contractions, nor part of ``<|``), 3 anything else;
+    and for each pair of kinds (4 * left + right) whether pieces end between."""
+    kind = np.full(256, 3, np.uint8)
+    for k, own in enumerate((b" \t\n\v\f\r", string.ascii_letters.encode() + string.digits.encode(), b".,!?;:#$%&*()[]{}@=+/-_")):
+        kind[list(own)] = k
+    left, right = np.divmod(np.arange(16), 4)
+    return kind, ((left == 0) != (right == 0)) | (left + right == 3) & (left * right == 2)
+
+
+_KINDS, _CUTS = _kinds()
+
+
 class PieceEncoder:
-    """Ids of whole texts through a memory of white-space-free pieces."""
+    """Ids of whole texts through a memory of pieces without white space.
+
+    Pieces end at white space and between an ASCII letter or digit and a sign,
+    where the tokenizer cuts as well.  The pieces of a slice are numbered by Arrow,
+    so that Python sees each distinct one once and numpy lays out the ids of all."""
 
     def __init__(self, path: str, most: int = PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.by_piece = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         self.symbols = _Symbols()
-        self.marks = {ord(c): array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
         self.vocab = self.tokenizer.get_vocab_size()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        known, cut = self.known, [cut_pieces(t) if t else [] for t in texts]
-        own = set(chain.from_iterable(cut))
-        new = own.difference(known)
-        if new and len(known) + len(new) > self.most:
-            known.clear()
-            new = own
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has.  A
+        null text has none."""
+        if not self.by_piece:
+            got = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            n = np.array([len(e.ids) for e in got], np.int64)
+            return np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32, n.sum()), n
+        data, begin = utf8(texts)
+        # letters A-Z fold, as the tokenizer does, unless a special token may stand in the text
+        low = data + (((data >= 65) & (data <= 90)).view(np.uint8) << 5)
+        marked = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        for k in np.unique(np.searchsorted(begin, marked, "right") - 1):
+            low[begin[k] : begin[k + 1]] = data[begin[k] : begin[k + 1]]
+        kind = _KINDS[low]
+        cut = np.zeros(len(low) + 1, bool)
+        cut[1:-1] = _CUTS[kind[:-1] * 4 + kind[1:]]
+        cut[begin] = True
+        ends = np.flatnonzero(cut)
+        at = np.searchsorted(ends, begin)
+        numbered = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(low)]).dictionary_encode()
+        sizes, store = self._ids(numbered.dictionary.to_pylist())
+        which = numbered.indices.to_numpy()
+        first, n = np.cumsum(sizes) - sizes, sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = store[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[at])
+
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each distinct piece has, and all of them in sequence."""
+        known = self.known
+        got = [known.get(p) for p in pieces]
+        new = [k for k, g in enumerate(got) if g is None]
         if new:
-            self._learn(new)
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
-
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Ids of new pieces.  A comma or stop after a letter or digit is a
-        token of its own, so such a piece is the one before it and that."""
-        known, tokenize, rest, ended = self.known, self.tokenizer.model.tokenize, [], []
+            if len(known) + len(new) > self.most:
+                known.clear()
+            self._learn([pieces[k] for k in new])
+            for k in new:
+                got[k] = known[pieces[k]]
+        return np.fromiter(map(len, got), np.int64, len(got)) // 4, np.frombuffer(b"".join(got), np.uint32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new pieces, of which white space has none."""
+        known, tokenize, rest = self.known, self.tokenizer.model.tokenize, []
         for p in new:
             if p.isalpha() and p.islower():  # bytes: a-z only, one word whatever the normalizer does
                 known[p] = array("I", [t.id for t in tokenize(p.decode())]).tobytes()
-            elif len(p) > 1 and p[-1] in b".," and p[-2:-1].isalnum():
-                ended.append(p)
+            elif p.isspace():
+                known[p] = b""
             elif not self._plain(p):
                 rest.append(p)
-        for p in ended:
-            q = p[:-1]
-            if q not in known:
-                if q.isalpha() and q.islower():
-                    known[q] = array("I", [t.id for t in tokenize(q.decode())]).tobytes()
-                elif not self._plain(q):
-                    rest.append(q)
         # one call on this thread, since workers already fill the cores
         got = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
         known.update(zip(rest, [array("I", e.ids).tobytes() for e in got], strict=True))
-        for p in ended:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
 
     def _plain(self, piece: bytes) -> bool:
         """Learns a piece of small Latin letters in normal form, which the
@@ -154,29 +208,46 @@ class _Symbols(dict):
         return out
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end: int = END, pieces: int = PIECES) -> DataFrame:
-    """doc_id, checksum, n, bits, ids: each whole text's ids, packed.  No shuffle."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, end: int = END, pieces: int = PIECES, bounds: list[int] | None = None) -> DataFrame:
+    """doc_id, checksum, n, bits, ids: each whole text's ids, packed, and the
+    shard by ``bounds``.  No shuffle."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, tail = coder_for(tokenizer_path, pieces), np.array([end], "<u4").tobytes()
+        coder = coder_for(tokenizer_path, pieces)
         bits = bits_for(max(coder.vocab, end + 1))
-        for batch in slices(batches, most=4 << 20):
-            texts = batch.column(1).to_pylist()
-            raw = [x + tail for x in coder.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                    pa.array([len(x) // 4 for x in raw], pa.int64()),
-                    pa.array([bits] * len(raw), pa.int32()),
-                    pa.array([pack(np.frombuffer(x, "<u4"), bits) for x in raw], pa.binary()),
-                ],
-                names=["doc_id", "checksum", "n", "bits", "ids"],
-            )
+        for batch in slices(batches, most=8 << 20):
+            ids, n = coder.encode(batch.column(1))
+            stop = np.cumsum(n + 1)
+            whole = np.full(int(stop[-1]), end, "<u4")
+            inside = np.ones(len(whole), bool)
+            inside[stop - 1] = False
+            whole[inside] = ids
+            begin = stop - n - 1
+            sums = np.array([zlib.crc32(whole[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
+            if bits == 16:
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 2 * stop])), pa.py_buffer(whole.astype("<u2"))]).cast(pa.binary())
+            else:
+                packed = pa.array([pack(whole[a:b], bits) for a, b in zip(begin, stop, strict=True)], pa.binary())
+            doc = batch.column(0).cast(pa.int64())
+            cols = [doc, pa.array(sums), pa.array(n + 1), pa.array(np.full(len(n), bits, np.int32)), packed, pa.array(shard_of(doc, sums, bounds or []))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "checksum", "n", "bits", "ids", "shard"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, ENCODED)
 
 
+def shard_of(doc: pa.Array, checksum: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """Shard of each row: how many bounds are below its doc_id, null being the
+    least.  A doc_id that is several bounds at once holds several shards' rows:
+    they are dealt over that many by checksum, which follows it in the order."""
+    at, null = np.array(bounds, np.int64), np.asarray(doc.is_null())
+    own = pc.fill_null(doc, _LEAST).to_numpy(zero_copy_only=False).astype(np.int64)
+    low, high = np.searchsorted(at, own, "left"), np.searchsorted(at, own, "right")
+    share = (high - low) * checksum >> 32
+    # a document that really has the least id stands behind all nulls
+    share = np.where((own == _LEAST) & ~null, np.maximum(high - low - 1, 0), share)
+    return (low + share).astype(np.int32)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in (shard, doc_id) order to blocks; holds one block and one text."""
     rows, state = [], {"shard": None}
@@ -219,12 +290,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
-    """Upper doc_id bounds of all shards but the last, in ascending order."""
+    """Upper doc_id bounds of all shards but the last, in ascending order; a
+    doc_id of many rows is several of them.  Null counts as the least id."""
     at = [(k + 1) / shards for k in range(shards - 1)]
     if not at:
         return []
-    got = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), at, 100 * shards)).first()[0]
-    return sorted(set(got or []))
+    return list(docs.agg(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), at, 100 * shards)).first()[0] or [])
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, shards: int | None = None, end: int = END, pieces: int = PIECES) -> DataFrame:
@@ -235,20 +306,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, shards: int | None = None
     packed ids are shuffled, once, to the shard of their doc_id."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = shard_bounds(docs, shards)
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(F.col("doc_id"), bounds))
-    encoded = encode_documents(docs, tokenizer_path, end, pieces).withColumn("shard", shard)
+    encoded = encode_documents(docs, tokenizer_path, end, pieces, bounds)
     placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "checksum", "n")
     return staged(placed.select("shard", "doc_id", "n", "bits", "ids").mapInArrow(_blocks, BLOCKS), "tokens")
 
 
-def _rank(x, bounds: list[int], base: int = 0):
-    """How many of the ascending bounds are below x, by a tree of comparisons."""
-    if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    return F.when(x <= F.lit(bounds[mid]).cast("long"), _rank(x, bounds[:mid], base)).otherwise(_rank(x, bounds[mid + 1 :], base + mid + 1))
-
-
 def read_documents(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from written blocks.
 

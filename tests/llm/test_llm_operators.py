@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,8 +348,31 @@ def test_pieces_equal_whole_texts():
     t, rng, coder = Tokenizer.from_file(path()), random.Random(5), tokenfile.PieceEncoder(path(), most=50)
     pool = "aAéÉeßñ'’.,-_ \t\n\u0085 ́̈ªİıK12²漢あбΣς😀<|endoftext|>s't"
     odd = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["<|endoftext|>", "x<|ENDOFTEXT|>y.", "don't, I'LL. we're.", "a., b. ,c", " ", ""]
-    for text, got in zip(odd, coder.encode(odd), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    ids, n = coder.encode(pa.array(odd))
+    ends = np.cumsum(n)
+    for text, lo, hi in zip(odd, ends - n, ends, strict=True):
+        assert ids[lo:hi].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert coder.encode(pa.array([None, "", " "], pa.string()))[1].tolist() == [0, 0, 0]
+
+
+def test_another_tokenizer_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"a b": 0, "c": 1, "[U]": 2}, unk_token="[U]"))
+    own.pre_tokenizer = pre_tokenizers.Split(";", "removed")
+    own.save(str(tmp_path / "t.json"))
+    coder = tokenfile.PieceEncoder(str(tmp_path / "t.json"))
+    assert not coder.by_piece and tokenfile.PieceEncoder(path()).by_piece
+    ids, n = coder.encode(pa.array(["a b;c", None, "A B;a b"]))
+    assert ids.tolist() == [0, 1, 2, 0] and n.tolist() == [2, 0, 2]
+
+
+def test_a_hot_doc_id_is_dealt_over_shards(spark):
+    rows = [(None if k % 2 else 5, f"text {k} of one id", "en", "s", k) for k in range(400)] + [(k, f"t{k}", "en", "s", k) for k in range(40)]
+    blocks = tokenfile.write_tokens(table(spark, rows), path(), 8)
+    assert blocks.groupBy("shard").agg(F.sum("n").alias("n")).where("n > 0").count() >= 6
+    got = sorted(tokenfile.read_documents(blocks).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([r[0] for r in rows], key=lambda x: (x is not None, x or 0))
 
 
 @pytest.mark.parametrize("bits", [1, 7, 13, 16, 17, 32])
