@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import slices, staged, utf8, worker_memory
 
 BLOCK = 1 << 15
-#: Pieces of text whose ids a worker remembers (about 200 MB).
-PIECES = 1_000_000
+#: Pieces of text whose ids a worker remembers (about 80 MB).
+PIECES = 400_000
 END = 1
 ENCODED = "doc_id long, checksum long, n long, bits int, ids binary, shard int"
 _LEAST = -(1 << 63)
@@ -147,19 +147,23 @@ class PieceEncoder:
         marked = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
         for k in np.unique(np.searchsorted(begin, marked, "right") - 1):
             low[begin[k] : begin[k + 1]] = data[begin[k] : begin[k + 1]]
-        kind = _KINDS[low]
-        cut = np.zeros(len(low) + 1, bool)
+        cut, kind = np.zeros(len(low) + 1, bool), _KINDS[low]
         cut[1:-1] = _CUTS[kind[:-1] * 4 + kind[1:]]
         cut[begin] = True
-        ends = np.flatnonzero(cut)
+        width = np.int64 if len(low) >= 1 << 30 else np.int32  # four bytes do for all but a huge text
+        ends = np.flatnonzero(cut).astype(width)
         at = np.searchsorted(ends, begin)
-        numbered = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(low)]).dictionary_encode()
+        kind, make = (pa.binary(), pa.BinaryArray) if width is np.int32 else (pa.large_binary(), pa.LargeBinaryArray)
+        numbered = make.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(low)]).dictionary_encode()
+        del cut, ends, low
         sizes, store = self._ids(numbered.dictionary.to_pylist())
-        which = numbered.indices.to_numpy()
-        first, n = np.cumsum(sizes) - sizes, sizes[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = store[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])]
-        return ids, np.diff(upto[at])
+        sizes, which = sizes.astype(width), numbered.indices.to_numpy()
+        n = sizes[which]
+        upto = np.zeros(len(n) + 1, width)
+        np.cumsum(n, out=upto[1:])
+        where = np.repeat((np.cumsum(sizes, dtype=width) - sizes)[which] - upto[:-1], n)
+        where += np.arange(len(where), dtype=width)
+        return store[where], np.diff(upto[at].astype(np.int64))
 
     def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each distinct piece has, and all of them in sequence."""
@@ -215,7 +219,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end: int = END, piece
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(tokenizer_path, pieces)
         bits = bits_for(max(coder.vocab, end + 1))
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             ids, n = coder.encode(batch.column(1))
             stop = np.cumsum(n + 1)
             whole = np.full(int(stop[-1]), end, "<u4")
