@@ -7,17 +7,21 @@ anew at the letter that broke it.  c phrases over n letters with m letters of
 labelled text give the cross-entropy estimate c * log2(m) / n (Ziv and Merhav);
 the language with the fewest normalised phrases, c * log2(m), wins.
 
-Texts are folded to lower case; letters are looked up in the alphabet learned
-from the labelled text, all others are one symbol that no automaton matches;
-runs of everything else are one space.  Parsing is a table walk, run in step
-over many texts as arrays.  A text of more than ``STRETCH`` letters is parsed
-as stretches of that length side by side, each ending a phrase: every letter is
-parsed, and a stretch costs one phrase more at most, alike for all languages.
-
-The fit takes a bounded sample: at most ``PER_LANG`` labelled documents of each
-language, with the smallest hashes of doc_id, and from them at most ``LETTERS``
-letters, ``EXCERPT`` from each.  A language's table takes 4 bytes for each
-state (under 2 x LETTERS) and symbol of the alphabet.
+Texts are folded to lower case; every letter of the labelled texts has a number,
+whatever its script, all others are one symbol that no automaton matches; runs of
+everything else are one space.  The automata's edges stand in one hashed table
+(12 bytes a slot, three slots an edge), so memory grows with the letters learned
+from, not with the alphabet.  Parsing is a walk over that table, in step over many
+texts and languages as arrays.  A long text is walked in stretches side by side,
+and each stretch is then entered with the state in which the one before ended:
+from the first place where both walks break a phrase they are the same, so the
+count is that of one parse of the whole text.
+
+The fit takes a bounded sample: of each language the labelled documents with the
+smallest hashes of doc_id, whole, until ``LETTERS`` characters or ``PER_LANG``
+documents are reached.  Of a document longer than ``LETTERS`` the sample has a
+stretch of that length at a place drawn by hash.  More than ``LANGUAGES`` distinct
+labels are refused, since each needs an automaton.
 
 Nulls and odd input.  A text that is null or has no letter is ``und`` with
 score 0.  Labels that are null take no part in the fit.  Ties go to the name
@@ -28,9 +32,8 @@ labelled text every text is ``und``.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +44,13 @@ from graphloom.llm.common import slices, worker_memory
 
 PER_LANG = 400
 LETTERS = 40_000
-EXCERPT = 1_000
-ALPHABET = 94
-STRETCH = 2_048
+LANGUAGES = 1_000
+#: Letters that one lane of the parse walks; lanes of one table lookup.
+STRETCH, LANES = 2_048, 1 << 14
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
+_MIX = 0x9E3779B97F4A7C15
+
 
 def _letter_table() -> np.ndarray:
     """For every code point, whether it is a letter (made once in a worker)."""
@@ -85,39 +90,72 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
     return go
 
 
+class Edges:
+    """Edges of all automata: (state, symbol) to state, in an open-addressed table."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray):
+        self.size = max(16, 3 * len(keys))
+        self.keys, self.to = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32)
+        left, slot = np.arange(len(keys)), self.slots(keys)
+        while len(left):
+            # of the edges that want a free slot one gets it; the others go on
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) % self.size
+        self.to[slot] = to
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        h = keys.astype(np.uint64) * np.uint64(_MIX) >> np.uint64(32)
+        return (h * np.uint64(self.size) >> np.uint64(32)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The state each edge leads to, -1 where there is none."""
+        slot = self.slots(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.to[slot], -1)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            slot[left] += 1
+            slot[left] %= self.size
+            found = self.keys[slot[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.to[slot[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+    def one(self, key: int) -> int:
+        """``get`` of a single edge."""
+        keys, slot = self.keys, (((key * _MIX & 0xFFFFFFFFFFFFFFFF) >> 32) * self.size) >> 32
+        while (found := int(keys[slot])) != key:
+            if found < 0:
+                return -1
+            slot = (slot + 1) % self.size
+        return int(self.to[slot])
+
+
 @dataclass
 class Model:
-    """Automata as edge lists, which are small; tables are made in workers."""
+    """Automata of all languages; states are numbered through, roots first."""
 
     languages: list[str]
     alphabet: str
     letters: list[int]
-    edges: list[np.ndarray] = field(default_factory=list)  # rows of state, symbol, next
-    states: list[int] = field(default_factory=list)
+    edges: Edges | None = None
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
-    def tables(self) -> list[np.ndarray]:
-        """For each language: next state times width, negative where a phrase
-        ended before this symbol.  Symbol 0 is space, the last one unknown."""
-        if not hasattr(self, "_tables"):
-            width, self._tables = len(self.alphabet) + 2, []
-            for edges, states in zip(self.edges, self.states, strict=True):
-                root = np.zeros(width, np.int64)
-                first = edges[edges[:, 0] == 0]
-                root[first[:, 1]] = first[:, 2]
-                table = np.tile(-(root * width) - 1, (states, 1)).astype(np.int32)
-                table[edges[:, 0], edges[:, 1]] = edges[:, 2] * width
-                self._tables.append(table.ravel())
-        return self._tables
+    @property
+    def width(self) -> int:
+        """Symbols: 0 is space, the last one any unknown letter."""
+        return len(self.alphabet) + 2
 
     def symbols(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All texts' symbols, each text's offsets, and letters in each."""
         if not hasattr(self, "_symbol"):
-            self._symbol = np.where(_letter_table() == 1, len(self.alphabet) + 1, 0).astype(np.uint8)
-            for k, c in enumerate(self.alphabet):
-                self._symbol[ord(c)] = k + 1
+            self._symbol = np.where(_letter_table() == 1, len(self.alphabet) + 1, 0).astype(np.int32)
+            self._symbol[[ord(c) for c in self.alphabet]] = np.arange(1, len(self.alphabet) + 1)
         low = [t.lower() if t else "" for t in texts]
         flat = self._symbol[np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)]
         ends = np.cumsum([len(t) for t in low])
@@ -140,22 +178,69 @@ class Model:
         begin = at[owner] + nth * STRETCH
         size = np.minimum(at[owner + 1] - begin, STRETCH)
         order = np.argsort(-size, kind="stable")
-        begin, size, owner = begin[order], size[order], owner[order]
-        active = np.searchsorted(-size, -np.arange(size.max(initial=0)), side="left")  # lanes longer than each step
-        count = np.zeros((len(self.languages), len(begin)), np.int64)
-        for k, table in enumerate(self.tables()):
-            state, ended = np.zeros(len(begin), np.int32), np.ones(len(begin), np.int32)
-            for step, lanes in enumerate(active):
-                s = table[state[:lanes] + flat[begin[:lanes] + step]]
-                broke = s < 0
-                ended[:lanes] += broke
-                state[:lanes] = np.where(broke, -1 - s, s)
-            count[k] = ended
         out = np.zeros((len(n), len(self.languages)), np.int64)
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, count[k], len(n)).astype(np.int64)
+        several = np.flatnonzero(parts > 1)
+        place = np.empty_like(order)  # where each stretch stands in the order
+        place[order] = np.arange(len(order))
+        base = np.cumsum(parts) - parts
+        group = max(1, LANES // max(1, len(order)))
+        for lo in range(0, len(self.languages), group):
+            langs = np.arange(lo, min(lo + group, len(self.languages)))
+            broke, state, broken = self._walk(flat, begin[order], size[order], parts[owner[order]] > 1, langs)
+            for k in range(len(langs)):
+                out[:, langs[k]] = np.bincount(owner[order], broke[k], len(n)).astype(np.int64) + 1
+                for t in several:
+                    own = place[base[t] : base[t] + parts[t]]
+                    out[t, langs[k]] = 1 + self._joined(flat, begin[order][own], size[order][own], broke[k][own], state[k][own], broken[k], int(langs[k]))
         return out, real
 
+    def _walk(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, joined: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Breaks in each lane by language, the state after it, and for lanes
+        that are to be ``joined`` where they broke.  Sizes descend."""
+        width, roots = self.width, langs[:, None]
+        active = np.searchsorted(-size, -np.arange(size.max(initial=0)), side="left")  # lanes longer than each step
+        which = np.flatnonzero(joined)
+        marked = np.searchsorted(which, active)
+        broken = np.zeros((len(langs), len(flat) if len(which) else 0), bool)
+        state = np.repeat(roots.astype(np.int32), len(begin), axis=1)
+        count = np.zeros(state.shape, np.int32)
+        first = self._first()[langs]
+        for step, lanes in enumerate(active):
+            sym = flat[begin[:lanes] + step]
+            to = self.edges.get((state[:, :lanes].astype(np.int64) * width + sym).ravel()).reshape(len(langs), lanes)
+            broke = to < 0
+            count[:, :lanes] += broke
+            state[:, :lanes] = np.where(broke, first[:, sym], to)
+            if marked[step]:
+                own = which[: marked[step]]
+                broken[:, begin[own] + step] = broke[:, own]
+        return count, state, broken
+
+    def _first(self) -> np.ndarray:
+        """For each language the state after a phrase's first symbol."""
+        if not hasattr(self, "_starts"):
+            roots = np.arange(len(self.languages))[:, None]
+            to = self.edges.get((roots * self.width + np.arange(self.width)).ravel()).reshape(len(roots), -1)
+            self._starts = np.where(to < 0, roots, to).astype(np.int32)
+        return self._starts
+
+    def _joined(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, count: np.ndarray, end: np.ndarray, broken: np.ndarray, lang: int) -> int:
+        """Breaks of one parse over a text's stretches, from their own walks."""
+        edges, width, first = self.edges, self.width, self._first()[lang]
+        total, state = int(count[0]), int(end[0])
+        for at, n, after in zip(begin[1:].tolist(), size[1:].tolist(), end[1:].tolist(), strict=True):
+            for pos in range(at, at + n):
+                sym = int(flat[pos])
+                to = edges.one(state * width + sym)
+                if to < 0:
+                    total, to = total + 1, int(first[sym])
+                    if broken[pos]:  # from here on both walks are one
+                        total, to = total + int(broken[pos + 1 : at + n].sum()), after
+                        break
+                state = to
+            state = to
+        return total
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text.  The score compares cross-entropies
         in bits a letter over up to 64 letters as if they were likelihoods."""
@@ -173,51 +258,55 @@ def build(samples: dict[str, list[str]]) -> Model:
     """Model from texts of each language."""
     letter, joined = _letter_table(), {}
     for lang in sorted(samples):
-        out, held = [], 0
-        for text in dict.fromkeys(samples[lang]):
-            words = "".join(c if letter[ord(c)] else " " for c in text[:EXCERPT].lower()).split()
-            out.append(" ".join(words)[: LETTERS - held])
-            held += len(out[-1]) + 1
-            if held >= LETTERS:
-                break
-        whole = " " + " ".join(out) + " "
+        words = [" ".join("".join(c if letter[ord(c)] else " " for c in text.lower()).split()) for text in dict.fromkeys(samples[lang])]
+        whole = f" {' '.join(w for w in words if w)} "
         if whole.strip():
             joined[lang] = whole
-    seen = Counter()
-    for whole in joined.values():
-        seen.update(whole)
-    del seen[" "]
-    alphabet = "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]))
+    alphabet = "".join(sorted(set().union(*joined.values()) - {" "}))
     index, model = {c: k + 1 for k, c in enumerate(alphabet)} | {" ": 0}, Model(list(joined), alphabet, [len(x) for x in joined.values()])
-    for whole in joined.values():
-        go = suffix_automaton([index.get(c, len(alphabet) + 1) for c in whole])
-        edges = [(s, c, t) for s, step in enumerate(go) for c, t in step.items() if c <= len(alphabet)]
-        model.edges.append(np.array(edges, np.int64))
-        model.states.append(len(go))
+    keys, to, states = [], [], len(joined)
+    for lang, whole in enumerate(joined.values()):
+        go = suffix_automaton([index[c] for c in whole])
+        # the root is numbered as its language, the others follow all roots
+        number = np.arange(len(go)) + states - 1
+        number[0], states = lang, states + len(go) - 1
+        edges = np.array([(s, c, t) for s, step in enumerate(go) for c, t in step.items()], np.int64).reshape(-1, 3)
+        keys.append(number[edges[:, 0]] * model.width + edges[:, 1])
+        to.append(number[edges[:, 2]].astype(np.int32))
+    if joined:
+        model.edges = Edges(np.concatenate(keys), np.concatenate(to))
     return model
 
 
 def fit(docs: DataFrame, learn: Column) -> Model:
     """Model from the rows of ``docs`` (doc_id, text, lang) where ``learn`` holds."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} distinct labels")
+    if not sizes:
+        return build({})
     # Three times the rows wanted of each language, by their hashes alone, come
-    # to its window, however many it has; the model is a table of languages too.
-    share, unit = F.lit(1.0), (F.xxhash64("doc_id").cast("double") / 2.0**64) + 0.5
-    for lang, n in rows.groupBy("lang").count().collect():
-        share = F.when(F.col("lang") == lang, min(1.0, 3.0 * PER_LANG / n)).otherwise(share)
-    few = rows.where(unit <= share).select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
-    by = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = few.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= PER_LANG)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
+    # to its window, however many it has; counts are a row for each language.
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 3.0 * PER_LANG / r["n"])) for r in sizes], "lang string, _share double")
+    unit = (F.xxhash64("doc_id").cast("double") / 2.0**64) + 0.5
+    few = rows.select("lang", "doc_id", F.least(F.length("text"), F.lit(LETTERS)).alias("_n"), F.xxhash64("doc_id").alias("_h"), unit.alias("_u"))
+    few = few.join(F.broadcast(share), "lang").where("_u <= _share")
+    by = Window.partitionBy("lang").orderBy("_h", "doc_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = few.withColumn("_before", F.coalesce(F.sum("_n").over(by), F.lit(0))).withColumn("_r", F.coalesce(F.count("*").over(by), F.lit(0)))
+    ids = [r[0] for r in chosen.where((F.col("_before") < LETTERS) & (F.col("_r") < PER_LANG)).select("doc_id").distinct().collect()]
     known = [i for i in ids if i is not None]
     among = F.col("doc_id").isin(known)
     if len(known) < len(ids):
         among = among | F.col("doc_id").isNull()
-    # left(): a fit reads EXCERPT characters of each chosen text, no more
-    texts = rows.where(among).select("lang", F.substring("text", 1, EXCERPT).alias("t"), F.xxhash64("doc_id").alias("_h"), "doc_id").distinct()
+    # of a text over LETTERS a stretch at a place drawn by hash; all others whole
+    place = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - LETTERS + 1, F.lit(1))).cast("int") + 1
+    own = F.when(F.length("text") > LETTERS, F.substring(F.col("text"), place, F.lit(LETTERS))).otherwise(F.col("text"))
+    texts = rows.where(among).select("lang", own.alias("t"), F.xxhash64("doc_id").alias("_h"), "doc_id").distinct()
+    by = Window.partitionBy("lang").orderBy("_h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("_before", F.coalesce(F.sum(F.length("t")).over(by), F.lit(0))).withColumn("_r", F.coalesce(F.count("*").over(by), F.lit(0)))
     samples: dict[str, list[str]] = {}
-    by = Window.partitionBy("lang").orderBy("_h", "doc_id", "t")
-    for r in texts.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= PER_LANG).orderBy("lang", "_r").collect():
+    for r in texts.where((F.col("_before") < LETTERS) & (F.col("_r") < PER_LANG)).orderBy("lang", "_r").collect():
         samples.setdefault(r["lang"], []).append(r["t"])
     return build(samples)
 

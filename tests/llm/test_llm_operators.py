@@ -80,20 +80,52 @@ def test_langid_parse_is_longest_match():
     rng = random.Random(2)
     for _ in range(50):
         text = "".join(rng.choice("abrcdthesmn") for _ in range(rng.randint(1, 30)))
-        want = []
-        for ref in (" abracadabra cadabra abrac ", " the cat sat on the mat "):
-            n, cur = 1, ""
-            for ch in text:
-                n, cur = (n, cur + ch) if cur + ch in ref else (n + 1, ch if ch in ref else "")
-            want.append(n)
+        want = [parsed(ref, text) for ref in (" abracadabra cadabra abrac ", " the cat sat on the mat ")]
         assert model.phrases([text])[0][0].tolist() == want
 
 
-def test_langid_stretches_count_every_letter():
-    model = langid.build({"a": ["ab " * 30]})
-    text = "abx" * 5000
-    count, real = model.phrases([text])
-    assert real[0] == len(text) and count[0, 0] >= 5000
+def parsed(ref, text):
+    """Phrases of a text by the longest match in ``ref``, letter by letter."""
+    n, cur = 1, ""
+    for ch in text:
+        n, cur = (n, cur + ch) if cur + ch in ref else (n + 1, ch if ch in ref else "")
+    return n
+
+
+@pytest.mark.parametrize("stretch", [7, 64])
+def test_langid_long_texts_are_one_parse(monkeypatch, stretch):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    monkeypatch.setattr(langid, "LANES", 5)
+    rng = random.Random(3)
+    refs = {"a": "abcab cabba abacab", "b": "the cat sat on the mat", "c": "aaaaaaab"}
+    model = langid.build({k: [v] for k, v in refs.items()})
+    texts = ["".join(rng.choice("abcthes mno") for _ in range(rng.randint(0, 400))) for _ in range(20)] + ["a" * 500, "abxab" * 90, "", None]
+    got, _ = model.phrases(texts)
+    for text, own in zip(texts, got, strict=True):
+        plain = re.sub(" +", " ", text or "")
+        assert own.tolist() == [parsed(f" {refs[k]} ", plain) for k in sorted(refs)]
+
+
+def test_langid_reads_every_script():
+    rng = random.Random(4)
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 1200)]
+    kana = [chr(c) for c in range(0x3042, 0x3090)] + han[:300]
+    draw = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    words = {"zh": [draw(han, 2) for _ in range(900)], "ja": [draw(kana, 3) for _ in range(900)], "en": ["".join(draw("etaoinshr", rng.randint(2, 6))) for _ in range(900)]}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    model = langid.build({k: [text(k, 300) for _ in range(6)] for k in words})
+    assert len(model.alphabet) > 1000
+    for k in words:
+        assert set(model.predict([text(k, 40) for _ in range(20)])[0]) == {k}
+
+
+def test_langid_of_many_languages_stays_small():
+    rng = random.Random(5)
+    samples = {f"l{k:03}": [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 8))) for _ in range(600))] for k in range(100)}
+    model = langid.build(samples)
+    each = sum(x.nbytes for x in (model.edges.keys, model.edges.to)) / sum(model.letters)
+    assert each * langid.LETTERS * 100 < 500e6
+    assert model.predict([samples["l042"][0][:500]])[0] == ["l042"]
 
 
 def test_langid_empty(spark, none):
@@ -119,9 +151,70 @@ def test_secrets(spark):
 def test_secret_candidates_are_all_found(spark):
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choice("abcXY019_/=. ") for _ in range(rng.randint(1, 60))) for _ in range(5)) for _ in range(60)]
+    texts += [" ".join(rng.choice(["password: ", "my_token = '", 'API_KEY="', "secret "]) + "".join(rng.choice("abcXY01!@.&$ '") for _ in range(rng.randint(1, 30))) for _ in range(9)) for _ in range(60)]
+    texts.append("token=abcdef1 " * 700)  # more pieces than a block
     got = secrets.candidates(table(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).collect()
-    want = {(i, m.start(1), m[1]) for i, t in enumerate(texts) for m in re.finditer(secrets.CANDIDATE, t) if re.search(secrets._WITH, m[1])}
-    assert {(r.doc_id, r.begin, r.candidate) for r in got} == want
+    want = set()
+    for i, t in enumerate(texts):
+        for m in re.finditer(secrets.CANDIDATE, t):
+            k = 2 if m[2] else 3
+            line = t[: m.start(k)].split("\n")[-1]
+            if k == 2 or re.search(secrets._WITH, m[3]) or re.search(secrets.INTRODUCED, line[-40:]):
+                want.add((i, m.start(k), m[k]))
+    assert {(r.doc_id, r.begin, r.candidate) for r in got} == want and len(want) > 700
+
+
+def test_secrets_short_and_with_signs(spark):
+    model = secrets.train(secrets.example_findings(spark))
+    secret = ['password = "Tr0ub4dor&3xyz!"', "pwd=hunter2secret", 'api_key = "qwmznxbvtrplkjhgfdsazxcvbn"', "token: eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0NTY3.SflKxwRJSMeKKF2QT4"]
+    harmless = ["password: required", "token = os.environ[name]", "the secret: nothing of interest", "access: public", "token = None"]
+    rows = [(i, f"so {t} then", "en", "src1", 1) for i, t in enumerate(secret + harmless)]
+    assert {r.doc_id for r in secrets.scan(table(spark, rows), model).collect()} == set(range(len(secret)))
+
+
+def python_features(c, before, after, path):
+    """The features of a candidate once more, by other means."""
+    low, n, both = c.lower(), len(c), (before + " " + after).lower()
+    part = lambda words: "(?<![a-z0-9])(" + "|".join(words) + ")(?![a-z0-9])"
+    pairs = sum(low[k : k + 2] in set(secrets.PAIRS) for k in range(n - 1))
+    kind = ["d" if x in "0123456789" else "A" if "A" <= x <= "Z" else "a" if "a" <= x <= "z" else "." for x in c]
+    changes = sum({x, y} in ({"d", "a"}, {"d", "A"}, {"a", "A"}) for x, y in zip(kind, kind[1:], strict=False))
+    share = [c.count(x) / n for x in set(c)]
+    rest = re.sub("|".join(sorted(secrets.DICTIONARY, key=len, reverse=True)), "", low)
+    return [
+        n, kind.count("d") / n, kind.count("A") / n, changes / n, pairs / n, len(set(c)) / n, -sum(x * np.log2(x) for x in share), float(bool(re.fullmatch("[0-9a-f]+", low))), 1 - len(rest) / n,
+        float(c.startswith(tuple(secrets.PREFIXES))), float(bool(re.search("[=:]\\s*[\"']?$", before))), float(bool(re.search("(" + "|".join(secrets.SECRET_WORDS) + ")[^a-z0-9]{0,6}$", before.lower()))),
+        float(bool(re.search(part(secrets.HARMLESS_WORDS), both))), float(bool(re.search(part(secrets.HARMLESS_PATHS), path.lower()))), sum(x == "." for x in kind) / n,
+        float(bool(re.search(r"[(){}\[\]]|\.[a-z]+\.", c))), float(before[-1:] in "\"'`" and before != ""),
+    ]
+
+
+def test_secret_scores_against_a_walk_through_the_trees(spark):
+    model, rows = secrets.train(secrets.example_findings(spark)), secrets.example_findings(spark, 300, 78)
+    roots = [t._java_obj.rootNode() for t in model.trees]
+
+    def vote(node, x):
+        while "Internal" in node.getClass().getName():
+            split = node.split()
+            node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+        stats = list(node.impurityStats().stats())
+        return stats[1] / sum(stats)
+
+    got = model.transform(secrets._featured(rows)).select("candidate", "before", "after", "path", "_features", "_probability").collect()
+    for r in got[:120]:
+        x = python_features(r.candidate, r.before, r.after, r.path)
+        assert np.allclose(r._features.toArray(), x, atol=1e-9), r
+        assert abs(np.mean([vote(n, r._features.toArray()) for n in roots]) - r._probability[1]) < 1e-9
+
+
+def test_secrets_of_one_class_or_none(spark):
+    rows = table(spark, [(1, "token = abcdef0123456789abcdef", "en", "s", 1)])
+    findings = secrets.example_findings(spark, 60)
+    for label, score in ((0, 0.0), (1, 1.0)):
+        got = secrets.scan(rows, secrets.train(findings.where(F.col("label") == label)), threshold=0.0).collect()
+        assert [r.score for r in got] == [score]
+    assert secrets.train(findings.where("false")) is None
+    assert [r.score for r in secrets.scan(rows, None).collect()] == [0.5]
 
 
 # ---- 3 neighbours
