@@ -9,9 +9,10 @@ the language with the fewest normalised phrases, c * log2(m), wins.
 
 Texts are folded to lower case; every letter of the labelled texts has a number,
 whatever its script, all others are one symbol that no automaton matches; runs of
-everything else are one space.  The automata's edges stand in one hashed table
-(12 bytes a slot, three slots an edge), so memory grows with the letters learned
-from, not with the alphabet.  Parsing is a walk over that table, in step over many
+everything else are one space.  The automata's edges lie in one array, in which each
+state has a place of its own and finds its edges at their symbols' distances (row
+displacement; 8 bytes a slot, three slots an edge), so memory grows with the letters
+learned from, not with the alphabet.  Parsing is a walk over that table, in step over many
 texts and languages as arrays.  A long text is walked in stretches side by side,
 and each stretch is then entered with the state in which the one before ended:
 from the first place where both walks break a phrase they are the same, so the
@@ -49,8 +50,6 @@ LANGUAGES = 1_000
 STRETCH, LANES = 2_048, 1 << 14
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
-_MIX = 0x9E3779B97F4A7C15
-
 
 def _letter_table() -> np.ndarray:
     """For every code point, whether it is a letter (made once in a worker)."""
@@ -91,56 +90,53 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
 
 
 class Edges:
-    """Edges of all automata: (state, symbol) to state, in an open-addressed table."""
-
-    def __init__(self, keys: np.ndarray, to: np.ndarray):
-        self.size = max(16, 3 * len(keys))
-        self.keys, self.to = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32)
-        left, slot = np.arange(len(keys)), self.slots(keys)
-        while len(left):
-            # of the edges that want a free slot one gets it; the others go on
-            free = left[self.keys[slot[left]] < 0]
-            self.keys[slot[free]] = keys[free]
-            left = left[self.keys[slot[left]] != keys[left]]
-            slot[left] = (slot[left] + 1) % self.size
-        self.to[slot] = to
-
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        h = keys.astype(np.uint64) * np.uint64(_MIX) >> np.uint64(32)
-        return (h * np.uint64(self.size) >> np.uint64(32)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The state each edge leads to, -1 where there is none."""
-        slot = self.slots(keys)
-        found = self.keys[slot]
-        out = np.where(found == keys, self.to[slot], -1)
-        left = np.flatnonzero((found != keys) & (found >= 0))
-        while len(left):
-            slot[left] += 1
-            slot[left] %= self.size
-            found = self.keys[slot[left]]
-            hit = found == keys[left]
-            out[left[hit]] = self.to[slot[left[hit]]]
-            left = left[~hit & (found >= 0)]
-        return out
-
-    def one(self, key: int) -> int:
-        """``get`` of a single edge."""
-        keys, slot = self.keys, (((key * _MIX & 0xFFFFFFFFFFFFFFFF) >> 32) * self.size) >> 32
-        while (found := int(keys[slot])) != key:
-            if found < 0:
-                return -1
-            slot = (slot + 1) % self.size
-        return int(self.to[slot])
+    """Edges of all automata.  A state is the number of its place; its edge with
+    symbol c, if it has one, is in slot place + c: the place, and where it leads."""
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, states: int, width: int):
+        rng, size = np.random.default_rng(12), 3 * len(state) + 2 * states + width
+        owner, self.place = np.full(size + width, -1, np.int64), np.full(states, -1, np.int64)
+        taken = np.zeros(size, bool)  # as a state's place
+        order = np.argsort(state, kind="stable")
+        symbol, to, degree = symbol[order], to[order], np.bincount(state, minlength=states)
+        begin = np.cumsum(degree) - degree
+        for d in np.unique(degree)[::-1].tolist():  # those with most edges while there is most room
+            left = np.flatnonzero(degree == d)
+            while len(left):
+                at = rng.integers(0, size, len(left))
+                at = np.where(taken[at], -1, at)
+                slots = np.maximum(at, 0)[:, None] + symbol[begin[left][:, None] + np.arange(d)]
+                fits = (at >= 0) & (owner[slots] < 0).all(axis=1)
+                # several may want a slot or place: the last to be written has it
+                wanted = np.full(size, -1, np.int64)
+                wanted[at[fits]] = left[fits]
+                fits &= wanted[np.maximum(at, 0)] == left
+                owner[slots[fits]] = left[fits][:, None]
+                lost = fits & (owner[slots] != left[:, None]).any(axis=1)
+                mine = lost[:, None] & (owner[slots] == left[:, None])
+                owner[slots[mine]] = -1
+                fits &= ~lost
+                self.place[left[fits]] = at[fits]
+                taken[at[fits]] = True
+                left = left[~fits]
+        self.table = np.full(size + width, -1, np.int64)
+        own = np.repeat(self.place, degree)
+        self.table[own + symbol] = own << 32 | self.place[to]
+
+    def one(self, state: int, symbol: int) -> int:
+        """Where one edge leads, -1 where there is none."""
+        e = int(self.table[state + symbol])
+        return e & 0xFFFFFFFF if e >> 32 == state else -1
 
 
 @dataclass
 class Model:
-    """Automata of all languages; states are numbered through, roots first."""
+    """Automata of all languages; roots: the state of each where phrases begin."""
 
     languages: list[str]
     alphabet: str
     letters: list[int]
+    roots: np.ndarray
     edges: Edges | None = None
 
     def __getstate__(self) -> dict:
@@ -197,20 +193,20 @@ class Model:
     def _walk(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, joined: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Breaks in each lane by language, the state after it, and for lanes
         that are to be ``joined`` where they broke.  Sizes descend."""
-        width, roots = self.width, langs[:, None]
+        table = self.edges.table
         active = np.searchsorted(-size, -np.arange(size.max(initial=0)), side="left")  # lanes longer than each step
         which = np.flatnonzero(joined)
         marked = np.searchsorted(which, active)
         broken = np.zeros((len(langs), len(flat) if len(which) else 0), bool)
-        state = np.repeat(roots.astype(np.int32), len(begin), axis=1)
+        state = np.repeat(self.roots[langs][:, None], len(begin), axis=1)
         count = np.zeros(state.shape, np.int32)
         first = self._first()[langs]
         for step, lanes in enumerate(active):
-            sym = flat[begin[:lanes] + step]
-            to = self.edges.get((state[:, :lanes].astype(np.int64) * width + sym).ravel()).reshape(len(langs), lanes)
-            broke = to < 0
+            sym, own = flat[begin[:lanes] + step], state[:, :lanes]
+            edge = table[own + sym]
+            broke = edge >> 32 != own
             count[:, :lanes] += broke
-            state[:, :lanes] = np.where(broke, first[:, sym], to)
+            state[:, :lanes] = np.where(broke, first[:, sym], edge & 0xFFFFFFFF)
             if marked[step]:
                 own = which[: marked[step]]
                 broken[:, begin[own] + step] = broke[:, own]
@@ -219,19 +215,18 @@ class Model:
     def _first(self) -> np.ndarray:
         """For each language the state after a phrase's first symbol."""
         if not hasattr(self, "_starts"):
-            roots = np.arange(len(self.languages))[:, None]
-            to = self.edges.get((roots * self.width + np.arange(self.width)).ravel()).reshape(len(roots), -1)
-            self._starts = np.where(to < 0, roots, to).astype(np.int32)
+            edge = self.edges.table[self.roots[:, None] + np.arange(self.width)]
+            self._starts = np.where(edge >> 32 == self.roots[:, None], edge & 0xFFFFFFFF, self.roots[:, None])
         return self._starts
 
     def _joined(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, count: np.ndarray, end: np.ndarray, broken: np.ndarray, lang: int) -> int:
         """Breaks of one parse over a text's stretches, from their own walks."""
-        edges, width, first = self.edges, self.width, self._first()[lang]
+        edges, first = self.edges, self._first()[lang]
         total, state = int(count[0]), int(end[0])
         for at, n, after in zip(begin[1:].tolist(), size[1:].tolist(), end[1:].tolist(), strict=True):
             for pos in range(at, at + n):
                 sym = int(flat[pos])
-                to = edges.one(state * width + sym)
+                to = edges.one(state, sym)
                 if to < 0:
                     total, to = total + 1, int(first[sym])
                     if broken[pos]:  # from here on both walks are one
@@ -263,19 +258,17 @@ def build(samples: dict[str, list[str]]) -> Model:
         if whole.strip():
             joined[lang] = whole
     alphabet = "".join(sorted(set().union(*joined.values()) - {" "}))
-    index, model = {c: k + 1 for k, c in enumerate(alphabet)} | {" ": 0}, Model(list(joined), alphabet, [len(x) for x in joined.values()])
-    keys, to, states = [], [], len(joined)
-    for lang, whole in enumerate(joined.values()):
+    index, width = {c: k + 1 for k, c in enumerate(alphabet)} | {" ": 0}, len(alphabet) + 2
+    parts, roots, states = [np.zeros((0, 3), np.int64)], [], 0
+    for whole in joined.values():
         go = suffix_automaton([index[c] for c in whole])
-        # the root is numbered as its language, the others follow all roots
-        number = np.arange(len(go)) + states - 1
-        number[0], states = lang, states + len(go) - 1
-        edges = np.array([(s, c, t) for s, step in enumerate(go) for c, t in step.items()], np.int64).reshape(-1, 3)
-        keys.append(number[edges[:, 0]] * model.width + edges[:, 1])
-        to.append(number[edges[:, 2]].astype(np.int32))
-    if joined:
-        model.edges = Edges(np.concatenate(keys), np.concatenate(to))
-    return model
+        edges = [(s, c, t) for s, step in enumerate(go) for c, t in step.items()]
+        parts.append(np.array(edges, np.int64).reshape(-1, 3) + [states, 0, states])
+        roots.append(states)
+        states += len(go)
+    state, symbol, to = np.concatenate(parts).T
+    edges = Edges(state, symbol, to, states, width)
+    return Model(list(joined), alphabet, [len(x) for x in joined.values()], edges.place[np.array(roots, np.int64)], edges)
 
 
 def fit(docs: DataFrame, learn: Column) -> Model:

@@ -123,7 +123,7 @@ def test_langid_of_many_languages_stays_small():
     rng = random.Random(5)
     samples = {f"l{k:03}": [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 8))) for _ in range(600))] for k in range(100)}
     model = langid.build(samples)
-    each = sum(x.nbytes for x in (model.edges.keys, model.edges.to)) / sum(model.letters)
+    each = (model.edges.table.nbytes + model.edges.place.nbytes) / sum(model.letters)
     assert each * langid.LETTERS * 100 < 500e6
     assert model.predict([samples["l042"][0][:500]])[0] == ["l042"]
 
@@ -396,7 +396,7 @@ def test_decontamination_in_blocks_and_cut(spark, monkeypatch, none):
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = decontaminate.find(table(spark, rows), bench).collect()
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 5)
-    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (5,))
+    assert len(list(decontaminate.item_blocks(bench))) == 3  # the longer item in two parts
     assert sorted(decontaminate.find(table(spark, rows), bench).collect()) == sorted(one)
     out = decontaminate.decontaminated(table(spark, rows), bench)
     assert {r.doc_id: r.text for r in out.collect()} == {1: "keep, ! end", 2: "clean text", 3: None, 4: "a  b"}
@@ -405,6 +405,22 @@ def test_decontamination_in_blocks_and_cut(spark, monkeypatch, none):
     assert [r.n_hit for r in decontaminate.find(table(spark, rows), bench.where("false")).collect()] == [0] * 4
 
 
+def test_phrases_absent_from_a_shard_are_dropped_first():
+    import time
+
+    rng = random.Random(2)
+    pool = [f"w{k}".encode() for k in range(50_000)]
+    parts = [(f"i{k}", [rng.choice(pool) for _ in range(200)]) for k in range(2500)]
+    phrases = decontaminate.Phrases(parts)
+    assert len(phrases.starts) == 2500 * 191 and phrases.ids
+    began = time.time()
+    assert decontaminate.search_shard(["none of these words here " * 5, None], phrases) == [(25, [], []), (0, [], [])]
+    assert time.time() - began < 0.5
+    own = parts[7][1][3:20]
+    text = " ".join(["x", *(w.decode() for w in own), "x"])
+    assert decontaminate.search_shard(["y", text], phrases)[1] == (19, [(1, 18)], ["i7"])
+
+
 # ---- 7 token files
 
 
