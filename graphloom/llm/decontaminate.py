@@ -11,9 +11,13 @@ intervals are located by stepping to the next sampled position.  Occurrences
 become word spans of their documents, which are merged.
 
 Phrases are windows of ``width`` consecutive words of an item, or the whole
-item if it is shorter.  They come in blocks of ``ITEM_BLOCK`` bytes of item
-text, each broadcast by itself, so that what is broadcast is bounded however
-many items there are; each further block is one more pass over the documents.
+item if it is shorter; they are held as places in one array of word numbers.  A
+shard first drops every phrase with a word that none of its stretches has, one
+pass of a running sum over that array, and has nothing to search or to index if
+none is left.  Items come in blocks of about ``ITEM_BLOCK`` bytes as encoded (long
+items in parts that overlap), each broadcast by itself, so that what is broadcast
+is bounded however many and however long items are; each further block is one
+more pass over the documents.
 
 Nulls and odd input.  A null or wordless text has no words and is clean; an
 item without words has no phrase.  Items with equal text all count.  Repeated
@@ -37,6 +41,8 @@ from graphloom.llm.common import slices, spans_union, staged, worker_memory
 
 WIDTH = 10
 ITEM_BLOCK = 16 << 20
+#: Bytes that a distinct word takes beside its own, and phrases searched at once.
+WORD_COST, AT_ONCE = 100, 1 << 16
 SAMPLE = 8
 FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>"
 
@@ -97,13 +103,18 @@ class FMIndex:
     def back(self, number: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.first[number] + self.rank(number, at)
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row intervals of all phrases (rows of equal length)."""
-        phrases = phrases + 1
+    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which phrases (rows of equal length) occur, and their row intervals."""
+        which = np.arange(len(phrases))
         lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
         for k in range(phrases.shape[1] - 1, -1, -1):
-            lo, hi = self.back(phrases[:, k], lo), self.back(phrases[:, k], hi)
-        return lo, hi
+            number = phrases[which, k] + 1
+            lo, hi = self.back(number, lo), self.back(number, hi)
+            left = lo < hi  # those that occur no more are searched no further
+            which, lo, hi = which[left], lo[left], hi[left]
+            if not len(which):
+                break
+        return which, lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffix rows, walking back to sampled ones."""
@@ -120,20 +131,43 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct phrases of a block of items, by length, and their items."""
-
-    def __init__(self, items: list[tuple[str, str]], width: int = WIDTH):
-        self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
-            for k in range(max(1, len(w) - width + 1) if w else 0):
-                owners[tuple(w[k : k + width])].add(item)
-        self.by_length: list[tuple[np.ndarray, list[list[str]]]] = []
-        for n in sorted({len(p) for p in owners}):
-            own = sorted(p for p in owners if len(p) == n)
-            self.by_length.append((np.array(own, np.int64), [sorted(owners[p]) for p in own]))
-        self.least = min((len(p) for p in owners), default=0)
+    """The phrases of a block of items, as places in an array of word numbers."""
+
+    def __init__(self, parts: list[tuple[str, list[bytes]]], width: int = WIDTH):
+        ids: dict[bytes, int] = {}
+        names = sorted({item for item, _ in parts})
+        number, seq, starts, sizes, owners, at = {item: k for k, item in enumerate(names)}, [], [], [], [], 0
+        for item, own in parts:
+            if own:
+                seq.append(np.array([ids.setdefault(w, len(ids) + 1) for w in own], np.int32))
+                n = max(1, len(own) - width + 1)
+                starts.append(np.arange(at, at + n, dtype=np.int32))
+                sizes.append(np.full(n, min(width, len(own)), np.int16))
+                owners.append(np.full(n, number[item], np.int32))
+                at += len(own)
+        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+        self.names, self.blob = names, b" ".join(ids)  # words hold no space
+        self.seq, self.starts, self.sizes, self.owners = join(seq, np.int32), join(starts, np.int32), join(sizes, np.int16), join(owners, np.int32)
+        self.least = int(self.sizes.min()) if len(self.sizes) else 0
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    @property
+    def ids(self) -> dict[bytes, int]:
+        if not hasattr(self, "_ids"):
+            self._ids = {w: k for k, w in enumerate(self.blob.split(), 1)}
+        return self._ids
+
+    @property
+    def n_words(self) -> int:
+        return len(self.ids)
+
+    def possible(self, present: np.ndarray) -> np.ndarray:
+        """Phrases all of whose words are ``present`` (a flag for each number)."""
+        lacks = np.zeros(len(self.seq) + 1, np.int32)
+        np.cumsum(~present[self.seq], out=lacks[1:])
+        return np.flatnonzero(lacks[self.starts + self.sizes] == lacks[self.starts])
 
 
 def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -144,35 +178,60 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
         counts.append(len(w))
         if not w or not phrases.least:
             continue
-        ids = np.fromiter(map(get, w, _ZEROS), np.int64, len(w))
+        ids = np.fromiter(map(get, w, _ZEROS), np.int32, len(w))
         inside = np.flatnonzero(np.diff(np.concatenate([[0], ids > 0, [0]]).astype(np.int8)))
         for a, b in zip(inside[::2], inside[1::2], strict=True):
             if b - a >= phrases.least:
                 kept += [ids[a:b], _SEPARATOR]
                 starts.append(a)
                 docs.append(d)
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    if kept:
-        sizes = np.array([len(x) for x in kept[::2]]) + 1
-        begin, starts, docs = np.cumsum(sizes) - sizes, np.array(starts), np.array(docs)
-        index = FMIndex(np.concatenate(kept), len(phrases.ids))
-        for own, owners in phrases.by_length:
-            lo, hi = index.search(own)
-            n = hi - lo
-            which = np.repeat(np.arange(len(own)), n)
-            rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at = index.locate(rows)
-            piece = np.searchsorted(begin, at, side="right") - 1
-            word, doc = starts[piece] + at - begin[piece], docs[piece]
-            for d, w, p in zip(doc.tolist(), word.tolist(), which.tolist(), strict=True):
-                spans[d].append((w, w + own.shape[1]))
-                items[d].update(owners[p])
-    out = []
-    for d, own in enumerate(spans):
-        lo, hi = spans_union(*np.array(own, np.int64).reshape(-1, 2).T)
-        out.append((counts[d], list(zip(lo.tolist(), hi.tolist(), strict=True)), sorted(items[d])))
-    return out
+    spans, items = _occurrences(kept, np.array(starts), np.array(docs), phrases) if kept else ({}, {})
+    return [(n, spans.get(d, []), items.get(d, [])) for d, n in enumerate(counts)]
+
+
+def _occurrences(kept: list[np.ndarray], starts: np.ndarray, docs: np.ndarray, phrases: Phrases) -> tuple[dict, dict]:
+    """Merged spans and item names of each text with any, from stretches that
+    begin at word ``starts`` of ``docs``, each followed by a separator."""
+    text = np.concatenate(kept)
+    present = np.zeros(phrases.n_words + 1, bool)
+    present[text] = True
+    present[0] = False
+    possible = phrases.possible(present)
+    if not len(possible):
+        return {}, {}
+    rank = np.cumsum(present, dtype=np.int64)  # words of this shard alone
+    rank[~present] = 0
+    index, found = FMIndex(rank[text], int(rank.max())), []
+    for n in np.unique(phrases.sizes[possible]).tolist():
+        own = possible[phrases.sizes[possible] == n]
+        for k in range(0, len(own), AT_ONCE):
+            part = own[k : k + AT_ONCE]
+            which, lo, hi = index.search(rank[phrases.seq[phrases.starts[part][:, None] + np.arange(n)]])
+            found.append((np.full(len(which), n), lo, hi, phrases.owners[part[which]]))
+    size, lo, hi, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(lo):
+        return {}, {}
+    # phrases with equal words have one interval, which is located once
+    same, first, of = np.unique(size * index.n + lo, return_index=True, return_inverse=True)
+    lo, n, size = lo[first], (hi - lo)[first], size[first]
+    phrase = np.repeat(np.arange(len(same)), n)
+    at = index.locate(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
+    lengths = np.array([len(x) for x in kept[::2]]) + 1
+    begin = np.cumsum(lengths) - lengths
+    piece = np.searchsorted(begin, at, side="right") - 1
+    doc, word = docs[piece], starts[piece] + at - begin[piece]
+    spans, items = {}, {}
+    order = np.argsort(doc, kind="stable")
+    cuts = np.flatnonzero(np.diff(doc[order])) + 1
+    by_phrase = np.argsort(of, kind="stable")
+    edge = np.searchsorted(of[by_phrase], np.arange(len(same) + 1))
+    for own in np.split(order, cuts):
+        low, high = spans_union(word[own], word[own] + size[phrase[own]])
+        d = int(doc[own[0]])
+        spans[d] = list(zip(low.tolist(), high.tolist(), strict=True))
+        mine = np.concatenate([owner[by_phrase[edge[p] : edge[p + 1]]] for p in np.unique(phrase[own])])
+        items[d] = [phrases.names[k] for k in np.unique(mine)]
+    return spans, items
 
 
 class _Zeros:
@@ -184,19 +243,30 @@ class _Zeros:
         return repeat(0)
 
 
-_ZEROS, _SEPARATOR = _Zeros(), np.zeros(1, np.int64)
+_ZEROS, _SEPARATOR = _Zeros(), np.zeros(1, np.int32)
 
 
-def item_blocks(benchmark: DataFrame, most: int = ITEM_BLOCK) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded text, streamed to the driver one at a time."""
-    block, held = [], 0
+def item_blocks(benchmark: DataFrame, most: int | None = None, width: int = WIDTH) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Parts of items with their words, in blocks of bounded size, streamed to the
+    driver one at a time.  Parts of one item share ``width`` - 1 words, so that
+    each window is in one of them."""
+    most = most or ITEM_BLOCK
+    block, held, known = [], 0, set()
+    step = max(1, most // (8 * WORD_COST))  # words of a part: an eighth of a block at most
     rows = benchmark.select(F.col("item_id").cast("string"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     for item, text in rows.toLocalIterator():
-        if block and held + len(text) > most:
-            yield block
-            block, held = [], 0
-        block.append((item, text))
-        held += len(text)
+        own = words(text)
+        for k in range(0, max(1, len(own) - width + 1), step):
+            part = own[k : k + step + width - 1]
+            new = set(part) - known
+            # numbers of words, one phrase for each (start, size, item), and new words
+            cost = 14 * len(part) + sum(len(w) + WORD_COST for w in new)
+            if block and held + cost > most:
+                yield block
+                block, held, known = [], 0, set()
+            known.update(part)
+            block.append((item, part))
+            held += cost
     yield block
 
 
@@ -206,7 +276,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, extra: list[
     names must not be among these; cut: text among them comes without the
     words of any span.  Nothing is shuffled; with more than one
     block of items, passes add to what was found, with a written table between."""
-    blocks, extra = item_blocks(benchmark), list(extra or [])
+    blocks, extra = item_blocks(benchmark, width=width), list(extra or [])
     block, following = next(blocks), next(blocks, None)
     found = _find(docs, Phrases(block, width), extra if following is None else [*dict.fromkeys(["text", *extra])], cut=cut and following is None)
     while following is not None:
