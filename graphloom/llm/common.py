@@ -2,12 +2,15 @@
 
 Staging cuts lineage by writing Parquet into the folder that the cluster
 names in ``spark.checkpoint.dir``; Parquet is columnar and compressed, and
-survives the loss of an executor.  Only where that setting is absent (tests)
-is a folder made up.
+survives the loss of an executor.  Only where that setting is absent and the
+master is local (tests) is a folder made up; a cluster without it is refused,
+since executors would write to disks that nothing else reads.  Staged tables go
+when the driver ends, or by ``drop_stages``.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-_STAGES: list[str] = []
+#: Staged tables by application.
+_STAGES: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,8 @@ def stage_root(spark: SparkSession) -> str:
     if set_to:
         return set_to.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-stage-")
     return _OWN[app]
@@ -41,20 +47,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STAGES.append(path)
+    app = spark.sparkContext.applicationId
+    if app not in _STAGES:
+        _STAGES[app] = []
+        atexit.register(_drop_at_end, spark)
+    _STAGES[app].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stages(spark: SparkSession) -> int:
-    """Deletes what ``staged`` has written in this driver, once no result that
-    reads it is needed; returns the number of tables.  Any Hadoop file system."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_STAGES)
-    while _STAGES:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+    """Deletes what ``staged`` has written for this application, once no result
+    that reads it is needed; returns the number of tables.  Any Hadoop file system."""
+    context = spark.sparkContext
+    jvm, conf, own = context._jvm, context._jsc.hadoopConfiguration(), _STAGES.get(context.applicationId, [])
+    n = len(own)
+    while own:
+        path = jvm.org.apache.hadoop.fs.Path(own.pop())
         path.getFileSystem(conf).delete(path, True)
     return n
 
 
+def _drop_at_end(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session has none
+        drop_stages(spark)
+
+
 def crc32_of(key: Column) -> Column:
     """Unsigned crc32 of a key's decimal text; null keys count as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
