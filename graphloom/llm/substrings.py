@@ -20,7 +20,10 @@ share their first 24 bytes, and meet in sorted order.
    its prefix shared with the last string put out; heads with different lengths
    are ordered by these alone, and equal ones are compared beyond them, so no
    known prefix is compared again.  Strings that share 24 bytes with the one
-   before form a group, in which each window's least doc_id is found.
+   before form a group.  A window may begin before its anchor, so that shared
+   prefixes alone don't decide it: each window's least doc_id is found within the
+   group.  The number of ranges follows the bytes of text, so that what a task
+   merges stays the same however many there are.
 4. A mask for each string, of windows that a smaller doc_id has, returns to its
    block, where windows become removed bytes.
 
@@ -50,6 +53,8 @@ from graphloom.llm.common import staged
 SPAN, GRAM = 50, 24
 SLIDE = SPAN - GRAM + 1
 BLOCK_BYTES = 4 << 20
+#: Text for each range of suffixes; a range is merged by one task.
+RANGE_BYTES = 16 << 20
 CHUNK = (1 << 16) - SPAN
 #: Copies of a text are collected in so many groups, so that none gathers a third of all rows.
 SALTS = 16
@@ -252,7 +257,7 @@ def repeated_anchors(blocks: DataFrame, ranges: Ranges) -> DataFrame:
         bits = np.split(count[whole] > 1, np.cumsum([len(h) for h in each])[:-1])
         return pa.table({"block": runs.column("block"), "part": runs.column("part"), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
-    runs = blocks.mapInArrow(send, "block long, part int, hashes binary, several binary")
+    runs = blocks.mapInArrow(send, "block long, part int, hashes binary, several binary").repartition(ranges.parts, "part")
     return runs.groupBy("part").applyInArrow(answer, "block long, part int, bits binary")
 
 
@@ -431,7 +436,7 @@ def merge_masks(blocks: DataFrame, answers: DataFrame, ranges: Ranges) -> DataFr
             group_masks(group, masks)
         return pa.table({"block": table.column("block"), "part": table.column("part"), "masks": pa.array([_press(m.tobytes()) for m in masks], pa.binary())})
 
-    runs = blocks.join(answers, "block", "left").select(*blocks.columns, "answers").mapInArrow(send, "block long, part int, run binary")
+    runs = blocks.join(answers, "block", "left").select(*blocks.columns, "answers").mapInArrow(send, "block long, part int, run binary").repartition(ranges.parts, "part")
     return runs.groupBy("part").applyInArrow(merge, "block long, part int, masks binary")
 
 
@@ -473,7 +478,7 @@ def remove_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = make_blocks(docs, partitions)
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = Ranges(partitions, total)
+    ranges = Ranges(max(1, -(-total // RANGE_BYTES)), total)
     listed = lambda df, *c: df.groupBy("block").agg(F.collect_list(F.struct(*c)).alias("list"))
     answers = staged(listed(repeated_anchors(blocks, ranges), "part", "bits").withColumnRenamed("list", "answers"), "answers")
     masks = staged(listed(merge_masks(blocks, answers, ranges), "part", "masks").withColumnRenamed("list", "masks"), "masks")
