@@ -4,13 +4,16 @@ Fit, on a bounded sample of ``SAMPLE`` distinct vectors (least hashes first):
 their neighbour graph is cut into balanced parts - recursive halving along
 principal directions, then moves that lower the number of cut edges while parts
 stay within 5 % of even - and a softmax classifier learns, from each vector,
-the parts in which its neighbours lie.  The number of parts a query probes is
-the least that finds ``AIM`` of the true neighbours of left-out sample queries.
+the parts in which its neighbours lie.  A quarter of the sample is kept out of
+both; the number of parts a query probes is the least that finds ``AIM`` of the
+true neighbours among these unseen vectors, queries and candidates alike.
 
 Index: every vector goes to the classifier's most probable part; a part is held
 in blocks of at most about ``BLOCK`` vectors, so that no task gathers a part.
-Search: a query goes to the blocks of its most probable parts, where exact
-inner products in double precision rerank everything.
+Search: a query goes to the blocks of its most probable parts, where inner
+products in double precision rerank everything: a matrix product finds what may be
+among the nearest, and each of these is then multiplied and summed by itself, so
+that a pair's score is the same in whatever block it is computed.
 
 Equal vectors are indexed once, with the 21 least ids that share them: no more
 can be among a query's 20 nearest, so this is exact, and a vector that a third
@@ -100,17 +103,18 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rounds: int = 20
 
 
 def train_router(x: np.ndarray, parts: int, steps: int = 150, k: int = 20) -> Router:
-    """Router from sampled vectors; with few of them, every part is probed."""
-    if len(x) <= max(2 * parts, GRAPH + 1):
+    """Router from sampled vectors.  Fewer than are needed to fill the parts can't
+    be partitioned: they are one part."""
+    held_out = np.arange(len(x)) % 4 == 0
+    learn, unseen = x[~held_out], x[held_out]
+    if len(learn) <= max(2 * parts, GRAPH + 1):
         return Router(np.zeros((x.shape[1] if len(x) else 0, 1)), np.zeros(1), 1)
-    near = nearest(x, GRAPH)
-    own = balanced_parts(x, near, parts)
-    goal = np.zeros((len(x), parts))
-    goal[np.arange(len(x)), own] = GRAPH / 2
-    np.add.at(goal, (np.repeat(np.arange(len(x)), GRAPH), own[near].ravel()), 1)
-    goal /= goal.sum(axis=1, keepdims=True)
-    left_out = np.arange(len(x)) % 8 == 0  # not learned from: they set the probes
-    learn, target = x[~left_out], goal[~left_out]
+    near = nearest(learn, GRAPH)
+    own = balanced_parts(learn, near, parts)
+    target = np.zeros((len(learn), parts))
+    target[np.arange(len(learn)), own] = GRAPH / 2
+    np.add.at(target, (np.repeat(np.arange(len(learn)), GRAPH), own[near].ravel()), 1)
+    target /= target.sum(axis=1, keepdims=True)
     scale = np.sqrt((x**2).sum(axis=1).mean())
     w, b = np.zeros((x.shape[1], parts)), np.zeros(parts)
     m, v = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
@@ -123,11 +127,10 @@ def train_router(x: np.ndarray, parts: int, steps: int = 150, k: int = 20) -> Ro
             v[k_] += 0.01 * (g * g - v[k_])
             par -= 0.3 * (m[k_] / (1 - 0.9**t)) / (np.sqrt(v[k_] / (1 - 0.99**t)) + 1e-9)
     router = Router(w / scale, b, parts)
-    logits = router.logits(x)
-    home, queries = logits.argmax(axis=1), np.flatnonzero(left_out)
-    true = nearest(x, min(k, len(x) - 1))[queries]
-    place = np.argsort(np.argsort(-logits[queries], axis=1, kind="stable"), axis=1)
-    found = np.sort(place[np.arange(len(queries))[:, None], home[true]].ravel())
+    logits = router.logits(unseen)
+    home, true = logits.argmax(axis=1), nearest(unseen, min(k, len(unseen) - 1))
+    place = np.argsort(np.argsort(-logits, axis=1, kind="stable"), axis=1)
+    found = np.sort(place[np.arange(len(unseen))[:, None], home[true]].ravel())
     router.probes = int(found[min(len(found) - 1, int(np.ceil(AIM * len(found))))]) + 1
     return router
 
@@ -187,17 +190,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         q, x = _matrix(queries.column("asked").combine_chunks()), _matrix(own.column("e").combine_chunks())
         k1, k2, ids = queries.column("k1").to_numpy(), queries.column("k2").to_numpy(), own.column("ids").combine_chunks()
         first, top = np.array(ids.values)[np.array(ids.offsets)[:-1]], min(k + 1, len(x))
-        out = []
+        out, longest = [], (x**2).sum(axis=1).max()
         for lo in range(0, len(q), 256):
             s = q[lo : lo + 256] @ x.T
             edge = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-            r, c = np.nonzero(s >= edge[:, None])
-            order = np.lexsort((first[c], -s[r, c], r))  # ties at the edge go by id
-            r, c = r[order], c[order]
+            # sums of a matrix product may differ in their last bits from block to block
+            slack = 1e-12 * np.sqrt((q[lo : lo + 256] ** 2).sum(axis=1) * longest)
+            r, c = np.nonzero(s >= (edge - slack)[:, None])
+            score = (q[lo + r] * x[c]).sum(axis=1)
+            order = np.lexsort((first[c], -score, r))  # ties go by id
+            r, c, score = r[order], c[order], score[order]
             start = np.searchsorted(r, np.arange(len(s)))
             keep = np.arange(len(r)) - start[r] < top
             r, c = r[keep], c[keep]
-            out.append(pa.table({"k1": k1[lo + r], "k2": k2[lo + r], "ids": ids.take(pa.array(c)), "score": s[r, c]}))
+            out.append(pa.table({"k1": k1[lo + r], "k2": k2[lo + r], "ids": ids.take(pa.array(c)), "score": score[keep]}))
         return pa.concat_tables(out)
 
     found = asks.groupBy("part", "block", "chunk").cogroup(data.groupBy("part", "block", "chunk")).applyInArrow(rerank, "k1 long, k2 long, ids array<long>, score double")
