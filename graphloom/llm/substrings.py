@@ -54,7 +54,7 @@ SPAN, GRAM = 50, 24
 SLIDE = SPAN - GRAM + 1
 BLOCK_BYTES = 4 << 20
 #: Text for each range of suffixes; a range is merged by one task.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
 CHUNK = (1 << 16) - SPAN
 #: Copies of a text are collected in so many groups, so that none gathers a third of all rows.
 SALTS = 16
