@@ -52,6 +52,10 @@ PAIR_ANSWER = r"\b(does|will)\s+(not\s+)?interact\s+with\b"
 CLEANUPS = ((r"\s+", " "), (r"\.\s*\.", "."), (r",\s*,", ","), (r"^\s*[,\.]\s*", ""), (r"\s*[,\.]\s*$", "."))
 
 
+#: What a text must hold for any forbidden pattern to match in it, now or after others went.
+ANY = r"(?i)haplo|dosage|essential|marker|bivalent|oncogene|suppressor|sensitive|\b(?:predict|believe|think|conclude)|\b(?:yes|no),?\s"
+
+
 def _any_case(pattern: str) -> str:
     return "(?i)" + pattern
 
@@ -59,10 +63,14 @@ def _any_case(pattern: str) -> str:
 def filtered(df: DataFrame, text: str = "text", strict: bool = True, task: str | None = None) -> DataFrame:
     """df with filtered, changes and reasons (one for each pattern that hit)."""
     out = df.withColumn("_t0", F.coalesce(F.col(text), F.lit("")))
+    # most texts hold none of the patterns' words: one search spares them all others
+    out = out.withColumn("_any", F.regexp_like("_t0", F.lit(ANY)))
     hits = []
     for k, (pattern, reason) in enumerate(FORBIDDEN):
-        out = out.withColumn(f"_n{k}", F.regexp_count(f"_t{k}", F.lit(_any_case(pattern))))
-        out = out.withColumn(f"_t{k + 1}", F.regexp_replace(f"_t{k}", _any_case(pattern), "") if strict else F.col(f"_t{k}"))
+        before, p = F.col(f"_t{k}"), _any_case(pattern)
+        out = out.withColumn(f"_t{k + 1}", F.when(F.col("_any"), F.regexp_replace(before, p, "")).otherwise(before) if strict else before)
+        # counted only where something went
+        out = out.withColumn(f"_n{k}", F.when(F.octet_length(f"_t{k + 1}") < F.octet_length(before), F.regexp_count(before, F.lit(p))).otherwise(0))
         hits.append(F.when(F.col(f"_n{k}") > 0, F.lit(reason)))
     body = F.col(f"_t{len(FORBIDDEN)}")
     for pattern, by in CLEANUPS:
@@ -78,7 +86,7 @@ def filtered(df: DataFrame, text: str = "text", strict: bool = True, task: str |
         out = out.withColumn("_more", more).withColumn("changes", F.col("changes") + F.col("_more").cast("long"))
         out = out.withColumn("reasons", F.when(F.col("_more"), F.array_append("reasons", F.lit(f"explicit {task.upper()} answer"))).otherwise(F.col("reasons")))
         out = out.withColumn("filtered", F.trim(F.regexp_replace("filtered", _any_case(PAIR_ANSWER), ""))).drop("_more")
-    return out.drop(*[f"_t{k}" for k in range(len(FORBIDDEN) + 1)], *[f"_n{k}" for k in range(len(FORBIDDEN))])
+    return out.drop("_any", *[f"_t{k}" for k in range(len(FORBIDDEN) + 1)], *[f"_n{k}" for k in range(len(FORBIDDEN))])
 
 
 def issues(text: Column) -> Column:

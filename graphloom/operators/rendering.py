@@ -18,6 +18,9 @@ SECTIONS = {
     "TRRUST_IN": ("Regulated by {n} transcription factors:", "", 5),
     "CellMarker": ("Marker for {n} cell types:", "No cell type marker information found.", 10),
     "Reactome": ("Participates in {n} biological pathways:", "No pathway information found.", 10),
+    "OMIM": ("Associated with {n} diseases:", "No disease associations found.", 10),
+    "GTEx": ("Expressed in {n} tissues:", "No tissue expression data found.", 10),
+    "CORUM": ("Member of {n} protein complexes:", "No protein complex membership found.", 10),
 }
 CONTEXT_ORDER = ("HPO", "TRRUST", "GO", "PPI", "Reactome", "CellMarker", "OMIM", "GTEx", "CORUM")
 HEADERS = {
@@ -27,20 +30,56 @@ HEADERS = {
 LINES = {"minimal": 5, "local": 15, "extended": 30}
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many decimals; half-way cases go away from zero, by its
+    decimal digits (nine after the point)."""
+    return F.round(x.cast("decimal(28,9)"), places).cast(f"decimal(28,{places})").cast("string")
+
+
 def scaled_score(score: Column) -> Column:
     """0-1000 without decimals for scores under 1; 1.0 and above as they are."""
-    return F.when(score < 1, F.floor(score * 1000).cast("string")).otherwise(F.format_string("%.1f", score))
+    return F.when(score < 1, F.floor(score * 1000).cast("string")).otherwise(fixed(score, 1))
+
 
+def section_rows(edges: DataFrame) -> DataFrame:
+    """What each section of each centre lists: one row for each end that tells of
+    the other, in one pass over the edges."""
+    t = F.col("edge_type")
+    end = lambda a, b, section: F.struct(F.col(a).alias("center"), F.col(b).alias("neighbor"), section.alias("section"))
+    out = end("src", "dst", t)
+    back = end("dst", "src", F.when(t == "TRRUST", "TRRUST_IN").otherwise(t))
+    ends = F.explode(F.when(t.isin("PPI", "TRRUST"), F.array(out, back)).otherwise(F.array(out)))
+    rows = edges.select(ends.alias("e"), "edge_type", "score", "evidence")
+    place = F.when(t.isin("PPI", "GTEx"), -F.coalesce("score", F.lit(0.0))).otherwise(0.0)
+    return rows.select("e.*", "score", "evidence", place.alias("place"))
 
-def sections(items: DataFrame) -> DataFrame:
-    """One text for each (center, section) from rows center, section, line,
-    place (what orders them: least first, then line)."""
+
+def section_line(name: Column) -> Column:
+    """The text of a listed row with its neighbour's name."""
+    t, e, score = F.col("section"), F.col("evidence"), F.coalesce("score", F.lit(0.0))
+    bracket = lambda *parts: F.when(e.isNotNull(), F.concat(F.lit(" ("), *parts, F.lit(")"))).otherwise("")
+    return (
+        F.when(t == "PPI", F.concat("neighbor", F.lit(" (confidence score: "), scaled_score(score), F.lit(")")))
+        .when(t.isin("TRRUST", "TRRUST_IN"), F.concat("neighbor", F.lit(" ("), F.coalesce(e, F.lit("unknown")), F.lit(")")))
+        .when(t == "CellMarker", F.concat(name, bracket(F.lit("tissue: "), e)))
+        .when(t == "OMIM", F.concat(name, bracket(e)))
+        .when(t == "GTEx", F.concat(name, F.lit(" (TPM: "), fixed(score, 1), F.lit(", specificity: "), fixed(F.coalesce(e, F.lit("0")).cast("double") / 1000, 2), F.lit(")")))
+        .when(t == "CORUM", F.concat(name, bracket(e, F.lit(" subunits"))))
+        .otherwise(name)
+    )
+
+
+def sections(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text for each (center, section): a count and the first lines, by place
+    and then id.  Rows are ranked and cut first; names come to what is left."""
     w = Window.partitionBy("center", "section")
-    ranked = items.withColumn("r", F.row_number().over(w.orderBy("place", "line"))).withColumn("n", F.count("*").over(w))
+    ranked = section_rows(edges).withColumn("r", F.row_number().over(w.orderBy("place", "neighbor"))).withColumn("n", F.count("*").over(w))
     most = F.lit(10)
     for name, (_, _, k) in SECTIONS.items():
         most = F.when(F.col("section") == name, k).otherwise(most)
-    shown = ranked.where(F.col("r") <= most).groupBy("center", "section").agg(F.max("n").alias("n"), F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("r", "line"))).alias("rows"))
+    names = nodes.select(F.col("node_id").alias("neighbor"), "name")
+    shown = ranked.where(F.col("r") <= most).join(names, "neighbor", "left").withColumn("line", section_line(F.coalesce("name", "neighbor")))
+    shown = shown.groupBy("center", "section").agg(F.max("n").alias("n"), F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("r", "line"))).alias("rows"))
     body = F.array_join(F.transform("rows", lambda x: F.concat(F.lit("  "), x["r"].cast("string"), F.lit(". "), x["line"])), "\n")
     head = F.lit("")
     for name, (text, _, _) in SECTIONS.items():
@@ -50,22 +89,96 @@ def sections(items: DataFrame) -> DataFrame:
     return shown.select("center", "section", F.col("n").cast("long").alias("n"), F.concat(head, F.lit("\n"), body, rest).alias("text"))
 
 
-def section_items(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """What ``sections`` prints of each centre's edges, in the order of each type."""
-    names = nodes.select(F.col("node_id").alias("neighbor"), "name")
-    out = edges.select(F.col("src").alias("center"), F.col("dst").alias("neighbor"), "edge_type", "score", "evidence", F.lit(True).alias("forward"))
-    back = edges.where(F.col("edge_type").isin("PPI", "TRRUST")).select(F.col("dst").alias("center"), F.col("src").alias("neighbor"), "edge_type", "score", "evidence", F.lit(False).alias("forward"))
-    rows = out.unionByName(back).join(names, "neighbor", "left")
-    t, name = F.col("edge_type"), F.coalesce("name", "neighbor")
-    line = (
-        F.when(t == "PPI", F.concat("neighbor", F.lit(" (confidence score: "), scaled_score(F.coalesce("score", F.lit(0.0))), F.lit(")")))
-        .when(t == "TRRUST", F.concat("neighbor", F.lit(" ("), F.coalesce("evidence", F.lit("unknown")), F.lit(")")))
-        .when(t == "CellMarker", F.concat(name, F.when(F.col("evidence").isNotNull(), F.concat(F.lit(" (tissue: "), F.col("evidence"), F.lit(")"))).otherwise("")))
-        .otherwise(name)
-    )
-    section = F.when((t == "TRRUST") & ~F.col("forward"), "TRRUST_IN").otherwise(t)
-    place = F.when(t == "PPI", -F.coalesce("score", F.lit(0.0))).otherwise(0.0)
-    return rows.select("center", section.alias("section"), line.alias("line"), place.alias("place"))
+# Names of the sections in a gene's description, in their order.
+INFO = {"ppi_info": "PPI", "go_info": "GO", "phenotype_info": "HPO", "tf_info": "TRRUST", "celltype_info": "CellMarker", "pathway_info": "Reactome", "disease_info": "OMIM", "tissue_info": "GTEx", "complex_info": "CORUM"}
+
+
+def subgraph_text(centers: DataFrame, texts: DataFrame) -> DataFrame:
+    """center and its nine sections; what a gene lacks has its empty text, and
+    regulation holds both directions."""
+    by = texts.groupBy("center").agg(F.map_from_entries(F.collect_list(F.struct("section", "text"))).alias("m"))
+    rows = centers.select("center").join(by, "center", "left")
+    said = lambda s: F.try_element_at("m", F.lit(s))
+    both = F.concat_ws("\n", said("TRRUST"), said("TRRUST_IN"))
+    text = {s: F.coalesce(said(s), F.lit(SECTIONS[s][1])) for s in INFO.values()}
+    text["TRRUST"] = F.coalesce(F.nullif(both, F.lit("")), F.lit(SECTIONS["TRRUST"][1]))
+    return rows.select("center", *[text[s].alias(c) for c, s in INFO.items()])
+
+
+# What a selection of features keeps, and what the rest says.
+FEATURES = {
+    "essential": ("ppi_info", "go_info", "phenotype_info"), "regulatory": ("tf_info", "pathway_info", "go_info"), "functional": ("go_info", "pathway_info", "ppi_info"),
+}
+LEFT_OUT = "Not included (feature selection)"
+
+
+def feature_selection(info: dict[str, Column], mode: str, wanted: Column | None = None) -> dict[str, Column]:
+    """Sections by name after a selection: ``all`` keeps them, ``task_specific``
+    those in ``wanted`` (an array of names), a known mode its own, others all."""
+    if mode == "task_specific" and wanted is not None:
+        return {k: F.when(F.array_contains(wanted, k), v).otherwise(LEFT_OUT) for k, v in info.items()}
+    keep = FEATURES.get(mode)
+    return info if keep is None else {k: v if k in keep else F.lit(LEFT_OUT) for k, v in info.items()}
+
+
+# Labels of the sections in a styled prompt.
+STYLE_LABELS = {
+    "ppi_info": "Protein Interactions", "go_info": "Biological Processes", "phenotype_info": "Phenotypes",
+    "tf_info": "Regulatory Relations", "pathway_info": "Pathways", "celltype_info": "Cell Type Markers",
+}
+
+
+def style_context(info: dict[str, Column]) -> Column:
+    """The sections that say something, each after its label."""
+    line = lambda k, v: F.when((v != "") & ~F.contains(v, F.lit("Not included")) & ~F.contains(F.left(v, F.lit(10)), F.lit("No ")), F.concat(F.lit(f"- {STYLE_LABELS[k]}: "), v))
+    parts = F.array_compact(F.array(*[line(k, info[k]) for k in STYLE_LABELS if k in info]))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise("Limited information available.")
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with its {names} replaced; unknown names stand as they are."""
+    out = F.lit(template)
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), v)
+    return out
+
+
+def styled_prompt(base: Column, context: Column, style: str, templates: dict[str, str], focus: str = "", keywords: Column | None = None) -> Column:
+    """A prompt in a style: its template around the base prompt and the context
+    (``analytical`` is the base alone), then guidance and up to five keywords."""
+    out = base if style == "analytical" else filled(templates.get(style, "{base_prompt}"), {"base_prompt": base, "context": context})
+    if focus:
+        out = F.concat(out, F.lit("\n\n" + focus))
+    if keywords is not None:
+        out = F.when(F.size(keywords) > 0, F.concat(out, F.lit("\n\nEmphasize these aspects if relevant: "), F.array_join(F.slice(keywords, 1, 5), ", "))).otherwise(out)
+    return out
+
+
+def query_text(symbol: Column, name: Column, summary: Column, task: Column) -> Column:
+    """What is asked for a gene: symbol and name, the first sentence of its
+    summary if it has over 20 characters, and the task."""
+    first = F.trim(F.substring_index(F.coalesce(summary, F.lit("")), ".", 1))
+    head = F.concat(F.lit("Gene "), symbol, F.when(name.isNotNull() & (name != "") & (name != symbol), F.concat(F.lit(" ("), name, F.lit(")"))).otherwise(""))
+    return F.concat_ws(" ", head, F.when(F.length(first) > 20, F.concat(first, F.lit("."))), F.when(F.coalesce(task, F.lit("")) != "", F.concat(F.lit("Task: "), task)))
+
+
+def triplets(edges: DataFrame, nodes: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Sentences of all edges with ids t_0, t_1, ... without gaps, in the order of
+    a hash of src, then src, dst and type.
+
+    Rows are numbered in 4,096 hash buckets side by side; the buckets' counts give
+    each its first number."""
+    own = sentences(edges, nodes, include, exclude).withColumn("_b", F.substring(F.md5(F.col("src").cast("binary")), 1, 3))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    first = own.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy("src", "dst", "edge_type")) - 1
+    rows = own.join(F.broadcast(first), "_b")  # 4,096 rows at most
+    return rows.select(F.concat(F.lit("t_"), (F.col("_first") + nth).cast("string")).alias("triplet_id"), "src", "dst", "edge_type", "score", "text")
+
+
+def membership(triplets: DataFrame) -> DataFrame:
+    """gene, triplet_id of both ends of each triplet, once each."""
+    return triplets.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("gene"), "triplet_id")
 
 
 def short_description(text: Column, most: int = 200) -> Column:
@@ -75,7 +188,7 @@ def short_description(text: Column, most: int = 200) -> Column:
 
 
 def sentences(edges: DataFrame, nodes: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """edges with triplet_id-free text: one sentence for each edge."""
+    """One sentence for each edge of the types included and not excluded."""
     own = edges
     if include:
         own = own.where(F.col("edge_type").isin(include))
@@ -87,10 +200,10 @@ def sentences(edges: DataFrame, nodes: DataFrame, include: list[str] | None = No
     x, y, t = F.coalesce("name_a", "src"), F.coalesce("name_b", "dst"), F.col("edge_type")
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     score = F.coalesce("score", F.lit(0.0))
-    score = F.when(score > 1, score / 1000).otherwise(score)
+    score = F.when((t == "PPI") & (score > 1), score / 1000).otherwise(score)
     d, e = short_description(F.col("def_b")), F.col("evidence")
     text = (
-        F.when(t == "PPI", say(x, " physically interacts with ", y, " (confidence: ", F.format_string("%.2f", score), ")"))
+        F.when(t == "PPI", say(x, " physically interacts with ", y, " (confidence: ", fixed(score, 2), ")"))
         .when((t == "GO") & d.isNotNull(), say(x, " participates in ", y, ": ", d, " (evidence: ", F.coalesce(e, F.lit("unknown")), ")"))
         .when(t == "GO", say(x, " participates in biological process ", y, " (evidence: ", F.coalesce(e, F.lit("unknown")), ")"))
         .when((t == "HPO") & e.isNotNull(), say(x, " is associated with phenotype ", y, " (frequency: ", e, ")"))
@@ -102,7 +215,7 @@ def sentences(edges: DataFrame, nodes: DataFrame, include: list[str] | None = No
         .when((t == "CellMarker") & e.isNotNull(), say(x, " is a marker for ", y, " in ", e))
         .when(t == "CellMarker", say(x, " is a marker for cell type ", y))
         .when(t == "OMIM", say(x, " is associated with disease ", y))
-        .when((t == "GTEx") & (score > 0), say(x, " is expressed in ", y, " (TPM: ", F.format_string("%.1f", F.col("score")), ")"))
+        .when((t == "GTEx") & (score > 0), say(x, " is expressed in ", y, " (TPM: ", fixed(F.col("score"), 1), ")"))
         .when(t == "GTEx", say(x, " is expressed in tissue ", y))
         .when(t == "CORUM", say(x, " is part of protein complex ", y))
         .otherwise(say(x, " is related to ", y, " via ", t))

@@ -38,12 +38,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def semantic(center: Column, other: Column) -> Column:
-    """(cos + 1) / 2; 0.5 without a centre or length, 0.3 without a neighbour."""
-    tiny = (norm(center) < 1e-10) | (norm(other) < 1e-10)
+def semantic(product: Column, center: Column, other: Column) -> Column:
+    """(cos + 1) / 2 from an inner product and two lengths (null: no vector);
+    0.5 without a centre or a length, 0.3 without a neighbour."""
+    tiny = (center < 1e-10) | (other < 1e-10)
     # a zero length is kept out of the quotient, which would fail on it
-    lengths = F.when(tiny, F.lit(1.0)).otherwise(norm(center) * norm(other))
-    return F.when(center.isNull(), 0.5).when(other.isNull(), 0.3).when(tiny, 0.5).otherwise(clip((dot(center, other) / lengths + 1) / 2, 0.0, 1.0))
+    lengths = F.when(tiny, F.lit(1.0)).otherwise(center * other)
+    return F.when(center.isNull(), 0.5).when(other.isNull(), 0.3).when(tiny, 0.5).otherwise(clip((product / lengths + 1) / 2, 0.0, 1.0))
 
 
 def memory(ema: Column, suggestion: Column) -> Column:
@@ -57,27 +58,45 @@ def confidence(has_task: Column, has_embedding: Column, has_memory: Column) -> C
     return F.lit(0.4) + add(has_task, 0.2) + add(has_embedding, 0.25) + add(has_memory, 0.15)
 
 
-def score_neighbors(neighbors: DataFrame, degrees: DataFrame, nodes: DataFrame, task: DataFrame, embeddings: DataFrame, ema: DataFrame) -> DataFrame:
+def score_neighbors(
+    neighbors: DataFrame, degrees: DataFrame, nodes: DataFrame, task: DataFrame | None, embeddings: DataFrame, ema: DataFrame | None, suggested: DataFrame | None = None
+) -> DataFrame:
     """All scores of (center, neighbor, edge_type, direction) rows; of several
     edges to a neighbour the last one (type, direction) counts.
 
-    task: node; embeddings: id, emb; ema: edge_type, ema (one row for each type)."""
+    task: node (None: no task was given, every neighbour is half relevant);
+    embeddings: id, emb; ema: edge_type, ema, one row for each type (None: no
+    memory); suggested: neighbor, suggestion of those that memory knows.  Slim
+    keys are joined first and vectors last, with their lengths taken once each."""
     last = neighbors.groupBy("center", "neighbor").agg(F.max(F.struct("edge_type", "direction")).alias("e")).select("center", "neighbor", "e.*")
     rows = last.join(degrees.select(F.col("node").alias("neighbor"), "degree"), "neighbor", "left")
-    rows = rows.join(task.select(F.col("node").alias("neighbor"), F.lit(True).alias("in_task")).distinct(), "neighbor", "left")
-    rows = rows.join(nodes.select(F.col("node_id").alias("neighbor"), "node_label"), "neighbor", "left")
-    rows = rows.join(embeddings.select(F.col("id").alias("neighbor"), F.col("emb").alias("emb_n")), "neighbor", "left")
-    rows = rows.join(embeddings.select(F.col("id").alias("center"), F.col("emb").alias("emb_c")), "center", "left")
-    rows = rows.join(F.broadcast(ema), "edge_type", "left")  # one row for each edge type
+    rows = rows.join(nodes.where("node_label = 'gene'").select(F.col("node_id").alias("neighbor"), F.lit(True).alias("is_gene")), "neighbor", "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    if task is None:
+        rows = rows.withColumn("in_task", none("boolean"))
+    else:
+        rows = rows.join(task.select(F.col("node").alias("neighbor"), F.lit(True).alias("in_task")).distinct(), "neighbor", "left")
+    # one row for each edge type
+    rows = rows.withColumn("ema", none("double")) if ema is None else rows.join(F.broadcast(ema), "edge_type", "left")
+    if suggested is None or ema is None:
+        rows = rows.withColumn("suggestion", none("double"))
+    else:
+        rows = rows.join(suggested.select("neighbor", "suggestion"), "neighbor", "left")
+    known = embeddings.select("id", "emb", norm(F.col("emb")).alias("length"))
+    end = lambda side: known.select(F.col("id").alias(side), F.col("emb").alias(f"emb_{side}"), F.col("length").alias(f"length_{side}"))
+    rows = rows.join(end("neighbor"), "neighbor", "left").join(end("center"), "center", "left")
+    both = F.col("length_center").isNotNull() & F.col("length_neighbor").isNotNull()
+    rows = rows.withColumn("product", F.when(both, dot(F.col("emb_center"), F.col("emb_neighbor")))).drop("emb_center", "emb_neighbor")
     hit = F.coalesce("in_task", F.lit(False))
+    relevance = F.when(hit, 1.0).when(F.coalesce("is_gene", F.lit(False)), 0.4).otherwise(0.2) if task is not None else F.lit(0.5)
     parts = {
         "structural": structural(F.coalesce("degree", F.lit(0)), hit),
-        "task_relevance": F.when(hit, 1.0).when(F.col("node_label") == "gene", 0.4).otherwise(0.2),
-        "semantic": semantic(F.col("emb_c"), F.col("emb_n")),
-        "memory": memory(F.col("ema"), F.lit(None).cast("double")),
+        "task_relevance": relevance,
+        "semantic": semantic(F.col("product"), F.col("length_center"), F.col("length_neighbor")),
+        "memory": memory(F.col("ema"), F.col("suggestion")),
     }
     total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    sure = confidence(F.lit(True), F.col("emb_c").isNotNull() & F.col("emb_n").isNotNull(), F.lit(True))
+    sure = confidence(F.lit(task is not None), both, F.lit(ema is not None))
     rows = rows.select("center", "neighbor", "edge_type", "direction", *[v.alias(k) for k, v in parts.items()], sure.alias("confidence"))
     return rows.withColumn("total", total)
 
@@ -124,10 +143,20 @@ def selection_stats(selected: DataFrame) -> DataFrame:
 
 def neighbor_stats(scores: DataFrame, frequent: int = 3, top: int = 10, tokens: int = 30) -> tuple[DataFrame, DataFrame]:
     """Per edge type: rows, distinct neighbours, bands and the mean of each
-    neighbour's own mean; and the most frequent neighbours."""
-    mean = scores.groupBy("neighbor").agg(F.avg("total").alias("own"), F.countDistinct("center").alias("n"))
-    pairs = scores.select("edge_type", "neighbor").distinct().join(mean, "neighbor").groupBy("edge_type").agg(F.avg("own").alias("avg_score"), F.count("*").alias("n_unique"), (F.count("*") * tokens).alias("est_tokens"))
-    bands = scores.groupBy("edge_type").agg(F.count("*").alias("n_rows"), F.count_if(F.col("total") >= HIGH).alias("n_high"), F.count_if((F.col("total") < HIGH) & (F.col("total") >= LOW)).alias("n_medium"), F.count_if(F.col("total") < LOW).alias("n_low"))
-    kinds = scores.groupBy("neighbor", "edge_type").agg(F.count("*").alias("c")).groupBy("neighbor").agg(F.max_by("edge_type", F.struct("c", "edge_type")).alias("main_type"))
-    often = mean.where(F.col("n") >= frequent).join(kinds, "neighbor").orderBy(F.desc("n"), "own", "neighbor").limit(top)
-    return bands.join(pairs, "edge_type"), often.select("neighbor", "n", F.col("own").alias("avg_score"), "main_type")
+    neighbour's own mean; and the most frequent neighbours.
+
+    scores has one row for each centre and neighbour; they are summed once, by
+    neighbour and type, and everything else is made from those sums."""
+    total = F.col("total")
+    sums = scores.groupBy("neighbor", "edge_type").agg(
+        F.count("*").alias("c"), F.sum("total").alias("s"), F.count_if(total >= HIGH).alias("high"),
+        F.count_if((total < HIGH) & (total >= LOW)).alias("medium"), F.count_if(total < LOW).alias("low"),
+    )
+    w = Window.partitionBy("neighbor")
+    each = sums.withColumn("n", F.sum("c").over(w)).withColumn("own", F.sum("s").over(w) / F.col("n"))
+    types = each.groupBy("edge_type").agg(
+        F.sum("c").alias("n_rows"), F.sum("high").alias("n_high"), F.sum("medium").alias("n_medium"), F.sum("low").alias("n_low"),
+        F.avg("own").alias("avg_score"), F.count("*").alias("n_unique"), (F.count("*") * tokens).alias("est_tokens"),
+    )
+    often = each.where(F.col("n") >= frequent).groupBy("neighbor", "n").agg(F.max("own").alias("avg_score"), F.max_by("edge_type", F.struct("c", "edge_type")).alias("main_type"))
+    return types, often.orderBy(F.desc("n"), "avg_score", "neighbor").limit(top)

@@ -42,7 +42,7 @@ def x16_features_from_keywords(spark, d):
 
 
 @query(HQ.IMP + """, sc AS (SELECT task, edge_type AS edge_types, round(max(delta), 9) AS improvement FROM imp WHERE delta > 0 GROUP BY 1, 2), s AS (SELECT *, task % 10 AS family, row_number() OVER (PARTITION BY task ORDER BY improvement DESC, edge_types) AS r FROM sc),
-c AS (SELECT task AS for_task, task % 10 AS f, edge_type AS now FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r FROM hist) WHERE r = 1), top AS (SELECT * FROM s WHERE r = 1 ORDER BY improvement DESC, task LIMIT 80),
+c AS (SELECT task AS for_task, task % 10 AS f, edge_type AS now FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r FROM hist) WHERE r = 1), top AS (SELECT * FROM s WHERE r = 1),
 u AS (SELECT for_task, 'same_task' AS source, task, edge_types, improvement, now FROM s JOIN c ON task = for_task WHERE r <= 3 UNION ALL SELECT for_task, 'similar_task', task, edge_types, improvement, now FROM s JOIN c ON family = f AND task <> for_task WHERE r <= 2 UNION ALL SELECT for_task, 'best_from', task, edge_types, improvement, now FROM top, c WHERE task <> for_task),
 k AS (SELECT *, row_number() OVER (PARTITION BY for_task ORDER BY improvement DESC, source, task, edge_types) AS rank FROM u WHERE edge_types <> now) SELECT for_task, source, task, edge_types, improvement, rank FROM k WHERE rank <= 3""")
 def t11_memory_suggestions(spark, d):

@@ -2,8 +2,9 @@
 
 Nodes are parts (genes) and the attribute values they touch; edges are a
 multigraph with one row for each (src, dst, edge_type).  Nothing here is
-collected: every table is a lazy plan, so a query that needs one edge type
-reads only the tables and columns behind it.
+collected.  The edges of each type are made once for a set of input files and kept
+as Parquet (``sources.graph_store``), so a query that needs one type reads only its
+columns, and only the first one pays for the joins behind it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.graph_store import kept
+
+#: The types that neighbourhoods are asked for, and those that texts tell of too.
 TYPES = ("PPI", "GO", "HPO", "TRRUST", "CellMarker", "Reactome")
+ALL_TYPES = (*TYPES, "OMIM", "GTEx", "CORUM")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,25 +73,82 @@ def reactome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(gene("l_partkey").alias("src"), F.concat(F.lit("R-HSA-"), "c_mktsegment").alias("dst"), F.lit("Reactome").alias("edge_type"), F.lit(None).cast("double").alias("score"), F.lit("TAS").alias("evidence"))
 
 
-_MAKERS = {"PPI": ppi, "GO": go, "HPO": hpo, "TRRUST": trrust, "CellMarker": cellmarker, "Reactome": reactome}
+def omim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("p_size") % 3 == 0, "Autosomal dominant").when(F.col("p_size") % 3 == 1, "Autosomal recessive")
+    disease = F.concat(F.lit("OMIM:"), F.replace("p_type", F.lit(" "), F.lit("_")))
+    return table(spark, sf_dir, "part").select(
+        gene("p_partkey").alias("src"), disease.alias("dst"), F.lit("OMIM").alias("edge_type"),
+        F.lit(None).cast("double").alias("score"), kind.alias("evidence"),
+    )
+
+
+def gtex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity supplied from a nation as expression in a tissue; the evidence is
+    its share of the gene's highest, in thousandths."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    home = table(spark, sf_dir, "supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
+    seen = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(home, "l_suppkey")
+    total = seen.groupBy("l_partkey", "n_name").agg(F.sum("l_quantity").cast("double").alias("tpm"))
+    share = F.floor(F.col("tpm") * 1000 / F.max("tpm").over(Window.partitionBy("l_partkey"))).cast("string")
+    tissue = F.concat(F.lit("GTEx:"), F.replace("n_name", F.lit(" "), F.lit("_")))
+    return total.select(gene("l_partkey").alias("src"), tissue.alias("dst"), F.lit("GTEx").alias("edge_type"), F.col("tpm").alias("score"), share.alias("evidence"))
+
+
+def corum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of suppliers with one remainder form a complex; the evidence is its
+    number of subunits."""
+    member = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_suppkey") % 50).alias("c")).distinct()
+    size = member.groupBy("c").agg(F.count("*").cast("string").alias("n"))
+    return member.join(F.broadcast(size), "c").select(  # one row for each complex
+        gene("l_partkey").alias("src"), F.concat(F.lit("CORUM:"), F.col("c").cast("string")).alias("dst"),
+        F.lit("CORUM").alias("edge_type"), F.lit(None).cast("double").alias("score"), F.col("n").alias("evidence"),
+    )
+
+
+_MAKERS = {"PPI": ppi, "GO": go, "HPO": hpo, "TRRUST": trrust, "CellMarker": cellmarker, "Reactome": reactome, "OMIM": omim, "GTEx": gtex, "CORUM": corum}
+_INPUTS = {
+    "PPI": ("lineitem",), "GO": ("part",), "HPO": ("lineitem", "orders"), "TRRUST": ("lineitem",), "CellMarker": ("lineitem", "supplier", "nation", "region"),
+    "Reactome": ("lineitem", "orders", "customer"), "OMIM": ("part",), "GTEx": ("lineitem", "supplier", "nation"), "CORUM": ("lineitem",),
+}
+
+
+def _files(sf_dir: str, names) -> list[str]:
+    return [f"{sf_dir}/{n}.parquet" for n in sorted(set(names))]
 
 
 def edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = TYPES) -> DataFrame:
     """src, dst, edge_type, score, evidence of the given types."""
     out = None
     for t in types:
-        own = _MAKERS[t](spark, sf_dir)
+        own = kept(spark, f"edges-{t}", _files(sf_dir, _INPUTS[t]), lambda t=t: _MAKERS[t](spark, sf_dir))
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node_id, node_label, name, definition."""
-    part = table(spark, sf_dir, "part").select(gene("p_partkey").alias("node_id"), F.lit("gene").alias("node_label"), F.col("p_name").alias("name"), F.concat_ws(" ", F.lit("A"), "p_type", F.lit("item of brand"), "p_brand", F.lit("and size"), F.col("p_size").cast("string")).alias("definition"))
-    label = F.when(F.col("edge_type") == "GO", "biological process").when(F.col("edge_type") == "HPO", "phenotypic feature").when(F.col("edge_type") == "CellMarker", "cell").otherwise("pathway")
-    name = F.when(F.col("edge_type") == "CellMarker", F.replace(F.substring_index("dst", ":", -1), F.lit("_"), F.lit(" "))).when(F.col("edge_type") == "Reactome", F.substring("dst", 7, 1000)).otherwise(F.substring_index("dst", ":", -1))
-    rest = edges(spark, sf_dir, ("GO", "HPO", "CellMarker", "Reactome")).select(F.col("dst").alias("node_id"), label.alias("node_label"), name.alias("name"), F.lit(None).cast("string").alias("definition")).distinct()
-    return part.unionByName(rest)
+#: Node labels by the type of the edges that lead to them.
+LABELS = {"GO": "biological process", "HPO": "phenotypic feature", "CellMarker": "cell", "Reactome": "pathway", "OMIM": "disease", "GTEx": "tissue", "CORUM": "protein complex"}
+
+
+def nodes(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = TYPES) -> DataFrame:
+    """node_id, node_label, name, definition of genes and of the targets of types."""
+    named = [t for t in types if t in LABELS]
+    return kept(spark, "nodes-" + "-".join(named), _files(sf_dir, ["part", *(n for t in named for n in _INPUTS[t])]), lambda: _nodes(spark, sf_dir, named))
+
+
+def _nodes(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
+    text = F.concat_ws(" ", F.lit("A"), "p_type", F.lit("item of brand"), "p_brand", F.lit("and size"), F.col("p_size").cast("string"))
+    part = table(spark, sf_dir, "part").select(gene("p_partkey").alias("node_id"), F.lit("gene").alias("node_label"), F.col("p_name").alias("name"), text.alias("definition"))
+    t, tail = F.col("edge_type"), F.substring_index("dst", ":", -1)
+    label = F.lit(None).cast("string")
+    for k, v in LABELS.items():
+        label = F.when(t == k, v).otherwise(label)
+    spaced = F.replace(tail, F.lit("_"), F.lit(" "))
+    name = (
+        F.when(t.isin("CellMarker", "OMIM", "GTEx"), spaced).when(t == "Reactome", F.substring("dst", 7, 1000))
+        .when(t == "CORUM", F.concat(F.lit("complex "), tail)).otherwise(tail)
+    )
+    rest = edges(spark, sf_dir, tuple(types)).select("dst", "edge_type").distinct()
+    return part.unionByName(rest.select(F.col("dst").alias("node_id"), label.alias("node_label"), name.alias("name"), F.lit(None).cast("string").alias("definition")))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +187,35 @@ ppi AS (SELECT 'P' || a.l_partkey AS src, 'P' || b.l_partkey AS dst, 'PPI' AS ed
     "reactome": """reactome AS (SELECT DISTINCT 'P' || l_partkey AS src, 'R-HSA-' || c_mktsegment AS dst, 'Reactome' AS edge_type, NULL::double AS score, 'TAS' AS evidence
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)""",
 }
-SQL["edges"] = ",\n".join(SQL[k] for k in ("ppi", "go", "hpo", "trrust", "cellmarker", "reactome")) + ",\nedges AS (" + " UNION ALL ".join(f"SELECT * FROM {k}" for k in ("ppi", "go", "hpo", "trrust", "cellmarker", "reactome")) + ")"
-SQL["nodes"] = """nodes AS (SELECT 'P' || p_partkey AS node_id, 'gene' AS node_label, p_name AS name, concat_ws(' ', 'A', p_type, 'item of brand', p_brand, 'and size', p_size) AS definition FROM part
-  UNION ALL SELECT DISTINCT dst, CASE edge_type WHEN 'GO' THEN 'biological process' WHEN 'HPO' THEN 'phenotypic feature' WHEN 'CellMarker' THEN 'cell' ELSE 'pathway' END,
-  CASE edge_type WHEN 'CellMarker' THEN replace(split_part(dst, ':', 2), '_', ' ') WHEN 'Reactome' THEN substr(dst, 7) ELSE split_part(dst, ':', 2) END, NULL FROM edges WHERE edge_type IN ('GO', 'HPO', 'CellMarker', 'Reactome'))"""
+SQL |= {
+    "omim": """omim AS (SELECT 'P' || p_partkey AS src, 'OMIM:' || replace(p_type, ' ', '_') AS dst, 'OMIM' AS edge_type, NULL::double AS score,
+  CASE p_size % 3 WHEN 0 THEN 'Autosomal dominant' WHEN 1 THEN 'Autosomal recessive' END AS evidence FROM part)""",
+    "gtex": """tpm AS (SELECT l_partkey, n_name, cast(sum(l_quantity) AS double) AS tpm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+gtex AS (SELECT 'P' || l_partkey AS src, 'GTEx:' || replace(n_name, ' ', '_') AS dst, 'GTEx' AS edge_type, tpm AS score,
+  cast(cast(floor(tpm * 1000 / max(tpm) OVER (PARTITION BY l_partkey)) AS bigint) AS varchar) AS evidence FROM tpm)""",
+    "corum": """member AS (SELECT DISTINCT l_partkey, l_suppkey % 50 AS c FROM lineitem), units AS (SELECT c, count(*) AS n FROM member GROUP BY 1),
+corum AS (SELECT 'P' || l_partkey AS src, 'CORUM:' || c AS dst, 'CORUM' AS edge_type, NULL::double AS score, cast(n AS varchar) AS evidence FROM member JOIN units USING (c))""",
+}
+
+
+def _edges_sql(types: tuple[str, ...]) -> str:
+    names = [t.lower() for t in types]
+    return ",\n".join(SQL[k] for k in names) + ",\nedges AS (" + " UNION ALL ".join(f"SELECT * FROM {k}" for k in names) + ")"
+
+
+def _nodes_sql(types: tuple[str, ...]) -> str:
+    labels = {t: LABELS[t] for t in types if t in LABELS}
+    label = " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in labels.items())
+    return f"""nodes AS (SELECT 'P' || p_partkey AS node_id, 'gene' AS node_label, p_name AS name,
+  concat_ws(' ', 'A', p_type, 'item of brand', p_brand, 'and size', p_size) AS definition FROM part
+  UNION ALL SELECT DISTINCT dst, CASE edge_type {label} END,
+  CASE WHEN edge_type IN ('CellMarker', 'OMIM', 'GTEx') THEN replace(split_part(dst, ':', 2), '_', ' ') WHEN edge_type = 'Reactome' THEN substr(dst, 7)
+    WHEN edge_type = 'CORUM' THEN 'complex ' || split_part(dst, ':', 2) ELSE split_part(dst, ':', 2) END, NULL
+  FROM edges WHERE edge_type IN ({", ".join(f"'{t}'" for t in labels)}))"""
+
+
+SQL["edges"], SQL["all_edges"] = _edges_sql(TYPES), _edges_sql(ALL_TYPES)
+SQL["nodes"], SQL["all_nodes"] = _nodes_sql(TYPES), _nodes_sql(ALL_TYPES)
 SQL["incident"] = """inc AS (SELECT src AS center, dst AS neighbor, edge_type, score, evidence, 'out' AS direction FROM edges
   UNION ALL SELECT dst, src, edge_type, score, evidence, 'in' FROM edges WHERE edge_type = 'PPI')"""
 SQL["history"] = """hist AS (SELECT user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, least(1.0::double, value / 100.0::double) AS metric, event_type AS edge_type,

@@ -76,7 +76,7 @@ def g2_summary(spark, d):
 
 
 @query(with_sql("trrust", "ppi", "emb").rstrip() + """, edges AS (SELECT * FROM ppi UNION ALL SELECT * FROM trrust), inc AS (SELECT src AS center, dst AS neighbor, edge_type, score, 'out' AS direction FROM edges UNION ALL SELECT dst, src, edge_type, score, 'in' FROM edges WHERE edge_type = 'PPI'),
-c AS (SELECT 'P' || p_partkey AS center FROM part WHERE p_partkey % 100 = 0),
+c AS (SELECT 'P' || p_partkey AS center FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY center, edge_type ORDER BY coalesce(score, 0) DESC, neighbor, direction) AS rank FROM inc),
 h1 AS (SELECT DISTINCT center, neighbor AS node FROM r JOIN c USING (center) WHERE rank <= 5 AND center <> neighbor),
 g AS (SELECT center AS node, neighbor, max(coalesce(score, 0)) AS score FROM inc GROUP BY 1, 2),
@@ -86,7 +86,6 @@ h2 AS (SELECT DISTINCT center, neighbor AS node FROM f WHERE r <= own)
 SELECT center, center AS node, 0::bigint AS hop FROM c UNION ALL SELECT center, node, 1 FROM h1
 UNION ALL SELECT center, node, 2 FROM h2 WHERE node <> center AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.center = h2.center AND h1.node = h2.node)""")
 def g4_expand(spark, d):
-    # all parts, though the SQL has only those with p_partkey % 100 = 0
     centers = P.table(spark, d, "part").select(P.gene("p_partkey").alias("center"))
     return graph.expand(P.edges(spark, d, ("PPI", "TRRUST")), centers, 2, 5)
 

@@ -73,34 +73,123 @@ def x5_sanitize_for_task(spark, d):
 
 # ---- rendering -------------------------------------------------------------
 
-_sections = """
-it AS (SELECT center, section, line, place FROM (
-  SELECT o.src AS center, edge_type AS section, CASE edge_type WHEN 'PPI' THEN dst || ' (confidence score: ' || CASE WHEN coalesce(score, 0) < 1 THEN cast(cast(floor(coalesce(score, 0) * 1000) AS bigint) AS varchar) ELSE printf('%.1f', score) END || ')'
-    WHEN 'TRRUST' THEN dst || ' (' || coalesce(evidence, 'unknown') || ')' WHEN 'CellMarker' THEN coalesce(name, dst) || CASE WHEN evidence IS NULL THEN '' ELSE ' (tissue: ' || evidence || ')' END ELSE coalesce(name, dst) END AS line,
-    CASE edge_type WHEN 'PPI' THEN -coalesce(score, 0) ELSE 0 END AS place FROM edges o LEFT JOIN nodes ON node_id = dst
-  UNION ALL SELECT dst, CASE edge_type WHEN 'TRRUST' THEN 'TRRUST_IN' ELSE 'PPI' END, CASE edge_type WHEN 'TRRUST' THEN src || ' (' || coalesce(evidence, 'unknown') || ')' ELSE src || ' (confidence score: ' || CASE WHEN coalesce(score, 0) < 1 THEN cast(cast(floor(coalesce(score, 0) * 1000) AS bigint) AS varchar) ELSE printf('%.1f', score) END || ')' END,
-    CASE edge_type WHEN 'PPI' THEN -coalesce(score, 0) ELSE 0 END FROM edges WHERE edge_type IN ('PPI', 'TRRUST'))),
-rk AS (SELECT *, row_number() OVER (PARTITION BY center, section ORDER BY place, line) AS r, count(*) OVER (PARTITION BY center, section) AS n FROM it),
-tp AS (SELECT center, section, max(n) AS n, count(*) AS k, string_agg('  ' || r || '. ' || line, chr(10) ORDER BY r) AS body FROM rk WHERE r <= CASE WHEN section LIKE 'TRRUST%' THEN 5 ELSE 10 END GROUP BY 1, 2)
-SELECT center, section, n, CASE section """ + " ".join("WHEN '" + k + "' THEN '" + v[0].split("{n}")[0] + "' || n || '" + v[0].split("{n}")[1] + "'" for k, v in R.SECTIONS.items()) + """ END || chr(10) || body || CASE WHEN n > k THEN chr(10) || '  ... and ' || (n - k) || ' more' ELSE '' END AS text FROM tp"""
-
-
-@query(with_sql("edges", "nodes").rstrip() + "," + _sections)
+#: Fixed decimals in SQL, as ``rendering.fixed`` has them.
+def fixed_sql(x: str, places: int) -> str:
+    return f"cast(cast(round(cast({x} AS decimal(28,9)), {places}) AS decimal(28,{places})) AS varchar)"
+
+
+PPI_TEXT = "CASE WHEN coalesce(score, 0) < 1 THEN cast(cast(floor(coalesce(score, 0) * 1000) AS bigint) AS varchar) ELSE " + fixed_sql("score", 1) + " END"
+_heads = " ".join("WHEN '" + k + "' THEN '" + v[0].split("{n}")[0] + "' || n || '" + v[0].split("{n}")[1] + "'" for k, v in R.SECTIONS.items())
+SECTIONS = with_sql("all_edges", "all_nodes").rstrip() + f""",
+it AS (SELECT src AS center, dst AS neighbor, edge_type AS section, score, evidence FROM edges
+  UNION ALL SELECT dst, src, CASE edge_type WHEN 'TRRUST' THEN 'TRRUST_IN' ELSE 'PPI' END, score, evidence FROM edges WHERE edge_type IN ('PPI', 'TRRUST')),
+pl AS (SELECT *, CASE WHEN section IN ('PPI', 'GTEx') THEN -coalesce(score, 0) ELSE 0 END AS place FROM it),
+rk AS (SELECT *, row_number() OVER (PARTITION BY center, section ORDER BY place, neighbor) AS r, count(*) OVER (PARTITION BY center, section) AS n FROM pl),
+ln AS (SELECT center, section, r, n, CASE section WHEN 'PPI' THEN neighbor || ' (confidence score: ' || {PPI_TEXT} || ')'
+    WHEN 'TRRUST' THEN neighbor || ' (' || coalesce(evidence, 'unknown') || ')' WHEN 'TRRUST_IN' THEN neighbor || ' (' || coalesce(evidence, 'unknown') || ')'
+    WHEN 'CellMarker' THEN name || ' (tissue: ' || evidence || ')' WHEN 'OMIM' THEN name || coalesce(' (' || evidence || ')', '')
+    WHEN 'GTEx' THEN name || ' (TPM: ' || {fixed_sql("score", 1)} || ', specificity: ' || {fixed_sql("cast(evidence AS double) / 1000", 2)} || ')'
+    WHEN 'CORUM' THEN name || ' (' || evidence || ' subunits)' ELSE name END AS line
+  FROM (SELECT rk.* EXCLUDE (neighbor), neighbor, coalesce(name, neighbor) AS name FROM rk LEFT JOIN nodes ON node_id = neighbor WHERE r <= CASE WHEN section LIKE 'TRRUST%' THEN 5 ELSE 10 END)),
+tp AS (SELECT center, section, max(n) AS n, count(*) AS k, string_agg('  ' || r || '. ' || line, chr(10) ORDER BY r) AS body FROM ln GROUP BY 1, 2),
+said AS (SELECT center, section, n, CASE section {_heads} END || chr(10) || body || CASE WHEN n > k THEN chr(10) || '  ... and ' || (n - k) || ' more' ELSE '' END AS text FROM tp)
+"""
+
+
+def section_texts(spark, d):
+    return R.sections(P.edges(spark, d, P.ALL_TYPES), P.nodes(spark, d, P.ALL_TYPES))
+
+
+@query(SECTIONS + "SELECT center, section, n, text FROM said")
 def x7_sections(spark, d):
-    e = P.edges(spark, d)
-    return R.sections(R.section_items(e, P.nodes(spark, d)))
+    return section_texts(spark, d)
+
+
+_info = ",\n".join(
+    ("coalesce(nullif(concat_ws(chr(10), max(text) FILTER (WHERE section = 'TRRUST'), max(text) FILTER (WHERE section = 'TRRUST_IN')), '')" if s == "TRRUST" else f"coalesce(max(text) FILTER (WHERE section = '{s}')")
+    + f", '{R.SECTIONS[s][1]}') AS {c}"
+    for c, s in R.INFO.items()
+)
+GENE_TEXTS = SECTIONS.rstrip() + f", info AS (SELECT c.center, {_info} FROM (SELECT 'P' || p_partkey AS center FROM part) c LEFT JOIN said ON said.center = c.center GROUP BY 1)\n"
+
+
+def gene_texts(spark, d):
+    return R.subgraph_text(P.table(spark, d, "part").select(P.gene("p_partkey").alias("center")), section_texts(spark, d))
+
+
+@query(GENE_TEXTS + "SELECT * FROM info")
+def x7_format_subgraph(spark, d):
+    return gene_texts(spark, d)
+
+
+@query(GENE_TEXTS + "SELECT center, " + ", ".join(c if c in R.FEATURES["essential"] else f"'{R.LEFT_OUT}' AS {c}" for c in R.INFO) + " FROM info")
+def x15_feature_selection(spark, d):
+    g = gene_texts(spark, d)
+    kept = R.feature_selection({c: F.col(c) for c in R.INFO}, "essential")
+    return g.select("center", *[v.alias(k) for k, v in kept.items()])
+
+
+_context = "[" + ", ".join(f"CASE WHEN {c} NOT LIKE '%Not included%' AND substr({c}, 1, 10) NOT LIKE '%No %' THEN '- {v}: ' || {c} END" for c, v in R.STYLE_LABELS.items()) + "]"
+CONTEXT = GENE_TEXTS.rstrip() + f", cx AS (SELECT center, list_filter({_context}, lambda x: x IS NOT NULL) AS l FROM info), ct AS (SELECT center, CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10)) ELSE 'Limited information available.' END AS context FROM cx)\n"
 
 
-SENT = with_sql("edges", "nodes").rstrip() + """, sent AS (SELECT e.src, e.dst, e.edge_type, e.score, coalesce(a.name, e.src) AS x, coalesce(b.name, e.dst) AS y, e.evidence FROM edges e LEFT JOIN nodes a ON a.node_id = e.src LEFT JOIN nodes b ON b.node_id = e.dst),
-said AS (SELECT src, dst, edge_type, score, CASE edge_type WHEN 'PPI' THEN x || ' physically interacts with ' || y || ' (confidence: ' || printf('%.2f', coalesce(score, 0.0)) || ')' WHEN 'GO' THEN x || ' participates in biological process ' || y || ' (evidence: ' || evidence || ')'
-  WHEN 'HPO' THEN x || ' is associated with phenotype ' || y || ' (frequency: ' || evidence || ')' WHEN 'TRRUST' THEN x || CASE evidence WHEN 'Activation' THEN ' activates expression of ' WHEN 'Repression' THEN ' represses expression of ' ELSE ' regulates ' END || y
-  WHEN 'Reactome' THEN x || ' is involved in pathway ' || y ELSE x || ' is a marker for ' || y || ' in ' || evidence END AS text FROM sent)
+@query(CONTEXT + "SELECT center, context FROM ct")
+def x18_style_context(spark, d):
+    return gene_texts(spark, d).select("center", R.style_context({c: F.col(c) for c in R.STYLE_LABELS}).alias("context"))
+
+
+#: A style of our own, for the query.
+STYLES = {"narrative": "Tell of it as a story.\n{context}\n---\n{base_prompt}"}
+
+
+@query(CONTEXT + "SELECT center, 'Tell of it as a story.' || chr(10) || context || chr(10) || '---' || chr(10) || 'Describe ' || center || '.' || chr(10) || chr(10) || 'Keep to facts.' || chr(10) || chr(10) || 'Emphasize these aspects if relevant: a, b, c, d, e' AS prompt FROM ct")
+def x17_styled_prompt(spark, d):
+    context = R.style_context({c: F.col(c) for c in R.STYLE_LABELS})
+    words = F.array(*[F.lit(w) for w in "abcdefg"])
+    prompt = R.styled_prompt(F.concat(F.lit("Describe "), "center", F.lit(".")), context, "narrative", STYLES, "Keep to facts.", words)
+    return gene_texts(spark, d).select("center", prompt.alias("prompt"))
+
+
+SENT = with_sql("all_edges", "all_nodes").rstrip() + f""", sent AS (SELECT e.src, e.dst, e.edge_type, e.score, coalesce(a.name, e.src) AS x, coalesce(b.name, e.dst) AS y, e.evidence
+  FROM edges e LEFT JOIN nodes a ON a.node_id = e.src LEFT JOIN nodes b ON b.node_id = e.dst),
+said AS (SELECT src, dst, edge_type, score, CASE edge_type WHEN 'PPI' THEN x || ' physically interacts with ' || y || ' (confidence: ' || {fixed_sql("coalesce(score, 0.0)", 2)} || ')'
+  WHEN 'GO' THEN x || ' participates in biological process ' || y || ' (evidence: ' || evidence || ')'
+  WHEN 'HPO' THEN x || ' is associated with phenotype ' || y || ' (frequency: ' || evidence || ')'
+  WHEN 'TRRUST' THEN x || CASE evidence WHEN 'Activation' THEN ' activates expression of ' WHEN 'Repression' THEN ' represses expression of ' ELSE ' regulates ' END || y
+  WHEN 'Reactome' THEN x || ' is involved in pathway ' || y WHEN 'CellMarker' THEN x || ' is a marker for ' || y || ' in ' || evidence
+  WHEN 'OMIM' THEN x || ' is associated with disease ' || y WHEN 'GTEx' THEN x || ' is expressed in ' || y || ' (TPM: ' || {fixed_sql("score", 1)} || ')'
+  ELSE x || ' is part of protein complex ' || y END AS text FROM sent)
 """
 
 
-@query(SENT + "SELECT src, dst, edge_type, text FROM said WHERE edge_type <> 'PPI'")
+@query(SENT + "SELECT src, dst, edge_type, text FROM said")
 def x8_triplet_sentences(spark, d):
-    return R.sentences(P.edges(spark, d, P.TYPES[1:]), P.nodes(spark, d)).drop("score")
+    return R.sentences(P.edges(spark, d, P.ALL_TYPES), P.nodes(spark, d, P.ALL_TYPES)).drop("score")
+
+
+TRIPLETS = SENT.rstrip() + ", tri AS (SELECT 't_' || (row_number() OVER (ORDER BY substr(md5(src), 1, 3), src, dst, edge_type) - 1) AS triplet_id, src, dst, edge_type, text FROM said WHERE edge_type NOT IN ('PPI', 'CORUM'))\n"
+
+
+def all_triplets(spark, d):
+    return R.triplets(P.edges(spark, d, P.ALL_TYPES), P.nodes(spark, d, P.ALL_TYPES), exclude=["PPI", "CORUM"])
+
+
+@query(TRIPLETS + "SELECT triplet_id, src, dst, edge_type, text FROM tri")
+def x11_all_triplets(spark, d):
+    return all_triplets(spark, d).drop("score")
+
+
+@query(TRIPLETS + "SELECT src AS gene, triplet_id FROM tri UNION SELECT dst, triplet_id FROM tri")
+def j15_triplet_membership(spark, d):
+    return R.membership(all_triplets(spark, d))
+
+
+@query("""WITH t AS (SELECT doc_id, 'P' || doc_id AS s, lang AS name, text, trim(split_part(coalesce(text, ''), '.', 1), ' ') AS f FROM documents)
+SELECT doc_id, 'Gene ' || s || CASE WHEN name IS NOT NULL AND name <> '' AND name <> s THEN ' (' || name || ')' ELSE '' END
+  || CASE WHEN len(f) > 20 THEN ' ' || f || '.' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' Task: which interact' ELSE '' END AS query FROM t""")
+def x12_query_text(spark, d):
+    task = F.when(F.col("doc_id") % 2 == 0, "which interact")
+    return P.table(spark, d, "documents").select("doc_id", R.query_text(P.gene("doc_id"), F.col("lang"), F.col("text"), task).alias("query"))
 
 
 @query("SELECT doc_id, CASE WHEN len(text) > 10 THEN CASE WHEN len(text) >= 200 THEN regexp_replace(substr(text, 1, 200), ' [^ ]*$', '') || '...' ELSE text END END AS description FROM documents")
