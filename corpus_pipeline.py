@@ -11,13 +11,15 @@ from graphloom.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter go."""
+    """Documents with a language: those without a letter go, and those without
+    a label get the language predicted."""
     model = langid.fit(docs, crc32_of(F.col("doc_id")) % 4 != 2)
     # other columns under names that can't clash with what is added
     names = {c: c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
     found = langid.identify(plain, model, [n for n in names.values() if n != "doc_id"])
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(n).alias(c) for c, n in names.items()])
+    own = {c: F.coalesce(n, "lang_pred") if c == "lang" else F.col(n) for c, n in names.items()}
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*[own[c].alias(c) for c in names])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
