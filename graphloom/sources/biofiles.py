@@ -1,7 +1,8 @@
 """Readers of the biomedical source files, each a plan over its text.
 
-Positions in files come with the rows where "first" or "later wins" matters
-(``monotonically_increasing_id`` within one split file order).  Every reader
+Positions in files come with the rows where "first" or "later wins" matters: rows
+of one file stand in its order, whatever other files are packed into the same
+partition, and files in the order of their names (``place``).  Every reader
 takes a path that Spark reads, compressed or not, and gives columns named
 alike; nothing is parsed on the driver but a header line.
 """
@@ -19,16 +20,22 @@ STRING_SOURCES = ("BioMart_HUGO", "Ensembl_HGNC", "Ensembl_HGNC_symbol", "BLAST_
 INHERITANCE = (("AD", "Autosomal dominant"), ("AR", "Autosomal recessive"), ("XL", "X-linked"), ("XLR", "X-linked recessive"), ("XLD", "X-linked dominant"), ("YL", "Y-linked"), ("Mi", "Mitochondrial"))
 
 
+def place() -> Column:
+    """Where a row stands: its file, the block of the file and the row in it.
+    Compared in this order, rows of any number of files are in file order."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value, pos of a text file."""
-    return spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
+    return spark.read.text(path).select("value", place().alias("pos"))
 
 
 def tsv(spark: SparkSession, path: str, names: list[str], header: bool = False, sep: str = "\t", comment: str | None = None) -> DataFrame:
     """Text columns by name, and pos."""
     schema = ", ".join(f"`{n}` string" for n in names)
     r = spark.read.schema(schema).option("sep", sep).option("header", header).option("quote", "")
-    return (r.option("comment", comment) if comment else r).csv(path).withColumn("pos", F.monotonically_increasing_id())
+    return (r.option("comment", comment) if comment else r).csv(path).select("*", place().alias("pos"))
 
 
 def symbol(c: str) -> Column:
@@ -167,13 +174,26 @@ def chromatin_states(active: DataFrame, silent: DataFrame) -> DataFrame:
 
 
 def gene_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """g1, g2, label of two files read side by side, as long as the shorter."""
-    nth = lambda df: df.withColumn("i", F.row_number().over(Window.orderBy("pos")))
-    both = nth(texts.withColumnRenamed("value", "pair")).join(nth(labels.withColumnRenamed("value", "label")).drop("pos"), "i")
+    """g1, g2, label of two files read side by side, as long as the shorter.
+    Lines (value, pos) are numbered partition by partition."""
+    both = numbered(texts.withColumnRenamed("value", "pair"), "pair").join(numbered(labels.withColumnRenamed("value", "label"), "label"), "i")
     parts = F.split(F.trim("pair"), r"\s+")
     return both.where(F.size(parts) >= 2).select(F.upper(parts[0]).alias("g1"), F.upper(parts[1]).alias("g2"), F.col("label").cast("int").alias("label"))
 
 
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """``column`` and i: places from 0 without gaps in the order of ``pos`` (see
+    ``place``).  Blocks of files are numbered side by side and shifted by the rows
+    of those before."""
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_file": F.col("pos.file"), "_start": F.col("pos.start")})
+    first = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"))
+    first = first.select("_file", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy("_file", "_start").orderBy("pos")) - 1
+    own = rows.join(F.broadcast(first), ["_file", "_start"])  # a row for each block of a file
+    return own.select(F.col(column), (F.col("_first") + nth).alias("i"))
+
+
 def without_overlap(positive: DataFrame, negative: DataFrame) -> DataFrame:
     """gene, label of two lists; genes of both are left out."""
     p, n = positive.select("gene").distinct(), negative.select("gene").distinct()
