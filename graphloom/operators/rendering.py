@@ -106,9 +106,7 @@ def subgraph_text(centers: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 # What a selection of features keeps, and what the rest says.
-FEATURES = {
-    "essential": ("ppi_info", "go_info", "phenotype_info"), "regulatory": ("tf_info", "pathway_info", "go_info"), "functional": ("go_info", "pathway_info", "ppi_info"),
-}
+FEATURES = {"essential": ("ppi_info", "go_info", "phenotype_info"), "diverse": ("ppi_info", "go_info", "phenotype_info", "tf_info", "pathway_info", "celltype_info")}
 LEFT_OUT = "Not included (feature selection)"
 
 

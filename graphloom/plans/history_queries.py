@@ -257,7 +257,7 @@ GAE = CRITIC.rstrip() + """, g0 AS (SELECT task, iteration, metric AS reward, va
 """
 
 
-@query(GAE + "SELECT task, iteration, round(td, 6) AS td, round(list_reduce(list_prepend(0.0::double, list_reverse(list(td) OVER (PARTITION BY task ORDER BY iteration ROWS BETWEEN CURRENT ROW AND 200 FOLLOWING))), lambda a, x: x + a * (0.99::double * 0.95::double)), 6) AS advantage FROM g1")
+@query(GAE + "SELECT task, iteration, round(td, 6) AS td, round(list_reduce(list_prepend(0.0::double, list_reverse(list(td) OVER (PARTITION BY task ORDER BY iteration ROWS BETWEEN CURRENT ROW AND 600 FOLLOWING))), lambda a, x: x + a * (0.99::double * 0.95::double)), 6) AS advantage FROM g1")
 def w39_gae(spark, d):
     c = critic(spark, d).withColumnRenamed("metric", "reward")
     return rounded(H.gae(c), "td", "advantage")
