@@ -261,6 +261,15 @@ def parameter_effects(history: DataFrame, params: list[str], keep: float = 0.8)
     return ema(long, ["task", "param", "value"], "iteration", "delta", keep).select("task", "param", "value", F.col("usage").alias("n"), F.col("ema").alias("effect"))
 
 
+def unexplored(effects: DataFrame, values: dict[str, list[str]], least: int = 2) -> DataFrame:
+    """task, param, value, n: of the given values those that a task has tried
+    fewer than ``least`` times."""
+    every = F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.lit(v).alias("value")) for p, own in values.items() for v in own]))
+    grid = effects.select("task").distinct().select("task", every.alias("p")).select("task", "p.*")
+    tried = grid.join(effects.select("task", "param", "value", "n"), ["task", "param", "value"], "left")
+    return tried.select("task", "param", "value", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
+
+
 def parameter_stats(history: DataFrame, params: list[str]) -> DataFrame:
     kinds = F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.col(p).cast("string").alias("value")) for p in params]))
     long = history.select("metric", kinds.alias("p")).select("metric", "p.*")

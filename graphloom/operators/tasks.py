@@ -178,6 +178,18 @@ def sampled_negatives(available: DataFrame, positives: DataFrame, ratio: float =
     return r.crossJoin(F.broadcast(n)).where("_r <= _n").select("id")  # one row
 
 
+def pooled_cells(expression: DataFrame, embeddings: DataFrame, how: str = "weighted", least: int = 10, top: int = 500) -> DataFrame:
+    """cell, dim, p: a cell's vector from those of its expressed genes (cell, id,
+    expr), of the ``top`` most expressed; cells with fewer than ``least`` such genes
+    have none.  how: mean, weighted (by expression) or max."""
+    w = Window.partitionBy("cell")
+    x = expression.where("expr > 0").join(embeddings.select("id", "emb"), "id")
+    x = x.withColumn("r", F.row_number().over(w.orderBy(F.desc("expr"), "id"))).withColumn("n", F.count("*").over(w)).where((F.col("r") <= top) & (F.col("n") >= least))
+    long = x.select("cell", "expr", F.posexplode("emb").alias("dim", "v")).groupBy("cell", "dim")
+    value = {"mean": F.avg("v"), "max": F.max("v"), "weighted": F.sum(F.col("v") * F.col("expr")) / F.sum("expr")}
+    return long.agg(value[how].alias("p"))
+
+
 def normalised_metric(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """A metric between its bounds, mapped to -1 to 1."""
     return clip((x - low) / (high - low) * 2 - 1, -1.0, 1.0)

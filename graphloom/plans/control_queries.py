@@ -138,12 +138,12 @@ def e10_davies_bouldin(spark, d):
     return rounded(E.davies_bouldin(P.embeddings(spark, d), "label", "emb"), "davies_bouldin")
 
 
-@query(with_sql("emb").rstrip() + ", q AS (SELECT id AS query_id, emb AS q FROM emb WHERE cast(substr(id, 2) AS bigint) % 25 = 0), n AS (SELECT query_id, id, label, sqrt(greatest(0, 2 - 2 * round(list_cosine_similarity(emb, q), 9))) AS d, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(emb, q), 9) DESC, id) AS r FROM emb, q WHERE id <> query_id) SELECT query_id, round(sum(label / d) / sum(1 / d), 6) AS predicted FROM n WHERE r <= 5 GROUP BY 1")
+@query(with_sql("emb").rstrip() + ", q AS (SELECT id AS query_id, emb AS q FROM emb WHERE cast(substr(id, 2) AS bigint) % 100 = 0), n AS (SELECT query_id, id, label, sqrt(greatest(0, 2 - 2 * round(list_cosine_similarity(emb, q), 9))) AS d, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(emb, q), 9) DESC, id) AS r FROM emb, q WHERE id <> query_id) SELECT query_id, round(sum(label / d) / sum(1 / d), 6) AS predicted FROM n WHERE r <= 5 GROUP BY 1")
 def e2_knn_regression(spark, d):
     from graphloom.operators import retrieval as V
 
     unit = V.normalised(P.embeddings(spark, d))
-    queries = unit.where(F.substring("id", 2, 20).cast("long") % 25 == 0).select(F.col("id").alias("query_id"), F.col("emb").alias("q_emb"))
+    queries = unit.where(F.substring("id", 2, 20).cast("long") % 100 == 0).select(F.col("id").alias("query_id"), F.col("emb").alias("q_emb"))
     near = V.filtered(V.top_k(queries, unit.select("id", "emb"), 6), 5, F.col("id") != F.col("query_id"))
     near = near.select("query_id", "id", F.sqrt(F.greatest(F.lit(0.0), 2 - F.col("score") * 2)).alias("distance"))
     return rounded(E.knn_regression(near, unit.select("id", F.col("label").cast("double").alias("y"))), "predicted")

@@ -192,6 +192,14 @@ def w25_unexplored_values(spark, d):
     return grid.join(e, ["task", "param", "value"], "left").select("task", "param", "value", F.coalesce("n", F.lit(0)).alias("n")).where("n < 2")
 
 
+@query(PARAMS + """, v AS (SELECT unnest(['edge_type', 'edge_type', 'max_hops', 'max_hops', 'sampling']) AS param, unnest(['click', 'CORUM', '3', '4', 'top_k']) AS value), t AS (SELECT DISTINCT task FROM lng)
+SELECT t.task, v.param, v.value, coalesce(pe.usage, 0) AS n FROM t CROSS JOIN v LEFT JOIN pe ON pe.task = t.task AND pe.param = v.param AND pe.value = v.value WHERE coalesce(pe.usage, 0) < 2""")
+def w25_unexplored_given_values(spark, d):
+    """Of values given, some of which no task has tried."""
+    e = H.parameter_effects(P.history(spark, d), ["sampling", "max_hops", "edge_type"])
+    return H.unexplored(e, {"edge_type": ["click", "CORUM"], "max_hops": ["3", "4"], "sampling": ["top_k"]})
+
+
 ABL = HIST.rstrip() + f""", l AS (SELECT *, lag(edge_type) {W}) AS pe, metric - lag(metric) {W}) AS delta FROM hist), mv AS (SELECT task, iteration, delta, edge_type, 'added' AS kind FROM l WHERE pe <> edge_type UNION ALL SELECT task, iteration, delta, pe, 'removed' FROM l WHERE pe <> edge_type),
 e AS """ + ema_sql("mv", "task, edge_type, kind") + """, o AS (SELECT task, edge_type, coalesce(max(usage) FILTER (WHERE kind = 'added'), 0) AS n_added, coalesce(max(usage) FILTER (WHERE kind = 'removed'), 0) AS n_removed, coalesce(max(ema) FILTER (WHERE kind = 'added'), 0.0) AS a, coalesce(max(ema) FILTER (WHERE kind = 'removed'), 0.0) AS r FROM e GROUP BY 1, 2),
 abl AS (SELECT *, a - r AS net, CASE WHEN a > 0.01 AND r < 0 THEN 'BENEFICIAL' WHEN a < -0.01 AND r > 0 THEN 'LIKELY NOISE' WHEN a < -0.01 THEN 'POSSIBLY NOISE' WHEN a > 0.01 AND r > 0 THEN 'UNCERTAIN' WHEN abs(a) < 0.005 AND abs(r) < 0.005 THEN 'NEUTRAL' ELSE 'UNCERTAIN' END AS class FROM o)

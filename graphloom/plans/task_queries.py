@@ -179,6 +179,27 @@ def e12_row_correlation(spark, d):
     return rounded(_regression(spark, d), "corr").select("id", "corr")
 
 
+CELLS = EMB + """, x AS (SELECT o_custkey AS cell, 'P' || l_partkey AS gene, cast(sum(l_quantity) AS double) AS expr FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+j AS (SELECT cell, expr, emb, row_number() OVER (PARTITION BY cell ORDER BY expr DESC, gene) AS r, count(*) OVER (PARTITION BY cell) AS n FROM x JOIN emb ON id = gene WHERE expr > 0),
+u AS (SELECT cell, unnest(emb) AS v, generate_subscripts(emb, 1) AS dim FROM j WHERE r <= 500 AND n >= 10) """
+
+
+def _cells(spark, d):
+    o = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cell"))
+    lines = P.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(o, "l_orderkey")
+    return lines.groupBy("cell", P.gene("l_partkey").alias("id")).agg(F.sum("l_quantity").cast("double").alias("expr"))
+
+
+@query(CELLS + "SELECT cell, dim - 1 AS dim, round(avg(v), 6) AS p FROM u GROUP BY 1, 2")
+def a6_cell_means(spark, d):
+    return rounded(T.pooled_cells(_cells(spark, d), P.embeddings(spark, d), "mean"), "p").withColumn("dim", F.col("dim").cast("long"))
+
+
+@query(CELLS + "SELECT cell, dim - 1 AS dim, round(max(v), 6) AS p FROM u GROUP BY 1, 2")
+def a6_cell_maxima(spark, d):
+    return rounded(T.pooled_cells(_cells(spark, d), P.embeddings(spark, d), "max"), "p").withColumn("dim", F.col("dim").cast("long"))
+
+
 METRICS = "WITH m AS (SELECT event_id AS id, value / 100.0::double AS a, value / 130.0::double AS b, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 900.0::double END AS s FROM events) "
 
 

@@ -227,7 +227,7 @@ TRIP = with_sql("trrust", "ppi", "emb").rstrip() + """,
 tr AS (SELECT src || '>' || dst || ':' || edge_type AS id, src, dst, edge_type, score AS conf FROM (SELECT * FROM ppi UNION ALL SELECT * FROM trrust)),
 unit AS (SELECT id, list_transform(emb, lambda x: x / greatest(sqrt(list_dot_product(emb, emb)), 1e-8::double)) AS emb FROM emb),
 idx AS (SELECT tr.*, unit.emb FROM tr JOIN unit ON unit.id = tr.dst),
-qs AS (SELECT id AS query_id, emb AS q_emb FROM unit WHERE cast(substr(id, 2) AS bigint) % 25 = 0),
+qs AS (SELECT id AS query_id, emb AS q_emb FROM unit WHERE cast(substr(id, 2) AS bigint) % 100 = 0),
 sc AS (SELECT query_id, idx.id, src, dst, edge_type, conf, round(list_dot_product(emb, q_emb), 9) AS score FROM idx, qs),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)
 """
@@ -238,7 +238,7 @@ def _index(spark, d):
     e = P.edges(spark, d, ("PPI", "TRRUST"))
     e = e.select(F.concat("src", F.lit(">"), "dst", F.lit(":"), "edge_type").alias("id"), "src", "dst", "edge_type", F.col("score").alias("conf"))
     index = e.join(unit.select(F.col("id").alias("dst"), "emb"), "dst")
-    queries = unit.where(F.substring("id", 2, 20).cast("long") % 25 == 0).select(F.col("id").alias("query_id"), F.col("emb").alias("q_emb"))
+    queries = unit.where(F.substring("id", 2, 20).cast("long") % 100 == 0).select(F.col("id").alias("query_id"), F.col("emb").alias("q_emb"))
     return queries, index
 
 

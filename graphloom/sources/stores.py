@@ -41,3 +41,53 @@ def migrated(document: DataFrame) -> DataFrame:
     version = F.get_json_object("json", "$.version")
     wrapped = F.concat(F.lit('{"version":"2.0","tasks":'), "json", F.lit(',"global_edge_effects":{},"task_edge_effects":{}}'))
     return document.withColumn("json", F.when(version.isNull(), wrapped).otherwise(F.col("json")))
+
+
+def save_index(triplets: DataFrame, vectors: DataFrame, path: str) -> None:
+    """An index of triplets (triplet_id, src, dst, edge_type, text) with unit vectors
+    (triplet_id, emb): one table, apart by type, and a manifest of counts by type."""
+    rows = triplets.join(vectors.select("triplet_id", "emb"), "triplet_id")
+    rows.write.mode("overwrite").partitionBy("edge_type").parquet(f"{path}/triplets")
+    rows.groupBy("edge_type").agg(F.count("*").alias("n"), F.max(F.size("emb")).alias("dim")).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index as it was saved; one whose manifest counts other rows is an error."""
+    rows, manifest = spark.read.parquet(f"{path}/triplets"), spark.read.parquet(f"{path}/manifest")
+    wanted, got = manifest.agg(F.sum("n")).first()[0] or 0, rows.count()
+    if wanted != got:
+        raise ValueError(f"{path} has {got} triplets, its manifest {wanted}")
+    return rows
+
+
+class RunLog:
+    """A run's events as an append-only table: run, at (a number of the event),
+    kind, iteration, body (a JSON document)."""
+
+    KINDS = ("baseline", "strategy", "description", "evaluation", "feedback", "reflection", "critique", "advantage", "reward", "summary", "best_strategy", "report")
+
+    def __init__(self, spark: SparkSession, path: str, run: str):
+        self.spark, self.path, self.run, self.at = spark, path, run, 0
+
+    def log(self, kind: str, iteration: int, **body) -> None:
+        import json
+
+        if kind not in self.KINDS:
+            raise ValueError(f"no kind {kind!r} of event")
+        self.at += 1
+        append(self.spark.createDataFrame([(self.run, self.at, kind, iteration, json.dumps(body, sort_keys=True))], "run string, at long, kind string, iteration long, body string"), self.path, by=["run"])
+
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).where(F.col("run") == self.run)
+
+    def best(self, metric: str = "metric") -> dict | None:
+        """The body of the evaluation with the largest metric, the first if tied."""
+        import json
+
+        value = F.get_json_object("body", f"$.{metric}").cast("double")
+        row = self.events().where("kind = 'evaluation'").orderBy(F.desc_nulls_last(value), "at").first()
+        return json.loads(row["body"]) if row else None
+
+    def report(self) -> DataFrame:
+        """kind, n, first and last iteration of the run's events."""
+        return self.events().groupBy("kind").agg(F.count("*").alias("n"), F.min("iteration").alias("first"), F.max("iteration").alias("last"))

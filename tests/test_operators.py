@@ -52,7 +52,8 @@ def test_hub_penalty(spark):
 
 def test_semantic(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], None), (None, [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
-    assert [r[0] for r in df.select(C.semantic(F.col("a"), F.col("b"))).collect()] == [0.5, 0.3, 0.5, 0.5]
+    score = C.semantic(C.dot(F.col("a"), F.col("b")), C.norm(F.col("a")), C.norm(F.col("b")))
+    assert [r[0] for r in df.select(score).collect()] == [0.5, 0.3, 0.5, 0.5]
 
 
 def test_selection_after_limits(spark):
