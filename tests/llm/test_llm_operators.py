@@ -250,6 +250,26 @@ def test_neighbours_recall_and_order(spark):
     assert [v for _, v, _ in got[60][:19]] == [v for v in range(50, 70) if v != 60]  # ties to the least ids
 
 
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_neighbours_recall_of_ten_thousand(spark, clusters):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10_000, 32))
+    if clusters:
+        x = rng.normal(size=(clusters, 32))[rng.integers(0, clusters, len(x))] * 3 + x * 0.6
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    found = 0
+    for q in range(0, len(x), 100):
+        s = (x[q] * x).sum(axis=1)
+        s[q] = -np.inf
+        true = set(np.argsort(-s, kind="stable")[:20].tolist())
+        found += len(true & set(got[q]))
+        assert all(v == s[k] for k, v in got[q].items())  # exactly, in whatever block it was computed
+    assert found / (20 * 100) >= 0.9
+
+
 def test_neighbours_few_or_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.search(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
@@ -520,6 +540,23 @@ def test_sharding(spark, mixed, none):
     assert sharding.shard_records(none, shards).count() == 0
 
 
+def test_shards_and_slots_against_brute_force(spark):
+    import math
+
+    def best(key, shards):
+        text = "" if key is None else str(key)
+        score = lambda n: -1.0 / math.log((int(hashlib.md5(f"{text}:{n}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52))
+        return max(shards, key=lambda n: (score(n), n))
+
+    rows = docs(300)
+    got = sharding.shard_records(table(spark, rows), {s: 1.0 for s in range(16)}, {s: 1.0 for s in range(17)}).collect()
+    assert sorted(((r.doc_id, r.shard, r.grown_shard) for r in got), key=repr) == sorted(((r[0], best(r[0], range(16)), best(r[0], range(17))) for r in rows), key=repr)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    body = lambda t: (t or "").encode()
+    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len(body(r[1])) + 1, zlib.crc32(body(r[1]))) for r in rows)
+
+
 def test_sharding_weights(spark):
     df = spark.range(20000).select(sharding.rendezvous_shard(F.col("id"), {0: 1.0, 1: 3.0}).alias("s"))
     assert 0.73 < df.where("s = 1").count() / 20000 < 0.77
