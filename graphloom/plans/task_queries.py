@@ -330,10 +330,10 @@ def r103_best_strategy(spark, d):
     return P.history(spark, d).groupBy("task").agg(best.alias("b")).select("task", "b.*")
 
 
-@query(HQ.CRITIC + "SELECT task, iteration, round(avg(value) OVER (PARTITION BY task ORDER BY iteration ROWS 4 PRECEDING), 6) AS baseline FROM critic")
+@query(HQ.CRITIC + "SELECT task, iteration, round(avg(value) OVER (PARTITION BY task ORDER BY iteration ROWS 4 PRECEDING), 11) AS baseline FROM critic")
 def r109_baseline_value(spark, d):
     w = Window.partitionBy("task").orderBy("iteration").rowsBetween(-4, 0)
-    return HQ.critic(spark, d).select("task", "iteration", F.round(F.avg("value").over(w), 6).alias("baseline"))
+    return HQ.critic(spark, d).select("task", "iteration", F.round(F.avg("value").over(w), 11).alias("baseline"))
 
 
 @query(HQ.HIST.rstrip() + f", l AS (SELECT *, metric - lag(metric) {HQ.W}) AS delta, row_number() {HQ.W}) AS n FROM hist) SELECT task, iteration, 'H' || lpad(cast(n AS varchar), 3, '0') AS hypothesis, CASE WHEN delta IS NULL THEN 'PROPOSED' WHEN delta > 0.02::double THEN 'VALIDATED' WHEN delta < -0.02::double THEN 'INVALIDATED' ELSE 'PROPOSED' END AS status FROM l")
