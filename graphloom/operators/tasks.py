@@ -16,7 +16,7 @@ from graphloom.operators.rendering import fixed
 from graphloom.operators.scoring import clip, dot
 
 # What an evaluation without usable rows counts as.
-EMPTY_CLASSIFICATION = {"accuracy": 0.0, "f1": 0.0, "auc": 0.5, "ap": 0.0}
+EMPTY_CLASSIFICATION = {"accuracy": 0.0, "f1": 0.0, "auc": 0.5, "ap": 0.5}
 EMPTY_REGRESSION = {"delta_correlation": 0.0, "mse": float("inf"), "de_correlation": 0.0}
 METHODS = ("no_kg", "full_kg", "rule_rag", "true_rag")
 
