@@ -49,8 +49,10 @@ def s11_go_nodes(spark, d):
     return A.go_nodes(part.select(term.alias("dst"), aspect.alias("aspect"), F.col("p_partkey").alias("pos")), known)
 
 
-HPO = f"""WITH h AS (SELECT CASE WHEN l_linenumber = 7 THEN ' ' ELSE ' p' || l_partkey || ' ' END AS gene, CASE WHEN l_linenumber = 6 THEN 'x' ELSE 'HP:' || l_suppkey % 40 END AS hpo_id,
-  'name ' || l_orderkey AS hpo_name, l_shipdate::date::varchar AS frequency, {POS} AS pos FROM lineitem), v AS (SELECT * FROM h WHERE trim(gene) <> '' AND starts_with(hpo_id, 'HP:')) """
+HPO = f"""WITH h AS (SELECT CASE WHEN l_linenumber = 7 THEN ' ' ELSE ' p' || l_partkey || ' ' END AS gene, CASE WHEN l_linenumber = 6 THEN 'x' ELSE 'HP:' ||
+  l_suppkey % 40 END AS hpo_id,
+  'name ' || l_orderkey AS hpo_name, l_shipdate::date::varchar AS frequency, {POS} AS pos FROM lineitem), v AS (SELECT * FROM h WHERE trim(gene) <> ''
+  AND starts_with(hpo_id, 'HP:')) """
 
 
 def _hpo(spark, d):
@@ -64,7 +66,8 @@ def _hpo(spark, d):
     return A.hpo_rows(rows.drop("NCBI gene"))
 
 
-@query(HPO + "SELECT hpo_id AS node_id, 'phenotypic feature' AS node_label, hpo_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY hpo_id ORDER BY pos) AS r FROM v) WHERE r = 1")
+@query(HPO + """SELECT hpo_id AS node_id, 'phenotypic feature' AS node_label, hpo_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY hpo_id ORDER BY pos) AS
+  r FROM v) WHERE r = 1""")
 def s14_phenotype_nodes(spark, d):
     return A.hpo_nodes(_hpo(spark, d))
 
@@ -74,9 +77,11 @@ def s15_phenotype_edges(spark, d):
     return A.hpo_edges(_hpo(spark, d))
 
 
-@query("""WITH c AS (SELECT n_name AS cell, CASE WHEN l_linenumber % 2 = 0 THEN 'Normal' ELSE 'Cancer' END AS kind, l_shipdate::date::varchar AS tissue, l_orderkey AS a, l_linenumber AS b, l_shipdate AS c
+@query("""WITH c AS (SELECT n_name AS cell, CASE WHEN l_linenumber % 2 = 0 THEN 'Normal' ELSE 'Cancer' END AS kind, l_shipdate::date::varchar AS tissue,
+  l_orderkey AS a, l_linenumber AS b, l_shipdate AS c
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
-SELECT 'CellMarker:' || replace(cell, ' ', '_') AS node_id, 'cell' AS node_label, cell AS name, tissue FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY a, b, c) AS r FROM c WHERE kind = 'Normal') WHERE r = 1""")
+SELECT 'CellMarker:' || replace(cell, ' ', '_') AS node_id, 'cell' AS node_label, cell AS name, tissue FROM (SELECT *, row_number() OVER (PARTITION BY
+  cell ORDER BY a, b, c) AS r FROM c WHERE kind = 'Normal') WHERE r = 1""")
 def s16_cell_nodes(spark, d):
     home = P.table(spark, d, "supplier").join(P.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
     kind = F.when(F.col("l_linenumber") % 2 == 0, "Normal").otherwise("Cancer")
@@ -94,9 +99,11 @@ def s21_pathway_hierarchy(spark, d):
 
 # ---- diseases
 
-GENEMAP = """WITH g AS (SELECT 'p' || p_partkey || ', p' || (p_partkey + 1) AS genes, 'Foo ' || p_size || ', ' || (100000 + p_partkey % 500) || ' (3); Bar ' || p_size || '; {Baz}, (AR), ' || (200000 + p_size) AS phenotypes, p_partkey AS pos FROM part),
+GENEMAP = """WITH g AS (SELECT 'p' || p_partkey || ', p' || (p_partkey + 1) AS genes, 'Foo ' || p_size || ', ' || (100000 + p_partkey % 500) || ' (3); Bar ' ||
+  p_size || '; {Baz}, (AR), ' || (200000 + p_size) AS phenotypes, p_partkey AS pos FROM part),
 e AS (SELECT genes, trim(unnest(string_split(phenotypes, ';'))) AS phenotype, pos FROM g),
-m AS (SELECT *, coalesce(nullif(list_filter(list_transform(string_split(phenotype, ','), lambda x: regexp_extract(x, '^\\s*(\\d{6})(?:\\s*\\(\\d\\))?\\s*$', 1)), lambda x: x <> '')[-1], ''), 'H' || substr(md5(phenotype), 1, 8)) AS mim FROM e) """
+m AS (SELECT *, coalesce(nullif(list_filter(list_transform(string_split(phenotype, ','), lambda x: regexp_extract(x,
+  '^\\s*(\\d{6})(?:\\s*\\(\\d\\))?\\s*$', 1)), lambda x: x <> '')[-1], ''), 'H' || substr(md5(phenotype), 1, 8)) AS mim FROM e) """
 
 
 def _genemap(spark, d):
@@ -112,7 +119,8 @@ def s25_genemap_rows(spark, d):
 
 
 @query(GENEMAP + """, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mim ORDER BY pos) AS r FROM m) WHERE r = 1)
-SELECT 'OMIM:' || mim AS node_id, 'disease' AS node_label, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(phenotype), '^\\{', ''), '\\]$', ''), '\\}$', ''), ',\\s*\\d+\\s*$', '')) AS name,
+SELECT 'OMIM:' || mim AS node_id, 'disease' AS node_label, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(phenotype),
+  '^\\{', ''), '\\]$', ''), '\\}$', ''), ',\\s*\\d+\\s*$', '')) AS name,
   CASE WHEN contains(phenotype, '(AR)') THEN 'Autosomal recessive' END AS inheritance FROM f""")
 def s28_disease_nodes(spark, d):
     return A.disease_nodes(_genemap(spark, d))
@@ -157,7 +165,8 @@ def s38_complex_nodes(spark, d):
     return A.complex_nodes(rows)
 
 
-PANGLAO = f"""WITH p AS (SELECT upper('p' || l_partkey) AS src, 'PanglaoDB:' || replace(n_name, ' ', '_') AS dst, n_name AS cell, cast(l_quantity AS double) / 100 AS sensitivity, cast(l_linenumber AS double) / 10 AS specificity, {POS} AS pos
+PANGLAO = f"""WITH p AS (SELECT upper('p' || l_partkey) AS src, 'PanglaoDB:' || replace(n_name, ' ', '_') AS dst, n_name AS cell, cast(l_quantity AS double) / 100
+  AS sensitivity, cast(l_linenumber AS double) / 10 AS specificity, {POS} AS pos
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_linenumber % 3 <> 0) """
 
 
@@ -188,8 +197,10 @@ def s42_cell_type_rows(spark, d):
 
 
 #: Of the genes by order status and flag: active and silent marks, and none.
-CHROM = """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'R'),
-b AS (SELECT p_partkey AS k FROM part WHERE p_size % 2 = 0), st AS (SELECT coalesce(a.k, r.k) AS k, CASE WHEN a.k IS NOT NULL AND r.k IS NOT NULL THEN 'bivalent' WHEN a.k IS NOT NULL THEN 'lys4_only' ELSE 'lys27_only' END AS state FROM a FULL JOIN r ON a.k = r.k),
+CHROM = """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey AS k FROM
+  lineitem WHERE l_linenumber = 2 AND l_returnflag = 'R'),
+b AS (SELECT p_partkey AS k FROM part WHERE p_size % 2 = 0), st AS (SELECT coalesce(a.k, r.k) AS k, CASE WHEN a.k IS NOT NULL AND r.k IS NOT NULL THEN
+  'bivalent' WHEN a.k IS NOT NULL THEN 'lys4_only' ELSE 'lys27_only' END AS state FROM a FULL JOIN r ON a.k = r.k),
 an AS (SELECT coalesce(st.k, b.k) AS k, coalesce(state, 'no_methylation') AS state FROM st FULL JOIN b ON st.k = b.k) """
 
 
@@ -232,7 +243,8 @@ def s54_task_labels(spark, d):
     return A.labelled(states.where("state = 'bivalent'"), bare)
 
 
-@query("SELECT DISTINCT upper(trim(n)) AS gene, y AS label FROM (SELECT p_brand AS n, 1 AS y FROM part UNION ALL SELECT p_type, 0 FROM part WHERE p_size <> 3) WHERE trim(n) <> ''")
+@query("""SELECT DISTINCT upper(trim(n)) AS gene, y AS label FROM (SELECT p_brand AS n, 1 AS y FROM part UNION ALL SELECT p_type, 0 FROM part WHERE p_size <> 3)
+  WHERE trim(n) <> ''""")
 def s61_two_column_sets(spark, d):
     rows = P.table(spark, d, "part").select(F.concat(F.lit(" "), F.lower("p_brand")).alias("yes"), F.when(F.col("p_size") != 3, F.col("p_type")).otherwise(" ").alias("no"))
     return A.two_column_sets(rows, "yes", "no")
@@ -276,7 +288,8 @@ def _gene_nodes(spark, d):
     return part.select(P.gene("p_partkey").alias("node_id"), F.lit("gene").alias("node_label"), ensembl.alias("ensembl"))
 
 
-@query("""WITH e AS (SELECT 'P' || vec_id AS id FROM embeddings), q AS (SELECT p_partkey AS k, p_size % 3 = 0 AS lost, CASE WHEN p_partkey % 7 = 0 THEN 'P' || p_partkey || '.2' WHEN p_partkey % 7 = 1 THEN 'P' || p_partkey ELSE 'ENSG' || p_partkey || '.1' END AS ensembl FROM part)
+@query("""WITH e AS (SELECT 'P' || vec_id AS id FROM embeddings), q AS (SELECT p_partkey AS k, p_size % 3 = 0 AS lost, CASE WHEN p_partkey % 7 = 0 THEN 'P' ||
+  p_partkey || '.2' WHEN p_partkey % 7 = 1 THEN 'P' || p_partkey ELSE 'ENSG' || p_partkey || '.1' END AS ensembl FROM part)
 SELECT ensembl, CASE WHEN k % 7 > 1 AND lost THEN NULL ELSE id END AS key FROM q LEFT JOIN e ON id = 'P' || k""")
 def p6_ensembl_keys(spark, d):
     """Identifiers as they are, with a version, and by the cache's symbol."""
@@ -299,9 +312,12 @@ def p5_keys_by_every_branch(spark, d):
 
 
 #: A table of genes with every kind of identifier, lists among them.
-GENES = """WITH m AS (SELECT 'P' || p_partkey AS symbol, 'E' || p_partkey AS ensembl, cast(p_partkey AS varchar) AS entrez, 'U' || p_partkey || '|' || 'V' || p_partkey % 90 AS uniprot, 'A' || p_partkey % 80 || '|' || p_brand AS alias, p_partkey AS pos FROM part),
-l AS (SELECT 'symbol' AS kind, symbol AS key, symbol, pos FROM m UNION ALL SELECT 'ensembl', ensembl, symbol, pos FROM m UNION ALL SELECT 'entrez', entrez, symbol, pos FROM m
-  UNION ALL SELECT 'uniprot', unnest(string_split(uniprot, '|')), symbol, pos FROM m UNION ALL SELECT 'alias', unnest(string_split(alias, '|')), symbol, pos FROM m),
+GENES = """WITH m AS (SELECT 'P' || p_partkey AS symbol, 'E' || p_partkey AS ensembl, cast(p_partkey AS varchar) AS entrez, 'U' || p_partkey || '|' || 'V' ||
+  p_partkey % 90 AS uniprot, 'A' || p_partkey % 80 || '|' || p_brand AS alias, p_partkey AS pos FROM part),
+l AS (SELECT 'symbol' AS kind, symbol AS key, symbol, pos FROM m UNION ALL SELECT 'ensembl', ensembl, symbol, pos FROM m UNION ALL SELECT 'entrez',
+  entrez, symbol, pos FROM m
+  UNION ALL SELECT 'uniprot', unnest(string_split(uniprot, '|')), symbol, pos FROM m UNION ALL SELECT 'alias', unnest(string_split(alias, '|')),
+  symbol, pos FROM m),
 k AS (SELECT kind, key, symbol FROM (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY pos DESC, symbol DESC) AS r FROM l) WHERE r = 1) """
 
 

@@ -16,7 +16,8 @@ from graphloom.plans.queries import SCORED, query, rounded, scores
 
 #: Responses by event: JSON with values in and out of bounds, fenced or not, or
 #: plain words.
-RESP = """WITH resp AS (SELECT event_id, event_id % 40 AS h, event_id % 457 AS n, CASE event_id % 5 WHEN 0 THEN 'TRRUST' WHEN 1 THEN 'XX' ELSE 'GO' END AS t, event_id % 3 AS form FROM events)"""
+RESP = """WITH resp AS (SELECT event_id, event_id % 40 AS h, event_id % 457 AS n, CASE event_id % 5 WHEN 0 THEN 'TRRUST' WHEN 1 THEN 'XX' ELSE 'GO' END AS t,
+  event_id % 3 AS form FROM events)"""
 
 
 def responses(spark, d):
@@ -29,22 +30,31 @@ def responses(spark, d):
     return e.select("event_id", text.alias("text"))
 
 
-@query(RESP + """ SELECT event_id, CASE WHEN t = 'XX' THEN 'PPI,GO,HPO' ELSE t END AS edge_types, greatest(1, least(3, h))::int AS max_hops, greatest(10, least(200, n))::int AS max_neighbors, CASE WHEN form = 2 THEN 'random' ELSE 'weighted' END AS sampling FROM resp""")
+@query(RESP + """ SELECT event_id, CASE WHEN t = 'XX' THEN 'PPI,GO,HPO' ELSE t END AS edge_types, greatest(1, least(3, h))::int AS max_hops, greatest(10, least(200,
+  n))::int AS max_neighbors, CASE WHEN form = 2 THEN 'random' ELSE 'weighted' END AS sampling FROM resp""")
 def x23_strategy_from_response(spark, d):
     s = responses(spark, d).withColumn("s", St.from_response(F.col("text")))
     return s.select("event_id", F.array_join("s.edge_types", ",").alias("edge_types"), "s.max_hops", "s.max_neighbors", "s.sampling")
 
 
-@query("SELECT doc_id, array_to_string(list_concat(['ppi_info', 'go_info', 'phenotype_info'], list_filter([CASE WHEN regexp_matches(lower(w), 'regulat|transcript|tf|expression') THEN 'tf_info' END, CASE WHEN regexp_matches(lower(w), 'pathway|reactome|signal') THEN 'pathway_info' END, CASE WHEN regexp_matches(lower(w), 'cell|tissue|expression|marker') THEN 'celltype_info' END], lambda x: x IS NOT NULL)), ',') AS features FROM (SELECT doc_id, (['Signal', 'gene expression', 'none', 'cell TF'])[doc_id % 4 + 1] AS w FROM documents)")
+@query("""SELECT doc_id, array_to_string(list_concat(['ppi_info', 'go_info', 'phenotype_info'], list_filter([CASE WHEN regexp_matches(lower(w),
+  'regulat|transcript|tf|expression') THEN 'tf_info' END, CASE WHEN regexp_matches(lower(w), 'pathway|reactome|signal') THEN 'pathway_info' END, CASE
+  WHEN regexp_matches(lower(w), 'cell|tissue|expression|marker') THEN 'celltype_info' END], lambda x: x IS NOT NULL)), ',') AS features FROM (SELECT
+  doc_id, (['Signal', 'gene expression', 'none', 'cell TF'])[doc_id % 4 + 1] AS w FROM documents)""")
 def x16_features_from_keywords(spark, d):
     w = F.element_at(F.array(*[F.lit(x) for x in ("Signal", "gene expression", "none", "cell TF")]), (F.col("doc_id") % 4 + 1).cast("int"))
     return P.table(spark, d, "documents").select("doc_id", F.array_join(St.features_from_keywords(F.array(w)), ",").alias("features"))
 
 
-@query(HQ.IMP + """, sc AS (SELECT task, edge_type AS edge_types, round(max(delta), 9) AS improvement FROM imp WHERE delta > 0 GROUP BY 1, 2), s AS (SELECT *, task % 10 AS family, row_number() OVER (PARTITION BY task ORDER BY improvement DESC, edge_types) AS r FROM sc),
-c AS (SELECT task AS for_task, task % 10 AS f, edge_type AS now FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r FROM hist) WHERE r = 1), top AS (SELECT * FROM s WHERE r = 1),
-u AS (SELECT for_task, 'same_task' AS source, task, edge_types, improvement, now FROM s JOIN c ON task = for_task WHERE r <= 3 UNION ALL SELECT for_task, 'similar_task', task, edge_types, improvement, now FROM s JOIN c ON family = f AND task <> for_task WHERE r <= 2 UNION ALL SELECT for_task, 'best_from', task, edge_types, improvement, now FROM top, c WHERE task <> for_task),
-k AS (SELECT *, row_number() OVER (PARTITION BY for_task ORDER BY improvement DESC, source, task, edge_types) AS rank FROM u WHERE edge_types <> now) SELECT for_task, source, task, edge_types, improvement, rank FROM k WHERE rank <= 3""")
+@query(HQ.IMP + """, sc AS (SELECT task, edge_type AS edge_types, round(max(delta), 9) AS improvement FROM imp WHERE delta > 0 GROUP BY 1, 2), s AS (SELECT *, task % 10
+  AS family, row_number() OVER (PARTITION BY task ORDER BY improvement DESC, edge_types) AS r FROM sc),
+c AS (SELECT task AS for_task, task % 10 AS f, edge_type AS now FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r
+  FROM hist) WHERE r = 1), top AS (SELECT * FROM s WHERE r = 1),
+u AS (SELECT for_task, 'same_task' AS source, task, edge_types, improvement, now FROM s JOIN c ON task = for_task WHERE r <= 3 UNION ALL SELECT
+  for_task, 'similar_task', task, edge_types, improvement, now FROM s JOIN c ON family = f AND task <> for_task WHERE r <= 2 UNION ALL SELECT
+  for_task, 'best_from', task, edge_types, improvement, now FROM top, c WHERE task <> for_task),
+k AS (SELECT *, row_number() OVER (PARTITION BY for_task ORDER BY improvement DESC, source, task, edge_types) AS rank FROM u WHERE edge_types <> now)
+  SELECT for_task, source, task, edge_types, improvement, rank FROM k WHERE rank <= 3""")
 def t11_memory_suggestions(spark, d):
     h = P.history(spark, d)
     s = H.improvements(h).where("delta > 0").groupBy("task", F.col("edge_type").alias("edge_types")).agg(F.round(F.max("delta"), 9).alias("improvement")).withColumn("family", F.col("task") % 10)
@@ -52,7 +62,10 @@ def t11_memory_suggestions(spark, d):
     return St.suggestions(s, now)
 
 
-@query(HQ.HIST.rstrip() + f", k AS (SELECT task, iteration, {HQ.KEY} AS strategy, metric FROM hist), p AS (SELECT task, strategy, count(*) AS n, avg(metric) AS mean FROM k GROUP BY 1, 2), u AS (SELECT task, strategy, round(mean + sqrt(ln(greatest(sum(n) OVER (PARTITION BY task), 2)::double) / n) * 1.414::double, 9) AS ucb FROM p), b AS (SELECT *, max(ucb) OVER (PARTITION BY task) AS best FROM u), l AS (SELECT task, strategy FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r FROM k) WHERE r = 1) SELECT task, strategy, best > ucb AS explore FROM b JOIN l USING (task, strategy)")
+@query(HQ.HIST.rstrip() + f""", k AS (SELECT task, iteration, {HQ.KEY} AS strategy, metric FROM hist), p AS (SELECT task, strategy, count(*) AS n, avg(metric) AS mean FROM k GROUP
+  BY 1, 2), u AS (SELECT task, strategy, round(mean + sqrt(ln(greatest(sum(n) OVER (PARTITION BY task), 2)::double) / n) * 1.414::double, 9) AS ucb
+  FROM p), b AS (SELECT *, max(ucb) OVER (PARTITION BY task) AS best FROM u), l AS (SELECT task, strategy FROM (SELECT *, row_number() OVER (PARTITION
+  BY task ORDER BY iteration DESC) AS r FROM k) WHERE r = 1) SELECT task, strategy, best > ucb AS explore FROM b JOIN l USING (task, strategy)""")
 def w32_ucb_decision(spark, d):
     k = HQ.strategies(spark, d).withColumn("strategy", H.strategy_key(F.col("edge_types"), F.col("max_hops"), F.col("max_neighbors"), F.col("sampling")))
     u = H.ucb(k, ["task", "strategy"], "metric").withColumn("ucb", F.round("ucb", 9))
@@ -61,41 +74,54 @@ def w32_ucb_decision(spark, d):
     return u.join(best, "task").join(now, ["task", "strategy"]).select("task", "strategy", (F.col("best") > F.col("ucb")).alias("explore"))
 
 
-@query(HQ.TREND + """, o AS (SELECT task, list(direction ORDER BY iteration) AS d FROM trend GROUP BY 1), f AS (SELECT task, len(d) AS iterations, list_reduce(list_transform(d, lambda t: {'t': t, 'b': 0.1::double, 'r': 0.1::double, 'w': 0.8::double}), lambda a, x: (
+@query(HQ.TREND + """, o AS (SELECT task, list(direction ORDER BY iteration) AS d FROM trend GROUP BY 1), f AS (SELECT task, len(d) AS iterations,
+  list_reduce(list_transform(d, lambda t: {'t': t, 'b': 0.1::double, 'r': 0.1::double, 'w': 0.8::double}), lambda a, x: (
  {'t': x.t, 'b': CASE x.t WHEN 'improving' THEN a.b + (0.1::double - a.b) * 0.3::double ELSE a.b END / (CASE x.t WHEN 'improving' THEN a.b + (0.1::double - a.b) * 0.3::double ELSE a.b END + CASE x.t WHEN 'plateau' THEN least(0.7::double, a.r + 0.05::double) WHEN 'declining' THEN greatest(0.3::double, a.r - 0.02::double) WHEN 'improving' THEN a.r + (0.1::double - a.r) * 0.3::double ELSE a.r END + CASE x.t WHEN 'declining' THEN least(0.4::double, a.w + 0.03::double) WHEN 'improving' THEN a.w + (0.8::double - a.w) * 0.3::double ELSE a.w END),
   'r': CASE x.t WHEN 'plateau' THEN least(0.7::double, a.r + 0.05::double) WHEN 'declining' THEN greatest(0.3::double, a.r - 0.02::double) WHEN 'improving' THEN a.r + (0.1::double - a.r) * 0.3::double ELSE a.r END / (CASE x.t WHEN 'improving' THEN a.b + (0.1::double - a.b) * 0.3::double ELSE a.b END + CASE x.t WHEN 'plateau' THEN least(0.7::double, a.r + 0.05::double) WHEN 'declining' THEN greatest(0.3::double, a.r - 0.02::double) WHEN 'improving' THEN a.r + (0.1::double - a.r) * 0.3::double ELSE a.r END + CASE x.t WHEN 'declining' THEN least(0.4::double, a.w + 0.03::double) WHEN 'improving' THEN a.w + (0.8::double - a.w) * 0.3::double ELSE a.w END),
-  'w': CASE x.t WHEN 'declining' THEN least(0.4::double, a.w + 0.03::double) WHEN 'improving' THEN a.w + (0.8::double - a.w) * 0.3::double ELSE a.w END / (CASE x.t WHEN 'improving' THEN a.b + (0.1::double - a.b) * 0.3::double ELSE a.b END + CASE x.t WHEN 'plateau' THEN least(0.7::double, a.r + 0.05::double) WHEN 'declining' THEN greatest(0.3::double, a.r - 0.02::double) WHEN 'improving' THEN a.r + (0.1::double - a.r) * 0.3::double ELSE a.r END + CASE x.t WHEN 'declining' THEN least(0.4::double, a.w + 0.03::double) WHEN 'improving' THEN a.w + (0.8::double - a.w) * 0.3::double ELSE a.w END)})) AS s FROM o)
+  'w': CASE x.t WHEN 'declining' THEN least(0.4::double, a.w + 0.03::double) WHEN 'improving' THEN a.w + (0.8::double - a.w) * 0.3::double ELSE a.w END / (CASE x.t WHEN 'improving' THEN a.b + (0.1::double - a.b) * 0.3::double ELSE a.b END + CASE x.t WHEN 'plateau' THEN least(0.7::double, a.r + 0.05::double) WHEN 'declining' THEN greatest(0.3::double, a.r - 0.02::double) WHEN 'improving' THEN a.r + (0.1::double - a.r) * 0.3::double ELSE a.r END + CASE x.t WHEN 'declining' THEN least(0.4::double, a.w + 0.03::double) WHEN 'improving' THEN a.w + (0.8::double - a.w) * 0.3::double ELSE a.w END)}))
+  AS s FROM o)
 SELECT task, iterations, round(s.b, 6) AS baseline, round(s.r, 6) AS relative, round(s.w, 6) AS raw FROM f""")
 def w41_adapted_weights(spark, d):
     return rounded(St.adapted_weights(H.trends(P.history(spark, d))), "baseline", "relative", "raw")
 
 
-@query(HQ.SIGNALS.rstrip() + f", pm AS (SELECT task, iteration, row_number() {HQ.W}) >= 3 AND coalesce(max_neighbors > lag(max_neighbors, 2) {HQ.W}) * 1.2::double AND max(metric) {HQ.W} ROWS 2 PRECEDING) <= lag(metric, 2) {HQ.W}) * 1.02::double, false) AS prune FROM hist) SELECT task, iteration, CASE WHEN prune AND state <> 'breakthrough' THEN 'PRUNE' WHEN state = 'breakthrough' THEN 'FINE_TUNE' WHEN state = 'stagnation' THEN 'HIGH_ENTROPY' ELSE 'ANALYZE_AND_PIVOT' END AS mode FROM sig JOIN pm USING (task, iteration)")
+@query(HQ.SIGNALS.rstrip() + f""", pm AS (SELECT task, iteration, row_number() {HQ.W}) >= 3 AND coalesce(max_neighbors > lag(max_neighbors, 2) {HQ.W}) * 1.2::double AND max(metric)
+  {HQ.W} ROWS 2 PRECEDING) <= lag(metric, 2) {HQ.W}) * 1.02::double, false) AS prune FROM hist) SELECT task, iteration, CASE WHEN prune AND state <>
+  'breakthrough' THEN 'PRUNE' WHEN state = 'breakthrough' THEN 'FINE_TUNE' WHEN state = 'stagnation' THEN 'HIGH_ENTROPY' ELSE 'ANALYZE_AND_PIVOT' END
+  AS mode FROM sig JOIN pm USING (task, iteration)""")
 def w44_thinking_mode(spark, d):
     h = HQ.strategies(spark, d)
     sig = H.reward_signals(h.join(H.strategy_distance(h), ["task", "iteration"]), F.col("distance"))
     return sig.join(H.prune_mode(h), ["task", "iteration"]).select("task", "iteration", St.thinking_mode(F.col("state"), F.col("prune")).alias("mode"))
 
 
-@query(HQ.REWARDS + """, a AS (SELECT task, iteration, round(reward, 9) AS reward FROM rewards), b AS (SELECT *, max(reward) OVER (PARTITION BY task) AS best, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS back FROM a), c AS (SELECT *, best <= 0 OR reward >= best * 0.99::double AS good FROM b), e AS (SELECT *, max(good::int) OVER (PARTITION BY task) AS n_good FROM c),
-f AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS b2 FROM e WHERE good OR (n_good = 0 AND back <= 2)), g AS (SELECT *, reward - lag(reward) OVER (PARTITION BY task ORDER BY iteration) AS d FROM f WHERE b2 <= 3)
-SELECT task, iteration, reward, CASE WHEN d IS NULL THEN 'BASELINE' WHEN d > 0 THEN 'EFFECTIVE' WHEN d < 0 THEN 'INEFFECTIVE' ELSE 'NEUTRAL' END AS effect FROM g""")
+@query(HQ.REWARDS + """, a AS (SELECT task, iteration, round(reward, 9) AS reward FROM rewards), b AS (SELECT *, max(reward) OVER (PARTITION BY task) AS best, row_number()
+  OVER (PARTITION BY task ORDER BY iteration DESC) AS back FROM a), c AS (SELECT *, best <= 0 OR reward >= best * 0.99::double AS good FROM b), e AS
+  (SELECT *, max(good::int) OVER (PARTITION BY task) AS n_good FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS b2 FROM e WHERE good OR (n_good = 0 AND back <= 2)), g AS (SELECT *,
+  reward - lag(reward) OVER (PARTITION BY task ORDER BY iteration) AS d FROM f WHERE b2 <= 3)
+SELECT task, iteration, reward, CASE WHEN d IS NULL THEN 'BASELINE' WHEN d > 0 THEN 'EFFECTIVE' WHEN d < 0 THEN 'INEFFECTIVE' ELSE 'NEUTRAL' END AS
+  effect FROM g""")
 def w49_prompt_history(spark, d):
     r = H.gated_rewards(P.history(spark, d)).select("task", "iteration", F.round("reward", 9).alias("reward"))
     return St.prompt_history(r)
 
 
-@query(HQ.WEIGHTS + ", w AS (SELECT task, edge_type, CASE WHEN hi > lo THEN round(pow((raw - lo) / (hi - lo), 0.7::double) * 0.95::double + 0.05::double, 3) ELSE 0.5::double END AS weight FROM mm) SELECT task, edge_type, CASE WHEN weight >= 0.8 THEN 'RECOMMENDED' WHEN weight >= 0.6 THEN 'useful' WHEN weight <= 0.3 THEN 'discouraged' WHEN weight <= 0.5 THEN 'neutral' ELSE '' END AS band FROM w")
+@query(HQ.WEIGHTS + """, w AS (SELECT task, edge_type, CASE WHEN hi > lo THEN round(pow((raw - lo) / (hi - lo), 0.7::double) * 0.95::double + 0.05::double, 3) ELSE
+  0.5::double END AS weight FROM mm) SELECT task, edge_type, CASE WHEN weight >= 0.8 THEN 'RECOMMENDED' WHEN weight >= 0.6 THEN 'useful' WHEN weight
+  <= 0.3 THEN 'discouraged' WHEN weight <= 0.5 THEN 'neutral' ELSE '' END AS band FROM w""")
 def x30_weight_bands(spark, d):
     return H.edge_weights(HQ.effects(spark, d)).select("task", "edge_type", St.weight_band(F.col("weight")).alias("band"))
 
 
-@query(SCORED + ", b AS (SELECT edge_type, count(*) AS n, count(*) FILTER (WHERE total < 0.4) AS l FROM scores GROUP BY 1) SELECT edge_type, edge_type || ' has ' || printf('%.0f', l / n * 100) || '% low-relevance neighbors -> consider reducing or removing' AS advice FROM b WHERE l / n > 0.5 AND n >= 10")
+@query(SCORED + """, b AS (SELECT edge_type, count(*) AS n, count(*) FILTER (WHERE total < 0.4) AS l FROM scores GROUP BY 1) SELECT edge_type, edge_type || ' has ' ||
+  printf('%.0f', l / n * 100) || '% low-relevance neighbors -> consider reducing or removing' AS advice FROM b WHERE l / n > 0.5 AND n >= 10""")
 def x22_recommendations(spark, d):
     return St.recommendations(scoring.neighbor_stats(scores(spark, d))[0])
 
 
-@query(SCORED + """, b AS (SELECT *, CASE WHEN total >= 0.7 THEN 'high' WHEN total >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM scores), r AS (SELECT *, row_number() OVER (PARTITION BY center, band ORDER BY total DESC, neighbor) AS r, count(*) OVER (PARTITION BY center, band) AS n FROM b)
+@query(SCORED + """, b AS (SELECT *, CASE WHEN total >= 0.7 THEN 'high' WHEN total >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM scores), r AS (SELECT *, row_number()
+  OVER (PARTITION BY center, band ORDER BY total DESC, neighbor) AS r, count(*) OVER (PARTITION BY center, band) AS n FROM b)
 SELECT center, band, max(n) AS n, string_agg(neighbor || ' (' || edge_type || ')', ', ' ORDER BY r) AS best FROM r WHERE r <= 5 GROUP BY 1, 2""")
 def x19_presenter_summary(spark, d):
     s = scoring.by_relevance(scores(spark, d)).withColumn("n", F.count("*").over(Window.partitionBy("center", "band"))).where("rank <= 5")
@@ -103,7 +129,9 @@ def x19_presenter_summary(spark, d):
     return g.select("center", "band", "n", F.array_join(F.transform("l", lambda x: x["t"]), ", ").alias("best"))
 
 
-@query(SCORED + ", l AS (SELECT neighbor, center, total FROM scores WHERE total < 0.4 ORDER BY total, neighbor, center LIMIT 5) SELECT (SELECT count(*) FROM scores) AS total, (SELECT count(*) FROM scores WHERE total >= 0.7) AS high, (SELECT count(*) FROM scores WHERE total < 0.4) AS low, (SELECT string_agg(neighbor, ',' ORDER BY total, neighbor, center) FROM l) AS lowest")
+@query(SCORED + """, l AS (SELECT neighbor, center, total FROM scores WHERE total < 0.4 ORDER BY total, neighbor, center LIMIT 5) SELECT (SELECT count(*) FROM scores) AS
+  total, (SELECT count(*) FROM scores WHERE total >= 0.7) AS high, (SELECT count(*) FROM scores WHERE total < 0.4) AS low, (SELECT
+  string_agg(neighbor, ',' ORDER BY total, neighbor, center) FROM l) AS lowest""")
 def a16_selection_guidance(spark, d):
     s = scores(spark, d)
     n = s.agg(F.count("*").alias("total"), F.count_if(F.col("total") >= 0.7).alias("high"), F.count_if(F.col("total") < 0.4).alias("low"))
@@ -111,7 +139,10 @@ def a16_selection_guidance(spark, d):
     return n.crossJoin(low).withColumn("lowest", F.nullif("lowest", F.lit("")))  # one row each
 
 
-@query(HQ.HIST.rstrip() + ", l AS (SELECT metric, unnest(['sampling', 'max_hops', 'edge_type']) AS param, unnest([sampling, cast(max_hops AS varchar), edge_type]) AS value FROM hist), v AS (SELECT param, value, count(*) AS n, avg(metric) AS m FROM l GROUP BY 1, 2), o AS (SELECT *, avg(m) OVER (PARTITION BY param) AS overall, row_number() OVER (PARTITION BY param ORDER BY round(m, 9) DESC, value) AS r FROM v) SELECT param, value, n, r = 1 AS best, n >= 2 AND m < overall - 0.05 AS poor FROM o")
+@query(HQ.HIST.rstrip() + """, l AS (SELECT metric, unnest(['sampling', 'max_hops', 'edge_type']) AS param, unnest([sampling, cast(max_hops AS varchar), edge_type]) AS value FROM
+  hist), v AS (SELECT param, value, count(*) AS n, avg(metric) AS m FROM l GROUP BY 1, 2), o AS (SELECT *, avg(m) OVER (PARTITION BY param) AS
+  overall, row_number() OVER (PARTITION BY param ORDER BY round(m, 9) DESC, value) AS r FROM v) SELECT param, value, n, r = 1 AS best, n >= 2 AND m <
+  overall - 0.05 AS poor FROM o""")
 def a13_historical_facts(spark, d):
     v = H.parameter_stats(P.history(spark, d), ["sampling", "max_hops", "edge_type"])
     w = Window.partitionBy("param")
@@ -119,7 +150,9 @@ def a13_historical_facts(spark, d):
     return v.withColumn("o", F.avg("avg_metric").over(w)).withColumn("r", r).select("param", "value", "n", (F.col("r") == 1).alias("best"), ((F.col("n") >= 2) & (F.col("avg_metric") < F.col("o") - 0.05)).alias("poor"))
 
 
-@query(HQ.SIGNALS.rstrip() + ", j AS (SELECT h.* FROM sig JOIN hist h USING (task, iteration) WHERE state = 'exploration_failure'), l AS (SELECT unnest(['sampling', 'max_hops', 'edge_type']) AS param, unnest([sampling, cast(max_hops AS varchar), edge_type]) AS value FROM j), c AS (SELECT param, value, count(*) AS n FROM l GROUP BY 1, 2) SELECT param, value, n FROM c WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY param ORDER BY n DESC, value) <= 2")
+@query(HQ.SIGNALS.rstrip() + """, j AS (SELECT h.* FROM sig JOIN hist h USING (task, iteration) WHERE state = 'exploration_failure'), l AS (SELECT unnest(['sampling', 'max_hops',
+  'edge_type']) AS param, unnest([sampling, cast(max_hops AS varchar), edge_type]) AS value FROM j), c AS (SELECT param, value, count(*) AS n FROM l
+  GROUP BY 1, 2) SELECT param, value, n FROM c WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY param ORDER BY n DESC, value) <= 2""")
 def a14_failure_patterns(spark, d):
     h = HQ.strategies(spark, d)
     sig = H.reward_signals(h.join(H.strategy_distance(h), ["task", "iteration"]), F.col("distance")).where("state = 'exploration_failure'").select("task", "iteration")
@@ -128,17 +161,25 @@ def a14_failure_patterns(spark, d):
     return v.withColumn("r", F.row_number().over(w)).where("r <= 2").select("param", "value", "n")
 
 
-@query(with_sql("emb") + ", p AS (SELECT a.id, a.label AS own, b.label AS other, avg(list_distance(a.emb, b.emb)) AS m FROM emb a JOIN emb b ON a.id <> b.id GROUP BY 1, 2, 3), s AS (SELECT id, max(m) FILTER (WHERE own = other) AS a, min(m) FILTER (WHERE own <> other) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s".replace("emb\n,", "emb,"))
+@query(with_sql("emb") + """, p AS (SELECT a.id, a.label AS own, b.label AS other, avg(list_distance(a.emb, b.emb)) AS m FROM emb a JOIN emb b ON a.id <> b.id GROUP BY 1, 2, 3),
+  s AS (SELECT id, max(m) FILTER (WHERE own = other) AS a, min(m) FILTER (WHERE own <> other) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS
+  NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""".replace("emb\n,", "emb,"))
 def e10_silhouette(spark, d):
     return rounded(E.silhouette(P.embeddings(spark, d), "label", "emb"), "silhouette")
 
 
-@query(with_sql("emb").rstrip() + ", lg AS (SELECT id, label, unnest(emb) AS x, generate_subscripts(emb, 1) AS dim FROM emb), c AS (SELECT label, dim, avg(x) AS c FROM lg GROUP BY 1, 2), d AS (SELECT id, label, sqrt(sum((x - c) ** 2)) AS d FROM lg JOIN c USING (label, dim) GROUP BY 1, 2), w AS (SELECT label, avg(d) AS s FROM d GROUP BY 1), r AS (SELECT a.label AS i, b.label AS j, sqrt(sum((a.c - b.c) ** 2)) AS g FROM c a JOIN c b ON a.dim = b.dim AND a.label <> b.label GROUP BY 1, 2), m AS (SELECT i, max((x.s + y.s) / g) AS r FROM r JOIN w x ON x.label = i JOIN w y ON y.label = j GROUP BY 1) SELECT round(avg(r), 6) AS davies_bouldin FROM m")
+@query(with_sql("emb").rstrip() + """, lg AS (SELECT id, label, unnest(emb) AS x, generate_subscripts(emb, 1) AS dim FROM emb), c AS (SELECT label, dim, avg(x) AS c FROM lg GROUP BY 1,
+  2), d AS (SELECT id, label, sqrt(sum((x - c) ** 2)) AS d FROM lg JOIN c USING (label, dim) GROUP BY 1, 2), w AS (SELECT label, avg(d) AS s FROM d
+  GROUP BY 1), r AS (SELECT a.label AS i, b.label AS j, sqrt(sum((a.c - b.c) ** 2)) AS g FROM c a JOIN c b ON a.dim = b.dim AND a.label <> b.label
+  GROUP BY 1, 2), m AS (SELECT i, max((x.s + y.s) / g) AS r FROM r JOIN w x ON x.label = i JOIN w y ON y.label = j GROUP BY 1) SELECT round(avg(r), 6)
+  AS davies_bouldin FROM m""")
 def e10_davies_bouldin(spark, d):
     return rounded(E.davies_bouldin(P.embeddings(spark, d), "label", "emb"), "davies_bouldin")
 
 
-@query(with_sql("emb").rstrip() + ", q AS (SELECT id AS query_id, emb AS q FROM emb WHERE cast(substr(id, 2) AS bigint) % 100 = 0), n AS (SELECT query_id, id, label, sqrt(greatest(0, 2 - 2 * round(list_cosine_similarity(emb, q), 9))) AS d, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(emb, q), 9) DESC, id) AS r FROM emb, q WHERE id <> query_id) SELECT query_id, round(sum(label / d) / sum(1 / d), 6) AS predicted FROM n WHERE r <= 5 GROUP BY 1")
+@query(with_sql("emb").rstrip() + """, q AS (SELECT id AS query_id, emb AS q FROM emb WHERE cast(substr(id, 2) AS bigint) % 100 = 0), n AS (SELECT query_id, id, label, sqrt(greatest(0, 2
+  - 2 * round(list_cosine_similarity(emb, q), 9))) AS d, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(emb, q), 9)
+  DESC, id) AS r FROM emb, q WHERE id <> query_id) SELECT query_id, round(sum(label / d) / sum(1 / d), 6) AS predicted FROM n WHERE r <= 5 GROUP BY 1""")
 def e2_knn_regression(spark, d):
     from graphloom.operators import retrieval as V
 

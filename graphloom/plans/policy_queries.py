@@ -60,13 +60,20 @@ def unit_sql(what: str) -> str:
     return f"((cast(('0x' || substr(md5('0|' || id || '|{what}'), 1, 8)) AS bigint) + 0.5::double) / 4294967296.0::double)"
 
 
-PERT = STRAT + f""", s2 AS (SELECT id, edge_types AS t, len(edge_types) AS n, greatest(10, max_neighbors) AS mn, 1 + abs(max_hops) % 3 AS mh, CASE WHEN sampling = 'other' THEN 'top_k' ELSE sampling END AS sm FROM st),
-d AS (SELECT *, cast(floor({unit_sql("swap")} * greatest(n - 1, 1)) AS int) AS sw, list_filter({TYPES}, lambda x: NOT list_contains(t, x)) AS un, list_filter(['top_k', 'random', 'weighted'], lambda x: x <> sm) AS ot FROM s2)
-SELECT id, array_to_string(CASE WHEN {unit_sql("a")} < 0.3 THEN CASE WHEN n > 1 THEN list_transform(range(0, n), lambda i: t[CASE i WHEN sw THEN i + 2 WHEN sw + 1 THEN i ELSE i + 1 END]) ELSE t END
-  WHEN {unit_sql("b")} < 0.3::double * 0.5::double THEN CASE WHEN len(un) > 0 THEN list_append(t, un[cast(floor({unit_sql("add")} * len(un)) AS int) + 1]) ELSE t END
-  WHEN {unit_sql("c")} < 0.3::double * 0.3::double AND n > 2 THEN list_filter(t, lambda x, i: i <> cast(floor({unit_sql("drop")} * n) AS int) + 1) ELSE t END, ',') AS edge_types,
- cast(CASE WHEN {unit_sql("n")} < 0.3 THEN greatest(10, least(200, floor(mn * ({unit_sql("by")} * 0.6::double + 0.7::double)))) ELSE mn END AS bigint) AS max_neighbors,
- cast(CASE WHEN {unit_sql("h")} < 0.3 THEN greatest(1, least(3, mh + CASE WHEN {unit_sql("way")} < 0.5 THEN -1 ELSE 1 END)) ELSE mh END AS bigint) AS max_hops,
+PERT = STRAT + f""", s2 AS (SELECT id, edge_types AS t, len(edge_types) AS n, greatest(10, max_neighbors) AS mn, 1 + abs(max_hops) % 3 AS mh, CASE WHEN sampling =
+  'other' THEN 'top_k' ELSE sampling END AS sm FROM st),
+d AS (SELECT *, cast(floor({unit_sql("swap")} * greatest(n - 1, 1)) AS int) AS sw, list_filter({TYPES}, lambda x: NOT list_contains(t, x)) AS un,
+  list_filter(['top_k', 'random', 'weighted'], lambda x: x <> sm) AS ot FROM s2)
+SELECT id, array_to_string(CASE WHEN {unit_sql("a")} < 0.3 THEN CASE WHEN n > 1 THEN list_transform(range(0, n), lambda i: t[CASE i WHEN sw THEN i + 2
+  WHEN sw + 1 THEN i ELSE i + 1 END]) ELSE t END
+  WHEN {unit_sql("b")} < 0.3::double * 0.5::double THEN CASE WHEN len(un) > 0 THEN list_append(t, un[cast(floor({unit_sql("add")} * len(un)) AS int) +
+  1]) ELSE t END
+  WHEN {unit_sql("c")} < 0.3::double * 0.3::double AND n > 2 THEN list_filter(t, lambda x, i: i <> cast(floor({unit_sql("drop")} * n) AS int) + 1)
+  ELSE t END, ',') AS edge_types,
+ cast(CASE WHEN {unit_sql("n")} < 0.3 THEN greatest(10, least(200, floor(mn * ({unit_sql("by")} * 0.6::double + 0.7::double)))) ELSE mn END AS bigint)
+  AS max_neighbors,
+ cast(CASE WHEN {unit_sql("h")} < 0.3 THEN greatest(1, least(3, mh + CASE WHEN {unit_sql("way")} < 0.5 THEN -1 ELSE 1 END)) ELSE mh END AS bigint) AS
+  max_hops,
  CASE WHEN {unit_sql("s")} < 0.3::double * 0.5::double THEN ot[cast(floor({unit_sql("m")} * len(ot)) AS int) + 1] ELSE sm END AS sampling FROM d"""
 
 
@@ -87,7 +94,9 @@ def _tasks(spark):
 
 
 _task_sql = "WITH tk AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {(k * 37 % 100) / 100}::double, {(k * 53 % 100) / 100}::double, {(k * 71 % 100) / 100}::double, {(k * 29 % 100) / 100}::double)" for k, t in enumerate(TASKS)) + ") t(task, auc, f1, accuracy, ari)) "
-_weights_sql = "SELECT task, CASE WHEN task LIKE 'perturbation%' THEN 0.05::double ELSE 0.1::double END AS baseline_weight, 0.1::double AS relative_weight, CASE WHEN task LIKE 'perturbation%' THEN 0.85::double ELSE 0.8::double END AS raw_weight, 0.0::double AS improvement_bonus, -0.05::double AS plateau_penalty FROM tk"
+_weights_sql = """SELECT task, CASE WHEN task LIKE 'perturbation%' THEN 0.05::double ELSE 0.1::double END AS baseline_weight, 0.1::double AS relative_weight, CASE WHEN
+  task LIKE 'perturbation%' THEN 0.85::double ELSE 0.8::double END AS raw_weight, 0.0::double AS improvement_bonus, -0.05::double AS plateau_penalty
+  FROM tk"""
 
 
 @query(_task_sql + _weights_sql)
@@ -95,7 +104,10 @@ def w42_reward_weights(spark, d):
     return Po.reward_weights(_tasks(spark).select("task"))
 
 
-@query("WITH e AS (SELECT event_id AS id, event_id % 7 / 10.0::double AS b, event_id % 5 / 10.0::double AS r, event_id % 11 / 10.0::double AS w FROM events), t AS (SELECT *, b + r + w AS t FROM e) SELECT id, abs(t - 1.0::double) < 0.01::double AS valid, round(b / CASE WHEN t > 0 THEN t ELSE 1 END, 9) AS baseline_weight, round(r / CASE WHEN t > 0 THEN t ELSE 1 END, 9) AS relative_weight, round(w / CASE WHEN t > 0 THEN t ELSE 1 END, 9) AS raw_weight FROM t")
+@query("""WITH e AS (SELECT event_id AS id, event_id % 7 / 10.0::double AS b, event_id % 5 / 10.0::double AS r, event_id % 11 / 10.0::double AS w FROM events),
+  t AS (SELECT *, b + r + w AS t FROM e) SELECT id, abs(t - 1.0::double) < 0.01::double AS valid, round(b / CASE WHEN t > 0 THEN t ELSE 1 END, 9) AS
+  baseline_weight, round(r / CASE WHEN t > 0 THEN t ELSE 1 END, 9) AS relative_weight, round(w / CASE WHEN t > 0 THEN t ELSE 1 END, 9) AS raw_weight
+  FROM t""")
 def r14_normalised_weights(spark, d):
     k = F.col("event_id")
     e = P.table(spark, d, "events").select(k.alias("id"), (k % 7 / 10.0).alias("baseline_weight"), (k % 5 / 10.0).alias("relative_weight"), (k % 11 / 10.0).alias("raw_weight"))
@@ -103,15 +115,21 @@ def r14_normalised_weights(spark, d):
 
 
 _advice_sql = """SELECT task, array_to_string(list_filter(list_concat(
- CASE WHEN fam = 'ppi' AND auc < 0.7 THEN {ppi} ELSE [] END, CASE WHEN fam = 'genetype' AND f1 < 0.7 THEN {genetype} ELSE [] END, CASE WHEN fam = 'ggi' AND auc < 0.7 THEN {ggi} ELSE [] END,
- CASE WHEN fam = 'cell' AND f1 < 0.7 THEN {cell} ELSE [] END, CASE WHEN fam = 'phenotype' AND auc < 0.7 THEN {phenotype} ELSE [] END, CASE WHEN fam = 'celltype' AND f1 < 0.7 THEN {celltype} ELSE [] END,
- CASE WHEN fam = 'dosage' AND accuracy < 0.7 THEN {dosage} ELSE [] END, [CASE WHEN fam = 'ppi' AND f1 < auc - 0.1::double THEN 'Class imbalance detected - consider adjusting negative sampling' END],
+ CASE WHEN fam = 'ppi' AND auc < 0.7 THEN {ppi} ELSE [] END, CASE WHEN fam = 'genetype' AND f1 < 0.7 THEN {genetype} ELSE [] END, CASE WHEN fam =
+  'ggi' AND auc < 0.7 THEN {ggi} ELSE [] END,
+ CASE WHEN fam = 'cell' AND f1 < 0.7 THEN {cell} ELSE [] END, CASE WHEN fam = 'phenotype' AND auc < 0.7 THEN {phenotype} ELSE [] END, CASE WHEN fam =
+  'celltype' AND f1 < 0.7 THEN {celltype} ELSE [] END,
+ CASE WHEN fam = 'dosage' AND accuracy < 0.7 THEN {dosage} ELSE [] END, [CASE WHEN fam = 'ppi' AND f1 < auc - 0.1::double THEN
+  'Class imbalance detected - consider adjusting negative sampling' END],
  [CASE WHEN fam = 'cell' AND ari < 0.5 THEN 'Low clustering agreement - embeddings may lack cell-type specificity' END],
- CASE WHEN fam = 'geneattribute' AND auc < 0.7 THEN ['Focus on regulatory network information (TRRUST edges)', 'Include GO biological process annotations'] ELSE [] END,
+ CASE WHEN fam = 'geneattribute' AND auc < 0.7 THEN ['Focus on regulatory network information (TRRUST edges)',
+  'Include GO biological process annotations'] ELSE [] END,
  [CASE WHEN fam = 'geneattribute' AND contains(task, 'dosage') THEN 'Prioritize gene essentiality and constraint information' END],
- [CASE WHEN fam = 'geneattribute' AND NOT contains(task, 'dosage') AND regexp_matches(task, 'methylation|lys4|bivalent') THEN 'Focus on chromatin state and epigenetic context' END],
+ [CASE WHEN fam = 'geneattribute' AND NOT contains(task, 'dosage') AND regexp_matches(task, 'methylation|lys4|bivalent') THEN
+  'Focus on chromatin state and epigenetic context' END],
  CASE WHEN v < 0.6 THEN {general} ELSE [] END), lambda x: x IS NOT NULL), ';') AS advice
-FROM (SELECT *, CASE fam WHEN 'ppi' THEN auc WHEN 'ggi' THEN auc WHEN 'phenotype' THEN auc WHEN 'geneattribute' THEN auc WHEN 'dosage' THEN accuracy ELSE f1 END AS v FROM (SELECT *, split_part(task, '_', 1) AS fam FROM tk))"""
+FROM (SELECT *, CASE fam WHEN 'ppi' THEN auc WHEN 'ggi' THEN auc WHEN 'phenotype' THEN auc WHEN 'geneattribute' THEN auc WHEN 'dosage' THEN accuracy
+  ELSE f1 END AS v FROM (SELECT *, split_part(task, '_', 1) AS fam FROM tk))"""
 _lists = {k: "[" + ", ".join(f"'{t}'" for t in v) + "]" for k, v in Po.ADVICE.items()} | {"general": "[" + ", ".join(f"'{t}'" for t in Po.GENERAL_ADVICE) + "]"}
 
 
@@ -121,8 +139,11 @@ def x29_task_advice(spark, d):
 
 
 #: Proposals beside the strategy of two events before, with a mode and an advantage.
-PROP = f"""WITH ev AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn FROM events), a AS (SELECT event_id AS id, ({TYPES})[1:event_id % 6 + 1] AS pt, 10 + event_id % 191 AS pn, 1 + event_id % 3 AS ph, (['top_k', 'random', 'weighted'])[event_id % 3 + 1] AS ps,
- ({TYPES})[1:event_id % 5 + 1] AS ct, 10 + event_id % 97 AS cn, 1 + event_id % 2 AS ch, (['top_k', 'random', 'weighted'])[event_id % 2 + 1] AS cs, CASE WHEN event_id % 4 = 0 THEN 'FINE_TUNE' ELSE 'HIGH_ENTROPY' END AS mode, event_id % 9 / 20.0::double AS distance, event_id % 11 / 10.0::double - 0.5::double AS adv FROM events) """
+PROP = f"""WITH ev AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn FROM events), a AS (SELECT event_id AS id, ({TYPES})[1:event_id % 6 + 1] AS pt, 10 +
+  event_id % 191 AS pn, 1 + event_id % 3 AS ph, (['top_k', 'random', 'weighted'])[event_id % 3 + 1] AS ps,
+ ({TYPES})[1:event_id % 5 + 1] AS ct, 10 + event_id % 97 AS cn, 1 + event_id % 2 AS ch, (['top_k', 'random', 'weighted'])[event_id % 2 + 1] AS cs,
+  CASE WHEN event_id % 4 = 0 THEN 'FINE_TUNE' ELSE 'HIGH_ENTROPY' END AS mode, event_id % 9 / 20.0::double AS distance, event_id % 11 / 10.0::double -
+  0.5::double AS adv FROM events) """
 
 
 def _proposals(spark, d):
@@ -136,21 +157,28 @@ def _proposals(spark, d):
     )
 
 
-@query(PROP + f"""SELECT id, array_to_string(CASE WHEN far OR list_sort(pt) <> list_sort(ct) THEN pt WHEN len(ct) < 5 THEN list_append(ct, list_filter({TYPES}, lambda x: NOT list_contains(ct, x))[1]) WHEN len(ct) > 2 THEN ct[1:len(ct) - 1] ELSE pt END, ',') AS edge_types,
- CASE WHEN far OR abs(pn - cn) >= 30 THEN pn ELSE least(200, greatest(10, cn + 40)) END AS max_neighbors, CASE WHEN far OR ps <> cs THEN ps ELSE list_filter(['top_k', 'random', 'weighted'], lambda x: x <> cs)[1] END AS sampling
+@query(PROP + f"""SELECT id, array_to_string(CASE WHEN far OR list_sort(pt) <> list_sort(ct) THEN pt WHEN len(ct) < 5 THEN list_append(ct, list_filter({TYPES}, lambda
+  x: NOT list_contains(ct, x))[1]) WHEN len(ct) > 2 THEN ct[1:len(ct) - 1] ELSE pt END, ',') AS edge_types,
+ CASE WHEN far OR abs(pn - cn) >= 30 THEN pn ELSE least(200, greatest(10, cn + 40)) END AS max_neighbors, CASE WHEN far OR ps <> cs THEN ps ELSE
+  list_filter(['top_k', 'random', 'weighted'], lambda x: x <> cs)[1] END AS sampling
  FROM (SELECT *, mode <> 'HIGH_ENTROPY' OR distance >= 0.3::double AS far FROM a)""")
 def w47_enforced_strategies(spark, d):
     return Po.enforced(_proposals(spark, d)).withColumn("edge_types", F.array_join("edge_types", ","))
 
 
-@query(PROP + """SELECT id, array_to_string(c, ',') AS changes, CASE WHEN len(c) = 0 THEN 'similar' WHEN adv > 0.1 THEN 'explore' WHEN adv < -0.2 THEN 'caution' ELSE 'allow' END AS advice FROM (
- SELECT *, list_filter([CASE WHEN list_sort(pt) <> list_sort(ct) THEN 'edge_types' END, CASE WHEN ph <> ch THEN 'max_hops' END, CASE WHEN abs(pn - cn) > 20 THEN 'max_neighbors' END, CASE WHEN ps <> cs THEN 'sampling' END], lambda x: x IS NOT NULL) AS c FROM a)""")
+@query(PROP + """SELECT id, array_to_string(c, ',') AS changes, CASE WHEN len(c) = 0 THEN 'similar' WHEN adv > 0.1 THEN 'explore' WHEN adv < -0.2 THEN 'caution' ELSE
+  'allow' END AS advice FROM (
+ SELECT *, list_filter([CASE WHEN list_sort(pt) <> list_sort(ct) THEN 'edge_types' END, CASE WHEN ph <> ch THEN 'max_hops' END, CASE WHEN abs(pn - cn)
+  > 20 THEN 'max_neighbors' END, CASE WHEN ps <> cs THEN 'sampling' END], lambda x: x IS NOT NULL) AS c FROM a)""")
 def w48_consistency_advice(spark, d):
     return Po.consistency_advice(_proposals(spark, d)).withColumn("changes", F.array_join("changes", ","))
 
 
-@query(SCORED + """, po AS (SELECT 'P' || p_partkey AS center, (['top_k', 'threshold', 'retain_all', 'other'])[p_partkey % 4 + 1] AS mode, p_partkey % 3 * 4 AS k, p_partkey % 2 * 0.5::double AS th FROM part WHERE p_partkey % 10 <> 0),
-x AS (SELECT s.*, CASE mode WHEN 'top_k' THEN row_number() OVER (PARTITION BY s.center ORDER BY total DESC, neighbor) <= CASE WHEN k > 0 THEN k ELSE 20 END WHEN 'threshold' THEN total >= CASE WHEN th > 0 THEN th ELSE 0.4::double END ELSE true END AS sel FROM scores s LEFT JOIN po ON po.center = s.center)
+@query(SCORED + """, po AS (SELECT 'P' || p_partkey AS center, (['top_k', 'threshold', 'retain_all', 'other'])[p_partkey % 4 + 1] AS mode, p_partkey % 3 * 4 AS k,
+  p_partkey % 2 * 0.5::double AS th FROM part WHERE p_partkey % 10 <> 0),
+x AS (SELECT s.*, CASE mode WHEN 'top_k' THEN row_number() OVER (PARTITION BY s.center ORDER BY total DESC, neighbor) <= CASE WHEN k > 0 THEN k ELSE
+  20 END WHEN 'threshold' THEN total >= CASE WHEN th > 0 THEN th ELSE 0.4::double END ELSE true END AS sel FROM scores s LEFT JOIN po ON po.center =
+  s.center)
 SELECT center, count(*) AS n, count(*) FILTER (WHERE sel) AS kept FROM x GROUP BY 1""")
 def t9_policies_by_gene(spark, d):
     k = F.col("p_partkey")
@@ -162,7 +190,8 @@ def t9_policies_by_gene(spark, d):
 
 #: Scores with no task and with what memory suggests of some neighbours.
 FREE = SCORED.replace("CASE WHEN in_task THEN 1.0::double WHEN node_label = 'gene' THEN 0.4::double ELSE 0.2::double END AS task_relevance", "0.5::double AS task_relevance").replace(
-    "coalesce((ema + 1) / 2, 0.5::double) AS memory", "CASE WHEN starts_with(neighbor, 'P') AND cast(substr(neighbor, 2) AS bigint) % 5 = 0 THEN coalesce((ema + 1) / 2, 0.5::double) * 0.6::double + 0.25::double * 0.4::double ELSE coalesce((ema + 1) / 2, 0.5::double) END AS memory"
+    "coalesce((ema + 1) / 2, 0.5::double) AS memory", """CASE WHEN starts_with(neighbor, 'P') AND cast(substr(neighbor, 2) AS bigint) % 5 = 0 THEN coalesce((ema + 1) / 2, 0.5::double) * 0.6::double +
+  0.25::double * 0.4::double ELSE coalesce((ema + 1) / 2, 0.5::double) END AS memory"""
 ).replace("0.4::double + 0.2::double + CASE WHEN ec", "0.4::double + CASE WHEN ec").replace("least((degree - 100) / 400.0::double, 1.0::double) * 0.3::double", "least((degree - 100) / 400.0::double, 1.0::double) * 0.3::double").replace("degree > 100 AND NOT in_task", "degree > 100")
 
 
@@ -178,16 +207,21 @@ def m4_scores_without_task(spark, d):
     return rounded(out, *cols, places=9).select("center", "neighbor", "edge_type", *cols)
 
 
-@query(SCORED + f", m AS (SELECT center, count(*) AS n, round(avg(total), 9) AS a, count(*) FILTER (WHERE total >= 0.7) AS h, count(*) FILTER (WHERE total < 0.4) AS l FROM scores GROUP BY 1) SELECT center, center || ': ' || n || ' neighbors, avg=' || {fixed_sql('a', 2)} || ', high=' || h || ', low=' || l AS text FROM m")
+@query(SCORED + f""", m AS (SELECT center, count(*) AS n, round(avg(total), 9) AS a, count(*) FILTER (WHERE total >= 0.7) AS h, count(*) FILTER (WHERE total < 0.4) AS l
+  FROM scores GROUP BY 1) SELECT center, center || ': ' || n || ' neighbors, avg=' || {fixed_sql('a', 2)} || ', high=' || h || ', low=' || l AS text
+  FROM m""")
 def a17_minimal_summary(spark, d):
     return Po.minimal_summary(scores(spark, d))
 
 
 _three = lambda c: fixed_sql(c, 3)
 DETAIL = SCORED + f""", o AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY total DESC, neighbor) AS r FROM scores),
-dt AS (SELECT center, '## Detailed Neighbor Analysis for ' || center || chr(10) || 'Total neighbors: ' || count(*) || chr(10) || chr(10) || string_agg('### ' || r || '. ' || neighbor || chr(10) || '  - Edge type: ' || edge_type || ' (' || direction || ')' || chr(10)
- || '  - Total score: ' || {_three("total")} || ' (confidence: ' || {fixed_sql("confidence", 2)} || ')' || chr(10) || '  - Breakdown:' || chr(10) || '    * Structural: ' || {_three("structural")} || chr(10) || '    * Task relevance: ' || {_three("task_relevance")} || chr(10)
- || '    * Semantic: ' || {_three("semantic")} || chr(10) || '    * Memory: ' || {_three("memory")} || chr(10), chr(10) ORDER BY r) AS text FROM o GROUP BY 1) """
+dt AS (SELECT center, '## Detailed Neighbor Analysis for ' || center || chr(10) || 'Total neighbors: ' || count(*) || chr(10) || chr(10) ||
+  string_agg('### ' || r || '. ' || neighbor || chr(10) || '  - Edge type: ' || edge_type || ' (' || direction || ')' || chr(10)
+ || '  - Total score: ' || {_three("total")} || ' (confidence: ' || {fixed_sql("confidence", 2)} || ')' || chr(10) || '  - Breakdown:' || chr(10) ||
+  '    * Structural: ' || {_three("structural")} || chr(10) || '    * Task relevance: ' || {_three("task_relevance")} || chr(10)
+ || '    * Semantic: ' || {_three("semantic")} || chr(10) || '    * Memory: ' || {_three("memory")} || chr(10), chr(10) ORDER BY r) AS text FROM o
+  GROUP BY 1) """
 
 
 @query(DETAIL + "SELECT center, md5(text) AS text_md5, len(text) AS n_chars FROM dt")
@@ -198,11 +232,17 @@ def x20_presenter_detailed(spark, d):
 
 ANALYSIS = SCORED + f""", b AS (SELECT *, CASE WHEN total >= 0.7 THEN 1 WHEN total >= 0.4 THEN 2 ELSE 3 END AS b FROM scores),
 r AS (SELECT *, row_number() OVER (PARTITION BY center, b ORDER BY total DESC, neighbor) AS r, count(*) OVER (PARTITION BY center, b) AS n FROM b),
-g AS (SELECT center, b, max(n) AS n, string_agg(neighbor || ' (' || {fixed_sql("total", 2)} || ', ' || edge_type || ')', ', ' ORDER BY r) AS t, string_agg(neighbor, ', ' ORDER BY r) FILTER (WHERE r <= 5) AS lows FROM r WHERE r <= 10 GROUP BY 1, 2),
-s AS (SELECT *, CASE b WHEN 1 THEN '### High relevance (score >= 0.7): ' WHEN 2 THEN '### Medium relevance (0.4 - 0.7): ' ELSE '### Low relevance (score < 0.4): ' END || n || ' neighbors' || chr(10) || '  ' || t || CASE WHEN n > 10 THEN chr(10) || '  ... and ' || (n - 10) || ' more' ELSE '' END || chr(10) AS txt FROM g),
-c AS (SELECT center, sum(n)::bigint AS n, string_agg(txt, chr(10) ORDER BY b) AS txt, max(n) FILTER (WHERE b = 1) AS h, max(n) FILTER (WHERE b = 2) AS m, max(n) FILTER (WHERE b = 3) AS l, max(lows) FILTER (WHERE b = 3) AS lows FROM s GROUP BY 1),
-an AS (SELECT center, array_to_string(list_filter(['## Neighbor Analysis for ' || center || chr(10) || 'Total neighbors: ' || n || chr(10), txt, '### Recommendations', CASE WHEN l > 3 THEN '- Consider excluding low-relevance neighbors: ' || lows END,
- CASE WHEN h IS NULL AND m IS NOT NULL THEN '- No high-relevance neighbors found. Consider broadening edge types.' END, CASE WHEN h > 10 THEN '- Many high-relevance neighbors (' || h || '). Consider using top_k selection.' END], lambda x: x IS NOT NULL), chr(10)) AS text FROM c) """
+g AS (SELECT center, b, max(n) AS n, string_agg(neighbor || ' (' || {fixed_sql("total", 2)} || ', ' || edge_type || ')', ', ' ORDER BY r) AS t,
+  string_agg(neighbor, ', ' ORDER BY r) FILTER (WHERE r <= 5) AS lows FROM r WHERE r <= 10 GROUP BY 1, 2),
+s AS (SELECT *, CASE b WHEN 1 THEN '### High relevance (score >= 0.7): ' WHEN 2 THEN '### Medium relevance (0.4 - 0.7): ' ELSE
+  '### Low relevance (score < 0.4): ' END || n || ' neighbors' || chr(10) || '  ' || t || CASE WHEN n > 10 THEN chr(10) || '  ... and ' || (n - 10) ||
+  ' more' ELSE '' END || chr(10) AS txt FROM g),
+c AS (SELECT center, sum(n)::bigint AS n, string_agg(txt, chr(10) ORDER BY b) AS txt, max(n) FILTER (WHERE b = 1) AS h, max(n) FILTER (WHERE b = 2) AS
+  m, max(n) FILTER (WHERE b = 3) AS l, max(lows) FILTER (WHERE b = 3) AS lows FROM s GROUP BY 1),
+an AS (SELECT center, array_to_string(list_filter(['## Neighbor Analysis for ' || center || chr(10) || 'Total neighbors: ' || n || chr(10), txt,
+  '### Recommendations', CASE WHEN l > 3 THEN '- Consider excluding low-relevance neighbors: ' || lows END,
+ CASE WHEN h IS NULL AND m IS NOT NULL THEN '- No high-relevance neighbors found. Consider broadening edge types.' END, CASE WHEN h > 10 THEN
+  '- Many high-relevance neighbors (' || h || '). Consider using top_k selection.' END], lambda x: x IS NOT NULL), chr(10)) AS text FROM c) """
 
 
 @query(ANALYSIS + "SELECT center, text FROM an")
@@ -210,14 +250,17 @@ def x19_neighbor_analysis(spark, d):
     return Po.analysis(scores(spark, d))
 
 
-@query(ANALYSIS + ", q AS (SELECT cast(substr(center, 2) AS bigint) // 5 AS batch, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY center) AS text FROM an GROUP BY 1) SELECT batch, md5(text) AS text_md5 FROM q")
+@query(ANALYSIS + """, q AS (SELECT cast(substr(center, 2) AS bigint) // 5 AS batch, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY center) AS
+  text FROM an GROUP BY 1) SELECT batch, md5(text) AS text_md5 FROM q""")
 def x21_analysis_of_several(spark, d):
     """Genes in batches of five."""
     t = Po.analysis(scores(spark, d)).withColumn("batch", F.floor(F.substring("center", 2, 20).cast("long") / 5))
     return Po.several(t, ["batch"]).select("batch", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query(ANALYSIS + ", gd AS (SELECT center, count(*) AS n, count(*) FILTER (WHERE total >= 0.7) AS h, count(*) FILTER (WHERE total < 0.4) AS l FROM scores GROUP BY 1) SELECT center, text || chr(10) || chr(10) || '## Neighbor Selection Guidance' || chr(10) || 'Analyzed ' || n || ' total neighbors: ' || h || ' high, ' || l || ' low.' AS text FROM an JOIN gd USING (center)")
+@query(ANALYSIS + """, gd AS (SELECT center, count(*) AS n, count(*) FILTER (WHERE total >= 0.7) AS h, count(*) FILTER (WHERE total < 0.4) AS l FROM scores GROUP BY 1)
+  SELECT center, text || chr(10) || chr(10) || '## Neighbor Selection Guidance' || chr(10) || 'Analyzed ' || n || ' total neighbors: ' || h ||
+  ' high, ' || l || ' low.' AS text FROM an JOIN gd USING (center)""")
 def x35_analysis_section(spark, d):
     s = scores(spark, d)
     g = s.groupBy("center").agg(F.count("*").alias("n"), F.count_if(F.col("total") >= scoring.HIGH).alias("h"), F.count_if(F.col("total") < scoring.LOW).alias("l"))
@@ -230,20 +273,29 @@ def _signed_sql(x: str) -> str:
 
 
 @query(HQ.ABL + f""", r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY round(net, 9) DESC, edge_type) AS k FROM abl WHERE n_added + n_removed >= 2)
-SELECT task, '## EDGE TYPE ABLATION HISTORY (Marginal Contributions)' || chr(10) || string_agg('- **' || edge_type || '**: added=' || {_signed_sql("a")} || ' (n=' || n_added || '), removed=' || {_signed_sql("r")} || ' (n=' || n_removed || ') -> **' || class || '** (net=' || {_signed_sql("net")} || ')', chr(10) ORDER BY k) AS text FROM r GROUP BY 1""")
+SELECT task, '## EDGE TYPE ABLATION HISTORY (Marginal Contributions)' || chr(10) || string_agg('- **' || edge_type || '**: added=' ||
+  {_signed_sql("a")} || ' (n=' || n_added || '), removed=' || {_signed_sql("r")} || ' (n=' || n_removed || ') -> **' || class || '** (net=' ||
+  {_signed_sql("net")} || ')', chr(10) ORDER BY k) AS text FROM r GROUP BY 1""")
 def x31_ablation_text(spark, d):
     return Po.ablation_text(H.ablation(HQ.strategies(spark, d)))
 
 
-@query(HQ.PARAMS + f""", q AS (SELECT task, param, value, round(ema, 9) AS e FROM pe), k AS (SELECT *, row_number() OVER (PARTITION BY task, param ORDER BY e DESC, value) AS b, row_number() OVER (PARTITION BY task, param ORDER BY e, value) AS w FROM q),
-l AS (SELECT task, param || '1' AS p, '- ' || param || ': ' || value || ' worked well (effect: +' || {fixed_sql("e", 3)} || ')' AS t FROM k WHERE b = 1 AND e > 0 UNION ALL SELECT task, param || '2', '- ' || param || ': avoid ' || value || ' (effect: ' || {fixed_sql("e", 3)} || ')' FROM k WHERE w = 1 AND e < 0),
-s AS (SELECT task, string_agg(t, chr(10) ORDER BY p) AS t FROM l GROUP BY 1) SELECT task, coalesce('Based on historical performance:' || chr(10) || t, 'No historical guidance available yet.') AS text FROM (SELECT DISTINCT task FROM pe) LEFT JOIN s USING (task)""")
+@query(HQ.PARAMS + f""", q AS (SELECT task, param, value, round(ema, 9) AS e FROM pe), k AS (SELECT *, row_number() OVER (PARTITION BY task, param ORDER BY e DESC, value) AS
+  b, row_number() OVER (PARTITION BY task, param ORDER BY e, value) AS w FROM q),
+l AS (SELECT task, param || '1' AS p, '- ' || param || ': ' || value || ' worked well (effect: +' || {fixed_sql("e", 3)} || ')' AS t FROM k WHERE b =
+  1 AND e > 0 UNION ALL SELECT task, param || '2', '- ' || param || ': avoid ' || value || ' (effect: ' || {fixed_sql("e", 3)} || ')' FROM k WHERE w =
+  1 AND e < 0),
+s AS (SELECT task, string_agg(t, chr(10) ORDER BY p) AS t FROM l GROUP BY 1) SELECT task, coalesce('Based on historical performance:' || chr(10) || t,
+  'No historical guidance available yet.') AS text FROM (SELECT DISTINCT task FROM pe) LEFT JOIN s USING (task)""")
 def x33_parameter_text(spark, d):
     return Po.parameter_text(H.parameter_effects(P.history(spark, d), ["sampling", "max_hops", "edge_type"]))
 
 
-@query(HQ.IMP + f""", x AS (SELECT task, edge_type, round(max(delta), 9) AS improvement FROM imp WHERE delta > 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY improvement DESC, edge_type) AS k FROM x)
-SELECT task AS for_task, '## Suggestions (from previous successful runs):' || chr(10) || chr(10) || string_agg('### Suggestion ' || k || ' (from same_task):' || chr(10) || '- Edge types: ' || edge_type || chr(10) || '- Improvement: +' || {fixed_sql("improvement", 4)} || chr(10), chr(10) ORDER BY k) AS text FROM r WHERE k <= 3 GROUP BY 1""")
+@query(HQ.IMP + f""", x AS (SELECT task, edge_type, round(max(delta), 9) AS improvement FROM imp WHERE delta > 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER
+  (PARTITION BY task ORDER BY improvement DESC, edge_type) AS k FROM x)
+SELECT task AS for_task, '## Suggestions (from previous successful runs):' || chr(10) || chr(10) || string_agg('### Suggestion ' || k ||
+  ' (from same_task):' || chr(10) || '- Edge types: ' || edge_type || chr(10) || '- Improvement: +' || {fixed_sql("improvement", 4)} || chr(10),
+  chr(10) ORDER BY k) AS text FROM r WHERE k <= 3 GROUP BY 1""")
 def x32_suggestion_text(spark, d):
     s = H.improvements(P.history(spark, d)).where("delta > 0").groupBy(F.col("task").alias("for_task"), F.col("edge_type").alias("edge_types")).agg(F.round(F.max("delta"), 9).alias("improvement"))
     w = Window.partitionBy("for_task").orderBy(F.desc("improvement"), "edge_types")
@@ -251,7 +303,8 @@ def x32_suggestion_text(spark, d):
     return Po.suggestion_text(s)
 
 
-@query(STRAT + """ SELECT id, '["' || array_to_string(list_sort(edge_types), '","') || '"]' AS types, CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END AS flag, cast(max_neighbors AS varchar) AS neighbors, '{"a":' || id || ',"b":1}' AS weights FROM st""")
+@query(STRAT + """ SELECT id, '["' || array_to_string(list_sort(edge_types), '","') || '"]' AS types, CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END AS flag,
+  cast(max_neighbors AS varchar) AS neighbors, '{"a":' || id || ',"b":1}' AS weights FROM st""")
 def x34_value_keys(spark, d):
     s = _strategies(spark, d)
     weights = F.create_map(F.lit("b"), F.lit(1).cast("long"), F.lit("a"), F.col("id").cast("long"))
@@ -262,7 +315,8 @@ def x34_value_keys(spark, d):
 
 
 #: Responses: a JSON block, a broken one, or none.
-COT = """SELECT event_id AS id, 'diag ' || event_id AS biological_diagnosis, CASE event_id % 4 WHEN 3 THEN '' ELSE 'say ' || event_id END AS statement, CASE WHEN event_id % 4 IN (0, 1) THEN 'base "q"' ELSE '' END AS biological_basis,
+COT = """SELECT event_id AS id, 'diag ' || event_id AS biological_diagnosis, CASE event_id % 4 WHEN 3 THEN '' ELSE 'say ' || event_id END AS statement, CASE
+  WHEN event_id % 4 IN (0, 1) THEN 'base "q"' ELSE '' END AS biological_basis,
  CASE event_id % 4 WHEN 3 THEN '' ELSE 'f ' || event_id % 9 END AS falsification_criteria FROM events"""
 
 

@@ -181,8 +181,10 @@ ppi AS (SELECT 'P' || a.l_partkey AS src, 'P' || b.l_partkey AS dst, 'PPI' AS ed
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey, o_orderpriority)""",
     "trrust": """trrust AS (SELECT 'P' || l_partkey AS src, 'P' || nxt AS dst, 'TRRUST' AS edge_type, NULL::double AS score, min(kind) AS evidence FROM (
   SELECT l_partkey, CASE l_returnflag WHEN 'A' THEN 'Activation' WHEN 'R' THEN 'Repression' ELSE 'Unknown' END AS kind,
-  lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS nxt FROM lineitem) WHERE nxt <> l_partkey GROUP BY l_partkey, nxt)""",
-    "cellmarker": """cellmarker AS (SELECT DISTINCT 'P' || l_partkey AS src, 'CellMarker:' || replace(n_name, ' ', '_') AS dst, 'CellMarker' AS edge_type, NULL::double AS score, r_name AS evidence
+  lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS nxt FROM lineitem) WHERE nxt <>
+  l_partkey GROUP BY l_partkey, nxt)""",
+    "cellmarker": """cellmarker AS (SELECT DISTINCT 'P' || l_partkey AS src, 'CellMarker:' || replace(n_name, ' ', '_') AS dst, 'CellMarker' AS edge_type, NULL::double AS
+  score, r_name AS evidence
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "reactome": """reactome AS (SELECT DISTINCT 'P' || l_partkey AS src, 'R-HSA-' || c_mktsegment AS dst, 'Reactome' AS edge_type, NULL::double AS score, 'TAS' AS evidence
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)""",
@@ -190,11 +192,13 @@ ppi AS (SELECT 'P' || a.l_partkey AS src, 'P' || b.l_partkey AS dst, 'PPI' AS ed
 SQL |= {
     "omim": """omim AS (SELECT 'P' || p_partkey AS src, 'OMIM:' || replace(p_type, ' ', '_') AS dst, 'OMIM' AS edge_type, NULL::double AS score,
   CASE p_size % 3 WHEN 0 THEN 'Autosomal dominant' WHEN 1 THEN 'Autosomal recessive' END AS evidence FROM part)""",
-    "gtex": """tpm AS (SELECT l_partkey, n_name, cast(sum(l_quantity) AS double) AS tpm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+    "gtex": """tpm AS (SELECT l_partkey, n_name, cast(sum(l_quantity) AS double) AS tpm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON
+  s_nationkey = n_nationkey GROUP BY 1, 2),
 gtex AS (SELECT 'P' || l_partkey AS src, 'GTEx:' || replace(n_name, ' ', '_') AS dst, 'GTEx' AS edge_type, tpm AS score,
   cast(cast(floor(tpm * 1000 / max(tpm) OVER (PARTITION BY l_partkey)) AS bigint) AS varchar) AS evidence FROM tpm)""",
     "corum": """member AS (SELECT DISTINCT l_partkey, l_suppkey % 50 AS c FROM lineitem), units AS (SELECT c, count(*) AS n FROM member GROUP BY 1),
-corum AS (SELECT 'P' || l_partkey AS src, 'CORUM:' || c AS dst, 'CORUM' AS edge_type, NULL::double AS score, cast(n AS varchar) AS evidence FROM member JOIN units USING (c))""",
+corum AS (SELECT 'P' || l_partkey AS src, 'CORUM:' || c AS dst, 'CORUM' AS edge_type, NULL::double AS score, cast(n AS varchar) AS evidence FROM
+  member JOIN units USING (c))""",
 }
 
 
@@ -218,7 +222,8 @@ SQL["edges"], SQL["all_edges"] = _edges_sql(TYPES), _edges_sql(ALL_TYPES)
 SQL["nodes"], SQL["all_nodes"] = _nodes_sql(TYPES), _nodes_sql(ALL_TYPES)
 SQL["incident"] = """inc AS (SELECT src AS center, dst AS neighbor, edge_type, score, evidence, 'out' AS direction FROM edges
   UNION ALL SELECT dst, src, edge_type, score, evidence, 'in' FROM edges WHERE edge_type = 'PPI')"""
-SQL["history"] = """hist AS (SELECT user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, least(1.0::double, value / 100.0::double) AS metric, event_type AS edge_type,
+SQL["history"] = """hist AS (SELECT user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, least(1.0::double, value /
+  100.0::double) AS metric, event_type AS edge_type,
   10 + event_id % 191 AS max_neighbors, 1 + event_id % 3 AS max_hops, (['top_k', 'random', 'weighted'])[event_id % 3 + 1] AS sampling FROM events)"""
 SQL["emb"] = "emb AS (SELECT 'P' || vec_id AS id, embedding::double[] AS emb, label FROM embeddings)"
 

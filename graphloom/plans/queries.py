@@ -59,7 +59,8 @@ def g1b_random_neighbors(spark, d):
     return graph.typed_neighbors(P.edges(spark, d), 8, "random", seed="7").select("center", "edge_type", "neighbor", "rank")
 
 
-@query(INC + f""", r AS (SELECT *, row_number() OVER (PARTITION BY center, edge_type ORDER BY -ln({HASH.format(s='7')}) / pow(greatest(0.1::double, coalesce(score, 1.0::double)), CASE edge_type WHEN 'PPI' THEN 0.5::double ELSE 1.0::double END), neighbor, direction) AS rank FROM inc)
+@query(INC + f""", r AS (SELECT *, row_number() OVER (PARTITION BY center, edge_type ORDER BY -ln({HASH.format(s='7')}) / pow(greatest(0.1::double, coalesce(score,
+  1.0::double)), CASE edge_type WHEN 'PPI' THEN 0.5::double ELSE 1.0::double END), neighbor, direction) AS rank FROM inc)
 SELECT center, edge_type, neighbor, rank FROM r WHERE rank <= CASE edge_type WHEN 'PPI' THEN 5 ELSE 8 END""")
 def g1c_weighted_neighbors(spark, d):
     return graph.typed_neighbors(P.edges(spark, d), 8, "weighted", {"PPI": 0.5}, "7").select("center", "edge_type", "neighbor", "rank")
@@ -75,13 +76,15 @@ def g2_summary(spark, d):
     return graph.summary(P.edges(spark, d), P.TYPES)
 
 
-@query(with_sql("trrust", "ppi", "emb").rstrip() + """, edges AS (SELECT * FROM ppi UNION ALL SELECT * FROM trrust), inc AS (SELECT src AS center, dst AS neighbor, edge_type, score, 'out' AS direction FROM edges UNION ALL SELECT dst, src, edge_type, score, 'in' FROM edges WHERE edge_type = 'PPI'),
+@query(with_sql("trrust", "ppi", "emb").rstrip() + """, edges AS (SELECT * FROM ppi UNION ALL SELECT * FROM trrust), inc AS (SELECT src AS center, dst AS neighbor, edge_type, score, 'out' AS direction
+  FROM edges UNION ALL SELECT dst, src, edge_type, score, 'in' FROM edges WHERE edge_type = 'PPI'),
 c AS (SELECT 'P' || p_partkey AS center FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY center, edge_type ORDER BY coalesce(score, 0) DESC, neighbor, direction) AS rank FROM inc),
 h1 AS (SELECT DISTINCT center, neighbor AS node FROM r JOIN c USING (center) WHERE rank <= 5 AND center <> neighbor),
 g AS (SELECT center AS node, neighbor, max(coalesce(score, 0)) AS score FROM inc GROUP BY 1, 2),
 z AS (SELECT center, count(*) AS size FROM h1 GROUP BY 1),
-f AS (SELECT h1.center, g.neighbor, row_number() OVER (PARTITION BY h1.center, h1.node ORDER BY g.score DESC, g.neighbor) AS r, greatest(5, 10 // size) AS own FROM h1 JOIN z USING (center) JOIN g ON g.node = h1.node),
+f AS (SELECT h1.center, g.neighbor, row_number() OVER (PARTITION BY h1.center, h1.node ORDER BY g.score DESC, g.neighbor) AS r, greatest(5, 10 //
+  size) AS own FROM h1 JOIN z USING (center) JOIN g ON g.node = h1.node),
 h2 AS (SELECT DISTINCT center, neighbor AS node FROM f WHERE r <= own)
 SELECT center, center AS node, 0::bigint AS hop FROM c UNION ALL SELECT center, node, 1 FROM h1
 UNION ALL SELECT center, node, 2 FROM h2 WHERE node <> center AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.center = h2.center AND h1.node = h2.node)""")
@@ -123,7 +126,8 @@ def g14_ppi_pairs(spark, d):
     return graph.undirected_pairs(P.edges(spark, d, ("PPI",)))
 
 
-@query(with_sql("edges") + "SELECT src, dst, edge_type FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY list_position(['PPI','GO','HPO','TRRUST','CellMarker','Reactome'], edge_type) DESC) AS r FROM edges) WHERE r = 1")
+@query(with_sql("edges") + """SELECT src, dst, edge_type FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY
+  list_position(['PPI','GO','HPO','TRRUST','CellMarker','Reactome'], edge_type) DESC) AS r FROM edges) WHERE r = 1""")
 def d3_collapse_multi_edges(spark, d):
     return graph.collapse_multi_edges(P.edges(spark, d), P.TYPES).select("src", "dst", "edge_type")
 
@@ -154,15 +158,21 @@ nb0 AS (SELECT *, row_number() OVER (PARTITION BY center, edge_type ORDER BY coa
 nb AS (SELECT center, neighbor, edge_type, direction FROM nb0 WHERE rank <= 10),
 lst AS (SELECT *, row_number() OVER (PARTITION BY center, neighbor ORDER BY edge_type DESC, direction DESC) AS r FROM nb),
 ema AS (SELECT edge_type, ema FROM (VALUES ('PPI', 0.2::double), ('GO', -0.1::double), ('TRRUST', 0.4::double)) t(edge_type, ema)),
-s0 AS (SELECT l.center, l.neighbor, l.edge_type, l.direction, coalesce(degree, 0) AS degree, t.id IS NOT NULL AS in_task, node_label, ec.emb AS ec, en.emb AS en, ema.ema
-  FROM lst l LEFT JOIN deg ON node = neighbor LEFT JOIN (SELECT id FROM emb WHERE label = 0) t ON t.id = neighbor LEFT JOIN nodes ON node_id = neighbor
+s0 AS (SELECT l.center, l.neighbor, l.edge_type, l.direction, coalesce(degree, 0) AS degree, t.id IS NOT NULL AS in_task, node_label, ec.emb AS ec,
+  en.emb AS en, ema.ema
+  FROM lst l LEFT JOIN deg ON node = neighbor LEFT JOIN (SELECT id FROM emb WHERE label = 0) t ON t.id = neighbor LEFT JOIN nodes ON node_id =
+  neighbor
   LEFT JOIN emb en ON en.id = neighbor LEFT JOIN emb ec ON ec.id = center LEFT JOIN ema ON ema.edge_type = l.edge_type WHERE r = 1),
-s1 AS (SELECT *, greatest(0.0::double, least(1.0::double, least(ln(1.0::double + degree) / ln(501.0::double), 1.0::double) * 0.4::double + CASE edge_type WHEN 'PPI' THEN 0.7::double WHEN 'TRRUST' THEN 0.75::double WHEN 'CellMarker' THEN 0.7::double ELSE 0.8::double END * 0.4::double + 0.1::double
-    - CASE WHEN degree > 100 AND NOT in_task THEN least((degree - 100) / 400.0::double, 1.0::double) * 0.3::double ELSE 0.0::double END)) AS structural,
+s1 AS (SELECT *, greatest(0.0::double, least(1.0::double, least(ln(1.0::double + degree) / ln(501.0::double), 1.0::double) * 0.4::double + CASE
+  edge_type WHEN 'PPI' THEN 0.7::double WHEN 'TRRUST' THEN 0.75::double WHEN 'CellMarker' THEN 0.7::double ELSE 0.8::double END * 0.4::double +
+  0.1::double
+    - CASE WHEN degree > 100 AND NOT in_task THEN least((degree - 100) / 400.0::double, 1.0::double) * 0.3::double ELSE 0.0::double END)) AS
+  structural,
   CASE WHEN in_task THEN 1.0::double WHEN node_label = 'gene' THEN 0.4::double ELSE 0.2::double END AS task_relevance,
   CASE WHEN ec IS NULL THEN 0.5::double WHEN en IS NULL THEN 0.3::double ELSE (list_cosine_similarity(ec, en) + 1) / 2 END AS semantic,
   coalesce((ema + 1) / 2, 0.5::double) AS memory,
-  0.4::double + 0.2::double + CASE WHEN ec IS NOT NULL AND en IS NOT NULL THEN 0.25::double ELSE 0.0::double END + 0.15::double AS confidence FROM s0),
+  0.4::double + 0.2::double + CASE WHEN ec IS NOT NULL AND en IS NOT NULL THEN 0.25::double ELSE 0.0::double END + 0.15::double AS confidence FROM
+  s0),
 sc AS (SELECT *, structural * 0.2::double + task_relevance * 0.35::double + semantic * 0.25::double + memory * 0.2::double AS raw FROM s1),
 scores AS (SELECT * EXCLUDE (raw), round(raw, 9) AS total FROM sc)
 """
@@ -183,19 +193,23 @@ def m6_neighbor_scores(spark, d):
     return rounded(scores(spark, d), *cols, places=9).select("center", "neighbor", "edge_type", "direction", *cols)
 
 
-@query(SCORED + "SELECT center, neighbor, rank FROM (SELECT center, neighbor, row_number() OVER (PARTITION BY center ORDER BY total DESC, neighbor) AS rank FROM scores WHERE total >= 0.45) WHERE rank <= 5")
+@query(SCORED + """SELECT center, neighbor, rank FROM (SELECT center, neighbor, row_number() OVER (PARTITION BY center ORDER BY total DESC, neighbor) AS rank FROM scores
+  WHERE total >= 0.45) WHERE rank <= 5""")
 def t1_top_neighbors(spark, d):
     s = scores(spark, d).where("total >= 0.45")
     w = Window.partitionBy("center").orderBy(F.desc("total"), "neighbor")
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("center", "neighbor", "rank")
 
 
-@query(SCORED + ", b AS (SELECT *, CASE WHEN total >= 0.7 THEN 'high' WHEN total >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM scores) SELECT center, neighbor, band, row_number() OVER (PARTITION BY center, band ORDER BY total DESC, neighbor) AS rank FROM b")
+@query(SCORED + """, b AS (SELECT *, CASE WHEN total >= 0.7 THEN 'high' WHEN total >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM scores) SELECT center, neighbor,
+  band, row_number() OVER (PARTITION BY center, band ORDER BY total DESC, neighbor) AS rank FROM b""")
 def t2_relevance_bands(spark, d):
     return scoring.by_relevance(scores(spark, d)).select("center", "neighbor", "band", "rank")
 
 
-STATS = "SELECT center, count(*) AS n_total, count(*) FILTER (WHERE sel) AS n_selected, count(*) FILTER (WHERE NOT sel) AS n_excluded, round(count(*) FILTER (WHERE sel) / count(*), 6) AS selection_rate, round(avg(total) FILTER (WHERE sel), 6) AS avg_selected, round(min(total) FILTER (WHERE sel), 6) AS min_selected, round(avg(total) FILTER (WHERE NOT sel), 6) AS avg_excluded FROM x GROUP BY 1"
+STATS = """SELECT center, count(*) AS n_total, count(*) FILTER (WHERE sel) AS n_selected, count(*) FILTER (WHERE NOT sel) AS n_excluded, round(count(*) FILTER
+  (WHERE sel) / count(*), 6) AS selection_rate, round(avg(total) FILTER (WHERE sel), 6) AS avg_selected, round(min(total) FILTER (WHERE sel), 6) AS
+  min_selected, round(avg(total) FILTER (WHERE NOT sel), 6) AS avg_excluded FROM x GROUP BY 1"""
 
 
 def _stats(selected: DataFrame) -> DataFrame:
@@ -223,7 +237,9 @@ def t6_select_exclude(spark, d):
     return _stats(scoring.select(scores(spark, d), "exclude", exclude=gone))
 
 
-T7 = SCORED + ", t AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY total DESC, neighbor) <= 20 AS s0 FROM scores), n AS (SELECT *, sum(s0::int) OVER (PARTITION BY center, edge_type ORDER BY total DESC, neighbor ROWS UNBOUNDED PRECEDING) AS n FROM t), x AS (SELECT *, s0 AND n <= CASE edge_type WHEN 'PPI' THEN 4 WHEN 'GO' THEN 2 ELSE 1000000 END AS sel FROM n) "
+T7 = SCORED + """, t AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY total DESC, neighbor) <= 20 AS s0 FROM scores), n AS (SELECT *, sum(s0::int) OVER
+  (PARTITION BY center, edge_type ORDER BY total DESC, neighbor ROWS UNBOUNDED PRECEDING) AS n FROM t), x AS (SELECT *, s0 AND n <= CASE edge_type
+  WHEN 'PPI' THEN 4 WHEN 'GO' THEN 2 ELSE 1000000 END AS sel FROM n) """
 
 
 @query(T7 + STATS)
@@ -243,9 +259,11 @@ def a10_selection_summary(spark, d):
     return per.agg(F.count("*").alias("genes"), F.sum("t").alias("total"), F.sum("s").alias("selected")).withColumn("rate", F.round(F.col("selected") / F.col("total"), 6))
 
 
-@query(SCORED + """, own AS (SELECT neighbor, avg(total) AS own, count(DISTINCT center) AS n FROM scores GROUP BY 1), pr AS (SELECT DISTINCT edge_type, neighbor FROM scores),
+@query(SCORED + """, own AS (SELECT neighbor, avg(total) AS own, count(DISTINCT center) AS n FROM scores GROUP BY 1), pr AS (SELECT DISTINCT edge_type, neighbor FROM
+  scores),
 a AS (SELECT edge_type, avg(own) AS avg_score, count(*) AS n_unique, count(*) * 30 AS est_tokens FROM pr JOIN own USING (neighbor) GROUP BY 1),
-b AS (SELECT edge_type, count(*) AS n_rows, count(*) FILTER (WHERE total >= 0.7) AS n_high, count(*) FILTER (WHERE total < 0.7 AND total >= 0.4) AS n_medium, count(*) FILTER (WHERE total < 0.4) AS n_low FROM scores GROUP BY 1)
+b AS (SELECT edge_type, count(*) AS n_rows, count(*) FILTER (WHERE total >= 0.7) AS n_high, count(*) FILTER (WHERE total < 0.7 AND total >= 0.4) AS
+  n_medium, count(*) FILTER (WHERE total < 0.4) AS n_low FROM scores GROUP BY 1)
 SELECT edge_type, n_rows, n_high, n_medium, n_low, round(avg_score, 6) AS avg_score, n_unique, est_tokens FROM a JOIN b USING (edge_type)""")
 def a1_neighbor_stats(spark, d):
     return rounded(scoring.neighbor_stats(scores(spark, d))[0], "avg_score")

@@ -99,7 +99,8 @@ def r87_best_metric(spark, d):
     return P.history(spark, d).groupBy("task").agg(F.round(F.max("metric"), 9).alias("best_metric"), F.count("*").alias("n"))
 
 
-@query(HIST.rstrip() + ", r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r FROM hist) SELECT task, iteration, edge_type, max_neighbors, max_hops, sampling FROM r WHERE r = 1")
+@query(HIST.rstrip() + """, r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r FROM hist) SELECT task, iteration, edge_type, max_neighbors,
+  max_hops, sampling FROM r WHERE r = 1""")
 def r90_last_strategy(spark, d):
     last = F.max_by(F.struct("iteration", "edge_type", "max_neighbors", "max_hops", "sampling"), "iteration")
     return P.history(spark, d).groupBy("task").agg(last.alias("s")).select("task", "s.*")
@@ -110,7 +111,9 @@ def r102_current_values(spark, d):
     return rounded(HQ.critic(spark, d).groupBy("task").agg(F.max_by("value", "iteration").alias("value")), "value", places=9)
 
 
-LEDGER = HIST.rstrip() + f", l AS (SELECT *, metric - lag(metric) {W}) AS delta, row_number() {W}) AS n FROM hist), led AS (SELECT task, iteration, 'H' || lpad(cast(n AS varchar), greatest(3, len(cast(n AS varchar)))::int, '0') AS hypothesis, CASE WHEN delta > 0.02::double THEN 'VALIDATED' WHEN delta < -0.02::double THEN 'INVALIDATED' ELSE 'PROPOSED' END AS status FROM l) "
+LEDGER = HIST.rstrip() + f""", l AS (SELECT *, metric - lag(metric) {W}) AS delta, row_number() {W}) AS n FROM hist), led AS (SELECT task, iteration, 'H' || lpad(cast(n AS
+  varchar), greatest(3, len(cast(n AS varchar)))::int, '0') AS hypothesis, CASE WHEN delta > 0.02::double THEN 'VALIDATED' WHEN delta < -0.02::double
+  THEN 'INVALIDATED' ELSE 'PROPOSED' END AS status FROM l) """
 
 
 @query(LEDGER + "SELECT task, hypothesis, status FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY iteration DESC) AS r FROM led) WHERE r = 1")
@@ -175,7 +178,9 @@ def r242_reward_sums(spark, d):
     return rounded(_keys(spark, d).groupBy("task", "strategy").agg(F.sum("metric").alias("total"), F.count("*").alias("visits")), "total", places=9)
 
 
-@query(KEYS + f", v AS (SELECT task, iteration, strategy, row_number() OVER (PARTITION BY task, strategy ORDER BY iteration) AS visit FROM k) SELECT task, iteration, visit, CASE WHEN iteration % 10 = 0 THEN 'forced' WHEN visit = 1 THEN 'ucb' WHEN {PQ.unit_sql('x').replace('id', 'task')} < 0.2 THEN 'epsilon' ELSE 'exploit' END AS decision FROM v")
+@query(KEYS + f""", v AS (SELECT task, iteration, strategy, row_number() OVER (PARTITION BY task, strategy ORDER BY iteration) AS visit FROM k) SELECT task, iteration,
+  visit, CASE WHEN iteration % 10 = 0 THEN 'forced' WHEN visit = 1 THEN 'ucb' WHEN {PQ.unit_sql('x').replace('id', 'task')} < 0.2 THEN 'epsilon' ELSE
+  'exploit' END AS decision FROM v""")
 def r243_decisions(spark, d):
     """Forced exploration, then the bound's, then chance; the first that holds."""
     from graphloom.operators.graph import unit_hash
@@ -200,7 +205,8 @@ def r253_trend_text(spark, d):
     return t.select("task", "iteration", text.alias("text"))
 
 
-@query(HQ.SIGNALS + "SELECT task, iteration, state = 'stagnation' AS plateau, CASE state WHEN 'breakthrough' THEN 'A new best.' WHEN 'stagnation' THEN 'Small change without gain: try something else.' ELSE 'The change did not help: learn from it.' END AS message FROM sig")
+@query(HQ.SIGNALS + """SELECT task, iteration, state = 'stagnation' AS plateau, CASE state WHEN 'breakthrough' THEN 'A new best.' WHEN 'stagnation' THEN
+  'Small change without gain: try something else.' ELSE 'The change did not help: learn from it.' END AS message FROM sig""")
 def r262_signal_messages(spark, d):
     h = HQ.strategies(spark, d)
     s = H.reward_signals(h.join(H.strategy_distance(h), ["task", "iteration"]), F.col("distance"))
@@ -218,7 +224,9 @@ def r267_state_text(spark, d):
 # ---- tasks, cells, sources
 
 
-@query(PQ._task_sql + "SELECT task, CASE split_part(task, '_', 1) WHEN 'ppi' THEN 'auc' WHEN 'ggi' THEN 'auc' WHEN 'phenotype' THEN 'auc' WHEN 'geneattribute' THEN 'auc' WHEN 'dosage' THEN 'accuracy' ELSE 'f1' END AS metric, CASE task WHEN 'ppi' THEN 'PPI Prediction' WHEN 'genetype' THEN 'Gene Type Classification' WHEN 'ggi' THEN 'Gene-Gene Interaction' WHEN 'cell' THEN 'Cell Type Classification' ELSE upper(task) END AS name FROM tk")
+@query(PQ._task_sql + """SELECT task, CASE split_part(task, '_', 1) WHEN 'ppi' THEN 'auc' WHEN 'ggi' THEN 'auc' WHEN 'phenotype' THEN 'auc' WHEN 'geneattribute' THEN 'auc'
+  WHEN 'dosage' THEN 'accuracy' ELSE 'f1' END AS metric, CASE task WHEN 'ppi' THEN 'PPI Prediction' WHEN 'genetype' THEN 'Gene Type Classification'
+  WHEN 'ggi' THEN 'Gene-Gene Interaction' WHEN 'cell' THEN 'Cell Type Classification' ELSE upper(task) END AS name FROM tk""")
 def r180_task_names(spark, d):
     family, metric, name = F.substring_index("task", "_", 1), F.lit("f1"), F.upper("task")
     for t, m in Po.PRIMARY.items():
@@ -250,7 +258,9 @@ def r208_class_names(spark, d):
     return names.agg(F.count("*").alias("n_classes"), F.array_join(F.array_sort(F.collect_list("l")), ",").alias("names"))
 
 
-@query(TQ.PAIRS + f", j AS (SELECT k, g1, g2, g.label, CASE WHEN g1 <= g2 THEN list_concat(a.emb, b.emb) ELSE list_concat(b.emb, a.emb) END AS x FROM g JOIN emb a ON a.id = upper(g1) JOIN emb b ON b.id = g2) SELECT CASE WHEN k % 10 < 8 THEN 'train' WHEN k % 10 = 8 THEN 'val' ELSE 'test' END AS split, g1, g2, label, {TQ.probe_sql()} FROM j")
+@query(TQ.PAIRS + f""", j AS (SELECT k, g1, g2, g.label, CASE WHEN g1 <= g2 THEN list_concat(a.emb, b.emb) ELSE list_concat(b.emb, a.emb) END AS x FROM g JOIN emb a ON a.id
+  = upper(g1) JOIN emb b ON b.id = g2) SELECT CASE WHEN k % 10 < 8 THEN 'train' WHEN k % 10 = 8 THEN 'val' ELSE 'test' END AS split, g1, g2, label,
+  {TQ.probe_sql()} FROM j""")
 def r210_features_with_splits(spark, d):
     own = TQ._three(spark, d).select("split", "g1", "g2", "label")
     out = None
@@ -285,7 +295,8 @@ def r268_headers(spark, d):
     return spark.createDataFrame(list(R.HEADERS.items()), "edge_type string, header string")
 
 
-@query("SELECT 'P' || k AS symbol, coalesce(p_name, 'P' || k) AS name, CASE WHEN p_partkey IS NULL THEN 'unknown' ELSE 'gene' END AS label FROM (SELECT vec_id AS k FROM embeddings) LEFT JOIN part ON p_partkey = k")
+@query("""SELECT 'P' || k AS symbol, coalesce(p_name, 'P' || k) AS name, CASE WHEN p_partkey IS NULL THEN 'unknown' ELSE 'gene' END AS label FROM (SELECT vec_id
+  AS k FROM embeddings) LEFT JOIN part ON p_partkey = k""")
 def r269_node_info(spark, d):
     e = P.table(spark, d, "embeddings").select(P.gene("vec_id").alias("node_id"))
     n = P.nodes(spark, d).select("node_id", "name", "node_label")
@@ -293,8 +304,11 @@ def r269_node_info(spark, d):
     return j.select(F.col("node_id").alias("symbol"), F.coalesce("name", "node_id").alias("name"), F.coalesce("node_label", F.lit("unknown")).alias("label"))
 
 
-@query(PQ.ANALYSIS + f""", m AS (SELECT center, count(*) AS n, round(avg(total), 9) AS a, count(*) FILTER (WHERE total >= 0.7) AS h, count(*) FILTER (WHERE total < 0.4) AS l FROM scores GROUP BY 1),
-gs AS (SELECT 'P' || p_partkey AS center, p_partkey % 2 AS odd FROM part) SELECT gs.center, CASE WHEN an.center IS NULL THEN 'No neighbors found for ' || gs.center WHEN odd = 1 THEN text ELSE m.center || ': ' || n || ' neighbors, avg=' || {XQ.fixed_sql('a', 2)} || ', high=' || h || ', low=' || l END AS text FROM gs LEFT JOIN an ON an.center = gs.center LEFT JOIN m ON m.center = gs.center""")
+@query(PQ.ANALYSIS + f""", m AS (SELECT center, count(*) AS n, round(avg(total), 9) AS a, count(*) FILTER (WHERE total >= 0.7) AS h, count(*) FILTER (WHERE total < 0.4) AS l
+  FROM scores GROUP BY 1),
+gs AS (SELECT 'P' || p_partkey AS center, p_partkey % 2 AS odd FROM part) SELECT gs.center, CASE WHEN an.center IS NULL THEN 'No neighbors found for '
+  || gs.center WHEN odd = 1 THEN text ELSE m.center || ': ' || n || ' neighbors, avg=' || {XQ.fixed_sql('a', 2)} || ', high=' || h || ', low=' || l
+  END AS text FROM gs LEFT JOIN an ON an.center = gs.center LEFT JOIN m ON m.center = gs.center""")
 def r222_format_by_mode(spark, d):
     """Odd genes as a summary, even ones in short; a text too where there is nothing."""
     s = scores(spark, d)

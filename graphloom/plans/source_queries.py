@@ -11,9 +11,12 @@ from graphloom.plans.queries import query
 from graphloom.sources import biofiles as S
 
 
-@query("""WITH l AS (SELECT 'e' || l_partkey AS protein1, 'e' || l_suppkey AS protein2, 600 + (l_orderkey * 7 + l_linenumber) % 400 AS s, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS pos FROM lineitem),
-a AS (SELECT 'e' || p_partkey AS ensp, upper(p_brand || p_size % 7) AS symbol FROM part), j AS (SELECT l.*, a.symbol AS s1, b.symbol AS s2 FROM l JOIN a ON a.ensp = protein1 JOIN a b ON b.ensp = protein2 WHERE s >= 700 AND a.symbol <> b.symbol)
-SELECT s1 AS src, s2 AS dst, s / 1000.0::double AS score FROM (SELECT *, row_number() OVER (PARTITION BY least(s1, s2), greatest(s1, s2) ORDER BY pos) AS r FROM j) WHERE r = 1""")
+@query("""WITH l AS (SELECT 'e' || l_partkey AS protein1, 'e' || l_suppkey AS protein2, 600 + (l_orderkey * 7 + l_linenumber) % 400 AS s, l_orderkey * 100000000
+  + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS pos FROM lineitem),
+a AS (SELECT 'e' || p_partkey AS ensp, upper(p_brand || p_size % 7) AS symbol FROM part), j AS (SELECT l.*, a.symbol AS s1, b.symbol AS s2 FROM l JOIN
+  a ON a.ensp = protein1 JOIN a b ON b.ensp = protein2 WHERE s >= 700 AND a.symbol <> b.symbol)
+SELECT s1 AS src, s2 AS dst, s / 1000.0::double AS score FROM (SELECT *, row_number() OVER (PARTITION BY least(s1, s2), greatest(s1, s2) ORDER BY pos)
+  AS r FROM j) WHERE r = 1""")
 def s5_string_edges(spark, d):
     li = P.table(spark, d, "lineitem")
     pos = F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
@@ -22,7 +25,9 @@ def s5_string_edges(spark, d):
     return S.string_edges(links, alias)
 
 
-@query("SELECT upper(trim(p_brand)) AS src, upper(trim(p_type)) AS dst, k AS regulation_type, CASE k WHEN 'Activation' THEN 'positive' WHEN 'Repression' THEN 'negative' ELSE 'unknown' END AS direction, cast(p_partkey AS varchar) AS pmid FROM (SELECT *, (['Activation', 'Repression', 'Unknown'])[p_size % 3 + 1] AS k FROM part) WHERE p_partkey % 10 <> 0")
+@query("""SELECT upper(trim(p_brand)) AS src, upper(trim(p_type)) AS dst, k AS regulation_type, CASE k WHEN 'Activation' THEN 'positive' WHEN 'Repression' THEN
+  'negative' ELSE 'unknown' END AS direction, cast(p_partkey AS varchar) AS pmid FROM (SELECT *, (['Activation', 'Repression', 'Unknown'])[p_size % 3
+  + 1] AS k FROM part) WHERE p_partkey % 10 <> 0""")
 def s6_regulations(spark, d):
     kind = F.element_at(F.array(F.lit("Activation"), F.lit("Repression"), F.lit("Unknown")), F.col("p_size") % 3 + 1)
     tf = F.when(F.col("p_partkey") % 10 != 0, F.col("p_brand"))
@@ -30,7 +35,9 @@ def s6_regulations(spark, d):
     return S.trrust_edges(rows)
 
 
-@query("SELECT 'P' || l_partkey AS src, 'CellMarker:' || replace(n_name, ' ', '_') AS dst, tissue FROM (SELECT l_partkey, n_name, l_shipdate::date::varchar AS tissue, row_number() OVER (PARTITION BY l_partkey, n_name ORDER BY l_orderkey, l_linenumber, l_shipdate) AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) WHERE r = 1")
+@query("""SELECT 'P' || l_partkey AS src, 'CellMarker:' || replace(n_name, ' ', '_') AS dst, tissue FROM (SELECT l_partkey, n_name, l_shipdate::date::varchar AS
+  tissue, row_number() OVER (PARTITION BY l_partkey, n_name ORDER BY l_orderkey, l_linenumber, l_shipdate) AS r FROM lineitem JOIN supplier ON
+  l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) WHERE r = 1""")
 def s17_marker_edges(spark, d):
     home = P.table(spark, d, "supplier").join(P.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
     rows = P.table(spark, d, "lineitem").join(home, "l_suppkey")
@@ -39,7 +46,9 @@ def s17_marker_edges(spark, d):
 
 
 REACT = """WITH p AS (SELECT 'R-HSA-' || o_custkey % 50 AS id, max(o_orderkey) AS k FROM orders WHERE o_custkey % 50 < 30 GROUP BY 1),
-g AS (SELECT l_partkey AS e, 'R-HSA-' || l_orderkey % 40 AS pathway, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS pos, CASE WHEN l_linenumber % 4 = 0 THEN 'Mus musculus' ELSE 'Homo sapiens' END AS sp FROM lineitem), j AS (SELECT * FROM g JOIN part ON p_partkey = e WHERE sp = 'Homo sapiens') """
+g AS (SELECT l_partkey AS e, 'R-HSA-' || l_orderkey % 40 AS pathway, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey
+  AS pos, CASE WHEN l_linenumber % 4 = 0 THEN 'Mus musculus' ELSE 'Homo sapiens' END AS sp FROM lineitem), j AS (SELECT * FROM g JOIN part ON
+  p_partkey = e WHERE sp = 'Homo sapiens') """
 
 
 def _reactome(spark, d):
@@ -63,7 +72,8 @@ def s20_pathway_edges(spark, d):
     return _reactome(spark, d)[1].select("src", "dst")
 
 
-PHENO = """WITH d AS (SELECT p_partkey, (['{Foo syndrome (AD), ', '[Bar disease, ', '?Baz, AR, ', 'Qux, XLR, ', 'Plain '])[p_size % 5 + 1] || (100000 + p_partkey % 300) || CASE p_size % 5 WHEN 1 THEN ']' ELSE '' END AS phenotype, 'g' || p_partkey || ', g' || (p_partkey + 1) AS genes, cast(100000 + p_partkey % 300 AS varchar) AS mim FROM part),
+PHENO = """WITH d AS (SELECT p_partkey,
+  (['{Foo syndrome (AD), ', '[Bar disease, ', '?Baz, AR, ', 'Qux, XLR, ', 'Plain '])[p_size % 5 + 1] || (100000 + p_partkey % 300) || CASE p_size % 5 WHEN 1 THEN ']' ELSE '' END AS phenotype, 'g' || p_partkey || ', g' || (p_partkey + 1) AS genes, cast(100000 + p_partkey % 300 AS varchar) AS mim FROM part),
 c AS (SELECT *, CASE WHEN contains(phenotype, '(AD)') OR contains(phenotype, ', AD') THEN 'Autosomal dominant' WHEN contains(phenotype, '(AR)') OR contains(phenotype, ', AR') THEN 'Autosomal recessive' WHEN contains(phenotype, '(XL)') OR contains(phenotype, ', XL') THEN 'X-linked' END AS inheritance,
  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(phenotype), '^\\[', ''), '^\\{', ''), '^\\?', ''), '\\]$', ''), '\\}$', ''), ',\\s*\\d+\\s*$', '')) AS name FROM d),
 e AS (SELECT upper(trim(unnest(string_split(genes, ',')))) AS src, 'OMIM:' || mim AS dst, name, inheritance, p_partkey AS pos FROM c)
@@ -87,7 +97,10 @@ def s1_gene_nodes(spark, d):
     return S.hgnc_nodes(P.table(spark, d, "part").select(sym.alias("symbol"), F.col("p_name").alias("name"), F.concat(F.col("p_partkey").cast("string"), F.lit(".0")).alias("entrez_id")))
 
 
-@query("WITH t AS (SELECT upper(regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g')) AS s, text, row_number() OVER (PARTITION BY upper(regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g')) ORDER BY doc_id DESC) AS r FROM documents WHERE text IS NOT NULL) SELECT upper(p_brand) AS symbol, md5(coalesce((SELECT min(text) FROM t WHERE r = 1 AND s = upper(p_brand)), 'none')) AS summary FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT s, md5(text) FROM t WHERE r = 1")
+@query("""WITH t AS (SELECT upper(regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g')) AS s, text, row_number() OVER (PARTITION BY
+  upper(regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g')) ORDER BY doc_id DESC) AS r FROM documents WHERE text IS NOT NULL) SELECT
+  upper(p_brand) AS symbol, md5(coalesce((SELECT min(text) FROM t WHERE r = 1 AND s = upper(p_brand)), 'none')) AS summary FROM (SELECT DISTINCT
+  p_brand FROM part) UNION ALL SELECT s, md5(text) FROM t WHERE r = 1""")
 def s55_summaries(spark, d):
     """The last summary of each symbol, joined to nodes that may have none."""
     docs = P.table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.upper(F.regexp_replace(F.substring_index("text", " ", 1), "[^A-Za-z]", "")).alias("s"), "text", "doc_id")
@@ -97,7 +110,10 @@ def s55_summaries(spark, d):
     return joined.unionByName(last.select(F.col("s").alias("symbol"), F.md5(F.col("text").cast("binary")).alias("summary")))
 
 
-MAPS = "WITH m AS (SELECT 'symbol' AS kind, 'P' || p_partkey AS key, 'P' || p_partkey AS symbol, p_partkey AS pos FROM part UNION ALL SELECT 'alias', upper(p_brand || '-' || p_size), 'P' || p_partkey, p_partkey FROM part), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY pos DESC) AS r FROM m) WHERE r = 1), s AS (SELECT DISTINCT 'p' || l_suppkey AS raw FROM lineitem UNION SELECT DISTINCT lower(p_brand) || '-' || p_size % 60 FROM part UNION SELECT 'nobody') "
+MAPS = """WITH m AS (SELECT 'symbol' AS kind, 'P' || p_partkey AS key, 'P' || p_partkey AS symbol, p_partkey AS pos FROM part UNION ALL SELECT 'alias',
+  upper(p_brand || '-' || p_size), 'P' || p_partkey, p_partkey FROM part), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, key
+  ORDER BY pos DESC) AS r FROM m) WHERE r = 1), s AS (SELECT DISTINCT 'p' || l_suppkey AS raw FROM lineitem UNION SELECT DISTINCT lower(p_brand) ||
+  '-' || p_size % 60 FROM part UNION SELECT 'nobody') """
 
 
 def _maps(spark, d):
@@ -109,7 +125,8 @@ def _maps(spark, d):
     return I.last_of(rows, ["kind", "key"], ["pos"]), names
 
 
-@query(MAPS + "SELECT raw, coalesce(a.symbol, b.symbol) AS symbol FROM s LEFT JOIN k a ON a.kind = 'symbol' AND a.key = upper(raw) LEFT JOIN k b ON b.kind = 'alias' AND b.key = upper(raw)")
+@query(MAPS + """SELECT raw, coalesce(a.symbol, b.symbol) AS symbol FROM s LEFT JOIN k a ON a.kind = 'symbol' AND a.key = upper(raw) LEFT JOIN k b ON b.kind = 'alias'
+  AND b.key = upper(raw)""")
 def p8_normalised_symbols(spark, d):
     maps, names = _maps(spark, d)
     return I.normalised(names, maps)
@@ -121,7 +138,8 @@ def p9_batch_convert(spark, d):
     return I.batch_convert(names.select(F.upper("raw").alias("raw")), maps, "alias")
 
 
-@query("SELECT p_type AS cell, max(o) AS organ, count(*) AS n FROM (SELECT p_type, first_value(p_brand) OVER (PARTITION BY p_type ORDER BY p_partkey) AS o FROM part) GROUP BY 1")
+@query("""SELECT p_type AS cell, max(o) AS organ, count(*) AS n FROM (SELECT p_type, first_value(p_brand) OVER (PARTITION BY p_type ORDER BY p_partkey) AS o
+  FROM part) GROUP BY 1""")
 def s43_first_organ(spark, d):
     part = P.table(spark, d, "part")
     return part.groupBy(F.col("p_type").alias("cell")).agg(F.min_by("p_brand", "p_partkey").alias("organ"), F.count("*").alias("n"))
@@ -132,14 +150,17 @@ def s45_top_organs(spark, d):
     return P.table(spark, d, "part").groupBy(F.col("p_brand").alias("organ")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "organ").limit(20)
 
 
-@query("WITH l AS (SELECT p_type AS t, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 100) SELECT 'P' || p_partkey AS gene, p_type AS gene_type FROM part JOIN l ON t = p_type")
+@query("""WITH l AS (SELECT p_type AS t, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 100) SELECT 'P' || p_partkey AS gene, p_type AS gene_type FROM
+  part JOIN l ON t = p_type""")
 def s60_frequent_types(spark, d):
     part = P.table(spark, d, "part").select(P.gene("p_partkey").alias("gene"), F.col("p_type").alias("gene_type"))
     often = part.groupBy("gene_type").agg(F.count("*").alias("n")).where("n >= 100").select("gene_type")
     return part.join(often, "gene_type", "left_semi")
 
 
-@query("WITH e AS (SELECT task, best, iteration FROM (SELECT user_id AS task, max(least(1.0::double, value / 100.0::double)) OVER (PARTITION BY user_id) AS best, event_id AS iteration, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) SELECT task, iteration, round(best, 9) AS best FROM e")
+@query("""WITH e AS (SELECT task, best, iteration FROM (SELECT user_id AS task, max(least(1.0::double, value / 100.0::double)) OVER (PARTITION BY user_id) AS
+  best, event_id AS iteration, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1) SELECT task, iteration,
+  round(best, 9) AS best FROM e""")
 def k6_latest_checkpoints(spark, d):
     from graphloom.sources.stores import latest
 

@@ -30,7 +30,8 @@ def probe_sql(x: str = "x") -> str:
 
 
 #: Labelled pairs of orders' first two parts, one of them in small letters.
-PAIRS = EMB + """, g AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'p' ELSE 'P' END || (o_custkey % 150 + 1) AS g1, 'P' || (o_orderkey % 170 + 1) AS g2, (o_orderkey % 3 = 0)::int AS label FROM orders) """
+PAIRS = EMB + """, g AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'p' ELSE 'P' END || (o_custkey % 150 + 1) AS g1, 'P' || (o_orderkey % 170 + 1) AS
+  g2, (o_orderkey % 3 = 0)::int AS label FROM orders) """
 
 
 def _pairs(spark, d):
@@ -39,7 +40,8 @@ def _pairs(spark, d):
     return P.table(spark, d, "orders").select(o.alias("k"), g1.alias("g1"), F.concat(F.lit("P"), (o % 170 + 1).cast("string")).alias("g2"), (o % 3 == 0).cast("int").alias("label"))
 
 
-@query(PAIRS + f", j AS (SELECT g1, g2, g.label, CASE WHEN g1 <= g2 THEN list_concat(a.emb, b.emb) ELSE list_concat(b.emb, a.emb) END AS x FROM g JOIN emb a ON a.id = upper(g1) JOIN emb b ON b.id = g2) SELECT g1, g2, label, {probe_sql()} FROM j")
+@query(PAIRS + f""", j AS (SELECT g1, g2, g.label, CASE WHEN g1 <= g2 THEN list_concat(a.emb, b.emb) ELSE list_concat(b.emb, a.emb) END AS x FROM g JOIN emb a ON a.id =
+  upper(g1) JOIN emb b ON b.id = g2) SELECT g1, g2, label, {probe_sql()} FROM j""")
 def j7_interaction_features(spark, d):
     f = T.pair_features(_pairs(spark, d).drop("k"), P.embeddings(spark, d))
     return f.select("g1", "g2", "label", *probe())
@@ -85,7 +87,8 @@ def u5_gene_type_genes(spark, d):
     return T.labelled_genes(_typed(spark, d).where(F.startswith("ensembl", F.lit("ENSG"))).select(F.col("ensembl").alias("gene")), cache)
 
 
-ATTR = EMB + """, pos AS (SELECT p_partkey AS k, 'ENSG' || p_partkey AS gene FROM part WHERE p_size % 5 = 0), neg AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'P' || p_partkey ELSE 'ENSG' || p_partkey END AS gene FROM part WHERE p_size % 5 = 1) """
+ATTR = EMB + """, pos AS (SELECT p_partkey AS k, 'ENSG' || p_partkey AS gene FROM part WHERE p_size % 5 = 0), neg AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 =
+  0 THEN 'P' || p_partkey ELSE 'ENSG' || p_partkey END AS gene FROM part WHERE p_size % 5 = 1) """
 
 
 def _attributes(spark, d):
@@ -108,7 +111,8 @@ def u4_attribute_genes(spark, d):
     return T.labelled_genes(pos.union(neg), cache)
 
 
-@query(EMB + """, dl AS (SELECT 'p' || l_partkey AS cond, l_returnflag || l_linestatus AS gene, cast(sum(l_quantity) AS double) AS delta FROM lineitem GROUP BY 1, 2), y AS (SELECT cond, list(delta ORDER BY gene) AS y FROM dl GROUP BY 1)
+@query(EMB + """, dl AS (SELECT 'p' || l_partkey AS cond, l_returnflag || l_linestatus AS gene, cast(sum(l_quantity) AS double) AS delta FROM lineitem GROUP BY 1, 2),
+  y AS (SELECT cond, list(delta ORDER BY gene) AS y FROM dl GROUP BY 1)
 SELECT cond, len(y) AS n_genes, round(list_sum(y), 6) AS total, """ + probe_sql("emb") + " FROM y JOIN emb ON id = upper(cond)")
 def j11_condition_features(spark, d):
     delta = P.table(spark, d, "lineitem").groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("cond"), F.concat("l_returnflag", "l_linestatus").alias("gene")).agg(F.sum("l_quantity").cast("double").alias("delta"))
@@ -119,12 +123,16 @@ def j11_condition_features(spark, d):
 UNIT = "((cast(('0x' || substr(md5('42|' || {x}), 1, 8)) AS bigint) + 0.5::double) / 4294967296.0::double)"
 
 
-@query(EMB + f", r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {UNIT.format(x='id')}, id) AS r, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (ORDER BY {UNIT.format(x='id')}, id) AS ra, count(*) OVER () AS na, (SELECT min(c) FROM (SELECT count(*) AS c FROM emb GROUP BY label)) AS least FROM emb) SELECT id, label, CASE WHEN least < 2 THEN ra <= ceil(na * 0.2::double) ELSE r <= ceil(n * 0.2::double) END AS test FROM r")
+@query(EMB + f""", r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {UNIT.format(x='id')}, id) AS r, count(*) OVER (PARTITION BY label) AS n,
+  row_number() OVER (ORDER BY {UNIT.format(x='id')}, id) AS ra, count(*) OVER () AS na, (SELECT min(c) FROM (SELECT count(*) AS c FROM emb GROUP BY
+  label)) AS least FROM emb) SELECT id, label, CASE WHEN least < 2 THEN ra <= ceil(na * 0.2::double) ELSE r <= ceil(n * 0.2::double) END AS test FROM
+  r""")
 def e7_train_test(spark, d):
     return T.train_test(P.embeddings(spark, d).select("id", "label"), "id", "label")
 
 
-@query(EMB + f", pos AS (SELECT id FROM emb WHERE label < 3), r AS (SELECT id, row_number() OVER (ORDER BY {UNIT.format(x='id')}, id) AS r FROM emb WHERE label >= 3) SELECT id FROM r WHERE r <= floor((SELECT count(*) FROM pos) * 1.5::double)")
+@query(EMB + f""", pos AS (SELECT id FROM emb WHERE label < 3), r AS (SELECT id, row_number() OVER (ORDER BY {UNIT.format(x='id')}, id) AS r FROM emb WHERE label >= 3)
+  SELECT id FROM r WHERE r <= floor((SELECT count(*) FROM pos) * 1.5::double)""")
 def e15_sampled_negatives(spark, d):
     e = P.embeddings(spark, d)
     return T.sampled_negatives(e.select("id"), e.where("label < 3").select("id"), 1.5)
@@ -144,7 +152,9 @@ def e4_guarded_metrics(spark, d):
 
 
 #: Metrics by model and fold that stand for those of fitted models.
-FOLDS = "WITH f AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'logistic' ELSE 'forest' END AS model, event_id % 5 AS fold, avg(value / 200.0::double) AS auc, avg(value / 300.0::double) AS ap FROM events GROUP BY 1, 2), m AS (SELECT model, avg(auc) AS auc, avg(ap) AS ap, stddev_pop(auc) AS auc_std, stddev_pop(ap) AS ap_std FROM f GROUP BY 1) "
+FOLDS = """WITH f AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'logistic' ELSE 'forest' END AS model, event_id % 5 AS fold, avg(value / 200.0::double) AS auc,
+  avg(value / 300.0::double) AS ap FROM events GROUP BY 1, 2), m AS (SELECT model, avg(auc) AS auc, avg(ap) AS ap, stddev_pop(auc) AS auc_std,
+  stddev_pop(ap) AS ap_std FROM f GROUP BY 1) """
 
 
 def _folds(spark, d):
@@ -174,13 +184,17 @@ def e18_three_way(spark, d):
     return T.compared(f).drop("gain")
 
 
-@query(with_sql("emb").rstrip() + ", lg AS (SELECT id, unnest(emb) AS x, generate_subscripts(emb, 1) AS dim FROM emb), p AS (SELECT a.id, a.x AS truth, b.x AS predicted FROM lg a JOIN lg b ON a.dim = b.dim AND cast(substr(b.id, 2) AS bigint) = cast(substr(a.id, 2) AS bigint) - 1) SELECT id, round(coalesce(corr(truth, predicted), 0), 6) AS corr FROM p GROUP BY 1")
+@query(with_sql("emb").rstrip() + """, lg AS (SELECT id, unnest(emb) AS x, generate_subscripts(emb, 1) AS dim FROM emb), p AS (SELECT a.id, a.x AS truth, b.x AS predicted FROM lg a JOIN
+  lg b ON a.dim = b.dim AND cast(substr(b.id, 2) AS bigint) = cast(substr(a.id, 2) AS bigint) - 1) SELECT id, round(coalesce(corr(truth, predicted),
+  0), 6) AS corr FROM p GROUP BY 1""")
 def e12_row_correlation(spark, d):
     return rounded(_regression(spark, d), "corr").select("id", "corr")
 
 
-CELLS = EMB + """, x AS (SELECT o_custkey AS cell, 'P' || l_partkey AS gene, cast(sum(l_quantity) AS double) AS expr FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
-j AS (SELECT cell, expr, emb, row_number() OVER (PARTITION BY cell ORDER BY expr DESC, gene) AS r, count(*) OVER (PARTITION BY cell) AS n FROM x JOIN emb ON id = gene WHERE expr > 0),
+CELLS = EMB + """, x AS (SELECT o_custkey AS cell, 'P' || l_partkey AS gene, cast(sum(l_quantity) AS double) AS expr FROM lineitem JOIN orders ON l_orderkey =
+  o_orderkey GROUP BY 1, 2),
+j AS (SELECT cell, expr, emb, row_number() OVER (PARTITION BY cell ORDER BY expr DESC, gene) AS r, count(*) OVER (PARTITION BY cell) AS n FROM x JOIN
+  emb ON id = gene WHERE expr > 0),
 u AS (SELECT cell, unnest(emb) AS v, generate_subscripts(emb, 1) AS dim FROM j WHERE r <= 500 AND n >= 10) """
 
 
@@ -200,7 +214,8 @@ def a6_cell_maxima(spark, d):
     return rounded(T.pooled_cells(_cells(spark, d), P.embeddings(spark, d), "max"), "p").withColumn("dim", F.col("dim").cast("long"))
 
 
-METRICS = "WITH m AS (SELECT event_id AS id, value / 100.0::double AS a, value / 130.0::double AS b, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 900.0::double END AS s FROM events) "
+METRICS = """WITH m AS (SELECT event_id AS id, value / 100.0::double AS a, value / 130.0::double AS b, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value /
+  900.0::double END AS s FROM events) """
 
 
 def _metrics(spark, d):
@@ -213,7 +228,8 @@ _ci = (("    - Silhouette Score: ", "a", 4), ("    - Calinski-Harabasz: ", "b",
 _lines = lambda ls: " || chr(10) || ".join(f"'{t}' || {fixed_sql(c, p)}" for t, c, p in ls)
 
 
-@query(METRICS + f"SELECT id, 'Clustering Metrics:' || chr(10) || '  External (vs true labels):' || chr(10) || {_lines(_cl)} || chr(10) || '  Internal (cluster quality):' || chr(10) || {_lines(_ci)} AS text FROM m")
+@query(METRICS + f"""SELECT id, 'Clustering Metrics:' || chr(10) || '  External (vs true labels):' || chr(10) || {_lines(_cl)} || chr(10) ||
+  '  Internal (cluster quality):' || chr(10) || {_lines(_ci)} AS text FROM m""")
 def e16_clustering_text(spark, d):
     a, b = F.col("a"), F.col("b")
     return _metrics(spark, d).select("id", T.clustering_text({"ari": a, "nmi": b, "v_measure": b, "silhouette": a, "calinski_harabasz": b, "davies_bouldin": a}).alias("text"))
@@ -222,7 +238,8 @@ def e16_clustering_text(spark, d):
 _rl = (("  - MSE: ", "a", 6), ("  - RMSE: ", "b", 6), ("  - DE Correlation (top50): ", "a", 4), ("  - DE MSE (top50): ", "b", 6))
 
 
-@query(METRICS + f"SELECT id, 'Regression Metrics (Perturbation):' || chr(10) || '  - Delta Correlation: ' || {fixed_sql('a', 4)} || coalesce(chr(10) || '    (std: ' || {fixed_sql('s', 4)} || ')', '') || chr(10) || {_lines(_rl)} AS text FROM m")
+@query(METRICS + f"""SELECT id, 'Regression Metrics (Perturbation):' || chr(10) || '  - Delta Correlation: ' || {fixed_sql('a', 4)} || coalesce(chr(10) || '    (std: ' ||
+  {fixed_sql('s', 4)} || ')', '') || chr(10) || {_lines(_rl)} AS text FROM m""")
 def e16_regression_text(spark, d):
     a, b = F.col("a"), F.col("b")
     return _metrics(spark, d).select("id", T.regression_text({"delta_correlation": a, "delta_correlation_std": F.col("s"), "mse": a, "rmse": b, "de_correlation": a, "de_mse": b}).alias("text"))
@@ -233,7 +250,8 @@ def m11_normalised_metric(spark, d):
     return _metrics(spark, d).select("id", F.round(T.normalised_metric(F.col("a"), 0.2, 0.9), 9).alias("scaled"))
 
 
-@query(EMB + ", p AS (SELECT a.id, a.emb AS x, b.emb AS y FROM emb a JOIN emb b ON cast(substr(b.id, 2) AS bigint) = cast(substr(a.id, 2) AS bigint) + 1) SELECT id, round(list_cosine_similarity(x, y), 9) AS similarity FROM p")
+@query(EMB + """, p AS (SELECT a.id, a.emb AS x, b.emb AS y FROM emb a JOIN emb b ON cast(substr(b.id, 2) AS bigint) = cast(substr(a.id, 2) AS bigint) + 1) SELECT id,
+  round(list_cosine_similarity(x, y), 9) AS similarity FROM p""")
 def m8_similarity(spark, d):
     e = P.embeddings(spark, d)
     nxt = e.select(P.gene_of(F.substring("id", 2, 20).cast("long") - 1).alias("id"), F.col("emb").alias("y"))
@@ -245,12 +263,17 @@ def m10_baseline_texts(spark, d):
     return P.table(spark, d, "documents").select("doc_id", T.baseline_text(P.gene("doc_id"), F.when(F.col("doc_id") % 2 == 1, F.col("text"))).alias("text"))
 
 
-@query(with_sql("emb").rstrip() + f", lg AS (SELECT id, unnest(emb) AS x, generate_subscripts(emb, 1) AS dim FROM emb), v AS (SELECT dim, var_pop(x) AS v FROM lg GROUP BY 1), n AS (SELECT count(*) AS n, round(avg(sqrt(list_dot_product(emb, emb))), 8) AS m, round(stddev_pop(sqrt(list_dot_product(emb, emb))), 8) AS s FROM emb), w AS (SELECT round(avg(v), 8) AS v FROM v) SELECT '  - Number of embeddings: ' || n || chr(10) || '  - Mean embedding norm: ' || {fixed_sql('m', 4)} || chr(10) || '  - Std embedding norm: ' || {fixed_sql('s', 4)} || chr(10) || '  - Mean dimension variance: ' || {fixed_sql('v', 6)} AS text FROM n, w")
+@query(with_sql("emb").rstrip() + f""", lg AS (SELECT id, unnest(emb) AS x, generate_subscripts(emb, 1) AS dim FROM emb), v AS (SELECT dim, var_pop(x) AS v FROM lg GROUP BY 1), n AS
+  (SELECT count(*) AS n, round(avg(sqrt(list_dot_product(emb, emb))), 8) AS m, round(stddev_pop(sqrt(list_dot_product(emb, emb))), 8) AS s FROM emb),
+  w AS (SELECT round(avg(v), 8) AS v FROM v) SELECT '  - Number of embeddings: ' || n || chr(10) || '  - Mean embedding norm: ' || {fixed_sql('m', 4)}
+  || chr(10) || '  - Std embedding norm: ' || {fixed_sql('s', 4)} || chr(10) || '  - Mean dimension variance: ' || {fixed_sql('v', 6)} AS text FROM n,
+  w""")
 def a5_embedding_text(spark, d):
     return T.embedding_text(rounded(V.embedding_stats(P.embeddings(spark, d)), "mean_norm", "std_norm", "mean_var", places=8))
 
 
-@query(with_sql("ppi", "trrust", "emb").rstrip() + ", ix AS (SELECT edge_type, sqrt(list_dot_product(emb, emb)) AS l FROM (SELECT * FROM ppi UNION ALL SELECT * FROM trrust) JOIN emb ON id = dst) SELECT edge_type, count(*) AS n, round(avg(l), 6) AS mean_norm, round(stddev_pop(l), 6) AS std_norm FROM ix GROUP BY 1")
+@query(with_sql("ppi", "trrust", "emb").rstrip() + """, ix AS (SELECT edge_type, sqrt(list_dot_product(emb, emb)) AS l FROM (SELECT * FROM ppi UNION ALL SELECT * FROM trrust) JOIN emb ON id = dst) SELECT
+  edge_type, count(*) AS n, round(avg(l), 6) AS mean_norm, round(stddev_pop(l), 6) AS std_norm FROM ix GROUP BY 1""")
 def a3_index_stats(spark, d):
     e = P.edges(spark, d, ("PPI", "TRRUST")).select("dst", "edge_type")
     v = P.embeddings(spark, d).select(F.col("id").alias("dst"), scoring.norm(F.col("emb")).alias("l"))
@@ -265,7 +288,8 @@ def f8_task_registry(spark, d):
 # ---- neighbours with scores
 
 
-@query(SCORED + ", x AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY total DESC, neighbor) <= 15 AS sel FROM scores) SELECT e.center, e.neighbor, e.edge_type, e.direction FROM nb e JOIN x ON x.center = e.center AND x.neighbor = e.neighbor WHERE sel")
+@query(SCORED + """, x AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY total DESC, neighbor) <= 15 AS sel FROM scores) SELECT e.center, e.neighbor,
+  e.edge_type, e.direction FROM nb e JOIN x ON x.center = e.center AND x.neighbor = e.neighbor WHERE sel""")
 def g6_selected_subgraph(spark, d):
     """Typed neighbourhoods without the neighbours that scoring leaves out."""
     from graphloom.operators import graph
@@ -276,7 +300,8 @@ def g6_selected_subgraph(spark, d):
     return near.join(kept, ["center", "neighbor"], "left_semi")
 
 
-ALL_ENDS = SCORED.replace("nb0 AS (", "nbx AS (SELECT src AS center, dst AS neighbor, edge_type, score, 'out' AS direction FROM edges UNION ALL SELECT dst, src, edge_type, score, 'in' FROM edges WHERE dst IN (SELECT src FROM edges)),\nnb0 AS (").replace("AS rank FROM inc)", "AS rank FROM nbx)").replace("WHERE rank <= 10)", ")", 1)
+ALL_ENDS = SCORED.replace("nb0 AS (", """nbx AS (SELECT src AS center, dst AS neighbor, edge_type, score, 'out' AS direction FROM edges UNION ALL SELECT dst, src, edge_type, score, 'in' FROM
+  edges WHERE dst IN (SELECT src FROM edges)),\nnb0 AS (""").replace("AS rank FROM inc)", "AS rank FROM nbx)").replace("WHERE rank <= 10)", ")", 1)
 
 
 @query(ALL_ENDS + "SELECT center, count(*) AS n, round(cast(sum(cast(total AS decimal(18,9))) AS double), 6) AS total FROM scores GROUP BY 1")
@@ -295,7 +320,8 @@ def g9_scores_of_all_ends(spark, d):
     return rounded(s.groupBy("center").agg(F.count("*").alias("n"), exact.alias("total")), "total")
 
 
-@query(SCORED + ", g AS (SELECT center, count(*) AS n, count(*) FILTER (WHERE total >= 0.7) AS h, count(*) FILTER (WHERE total < 0.4) AS l FROM scores GROUP BY 1) SELECT sum(n)::bigint AS total, count(*) AS genes, sum(h)::bigint AS high, sum(l)::bigint AS low FROM g")
+@query(SCORED + """, g AS (SELECT center, count(*) AS n, count(*) FILTER (WHERE total >= 0.7) AS h, count(*) FILTER (WHERE total < 0.4) AS l FROM scores GROUP BY 1)
+  SELECT sum(n)::bigint AS total, count(*) AS genes, sum(h)::bigint AS high, sum(l)::bigint AS low FROM g""")
 def g8_neighbor_analysis(spark, d):
     s, t = scores(spark, d), F.col("total")
     per = s.groupBy("center").agg(F.count("*").alias("n"), F.count_if(t >= scoring.HIGH).alias("h"), F.count_if(t < scoring.LOW).alias("l"))
@@ -311,7 +337,9 @@ def f5_mock_descriptions(spark, d):
 # ---- records as JSON, and look-ups in histories
 
 
-@query(HQ.HIST + """SELECT task, iteration, '{"edge_type":"' || edge_type || '","max_neighbors":' || max_neighbors || ',"max_hops":' || max_hops || ',"sampling":"' || sampling || '"}' AS json FROM hist""")
+@query(HQ.HIST + """SELECT task, iteration,
+  '{"edge_type":"' || edge_type || '","max_neighbors":' || max_neighbors || ',"max_hops":' || max_hops || ',"sampling":"' || sampling || '"}' AS json
+  FROM hist""")
 def r146_strategy_json(spark, d):
     return P.history(spark, d).select("task", "iteration", F.to_json(F.struct("edge_type", "max_neighbors", "max_hops", "sampling")).alias("json"))
 
@@ -336,7 +364,9 @@ def r109_baseline_value(spark, d):
     return HQ.critic(spark, d).select("task", "iteration", F.round(F.avg("value").over(w), 11).alias("baseline"))
 
 
-@query(HQ.HIST.rstrip() + f", l AS (SELECT *, metric - lag(metric) {HQ.W}) AS delta, row_number() {HQ.W}) AS n FROM hist) SELECT task, iteration, 'H' || lpad(cast(n AS varchar), 3, '0') AS hypothesis, CASE WHEN delta IS NULL THEN 'PROPOSED' WHEN delta > 0.02::double THEN 'VALIDATED' WHEN delta < -0.02::double THEN 'INVALIDATED' ELSE 'PROPOSED' END AS status FROM l")
+@query(HQ.HIST.rstrip() + f""", l AS (SELECT *, metric - lag(metric) {HQ.W}) AS delta, row_number() {HQ.W}) AS n FROM hist) SELECT task, iteration, 'H' || lpad(cast(n AS varchar),
+  3, '0') AS hypothesis, CASE WHEN delta IS NULL THEN 'PROPOSED' WHEN delta > 0.02::double THEN 'VALIDATED' WHEN delta < -0.02::double THEN
+  'INVALIDATED' ELSE 'PROPOSED' END AS status FROM l""")
 def r124_hypothesis_ledger(spark, d):
     """Hypotheses numbered in order; one is settled by the step that follows it."""
     w = Window.partitionBy("task").orderBy("iteration")
@@ -347,7 +377,10 @@ def r124_hypothesis_ledger(spark, d):
     return h.select("task", "iteration", name.alias("hypothesis"), status.alias("status"))
 
 
-@query(HQ.HIST.rstrip() + f", l AS (SELECT *, metric - lag(metric) {HQ.W}) AS delta FROM hist), s AS (SELECT task, iteration, CASE WHEN delta > 0.02::double THEN 'VALIDATED' WHEN delta < -0.02::double THEN 'INVALIDATED' ELSE 'PROPOSED' END AS status FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY task, status ORDER BY iteration DESC) AS r, count(*) OVER (PARTITION BY task, status) AS n FROM s) SELECT task, status, max(n) AS n, string_agg(cast(iteration AS varchar), ',' ORDER BY r) AS latest FROM r WHERE r <= 3 GROUP BY 1, 2")
+@query(HQ.HIST.rstrip() + f""", l AS (SELECT *, metric - lag(metric) {HQ.W}) AS delta FROM hist), s AS (SELECT task, iteration, CASE WHEN delta > 0.02::double THEN 'VALIDATED' WHEN
+  delta < -0.02::double THEN 'INVALIDATED' ELSE 'PROPOSED' END AS status FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY task, status ORDER
+  BY iteration DESC) AS r, count(*) OVER (PARTITION BY task, status) AS n FROM s) SELECT task, status, max(n) AS n, string_agg(cast(iteration AS
+  varchar), ',' ORDER BY r) AS latest FROM r WHERE r <= 3 GROUP BY 1, 2""")
 def r131_knowledge_summary(spark, d):
     s = r124_hypothesis_ledger(spark, d)
     w = Window.partitionBy("task", "status")
@@ -356,7 +389,8 @@ def r131_knowledge_summary(spark, d):
     return g.select("task", "status", "n", F.array_join(F.transform("l", lambda x: x["i"]), ",").alias("latest"))
 
 
-@query(HQ.PARAMS + ", k AS (SELECT *, row_number() OVER (PARTITION BY task, param ORDER BY round(ema, 9) DESC, value) AS b, sum(usage) OVER (PARTITION BY task, param) AS t FROM pe) SELECT task, param, value AS recommended, t::bigint AS observations FROM k WHERE b = 1")
+@query(HQ.PARAMS + """, k AS (SELECT *, row_number() OVER (PARTITION BY task, param ORDER BY round(ema, 9) DESC, value) AS b, sum(usage) OVER (PARTITION BY task, param) AS
+  t FROM pe) SELECT task, param, value AS recommended, t::bigint AS observations FROM k WHERE b = 1""")
 def r150_recommendations(spark, d):
     from graphloom.operators import history as H
 
@@ -382,7 +416,8 @@ def r264_converged_tasks(spark, d):
     return t.select("task", (F.col("c") > 0.8).alias("converged"))
 
 
-@query("WITH n AS (SELECT 'CellMarker' AS source, count(*) AS n FROM lineitem UNION ALL SELECT 'GO', count(*) * 3 FROM part UNION ALL SELECT 'OMIM', count(*) FROM part) SELECT source, n FROM n")
+@query("""WITH n AS (SELECT 'CellMarker' AS source, count(*) AS n FROM lineitem UNION ALL SELECT 'GO', count(*) * 3 FROM part UNION ALL SELECT 'OMIM', count(*)
+  FROM part) SELECT source, n FROM n""")
 def r34_raw_counts(spark, d):
     """Rows of sources before any key is made unique."""
     part, lines = P.table(spark, d, "part"), P.table(spark, d, "lineitem")
@@ -390,7 +425,8 @@ def r34_raw_counts(spark, d):
     return count("CellMarker", lines).unionByName(count("GO", part, 3)).unionByName(count("OMIM", part))
 
 
-@query("SELECT DISTINCT 'GTEx:' || replace(n_name, ' ', '_') AS node_id, replace(n_name, '_', ' ') AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey")
+@query("""SELECT DISTINCT 'GTEx:' || replace(n_name, ' ', '_') AS node_id, replace(n_name, '_', ' ') AS name FROM lineitem JOIN supplier ON l_suppkey =
+  s_suppkey JOIN nation ON s_nationkey = n_nationkey""")
 def r42_tissue_nodes(spark, d):
     n = P.nodes(spark, d, P.ALL_TYPES).where("node_label = 'tissue'")
     return n.select("node_id", F.col("name"))

@@ -38,7 +38,8 @@ DESC = "WITH descs AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x0
 _steps, _prev = [], "SELECT doc_id, text, text AS t, 0 AS n, []::varchar[] AS r FROM descs"
 for _k, (_p, _why) in enumerate(L.FORBIDDEN):
     _hits = f"len(regexp_extract_all(t, {_q('(?i)' + _p)}))"
-    _steps.append(f"f{_k} AS (SELECT doc_id, text, regexp_replace(t, {_q(_p)}, '', 'gi') AS t, n + {_hits} AS n, CASE WHEN {_hits} > 0 THEN list_append(r, {_q(_why)}) ELSE r END AS r FROM ({_prev}))")
+    _steps.append(f"""f{_k} AS (SELECT doc_id, text, regexp_replace(t, {_q(_p)}, '', 'gi') AS t, n + {_hits} AS n, CASE WHEN {_hits} > 0 THEN list_append(r, {_q(_why)})
+  ELSE r END AS r FROM ({_prev}))""")
     _prev = f"SELECT * FROM f{_k}"
 _body = "t"
 for _p, _by in L.CLEANUPS:
@@ -66,7 +67,8 @@ def x4_implicit_signals(spark, d):
     return descriptions(spark, d).select("doc_id", F.array_join(L.signals(F.col("text")), ";").alias("signals"))
 
 
-@query(FILTER + f"SELECT doc_id, changes::bigint + CASE WHEN regexp_matches(filtered, {_q(L.PAIR_ANSWER)}, 'i') THEN 1 ELSE 0 END AS changes, md5(trim(regexp_replace(filtered, {_q(L.PAIR_ANSWER)}, '', 'gi'))) AS filtered_md5 FROM out")
+@query(FILTER + f"""SELECT doc_id, changes::bigint + CASE WHEN regexp_matches(filtered, {_q(L.PAIR_ANSWER)}, 'i') THEN 1 ELSE 0 END AS changes,
+  md5(trim(regexp_replace(filtered, {_q(L.PAIR_ANSWER)}, '', 'gi'))) AS filtered_md5 FROM out""")
 def x5_sanitize_for_task(spark, d):
     return L.filtered(descriptions(spark, d), task="ppi").select("doc_id", "changes", F.md5(F.col("filtered").cast("binary")).alias("filtered_md5"))
 
@@ -82,17 +84,22 @@ PPI_TEXT = "CASE WHEN coalesce(score, 0) < 1 THEN cast(cast(floor(coalesce(score
 _heads = " ".join("WHEN '" + k + "' THEN '" + v[0].split("{n}")[0] + "' || n || '" + v[0].split("{n}")[1] + "'" for k, v in R.SECTIONS.items())
 SECTIONS = with_sql("all_edges", "all_nodes").rstrip() + f""",
 it AS (SELECT src AS center, dst AS neighbor, edge_type AS section, score, evidence FROM edges
-  UNION ALL SELECT dst, src, CASE edge_type WHEN 'TRRUST' THEN 'TRRUST_IN' ELSE 'PPI' END, score, evidence FROM edges WHERE edge_type IN ('PPI', 'TRRUST')),
+  UNION ALL SELECT dst, src, CASE edge_type WHEN 'TRRUST' THEN 'TRRUST_IN' ELSE 'PPI' END, score, evidence FROM edges WHERE edge_type IN ('PPI',
+  'TRRUST')),
 pl AS (SELECT *, CASE WHEN section IN ('PPI', 'GTEx') THEN -coalesce(score, 0) ELSE 0 END AS place FROM it),
-rk AS (SELECT *, row_number() OVER (PARTITION BY center, section ORDER BY place, neighbor) AS r, count(*) OVER (PARTITION BY center, section) AS n FROM pl),
+rk AS (SELECT *, row_number() OVER (PARTITION BY center, section ORDER BY place, neighbor) AS r, count(*) OVER (PARTITION BY center, section) AS n
+  FROM pl),
 ln AS (SELECT center, section, r, n, CASE section WHEN 'PPI' THEN neighbor || ' (confidence score: ' || {PPI_TEXT} || ')'
-    WHEN 'TRRUST' THEN neighbor || ' (' || coalesce(evidence, 'unknown') || ')' WHEN 'TRRUST_IN' THEN neighbor || ' (' || coalesce(evidence, 'unknown') || ')'
+    WHEN 'TRRUST' THEN neighbor || ' (' || coalesce(evidence, 'unknown') || ')' WHEN 'TRRUST_IN' THEN neighbor || ' (' || coalesce(evidence,
+  'unknown') || ')'
     WHEN 'CellMarker' THEN name || ' (tissue: ' || evidence || ')' WHEN 'OMIM' THEN name || coalesce(' (' || evidence || ')', '')
     WHEN 'GTEx' THEN name || ' (TPM: ' || {fixed_sql("score", 1)} || ', specificity: ' || {fixed_sql("cast(evidence AS double) / 1000", 2)} || ')'
     WHEN 'CORUM' THEN name || ' (' || evidence || ' subunits)' ELSE name END AS line
-  FROM (SELECT rk.* EXCLUDE (neighbor), neighbor, coalesce(name, neighbor) AS name FROM rk LEFT JOIN nodes ON node_id = neighbor WHERE r <= CASE WHEN section LIKE 'TRRUST%' THEN 5 ELSE 10 END)),
+  FROM (SELECT rk.* EXCLUDE (neighbor), neighbor, coalesce(name, neighbor) AS name FROM rk LEFT JOIN nodes ON node_id = neighbor WHERE r <= CASE WHEN
+  section LIKE 'TRRUST%' THEN 5 ELSE 10 END)),
 tp AS (SELECT center, section, max(n) AS n, count(*) AS k, string_agg('  ' || r || '. ' || line, chr(10) ORDER BY r) AS body FROM ln GROUP BY 1, 2),
-said AS (SELECT center, section, n, CASE section {_heads} END || chr(10) || body || CASE WHEN n > k THEN chr(10) || '  ... and ' || (n - k) || ' more' ELSE '' END AS text FROM tp)
+said AS (SELECT center, section, n, CASE section {_heads} END || chr(10) || body || CASE WHEN n > k THEN chr(10) || '  ... and ' || (n - k) || ' more'
+  ELSE '' END AS text FROM tp)
 """
 
 
@@ -130,7 +137,8 @@ def x15_feature_selection(spark, d):
 
 
 _context = "[" + ", ".join(f"CASE WHEN {c} NOT LIKE '%Not included%' AND substr({c}, 1, 10) NOT LIKE '%No %' THEN '- {v}: ' || {c} END" for c, v in R.STYLE_LABELS.items()) + "]"
-CONTEXT = GENE_TEXTS.rstrip() + f", cx AS (SELECT center, list_filter({_context}, lambda x: x IS NOT NULL) AS l FROM info), ct AS (SELECT center, CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10)) ELSE 'Limited information available.' END AS context FROM cx)\n"
+CONTEXT = GENE_TEXTS.rstrip() + f""", cx AS (SELECT center, list_filter({_context}, lambda x: x IS NOT NULL) AS l FROM info), ct AS (SELECT center, CASE WHEN len(l) > 0 THEN
+  array_to_string(l, chr(10)) ELSE 'Limited information available.' END AS context FROM cx)\n"""
 
 
 @query(CONTEXT + "SELECT center, context FROM ct")
@@ -142,7 +150,8 @@ def x18_style_context(spark, d):
 STYLES = {"narrative": "Tell of it as a story.\n{context}\n---\n{base_prompt}"}
 
 
-@query(CONTEXT + "SELECT center, 'Tell of it as a story.' || chr(10) || context || chr(10) || '---' || chr(10) || 'Describe ' || center || '.' || chr(10) || chr(10) || 'Keep to facts.' || chr(10) || chr(10) || 'Emphasize these aspects if relevant: a, b, c, d, e' AS prompt FROM ct")
+@query(CONTEXT + """SELECT center, 'Tell of it as a story.' || chr(10) || context || chr(10) || '---' || chr(10) || 'Describe ' || center || '.' || chr(10) || chr(10) ||
+  'Keep to facts.' || chr(10) || chr(10) || 'Emphasize these aspects if relevant: a, b, c, d, e' AS prompt FROM ct""")
 def x17_styled_prompt(spark, d):
     context = R.style_context({c: F.col(c) for c in R.STYLE_LABELS})
     words = F.array(*[F.lit(w) for w in "abcdefg"])
@@ -152,12 +161,15 @@ def x17_styled_prompt(spark, d):
 
 SENT = with_sql("all_edges", "all_nodes").rstrip() + f""", sent AS (SELECT e.src, e.dst, e.edge_type, e.score, coalesce(a.name, e.src) AS x, coalesce(b.name, e.dst) AS y, e.evidence
   FROM edges e LEFT JOIN nodes a ON a.node_id = e.src LEFT JOIN nodes b ON b.node_id = e.dst),
-said AS (SELECT src, dst, edge_type, score, CASE edge_type WHEN 'PPI' THEN x || ' physically interacts with ' || y || ' (confidence: ' || {fixed_sql("coalesce(score, 0.0)", 2)} || ')'
+said AS (SELECT src, dst, edge_type, score, CASE edge_type WHEN 'PPI' THEN x || ' physically interacts with ' || y || ' (confidence: ' ||
+  {fixed_sql("coalesce(score, 0.0)", 2)} || ')'
   WHEN 'GO' THEN x || ' participates in biological process ' || y || ' (evidence: ' || evidence || ')'
   WHEN 'HPO' THEN x || ' is associated with phenotype ' || y || ' (frequency: ' || evidence || ')'
-  WHEN 'TRRUST' THEN x || CASE evidence WHEN 'Activation' THEN ' activates expression of ' WHEN 'Repression' THEN ' represses expression of ' ELSE ' regulates ' END || y
+  WHEN 'TRRUST' THEN x || CASE evidence WHEN 'Activation' THEN ' activates expression of ' WHEN 'Repression' THEN ' represses expression of ' ELSE
+  ' regulates ' END || y
   WHEN 'Reactome' THEN x || ' is involved in pathway ' || y WHEN 'CellMarker' THEN x || ' is a marker for ' || y || ' in ' || evidence
-  WHEN 'OMIM' THEN x || ' is associated with disease ' || y WHEN 'GTEx' THEN x || ' is expressed in ' || y || ' (TPM: ' || {fixed_sql("score", 1)} || ')'
+  WHEN 'OMIM' THEN x || ' is associated with disease ' || y WHEN 'GTEx' THEN x || ' is expressed in ' || y || ' (TPM: ' || {fixed_sql("score", 1)} ||
+  ')'
   ELSE x || ' is part of protein complex ' || y END AS text FROM sent)
 """
 
@@ -167,7 +179,8 @@ def x8_triplet_sentences(spark, d):
     return R.sentences(P.edges(spark, d, P.ALL_TYPES), P.nodes(spark, d, P.ALL_TYPES)).drop("score")
 
 
-TRIPLETS = SENT.rstrip() + ", tri AS (SELECT 't_' || (row_number() OVER (ORDER BY substr(md5(src), 1, 3), src, dst, edge_type) - 1) AS triplet_id, src, dst, edge_type, text FROM said WHERE edge_type NOT IN ('PPI', 'CORUM'))\n"
+TRIPLETS = SENT.rstrip() + """, tri AS (SELECT 't_' || (row_number() OVER (ORDER BY substr(md5(src), 1, 3), src, dst, edge_type) - 1) AS triplet_id, src, dst, edge_type, text FROM
+  said WHERE edge_type NOT IN ('PPI', 'CORUM'))\n"""
 
 
 def all_triplets(spark, d):
@@ -192,28 +205,39 @@ def x12_query_text(spark, d):
     return P.table(spark, d, "documents").select("doc_id", R.query_text(P.gene("doc_id"), F.col("lang"), F.col("text"), task).alias("query"))
 
 
-@query("SELECT doc_id, CASE WHEN len(text) > 10 THEN CASE WHEN len(text) >= 200 THEN regexp_replace(substr(text, 1, 200), ' [^ ]*$', '') || '...' ELSE text END END AS description FROM documents")
+@query("""SELECT doc_id, CASE WHEN len(text) > 10 THEN CASE WHEN len(text) >= 200 THEN regexp_replace(substr(text, 1, 200), ' [^ ]*$', '') || '...' ELSE text
+  END END AS description FROM documents""")
 def x9_short_description(spark, d):
     return P.table(spark, d, "documents").select("doc_id", R.short_description(F.col("text")).alias("description"))
 
 
-@query("SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 5 THEN array_to_string(string_split(text, chr(10))[1:5], chr(10)) || chr(10) || '... (truncated to 5 items)' WHEN len(string_split(text, ', ')) > 5 THEN array_to_string(string_split(text, ', ')[1:5], ', ') || ', ... (' || (len(string_split(text, ', ')) - 5) || ' more)' ELSE text END AS lines FROM documents")
+@query("""SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 5 THEN array_to_string(string_split(text, chr(10))[1:5], chr(10)) || chr(10) ||
+  '... (truncated to 5 items)' WHEN len(string_split(text, ', ')) > 5 THEN array_to_string(string_split(text, ', ')[1:5], ', ') || ', ... (' ||
+  (len(string_split(text, ', ')) - 5) || ' more)' ELSE text END AS lines FROM documents""")
 def x14_context_window(spark, d):
     return P.table(spark, d, "documents").select("doc_id", R.context_window(F.col("text"), "minimal").alias("lines"))
 
 
-_bands = "CASE WHEN metric >= 0.95 THEN 'EXCEPTIONAL - Outstanding strategy performance.' WHEN metric >= 0.92 THEN 'EXCELLENT - The strategy is working very well.' WHEN metric >= 0.88 THEN 'VERY GOOD - Strong performance with minor room for improvement.' WHEN metric >= 0.85 THEN 'GOOD - The strategy is effective.' WHEN metric >= 0.75 THEN 'MODERATE - There is room for improvement.' WHEN metric >= 0.65 THEN 'BELOW AVERAGE - The strategy needs changes.' WHEN metric >= 0.55 THEN 'POOR - The strategy needs significant changes.' ELSE 'VERY POOR - Consider a major strategy revision.' END"
+_bands = """CASE WHEN metric >= 0.95 THEN 'EXCEPTIONAL - Outstanding strategy performance.' WHEN metric >= 0.92 THEN
+  'EXCELLENT - The strategy is working very well.' WHEN metric >= 0.88 THEN 'VERY GOOD - Strong performance with minor room for improvement.' WHEN
+  metric >= 0.85 THEN 'GOOD - The strategy is effective.' WHEN metric >= 0.75 THEN 'MODERATE - There is room for improvement.' WHEN metric >= 0.65
+  THEN 'BELOW AVERAGE - The strategy needs changes.' WHEN metric >= 0.55 THEN 'POOR - The strategy needs significant changes.' ELSE
+  'VERY POOR - Consider a major strategy revision.' END"""
 
 
 @query(with_sql("history").rstrip() + f""", b AS (SELECT *, max(metric) OVER (PARTITION BY task ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM hist)
-SELECT task, iteration, 'Performance: ' || {_bands} || CASE WHEN best IS NULL THEN '' WHEN metric - best > 0.001::double THEN ' (↑' || printf('%.4f', metric - best) || ' from best, NEW BEST!)' WHEN metric - best < -0.01::double THEN ' (↓' || printf('%.4f', best - metric) || ' from best)' WHEN metric - best < -0.001::double THEN ' (↓' || printf('%.4f', best - metric) || ' from best, minor decline)' ELSE ' (≈ best performance)' END AS feedback FROM b""")
+SELECT task, iteration, 'Performance: ' || {_bands} || CASE WHEN best IS NULL THEN '' WHEN metric - best > 0.001::double THEN ' (↑' || printf('%.4f',
+  metric - best) || ' from best, NEW BEST!)' WHEN metric - best < -0.01::double THEN ' (↓' || printf('%.4f', best - metric) || ' from best)' WHEN
+  metric - best < -0.001::double THEN ' (↓' || printf('%.4f', best - metric) || ' from best, minor decline)' ELSE ' (≈ best performance)' END AS
+  feedback FROM b""")
 def x28_feedback(spark, d):
     h = P.history(spark, d)
     w = Window.partitionBy("task").orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
     return h.withColumn("best", F.max("metric").over(w)).select("task", "iteration", R.feedback(F.col("metric"), F.col("best")).alias("feedback"))
 
 
-@query("SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k, greatest(10, least(200, coalesce(cast(json_extract_string(props, '$.k') AS bigint), 50))) AS max_neighbors FROM events")
+@query("""SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k, greatest(10, least(200, coalesce(cast(json_extract_string(props, '$.k') AS
+  bigint), 50))) AS max_neighbors FROM events""")
 def x23_strategy_json(spark, d):
     k = F.from_json("props", "k bigint")["k"]
     return P.table(spark, d, "events").select("event_id", k.alias("k"), F.greatest(F.lit(10), F.least(F.lit(200), F.coalesce(k, F.lit(50)))).cast("long").alias("max_neighbors"))
@@ -251,31 +275,40 @@ def v2_top_k(spark, d):
     return _found(spark, d, 10).select("query_id", "id", "rank", "score")
 
 
-@query(TRIP + ", f AS (SELECT * FROM rk WHERE rank <= 20 AND score >= 0.3 AND edge_type = 'PPI') SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
+@query(TRIP + """, f AS (SELECT * FROM rk WHERE rank <= 20 AND score >= 0.3 AND edge_type = 'PPI') SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER
+  BY rank) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10""")
 def v3_filtered(spark, d):
     return V.filtered(_found(spark, d, 20), 10, (F.col("score") >= 0.3) & (F.col("edge_type") == "PPI")).select("query_id", "id", "rank")
 
 
-@query(TRIP + ", f AS (SELECT * FROM rk WHERE rank <= 30 AND (src = query_id OR dst = query_id)) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
+@query(TRIP + """, f AS (SELECT * FROM rk WHERE rank <= 30 AND (src = query_id OR dst = query_id)) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER
+  BY rank) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10""")
 def v3_connected(spark, d):
     return V.filtered(_found(spark, d, 30), 10, (F.col("src") == F.col("query_id")) | (F.col("dst") == F.col("query_id"))).select("query_id", "id", "rank")
 
 
-@query(TRIP + """, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, edge_type ORDER BY rank) AS rd, min(rank) OVER (PARTITION BY query_id, edge_type) AS fi FROM rk WHERE rank <= 30),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rd, fi) AS turn FROM f) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM t WHERE turn <= 10""")
+@query(TRIP + """, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, edge_type ORDER BY rank) AS rd, min(rank) OVER (PARTITION BY query_id, edge_type) AS fi
+  FROM rk WHERE rank <= 30),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rd, fi) AS turn FROM f) SELECT query_id, id, row_number() OVER (PARTITION BY
+  query_id ORDER BY score DESC, rank) AS rank FROM t WHERE turn <= 10""")
 def v5_diverse(spark, d):
     return V.diverse(_found(spark, d, 30), 10).select("query_id", "id", "rank")
 
 
-@query(TRIP + """, f AS (SELECT *, round(score * 0.7::double + least(CASE WHEN src = query_id OR dst = query_id THEN 0.5::double ELSE 0.0::double END + CASE WHEN edge_type = 'PPI' THEN conf * 0.3::double ELSE 0.0::double END + CASE edge_type WHEN 'TRRUST' THEN 0.25::double ELSE 0.15::double END, 1.0::double) * (1 - 0.7::double), 9) AS s FROM rk WHERE rank <= 20)
+@query(TRIP + """, f AS (SELECT *, round(score * 0.7::double + least(CASE WHEN src = query_id OR dst = query_id THEN 0.5::double ELSE 0.0::double END + CASE WHEN
+  edge_type = 'PPI' THEN conf * 0.3::double ELSE 0.0::double END + CASE edge_type WHEN 'TRRUST' THEN 0.25::double ELSE 0.15::double END, 1.0::double)
+  * (1 - 0.7::double), 9) AS s FROM rk WHERE rank <= 20)
 SELECT query_id, id, r AS rank, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS r FROM f) WHERE r <= 10""")
 def v6_hybrid(spark, d):
     return V.hybrid(_found(spark, d, 20).withColumn("gene", F.col("query_id")), 10).select("query_id", "id", "rank", "score")
 
 
-@query(TRIP + """, f AS (SELECT query_id, edge_type, id AS text, score, rank, row_number() OVER (PARTITION BY query_id, edge_type ORDER BY rank) AS r FROM rk WHERE rank <= 30),
-g AS (SELECT query_id, edge_type, count(*) AS k, string_agg('- ' || text || ' (relevance: ' || printf('%.2f', score) || ')', chr(10) ORDER BY r) AS b FROM f WHERE r <= 10 GROUP BY 1, 2)
-SELECT query_id, string_agg('### ' || CASE edge_type WHEN 'PPI' THEN 'Protein-Protein Interactions' ELSE 'Regulatory Relationships' END || ' (' || k || ' items):' || chr(10) || b, chr(10) || chr(10) ORDER BY list_position(['HPO','TRRUST','GO','PPI'], edge_type)) AS context FROM g GROUP BY 1""")
+@query(TRIP + """, f AS (SELECT query_id, edge_type, id AS text, score, rank, row_number() OVER (PARTITION BY query_id, edge_type ORDER BY rank) AS r FROM rk WHERE
+  rank <= 30),
+g AS (SELECT query_id, edge_type, count(*) AS k, string_agg('- ' || text || ' (relevance: ' || printf('%.2f', score) || ')', chr(10) ORDER BY r) AS b
+  FROM f WHERE r <= 10 GROUP BY 1, 2)
+SELECT query_id, string_agg('### ' || CASE edge_type WHEN 'PPI' THEN 'Protein-Protein Interactions' ELSE 'Regulatory Relationships' END || ' (' || k
+  || ' items):' || chr(10) || b, chr(10) || chr(10) ORDER BY list_position(['HPO','TRRUST','GO','PPI'], edge_type)) AS context FROM g GROUP BY 1""")
 def x13_contexts(spark, d):
     return R.contexts(_found(spark, d, 30).withColumn("text", F.col("id")))
 
@@ -288,12 +321,16 @@ def v1_lengths(spark, d):
 LONG = with_sql("emb").rstrip() + ", lg AS (SELECT id, label, unnest(emb) AS x, generate_subscripts(emb, 1) - 1 AS dim FROM emb)"
 
 
-@query(LONG + ", v AS (SELECT dim, var_pop(x) AS v FROM lg GROUP BY 1), l AS (SELECT sqrt(list_dot_product(emb, emb)) AS l, len(emb) AS dd FROM emb) SELECT (SELECT count(*) FROM l) AS n, (SELECT max(dd) FROM l) AS dim, (SELECT round(avg(l), 6) FROM l) AS mean_norm, (SELECT round(stddev_pop(l), 6) FROM l) AS std_norm, round(avg(v), 6) AS mean_var, round(max(v), 6) AS max_var, round(min(v), 6) AS min_var FROM v")
+@query(LONG + """, v AS (SELECT dim, var_pop(x) AS v FROM lg GROUP BY 1), l AS (SELECT sqrt(list_dot_product(emb, emb)) AS l, len(emb) AS dd FROM emb) SELECT (SELECT
+  count(*) FROM l) AS n, (SELECT max(dd) FROM l) AS dim, (SELECT round(avg(l), 6) FROM l) AS mean_norm, (SELECT round(stddev_pop(l), 6) FROM l) AS
+  std_norm, round(avg(v), 6) AS mean_var, round(max(v), 6) AS max_var, round(min(v), 6) AS min_var FROM v""")
 def a4_embedding_stats(spark, d):
     return rounded(V.embedding_stats(P.embeddings(spark, d)), "mean_norm", "std_norm", "mean_var", "max_var", "min_var")
 
 
-@query(LONG + ", m AS (SELECT dim, avg(x) AS m FROM lg GROUP BY 1), c AS (SELECT id, dim, x - m AS y FROM lg JOIN m USING (dim)), n AS (SELECT id, greatest(sqrt(sum(y * y)), 1e-8::double) AS n FROM c GROUP BY 1) SELECT id, round(sum(y / n * (dim + 1)), 6) AS checksum FROM c JOIN n USING (id) GROUP BY 1")
+@query(LONG + """, m AS (SELECT dim, avg(x) AS m FROM lg GROUP BY 1), c AS (SELECT id, dim, x - m AS y FROM lg JOIN m USING (dim)), n AS (SELECT id,
+  greatest(sqrt(sum(y * y)), 1e-8::double) AS n FROM c GROUP BY 1) SELECT id, round(sum(y / n * (dim + 1)), 6) AS checksum FROM c JOIN n USING (id)
+  GROUP BY 1""")
 def m9_centred(spark, d):
     weighed = F.aggregate(F.transform("emb", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return V.centred(P.embeddings(spark, d)).select("id", F.round(weighed, 6).alias("checksum"))
@@ -303,7 +340,9 @@ def m9_centred(spark, d):
 
 #: A deterministic score for each labelled vector: its product with the first
 #: class's mean vector; y marks class 0.
-SCORE = LONG + ", cen AS (SELECT label, dim, avg(x) AS c FROM lg GROUP BY 1, 2), pr AS (SELECT id, lg.label AS truth, cen.label AS cand, round(sum(x * c), 9) AS s FROM lg JOIN cen USING (dim) GROUP BY 1, 2, 3), y AS (SELECT id, CASE WHEN truth = 0 THEN 1 ELSE 0 END AS y, s AS score FROM pr WHERE cand = 0), pd AS (SELECT id, truth, cand AS predicted FROM pr QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, cand) = 1)"
+SCORE = LONG + """, cen AS (SELECT label, dim, avg(x) AS c FROM lg GROUP BY 1, 2), pr AS (SELECT id, lg.label AS truth, cen.label AS cand, round(sum(x * c), 9) AS s
+  FROM lg JOIN cen USING (dim) GROUP BY 1, 2, 3), y AS (SELECT id, CASE WHEN truth = 0 THEN 1 ELSE 0 END AS y, s AS score FROM pr WHERE cand = 0), pd
+  AS (SELECT id, truth, cand AS predicted FROM pr QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, cand) = 1)"""
 
 
 def _products(spark, d):
@@ -324,29 +363,39 @@ def _predicted(spark, d):
     return _products(spark, d).withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "truth", F.col("cand").alias("predicted"), F.lit("all").alias("g"))
 
 
-@query(SCORE + ", r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS r FROM y) SELECT round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::double) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM r")
+@query(SCORE + """, r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS r FROM y) SELECT round((sum(r) FILTER
+  (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::double) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM r""")
 def e8_auc(spark, d):
     return rounded(E.auc(_scored(spark, d), ["g"]), "auc").select("auc")
 
 
-@query(SCORE + ", s AS (SELECT score, count(*) AS n, sum(y) AS p FROM y GROUP BY 1), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS seen, sum(p) OVER () AS al FROM s) SELECT round(sum(p / al * tp / seen), 6) AS ap FROM c")
+@query(SCORE + """, s AS (SELECT score, count(*) AS n, sum(y) AS p FROM y GROUP BY 1), c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY
+  score DESC) AS seen, sum(p) OVER () AS al FROM s) SELECT round(sum(p / al * tp / seen), 6) AS ap FROM c""")
 def e8_average_precision(spark, d):
     return rounded(E.average_precision(_scored(spark, d), ["g"]), "ap").select("ap")
 
 
-@query(SCORE + ", k AS (SELECT DISTINCT truth AS c FROM pd UNION SELECT predicted FROM pd), f AS (SELECT c, (SELECT count(*) FROM pd WHERE truth = c AND predicted = c) AS tp, (SELECT count(*) FROM pd WHERE truth = c) AS t, (SELECT count(*) FROM pd WHERE predicted = c) AS p FROM k) SELECT round(sum(tp) / sum(t), 6) AS accuracy, round(avg(tp * 2.0::double / greatest(t + p, 1)), 6) AS macro_f1 FROM f")
+@query(SCORE + """, k AS (SELECT DISTINCT truth AS c FROM pd UNION SELECT predicted FROM pd), f AS (SELECT c, (SELECT count(*) FROM pd WHERE truth = c AND predicted =
+  c) AS tp, (SELECT count(*) FROM pd WHERE truth = c) AS t, (SELECT count(*) FROM pd WHERE predicted = c) AS p FROM k) SELECT round(sum(tp) / sum(t),
+  6) AS accuracy, round(avg(tp * 2.0::double / greatest(t + p, 1)), 6) AS macro_f1 FROM f""")
 def e8_accuracy_f1(spark, d):
     return rounded(E.classification(_predicted(spark, d), ["g"]), "accuracy", "macro_f1").drop("g")
 
 
-@query(SCORE + """, n AS (SELECT truth, predicted, count(*) AS n FROM pd GROUP BY 1, 2), a AS (SELECT truth, sum(n) AS a FROM n GROUP BY 1), b AS (SELECT predicted, sum(n) AS b FROM n GROUP BY 1), t AS (SELECT sum(n)::double AS t FROM n),
-s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM n) AS cj, (SELECT sum(a * (a - 1) / 2.0) FROM a) AS ca, (SELECT sum(b * (b - 1) / 2.0) FROM b) AS cb, (SELECT -sum(a / t * ln(a / t)) FROM a, t) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b, t) AS hb, (SELECT sum(n / t * ln(n * t / (a * b))) FROM n JOIN a USING (truth) JOIN b USING (predicted), t) AS mi, t FROM t)
-SELECT round((cj - ca * cb / (t * (t - 1) / 2)) / ((ca + cb) / 2 - ca * cb / (t * (t - 1) / 2)), 6) AS ari, round(mi / ha, 6) AS homogeneity, round(mi / hb, 6) AS completeness, round(2 * (mi / ha) * (mi / hb) / (mi / ha + mi / hb), 6) AS v_measure FROM s""")
+@query(SCORE + """, n AS (SELECT truth, predicted, count(*) AS n FROM pd GROUP BY 1, 2), a AS (SELECT truth, sum(n) AS a FROM n GROUP BY 1), b AS (SELECT predicted,
+  sum(n) AS b FROM n GROUP BY 1), t AS (SELECT sum(n)::double AS t FROM n),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM n) AS cj, (SELECT sum(a * (a - 1) / 2.0) FROM a) AS ca, (SELECT sum(b * (b - 1) / 2.0) FROM b) AS cb,
+  (SELECT -sum(a / t * ln(a / t)) FROM a, t) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b, t) AS hb, (SELECT sum(n / t * ln(n * t / (a * b))) FROM n
+  JOIN a USING (truth) JOIN b USING (predicted), t) AS mi, t FROM t)
+SELECT round((cj - ca * cb / (t * (t - 1) / 2)) / ((ca + cb) / 2 - ca * cb / (t * (t - 1) / 2)), 6) AS ari, round(mi / ha, 6) AS homogeneity, round(mi
+  / hb, 6) AS completeness, round(2 * (mi / ha) * (mi / hb) / (mi / ha + mi / hb), 6) AS v_measure FROM s""")
 def e10_clustering(spark, d):
     return rounded(E.clustering(_predicted(spark, d).withColumnRenamed("predicted", "cluster"), ["g"]), "ari", "homogeneity", "completeness", "v_measure").drop("g")
 
 
-@query(LONG + ", c AS (SELECT label, dim, avg(x) AS c FROM lg GROUP BY 1, 2), w AS (SELECT sum((x - c) * (x - c)) AS w FROM lg JOIN c USING (label, dim)), t AS (SELECT sum(v) AS t FROM (SELECT var_pop(x) * count(*) AS v FROM lg GROUP BY dim)), k AS (SELECT count(DISTINCT label) AS k, count(*) AS n FROM emb) SELECT round((t - w) / (k - 1) / (w / (n - k)), 6) AS calinski_harabasz FROM w, t, k")
+@query(LONG + """, c AS (SELECT label, dim, avg(x) AS c FROM lg GROUP BY 1, 2), w AS (SELECT sum((x - c) * (x - c)) AS w FROM lg JOIN c USING (label, dim)), t AS
+  (SELECT sum(v) AS t FROM (SELECT var_pop(x) * count(*) AS v FROM lg GROUP BY dim)), k AS (SELECT count(DISTINCT label) AS k, count(*) AS n FROM emb)
+  SELECT round((t - w) / (k - 1) / (w / (n - k)), 6) AS calinski_harabasz FROM w, t, k""")
 def e10_variance_ratio(spark, d):
     return rounded(E.calinski_harabasz(P.embeddings(spark, d), "label", "emb"), "calinski_harabasz")
 
@@ -357,7 +406,10 @@ def e6_folds(spark, d):
 
 
 #: Vectors against those of the gene before: rows of a prediction task.
-REG = LONG + ", p AS (SELECT a.id, a.dim, a.x AS truth, b.x AS predicted FROM lg a JOIN lg b ON a.dim = b.dim AND cast(substr(b.id, 2) AS bigint) = cast(substr(a.id, 2) AS bigint) - 1), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(truth) DESC, dim) AS r FROM p), m AS (SELECT id, coalesce(corr(truth, predicted), 0) AS corr, avg((truth - predicted) ** 2) AS mse, coalesce(corr(truth, predicted) FILTER (WHERE r <= 50), 0) AS de_corr, avg((truth - predicted) ** 2) FILTER (WHERE r <= 50) AS de_mse FROM r GROUP BY 1) "
+REG = LONG + """, p AS (SELECT a.id, a.dim, a.x AS truth, b.x AS predicted FROM lg a JOIN lg b ON a.dim = b.dim AND cast(substr(b.id, 2) AS bigint) =
+  cast(substr(a.id, 2) AS bigint) - 1), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(truth) DESC, dim) AS r FROM p), m AS (SELECT
+  id, coalesce(corr(truth, predicted), 0) AS corr, avg((truth - predicted) ** 2) AS mse, coalesce(corr(truth, predicted) FILTER (WHERE r <= 50), 0) AS
+  de_corr, avg((truth - predicted) ** 2) FILTER (WHERE r <= 50) AS de_mse FROM r GROUP BY 1) """
 
 
 def _regression(spark, d):
@@ -372,7 +424,8 @@ def e11_regression_rows(spark, d):
     return rounded(_regression(spark, d), "corr", "mse", "de_corr", "de_mse")
 
 
-@query(REG + "SELECT round(avg(corr), 6) AS delta_correlation, round(avg(mse), 6) AS mse, round(sqrt(avg(mse)), 6) AS rmse, round(avg(de_corr), 6) AS de_correlation, round(avg(de_mse), 6) AS de_mse, round(stddev_pop(corr), 6) AS delta_correlation_std FROM m")
+@query(REG + """SELECT round(avg(corr), 6) AS delta_correlation, round(avg(mse), 6) AS mse, round(sqrt(avg(mse)), 6) AS rmse, round(avg(de_corr), 6) AS
+  de_correlation, round(avg(de_mse), 6) AS de_mse, round(stddev_pop(corr), 6) AS delta_correlation_std FROM m""")
 def e11_regression_summary(spark, d):
     return rounded(E.regression_summary(_regression(spark, d)), "delta_correlation", "mse", "rmse", "de_correlation", "de_mse", "delta_correlation_std")
 
@@ -406,7 +459,8 @@ def j6_pair_features(spark, d):
     return x.select("src", "dst", F.size("x").cast("long").alias("n_features"), F.round(F.element_at("x", 1) + F.element_at("x", -1), 6).alias("probe"))
 
 
-@query(with_sql("ppi") + "SELECT 'P' || a AS gene_a, 'P' || b AS gene_b FROM (SELECT p_partkey AS a, (p_partkey * 7919 + 13) % (SELECT count(*) FROM part) + 1 AS b FROM part) WHERE a <> b AND NOT EXISTS (SELECT 1 FROM ppi WHERE src = 'P' || least(a, b) AND dst = 'P' || greatest(a, b))")
+@query(with_sql("ppi") + """SELECT 'P' || a AS gene_a, 'P' || b AS gene_b FROM (SELECT p_partkey AS a, (p_partkey * 7919 + 13) % (SELECT count(*) FROM part) + 1 AS b FROM part)
+  WHERE a <> b AND NOT EXISTS (SELECT 1 FROM ppi WHERE src = 'P' || least(a, b) AND dst = 'P' || greatest(a, b))""")
 def j14_negative_pairs(spark, d):
     """One hashed partner for each gene, without true pairs: no cross join."""
     part = P.table(spark, d, "part").select(F.col("p_partkey").alias("a"))
@@ -418,30 +472,39 @@ def j14_negative_pairs(spark, d):
 
 # ---- sources ---------------------------------------------------------------
 
-@query("""WITH t AS (SELECT 'P' || l_partkey AS src, n_name AS tissue, cast(sum(l_quantity) AS double) AS tpm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
-m AS (SELECT *, max(tpm) OVER (PARTITION BY src) AS top, count(*) OVER (PARTITION BY src) AS n FROM t), u AS (SELECT *, sum(1 - tpm / top) OVER (PARTITION BY src) AS lack FROM m)
-SELECT src, tissue, round(tpm, 11) AS tpm, round(tpm / top, 11) AS relative, round(CASE WHEN n <= 1 THEN 0.0::double ELSE greatest(0.0::double, least(1.0::double, lack / greatest(n - 1, 1))) END, 11) AS tau FROM u WHERE tpm >= 1.0""")
+@query("""WITH t AS (SELECT 'P' || l_partkey AS src, n_name AS tissue, cast(sum(l_quantity) AS double) AS tpm FROM lineitem JOIN supplier ON l_suppkey =
+  s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+m AS (SELECT *, max(tpm) OVER (PARTITION BY src) AS top, count(*) OVER (PARTITION BY src) AS n FROM t), u AS (SELECT *, sum(1 - tpm / top) OVER
+  (PARTITION BY src) AS lack FROM m)
+SELECT src, tissue, round(tpm, 11) AS tpm, round(tpm / top, 11) AS relative, round(CASE WHEN n <= 1 THEN 0.0::double ELSE greatest(0.0::double,
+  least(1.0::double, lack / greatest(n - 1, 1))) END, 11) AS tau FROM u WHERE tpm >= 1.0""")
 def s33_tissue_specificity(spark, d):
     t = P.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(P.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")), "l_suppkey").join(P.table(spark, d, "nation"), "n_nationkey")
     long = t.groupBy(P.gene("l_partkey").alias("src"), F.col("n_name").alias("tissue")).agg(F.sum("l_quantity").cast("double").alias("tpm")).withColumn("pos", F.lit(0))
     return rounded(S.expression(long), "tpm", "relative", "tau", places=11)
 
 
-@query("WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') SELECT 'P' || coalesce(a.k, r.k) AS gene, CASE WHEN a.k IS NOT NULL AND r.k IS NOT NULL THEN 'bivalent' WHEN a.k IS NOT NULL THEN 'lys4_only' ELSE 'lys27_only' END AS state FROM a FULL JOIN r ON a.k = r.k")
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE
+  l_returnflag = 'R') SELECT 'P' || coalesce(a.k, r.k) AS gene, CASE WHEN a.k IS NOT NULL AND r.k IS NOT NULL THEN 'bivalent' WHEN a.k IS NOT NULL
+  THEN 'lys4_only' ELSE 'lys27_only' END AS state FROM a FULL JOIN r ON a.k = r.k""")
 def s48_chromatin_states(spark, d):
     lines = P.table(spark, d, "lineitem")
     own = lambda f: lines.where(F.col("l_returnflag") == f).select(P.gene("l_partkey").alias("gene")).distinct()
     return S.chromatin_states(own("A"), own("R"))
 
 
-@query("WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') SELECT 'P' || k AS gene, 1 AS label FROM a WHERE k NOT IN (SELECT k FROM r) UNION ALL SELECT 'P' || k, 0 FROM r WHERE k NOT IN (SELECT k FROM a)")
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE
+  l_returnflag = 'R') SELECT 'P' || k AS gene, 1 AS label FROM a WHERE k NOT IN (SELECT k FROM r) UNION ALL SELECT 'P' || k, 0 FROM r WHERE k NOT IN
+  (SELECT k FROM a)""")
 def s63_two_lists(spark, d):
     lines = P.table(spark, d, "lineitem")
     own = lambda f: lines.where(F.col("l_returnflag") == f).select(P.gene("l_partkey").alias("gene"))
     return S.without_overlap(own("A"), own("R"))
 
 
-@query("WITH m AS (SELECT l_orderkey, 'P' || l_partkey AS src, l_linenumber, l_suppkey FROM lineitem), n AS (SELECT l_orderkey, count(DISTINCT src) AS subunit_count FROM m GROUP BY 1) SELECT DISTINCT src, 'CORUM:' || l_orderkey AS dst, 'order ' || l_orderkey AS complex_name, subunit_count FROM m JOIN n USING (l_orderkey)")
+@query("""WITH m AS (SELECT l_orderkey, 'P' || l_partkey AS src, l_linenumber, l_suppkey FROM lineitem), n AS (SELECT l_orderkey, count(DISTINCT src) AS
+  subunit_count FROM m GROUP BY 1) SELECT DISTINCT src, 'CORUM:' || l_orderkey AS dst, 'order ' || l_orderkey AS complex_name, subunit_count FROM m
+  JOIN n USING (l_orderkey)""")
 def s39_complex_edges(spark, d):
     lines = P.table(spark, d, "lineitem").select("l_orderkey", P.gene("l_partkey").alias("g")).distinct()
     rows = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("g")), ";").alias("subunits"))
@@ -449,13 +512,16 @@ def s39_complex_edges(spark, d):
     return S.corum_edges(rows).withColumn("subunit_count", F.col("subunit_count").cast("long"))
 
 
-@query("SELECT src, dst, evidence FROM (SELECT 'P' || l_partkey AS src, 'GO:' || l_shipdate::date AS dst, l_linestatus || l_returnflag AS evidence, row_number() OVER (PARTITION BY l_partkey, l_shipdate::date ORDER BY l_orderkey, l_linenumber, l_suppkey, l_linestatus, l_returnflag) AS r FROM lineitem) WHERE r = 1")
+@query("""SELECT src, dst, evidence FROM (SELECT 'P' || l_partkey AS src, 'GO:' || l_shipdate::date AS dst, l_linestatus || l_returnflag AS evidence,
+  row_number() OVER (PARTITION BY l_partkey, l_shipdate::date ORDER BY l_orderkey, l_linenumber, l_suppkey, l_linestatus, l_returnflag) AS r FROM
+  lineitem) WHERE r = 1""")
 def s12_first_annotation(spark, d):
     lines = P.table(spark, d, "lineitem").select(P.gene("l_partkey").alias("src"), F.concat(F.lit("GO:"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("dst"), F.concat("l_linestatus", "l_returnflag").alias("evidence"), "l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_returnflag")
     return I.first_of(lines, ["src", "dst"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus", "l_returnflag"]).select("src", "dst", "evidence")
 
 
-PW = "WITH e AS (SELECT DISTINCT l_partkey, c_mktsegment AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), p AS (SELECT dst, count(DISTINCT l_partkey) AS n FROM e GROUP BY 1) "
+PW = """WITH e AS (SELECT DISTINCT l_partkey, c_mktsegment AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey =
+  c_custkey), p AS (SELECT dst, count(DISTINCT l_partkey) AS n FROM e GROUP BY 1) """
 
 
 @query(PW + "SELECT count(*) AS pathways, cast(sum(n) AS bigint) AS associations, round(avg(n), 6) AS avg_genes, max(n) AS max_genes FROM p")
@@ -463,7 +529,9 @@ def s22_pathway_stats(spark, d):
     return S.pathway_stats(P.edges(spark, d, ("Reactome",)))
 
 
-@query("WITH k AS (SELECT 'symbol' AS kind, p_name AS key, 'P' || p_partkey AS symbol, p_partkey AS pos FROM part UNION ALL SELECT 'alias', p_brand || '-' || p_size, 'P' || p_partkey, p_partkey FROM part) SELECT kind, key, symbol FROM (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY pos DESC) AS r FROM k) WHERE r = 1")
+@query("""WITH k AS (SELECT 'symbol' AS kind, p_name AS key, 'P' || p_partkey AS symbol, p_partkey AS pos FROM part UNION ALL SELECT 'alias', p_brand || '-' ||
+  p_size, 'P' || p_partkey, p_partkey FROM part) SELECT kind, key, symbol FROM (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY pos DESC)
+  AS r FROM k) WHERE r = 1""")
 def p7_id_mapper(spark, d):
     part = P.table(spark, d, "part")
     k = part.select(F.lit("symbol").alias("kind"), F.col("p_name").alias("key"), P.gene("p_partkey").alias("symbol"), F.col("p_partkey").alias("pos"))
@@ -498,7 +566,11 @@ def j13_candidate_negatives(spark, d):
 
 
 #: Cells are customers, genes the parts they bought, expression the quantity.
-CELL = with_sql("emb").rstrip() + ", x AS (SELECT o_custkey AS cell, 'P' || l_partkey AS gene, cast(sum(l_quantity) AS double) AS expr FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), j AS (SELECT cell, gene, expr, emb, row_number() OVER (PARTITION BY cell ORDER BY expr DESC, gene) AS r, count(*) OVER (PARTITION BY cell) AS n FROM x JOIN emb ON id = gene WHERE expr > 0), u AS (SELECT cell, expr, unnest(emb) AS v, generate_subscripts(emb, 1) AS dim FROM j WHERE r <= 500 AND n >= 5), pl AS (SELECT cell, dim, sum(v * expr) / sum(expr) AS p FROM u GROUP BY 1, 2) SELECT cell, round(sum(p * dim), 6) AS checksum FROM pl GROUP BY 1"
+CELL = with_sql("emb").rstrip() + """, x AS (SELECT o_custkey AS cell, 'P' || l_partkey AS gene, cast(sum(l_quantity) AS double) AS expr FROM lineitem JOIN orders ON l_orderkey =
+  o_orderkey GROUP BY 1, 2), j AS (SELECT cell, gene, expr, emb, row_number() OVER (PARTITION BY cell ORDER BY expr DESC, gene) AS r, count(*) OVER
+  (PARTITION BY cell) AS n FROM x JOIN emb ON id = gene WHERE expr > 0), u AS (SELECT cell, expr, unnest(emb) AS v, generate_subscripts(emb, 1) AS dim
+  FROM j WHERE r <= 500 AND n >= 5), pl AS (SELECT cell, dim, sum(v * expr) / sum(expr) AS p FROM u GROUP BY 1, 2) SELECT cell, round(sum(p * dim), 6)
+  AS checksum FROM pl GROUP BY 1"""
 
 
 @query(CELL)
@@ -512,7 +584,10 @@ def a6_cell_pooling(spark, d):
     return rounded(pooled.groupBy("cell").agg(F.sum(F.col("p") * (F.col("dim") + 1)).alias("checksum")), "checksum")
 
 
-@query("WITH x AS (SELECT o_orderpriority AS cond, p_brand AS gene, o_orderkey AS cell, cast(sum(l_quantity) AS double) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3), m AS (SELECT cond, gene, avg(v) AS m FROM x GROUP BY 1, 2), k AS (SELECT cond FROM x GROUP BY 1 HAVING count(DISTINCT cell) >= 3) SELECT m.cond, m.gene, round(m.m - coalesce(c.m, 0.0), 6) AS delta FROM m JOIN k USING (cond) LEFT JOIN (SELECT gene, m FROM m WHERE cond = (SELECT min(cond) FROM m)) c ON c.gene = m.gene WHERE m.cond <> (SELECT min(cond) FROM m)")
+@query("""WITH x AS (SELECT o_orderpriority AS cond, p_brand AS gene, o_orderkey AS cell, cast(sum(l_quantity) AS double) AS v FROM lineitem JOIN orders ON
+  l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3), m AS (SELECT cond, gene, avg(v) AS m FROM x GROUP BY 1, 2), k AS
+  (SELECT cond FROM x GROUP BY 1 HAVING count(DISTINCT cell) >= 3) SELECT m.cond, m.gene, round(m.m - coalesce(c.m, 0.0), 6) AS delta FROM m JOIN k
+  USING (cond) LEFT JOIN (SELECT gene, m FROM m WHERE cond = (SELECT min(cond) FROM m)) c ON c.gene = m.gene WHERE m.cond <> (SELECT min(cond) FROM m)""")
 def a9_pseudo_bulk_delta(spark, d):
     lines = P.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("cond"))
