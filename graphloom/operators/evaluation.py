@@ -134,10 +134,14 @@ def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    from graphloom.sources.graph_store import written
+
     n = points.groupBy("label").agg(F.count("*").alias("_c"))
     total = F.sum("_c").over(Window.partitionBy())
     weights = n.select("label", (total / (F.lit(2) * F.col("_c"))).alias("weight"))
-    data = folds(points, k, "label", "id", seed).join(F.broadcast(weights), "label").select("id", F.col("label").cast("double").alias("y"), "fold", "weight", array_to_vector("emb").alias("features")).cache()
+    data = folds(points, k, "label", "id", seed).join(F.broadcast(weights), "label").select("id", F.col("label").cast("double").alias("y"), "fold", "weight", "emb")
+    # every fold reads the rows again: from a written table, not from executors' memory
+    data = written(data, "folds").withColumn("features", array_to_vector("emb"))
     out, size = None, max(1, data.count())
     models = {"logistic": LogisticRegression(labelCol="y", weightCol="weight", maxIter=1000, regParam=1.0 / size, standardization=False), "forest": RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, seed=42)}
     for f in range(k):

@@ -210,8 +210,9 @@ def critic_values(history: DataFrame, direction: DataFrame) -> DataFrame:
     raw = clip((value * 0.35 + clip(F.col("best"), 0.0, 1.0) * 0.30 + consistency * 0.20 + clip(F.col("metric"), 0.0, 1.0) * 0.15) * 2 - 1, -1.0, 1.0)
     # v_1 = r_1, v_n = 0.7 r_n + 0.3 v_(n-1): the sum is folded in order, since
     # weights of 0.3 ** k written as quotients would run out of range
-    past = F.collect_list("raw").over(by().rowsBetween(Window.unboundedPreceding, 0))
-    fold = F.aggregate(F.slice(past, F.greatest(F.lit(1), F.size(past) - 39), 40), F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(x * 0.7 + a * 0.3))
+    # of 40 entries, since 0.3 ** 40 is less than a double holds beside one
+    past = F.collect_list("raw").over(by().rowsBetween(-39, 0))
+    fold = F.aggregate(past, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(x * 0.7 + a * 0.3))
     return h.withColumn("raw", raw).select("task", "iteration", "metric", consistency.alias("consistency"), fold.alias("value"))
 
 

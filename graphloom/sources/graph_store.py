@@ -62,6 +62,18 @@ def kept(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], D
     return spark.read.parquet(_KEPT[key])
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written once and read again by a plan that runs over it many times."""
+    spark, app = df.sparkSession, df.sparkSession.sparkContext.applicationId
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    with _LOCK:
+        if not any(k[0] == app for k in _KEPT):
+            atexit.register(drop_kept, spark)
+        _KEPT[app, path] = path
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop_kept(spark: SparkSession) -> int:
     """Deletes this application's kept tables; returns how many there were."""
     context = spark.sparkContext
