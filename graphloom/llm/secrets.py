@@ -101,8 +101,8 @@ def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
     """doc_id, begin, candidate, before, after, path of every candidate; before
     and after are up to 40 characters beside it, on its line."""
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col in docs.columns else F.lit("")
-    own = docs.select("doc_id", F.translate("text", _MARK, " ").alias("text"), path.alias("path")).where(F.regexp_like("text", F.lit(CANDIDATE)))
-    # candidates stand at the odd places between marks
+    own = docs.select("doc_id", F.translate("text", _MARK, " ").alias("text"), path.alias("path"))
+    # candidates stand at the odd places between marks; a text without any is one part
     parts = own.select("doc_id", "path", F.split(F.regexp_replace("text", CANDIDATE, f"$1{_MARK}$2$3{_MARK}"), _MARK, -1).alias("parts"))
     total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
     parts = parts.withColumn("sizes", F.transform("parts", lambda p: F.length(p)))
@@ -116,7 +116,9 @@ def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
         F.regexp_extract(F.right(F.element_at("parts", 2 * k - 1), F.lit(40)), r"[^\n]*$", 0).alias("before"),
         F.regexp_extract(F.left(F.element_at("parts", 2 * k + 1), F.lit(40)), r"^[^\n]*", 0).alias("after"),
     )
-    each = parts.select("doc_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.floor(F.size("parts") / 2).cast("int")), one)).alias("c"))
+    n = F.floor(F.size("parts") / 2).cast("int")
+    # explode_outer: for explode the optimizer would add a filter that makes every candidate once more
+    each = parts.select("doc_id", "path", F.explode_outer(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one))).alias("c")).where("c IS NOT NULL")
     given = F.regexp_like("before", F.lit(INTRODUCED))
     return each.select("doc_id", "c.*", "path").where(given | F.regexp_like("candidate", F.lit(_WITH)))
 
@@ -195,4 +197,4 @@ def example_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> DataF
             own, before = rng.choice(["your_api_key_here_123", "changeMe1234567890", "xxxxxxxxxxxxxxxx0000", "example_token_0000000"]), f"{lead} {rng.choice(SECRET_WORDS)}="
             path = rng.choice(HARMLESS_PATHS)
         rows.append((own, before[-40:], prose(rng.randint(0, 3))[:40], path, int(secret)))
-    return spark.createDataFrame(rows, "candidate string, before string, after string, path string, label int").coalesce(1)
+    return spark.createDataFrame(rows, "candidate string, before string, after string, path string, label int").coalesce(1).repartition(4, "candidate")
