@@ -396,3 +396,53 @@ def p11_all_symbols(spark, d):
 def k1_degree_table(spark, d):
     """Statistics that are kept beside a graph: in-degrees of its interactions."""
     return A.class_counts(P.edges(spark, d, ("PPI",)), "dst")
+
+
+# ---- parsers by themselves
+
+
+@query("""SELECT 'GO:' || p_partkey AS id, p_name AS name, 'x_' || p_size AS namespace, CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'about ' || p_type END AS definition, p_size % 5 = 0 AS obsolete
+FROM part WHERE p_size % 3 <> 0""")
+def s9_obo_terms(spark, d):
+    """Stanzas as text, of which a third are of another kind."""
+    size = F.col("p_size")
+    text = F.concat(
+        F.when(size % 3 == 0, "[Typedef]").otherwise("[Term]"), F.lit("\nid: GO:"), F.col("p_partkey").cast("string"), F.lit("\nname: "), "p_name", F.lit("\nnamespace: x_"), size.cast("string"),
+        F.when(size % 4 == 0, "").otherwise(F.concat(F.lit('\ndef: "about '), "p_type", F.lit('" [a:b]'))), F.when(size % 5 == 0, "\nis_obsolete: true").otherwise(""),
+    )
+    return B.obo_terms(P.table(spark, d, "part").select(text.alias("value")))
+
+
+@query(f"""WITH g AS (SELECT upper('p' || l_partkey) AS src, 'GO:' || l_suppkey % 30 AS dst, l_returnflag AS evidence, CASE WHEN l_linenumber % 2 = 0 THEN 'F' ELSE 'P' END AS aspect, {POS} AS pos FROM lineitem WHERE l_linenumber <> 5)
+SELECT src, dst, evidence, aspect FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY pos) AS r FROM g WHERE aspect = 'P') WHERE r = 1""")
+def s10_annotation_lines(spark, d):
+    """Lines of fifteen fields; comments and shorter lines are left out."""
+    line = F.col("l_linenumber")
+    fields = F.concat_ws(
+        "\t", F.lit("db"), F.lit("id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.lit(""), F.concat(F.lit("GO:"), (F.col("l_suppkey") % 30).cast("string")), F.lit("ref"), F.col("l_returnflag"),
+        F.lit(""), F.when(line % 2 == 0, "F").otherwise("P"), *[F.lit("x")] * 6,
+    )
+    short = F.when(line == 5, F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("!"), fields)).otherwise("a\tb")).otherwise(fields)
+    return B.gaf_annotations(P.table(spark, d, "lineitem").select(short.alias("value"), _pos().alias("pos")))
+
+
+@query("SELECT 'P' || p_partkey AS gene, upper(p_brand) || ',' || upper(replace(p_type, ' ', '')) AS members, 2 AS n FROM part")
+def s36_subunits(spark, d):
+    """Members between semicolons; brackets are cut and names that begin with a digit dropped."""
+    text = F.concat(F.lower("p_brand"), F.lit("(x); "), F.replace("p_type", F.lit(" "), F.lit("")), F.lit(" ;9"), "p_brand")
+    rows = P.table(spark, d, "part").select(P.gene("p_partkey").alias("gene"), B.subunits(text).alias("m"))
+    return rows.select("gene", F.array_join("m", ",").alias("members"), F.size("m").alias("n"))
+
+
+@query("SELECT p_partkey AS k, 'a' || p_size || ',b' AS items FROM part")
+def s37_lists(spark, d):
+    text = F.concat(F.lit(" a"), F.col("p_size").cast("string"), F.lit(" ;; b ;"))
+    return P.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.array_join(B.listed(text), ",").alias("items"))
+
+
+@query(CHROM + "SELECT 'P' || k AS gene, 'both' AS kind FROM (SELECT k FROM a INTERSECT SELECT k FROM r) UNION ALL SELECT 'P' || k, 'first' FROM (SELECT k FROM a EXCEPT SELECT k FROM r)")
+def u1_set_operations(spark, d):
+    lines = P.table(spark, d, "lineitem")
+    own = lambda n, f: lines.where((F.col("l_linenumber") == n) & (F.col("l_returnflag") == f)).select(P.gene("l_partkey").alias("gene"))
+    a, r = own(1, "A"), own(2, "R")
+    return a.intersect(r).withColumn("kind", F.lit("both")).unionByName(a.subtract(r).withColumn("kind", F.lit("first")))

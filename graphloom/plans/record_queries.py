@@ -338,3 +338,115 @@ def e9_regression_fold(spark, d):
 
 
 query()(e9_regression_fold)
+
+
+# ---- parts of composite operators by themselves
+
+
+@query(XQ.DESC + f" SELECT doc_id, len({XQ._issues}) = 0 AS safe FROM descs")
+def x6_is_safe(spark, d):
+    from graphloom.functions import leakage as L
+
+    return XQ.descriptions(spark, d).select("doc_id", L.is_safe(F.col("text")).alias("safe"))
+
+
+@query(XQ.FILTER + "SELECT doc_id, filtered FROM out")
+def x2_simple_filter(spark, d):
+    from graphloom.functions import leakage as L
+
+    return L.filtered(XQ.descriptions(spark, d)).select("doc_id", "filtered")
+
+
+@query("SELECT node_id, coalesce(name, node_id) AS name FROM (SELECT 'P' || p_partkey AS node_id, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_name END AS name FROM part)")
+def x10_node_names(spark, d):
+    part = P.table(spark, d, "part").select(P.gene("p_partkey").alias("node_id"), F.when(F.col("p_size") % 4 != 0, F.col("p_name")).alias("name"))
+    return part.select("node_id", F.coalesce("name", "node_id").alias("name"))
+
+
+@query(HQ.ABL + "SELECT task, edge_type, class FROM abl")
+def w27_ablation_classes(spark, d):
+    return H.ablation(HQ.strategies(spark, d)).select("task", "edge_type", "class")
+
+
+@query(HQ.GAE + "SELECT task, iteration, round(td, 9) AS td FROM g1")
+def w38_temporal_differences(spark, d):
+    return rounded(H.gae(HQ.critic(spark, d).withColumnRenamed("metric", "reward")).select("task", "iteration", "td"), "td", places=9)
+
+
+@query(HIST + f"SELECT task, iteration, coalesce(metric <= lag(metric, 1) {W}) AND lag(metric, 1) {W}) <= lag(metric, 2) {W}), false) AS decline FROM hist")
+def w40_declines(spark, d):
+    w = Window.partitionBy("task").orderBy("iteration")
+    back = lambda n: F.lag("metric", n).over(w)
+    fall = (F.col("metric") <= back(1)) & (back(1) <= back(2))
+    return P.history(spark, d).select("task", "iteration", F.coalesce(fall, F.lit(False)).alias("decline"))
+
+
+@query(HQ.TREND + "SELECT task, iteration, duration FROM trend")
+def w8_trend_durations(spark, d):
+    return H.trends(P.history(spark, d)).select("task", "iteration", "duration")
+
+
+@query(HQ.TREND + "SELECT task, iteration, round(convergence, 9) AS convergence FROM trend")
+def w9_convergence(spark, d):
+    return rounded(H.trends(P.history(spark, d)).select("task", "iteration", "convergence"), "convergence", places=9)
+
+
+@query(HQ.TREND + "SELECT task, iteration, action FROM trend")
+def w11_actions(spark, d):
+    return H.trends(P.history(spark, d)).select("task", "iteration", "action")
+
+
+@query(HQ.SIGNALS + "SELECT task, iteration, round(cp, 9) AS context_penalty FROM sig")
+def w6_context_penalty(spark, d):
+    h = HQ.strategies(spark, d)
+    s = H.reward_signals(h.join(H.strategy_distance(h), ["task", "iteration"]), F.col("distance"))
+    return rounded(s.select("task", "iteration", "context_penalty"), "context_penalty", places=9)
+
+
+@query(HQ.WEIGHTS + "SELECT task, edge_type, raw FROM mm")
+def w17_single_weights(spark, d):
+    return rounded(H.edge_weights(HQ.effects(spark, d)).select("task", "edge_type", "raw"), "raw", places=9)
+
+
+@query(HQ.REWARDS + "SELECT task, iteration, plateau_duration FROM rewards")
+def w2a_plateau_durations(spark, d):
+    return H.gated_rewards(P.history(spark, d)).select("task", "iteration", "plateau_duration")
+
+
+@query(HQ.TREND + f", s AS (SELECT task, direction, min(iteration) AS first, max(iteration) AS last FROM trend GROUP BY task, direction, island) SELECT task, 'iterations ' || first || '-' || last AS label, direction FROM s")
+def w8a_window_labels(spark, d):
+    """Each run of one direction with the iterations that it spans."""
+    t = H.trends(P.history(spark, d))
+    w = Window.partitionBy("task").orderBy("iteration")
+    turn = F.when(F.lag("direction").over(w).eqNullSafe(F.col("direction")), 0).otherwise(1)
+    t = t.withColumn("turn", turn).withColumn("island", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = t.groupBy("task", "direction", "island").agg(F.min("iteration").cast("string").alias("a"), F.max("iteration").cast("string").alias("b"))
+    return s.select("task", F.concat(F.lit("iterations "), "a", F.lit("-"), "b").alias("label"), "direction")
+
+
+def _score_sql(name: str) -> str:
+    return SCORED + f"SELECT center, neighbor, round({name}, 9) AS {name} FROM scores"
+
+
+def _score(spark, d, name: str):
+    return rounded(scores(spark, d).select("center", "neighbor", name), name, places=9)
+
+
+@query(_score_sql("structural"))
+def m1_structural(spark, d):
+    return _score(spark, d, "structural")
+
+
+@query(_score_sql("task_relevance"))
+def m2_task_relevance(spark, d):
+    return _score(spark, d, "task_relevance")
+
+
+@query(_score_sql("semantic"))
+def m3_semantic(spark, d):
+    return _score(spark, d, "semantic")
+
+
+@query(_score_sql("confidence"))
+def m5_confidence(spark, d):
+    return _score(spark, d, "confidence")
