@@ -67,6 +67,18 @@ def drop_stages(spark: SparkSession) -> int:
     return n
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes one staged table, once what was made from it has been written."""
+    context = df.sparkSession.sparkContext
+    own = _STAGES.get(context.applicationId, [])
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        mine = next((p for p in own if path.endswith(p.rsplit("/", 1)[1])), None)
+        if mine:
+            own.remove(mine)
+            at = context._jvm.org.apache.hadoop.fs.Path(mine)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _drop_at_end(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is not None:  # a stopped session has none
         drop_stages(spark)

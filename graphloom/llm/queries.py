@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, langid, minhash, mixing, neighbours, secrets, sharding, substrings, tokenfile, toxicity
+from graphloom.llm import codes, decontaminate, exact, fim, langid, minhash, mixing, neighbours, secrets, sharding, substrings, tokenfile, toxicity
 from graphloom.llm.common import crc32_of, table
 
 #: Shards 0 to 15, all of one weight; grown by one.
@@ -80,13 +80,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.find(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return codes.with_label_error(rows).select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.restored(fim.transform(table(spark, sf_dir, "documents")))
+    hashed = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hashed("output").alias("output_sha256"), hashed("text").alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_secret_scan, op3_learned_partitions, op4_suffix_dedup, op5_source_mixing, op6_decontamination, op7_token_files, op8_rendezvous_shards, op9_circulant_minhash, op10_toxicity)
+    own = (op1_language_id, op2_secret_scan, op3_learned_partitions, op4_suffix_dedup, op5_source_mixing, op6_decontamination, op7_token_files, op8_rendezvous_shards, op9_circulant_minhash, op10_toxicity, op11_heavy_hitter_dedup, op12_vector_codes, op13_fill_in_middle)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": MIXING_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op9_circulant_minhash": NEAR_DUPLICATE_SQL}
+    return {
+        "op5_source_mixing": MIXING_SQL,
+        "op6_decontamination": DECONTAMINATION_SQL,
+        "op9_circulant_minhash": NEAR_DUPLICATE_SQL,
+        "op11_heavy_hitter_dedup": EXACT_SQL,
+        "op12_vector_codes": CODES_SQL,
+        "op13_fill_in_middle": FIM_SQL,
+    }
 
 
 MIXING_SQL = r"""
@@ -139,3 +162,52 @@ m AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid =
 SELECT doc_id, cast(coalesce(n, 0) AS bigint) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
 FROM d JOIN m USING (rid) LEFT JOIN n USING (rid)
 """
+
+EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def _codes_round(k: int) -> str:
+    """The SQL of one assignment by codebook c<k>, and of the means after it."""
+    step = f"""
+a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(v) AS v, min(list_sum(list_transform(list_zip(v, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint * 64 + j) AS best
+       FROM p JOIN c{k} USING (part) GROUP BY vec_id, part)"""
+    if k == 2:
+        return step
+    return (
+        step
+        + f""",
+s{k} AS (SELECT part, best % 64 AS j, u.d AS d, sum(v[u.d])::bigint AS s, count(*)::bigint AS n FROM a{k}, unnest(range(1, 5)) AS u(d) GROUP BY 1, 2, 3),
+m{k} AS (SELECT part, j, list((s - ((s % n) + n) % n) // n ORDER BY d) AS e FROM s{k} GROUP BY 1, 2),
+c{k + 1} AS MATERIALIZED (SELECT part, j, coalesce(m{k}.e, c{k}.e) AS e FROM c{k} LEFT JOIN m{k} USING (part, j)),"""
+    )
+
+
+CODES_SQL = (
+    """
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, x[part * 4 + 1:part * 4 + 4] AS v FROM k, unnest(range(16)) AS u(part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM k QUALIFY j < 64),
+c0 AS MATERIALIZED (SELECT part, j, v AS e FROM p JOIN f USING (vec_id)),"""
+    + "".join(_codes_round(k) for k in range(3))
+    + """,
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, j)) AS codebooks_sha256 FROM c2),
+r AS (SELECT vec_id, string_agg(printf('%02x', (best % 64)::int), '' ORDER BY part) AS code, sum(best // 64)::bigint AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), h
+"""
+)
+
+FIM_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::bigint AS n, sha256('1:' || coalesce(doc_id::varchar, '')) AS x FROM documents),
+g AS (SELECT *, ('0x' || x[1:8])::bigint AS h1, ('0x' || x[9:16])::bigint AS h2, ('0x' || x[17:24])::bigint AS h3, ('0x' || x[25:32])::bigint AS h4 FROM h),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+o AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o
+"""
