@@ -62,7 +62,8 @@ def _digest(normalise: Callable[[Column], Column]) -> Column:
 def candidates(rows: DataFrame, key: str = "h") -> DataFrame:
     """One column ``key``: every value that may hold a SHARE of the rows."""
     once = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("g")).agg(F.expr(f"approx_top_k_accumulate({key}, {COUNTERS})").alias("s"))
-    twice = once.agg(F.expr(f"approx_top_k_combine(s, {COUNTERS})").alias("s"))
+    # grouped, since a combination over a partition without sketches fails
+    twice = once.groupBy(F.pmod("g", F.lit(1))).agg(F.expr(f"approx_top_k_combine(s, {COUNTERS})").alias("s"))
     return twice.select(F.expr(f"inline(approx_top_k_estimate(s, {COUNTERS}))")).select(F.col("item").alias(key))
 
 
