@@ -8,27 +8,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.sampling import numbered
 
-def auc(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Area under the ROC curve by the rank sum, ties sharing their mean rank.
 
-    Ranks are taken over distinct scores, counted first, so a window holds a
-    row for each score and not for each example."""
+def ranked(scored: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each distinct score in ``by``: n, p (rows, and positive ones, of
+    that score), below_n, below_p (of smaller scores), all_n, all_p.
+
+    Scores are dealt to ranges and summed by range first; the running sums run
+    within a range and start at the sums of the ranges before, so no task holds
+    more than its range.  The ranges are kept, since they are read twice."""
+    from graphloom.sources.graph_store import written
+
     per = scored.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = per.withColumn("rank", before + (F.col("n") + 1) / 2.0)
-    s = r.groupBy(*by).agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("n1"), F.sum("n").alias("n"))
-    n0 = F.col("n") - F.col("n1")
-    value = F.when((F.col("n1") > 0) & (n0 > 0), (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0) / F.greatest(F.col("n1") * n0, F.lit(1))).otherwise(0.5)
-    return s.select(*by, value.alias("auc"))
+    per = written(per.repartitionByRange(*by, "score").withColumn("_p", F.spark_partition_id()), "ranges")
+    group, before = Window.partitionBy(*by), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy(*by, "_p").agg(F.sum("n").alias("sn"), F.sum("p").alias("sp"))
+    upto = before(group.orderBy("_p"))
+    totals = totals.select(*by, "_p", F.coalesce(F.sum("sn").over(upto), F.lit(0)).alias("fn"), F.coalesce(F.sum("sp").over(upto), F.lit(0)).alias("fp"), F.sum("sn").over(group).alias("all_n"), F.sum("sp").over(group).alias("all_p"))
+    within = before(Window.partitionBy(*by, "_p").orderBy("score"))
+    run = per.withColumn("wn", F.coalesce(F.sum("n").over(within), F.lit(0))).withColumn("wp", F.coalesce(F.sum("p").over(within), F.lit(0)))
+    return run.join(totals, [*by, "_p"]).select(*by, "score", "n", "p", (F.col("fn") + F.col("wn")).alias("below_n"), (F.col("fp") + F.col("wp")).alias("below_p"), "all_n", "all_p")
+
+
+def auc(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Area under the ROC curve by the rank sum, ties sharing their mean rank."""
+    return areas(scored, by).select(*by, "auc")
 
 
 def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
-    per = scored.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    r = per.withColumn("tp", F.sum("p").over(down)).withColumn("seen", F.sum("n").over(down)).withColumn("all", F.sum("p").over(Window.partitionBy(*by)))
-    gain = F.when(F.col("all") > 0, F.col("p") / F.greatest(F.col("all"), F.lit(1)) * F.col("tp") / F.col("seen")).otherwise(0.0)
-    return r.groupBy(*by).agg(F.sum(gain).alias("ap"))
+    return areas(scored, by).select(*by, "ap")
+
+
+def areas(scored: DataFrame, by: list[str]) -> DataFrame:
+    """auc and ap of each group, from one ranking."""
+    r, n1, n0 = ranked(scored, by), F.col("n1"), F.col("n") - F.col("n1")
+    rank = F.col("below_n") + (F.col("n") + 1) / 2.0
+    tp, seen = F.col("all_p") - F.col("below_p"), F.col("all_n") - F.col("below_n")
+    gain = F.when(F.col("all_p") > 0, F.col("p") / F.greatest(F.col("all_p"), F.lit(1)) * tp / seen).otherwise(0.0)
+    s = r.groupBy(*by).agg(F.sum(rank * F.col("p")).alias("s"), F.sum("p").alias("n1"), F.sum("n").alias("n"), F.sum(gain).alias("ap"))
+    value = F.when((n1 > 0) & (n0 > 0), (F.col("s") - n1 * (n1 + 1) / 2.0) / F.greatest(n1 * n0, F.lit(1))).otherwise(0.5)
+    return s.select(*by, value.alias("auc"), "ap")
+
+
+def one_vs_rest(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Macro average of each class's area against all others.
+
+    scores: truth, class, score: a row for each example and class.  Classes that
+    no example has, or all have, say nothing and are left out; 0.5 if none is left."""
+    y = scores.withColumn("y", (F.col("truth") == F.col("class")).cast("long"))
+    each = areas(y, [*by, "class"]).join(y.groupBy(*by, "class").agg(F.min("y").alias("lo"), F.max("y").alias("hi")), [*by, "class"])
+    return each.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("lo") < F.col("hi"), F.col("auc"))), F.lit(0.5)).alias("auc"))
 
 
 def classification(predicted: DataFrame, by: list[str]) -> DataFrame:
@@ -68,8 +98,9 @@ def clustering(assigned: DataFrame, by: list[str]) -> DataFrame:
 def folds(rows: DataFrame, k: int, label: str | None, key: str, seed: str = "42") -> DataFrame:
     """A fold for each row, dealt in a seeded hash order within its class."""
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    w = Window.partitionBy(*([label] if label else [])).orderBy(order, key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("long"))
+    lead = F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / 4294967296.0
+    own = numbered(rows, [label] if label else [], lead, [order, F.col(key)])
+    return own.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k)).cast("long")).drop("_r", "_n")
 
 
 def regression(pairs: DataFrame, row: str, top: int = 50) -> DataFrame:
@@ -106,24 +137,39 @@ def calinski_harabasz(points: DataFrame, label: str, emb: str) -> DataFrame:
 
 
 def ridge(points: DataFrame, features: str, target: str, alpha: float = 1.0):
-    """Weights of a ridge regression: the normal equations' sums are one
-    aggregate over all rows, only their bounded result is solved here."""
+    """Weights and intercept of a ridge regression, of any width.
+
+    Each partition adds up its Gram matrix, a row a key; these are summed in a
+    tree (``partials``), and the driver solves width x width equations."""
     import numpy as np
 
-    f = [r[0] for r in points.select(F.size(features)).limit(1).collect()]
-    n = f[0] if f else 0
-    if not n:
+    from graphloom.operators.partials import collected, tree_sum, vectors
+
+    def kernel(batches):
+        g = s = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = vectors(b, "x"), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            z = np.concatenate([x, y[:, None], np.ones((len(x), 1))], axis=1)
+            g, s = (z.T @ z, len(x)) if g is None else (g + z.T @ z, s + len(x))
+        if g is not None:
+            for k, row in enumerate(g):
+                yield k, s, row
+
+    rows = points.where(F.col(target).isNotNull()).select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
+    got = collected(tree_sum(rows, kernel))
+    if not got:
         return np.zeros(0), 0.0
-    x = lambda k: F.element_at(features, k + 1)
-    sums = [F.sum(x(i) * x(j)) for i in range(n) for j in range(i, n)] + [F.sum(x(i) * F.col(target)) for i in range(n)] + [F.sum(x(i)) for i in range(n)] + [F.sum(target), F.count("*")]
-    got = list(points.agg(*sums).first())
-    gram, k = np.zeros((n, n)), 0
-    for i in range(n):
-        for j in range(i, n):
-            gram[i, j] = gram[j, i] = got[k]
-            k += 1
-    xy, sx, sy, m = np.array(got[k : k + n]), np.array(got[k + n : k + 2 * n]), got[-2], got[-1]
-    w = np.linalg.solve(gram - np.outer(sx, sx) / m + alpha * np.eye(n), xy - sx * sy / m)
+    g = np.stack([got[k][1] for k in range(len(got))])
+    m, sx, sy = g[-1, -1], g[-1, :-2], g[-1, -2]
+    inner = g[:-2, :-2] - np.outer(sx, sx) / m + alpha * np.eye(len(sx))
+    right = g[:-2, -2] - sx * sy / m
+    try:
+        low = np.linalg.cholesky(inner)
+        w = np.linalg.solve(low.T, np.linalg.solve(low, right))
+    except np.linalg.LinAlgError:  # without a penalty, features may hang together
+        w = np.linalg.lstsq(inner, right, rcond=None)[0]
     return w, float(sy / m - sx @ w / m)
 
 
@@ -148,9 +194,8 @@ def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int
         for name, model in models.items():
             test = model.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f))
             s = test.select(F.lit(name).alias("model"), F.lit(f).cast("long").alias("fold"), F.round(vector_to_array("probability")[1], 9).alias("score"), "y")
-            own = auc(s, ["model", "fold"]).join(average_precision(s, ["model", "fold"]), ["model", "fold"])
-            out = own if out is None else out.unionByName(own)
-    return out
+            out = s if out is None else out.unionByName(s)
+    return areas(out, ["model", "fold"])
 
 
 SILHOUETTE_BLOCK = 2048

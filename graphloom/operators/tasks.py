@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import evaluation as E
 from graphloom.operators.graph import unit_hash
+from graphloom.operators.sampling import numbered
 from graphloom.operators.rendering import fixed
 from graphloom.operators.scoring import clip, dot
 
@@ -120,19 +121,12 @@ def splits(parts: dict[str, DataFrame]) -> DataFrame:
 def train_test(rows: DataFrame, key: str, label: str | None = None, share: float = 0.2, seed: str = "42") -> DataFrame:
     """rows with ``test``: a share of each class by a seeded hash order, rounded up
     to whole rows; where a class has one row only, of all rows together."""
-    order = [unit_hash(F.lit(seed), F.col(key).cast("string")), F.col(key)]
-    if label is None:
-        return _split(rows, [], order, share)
-    # classes are few: their sizes decide for all
-    least = rows.groupBy(label).agg(F.count("*").alias("_c")).agg(F.min("_c").alias("_least"))
-    own = _split(rows, [label], order, share).withColumnRenamed("test", "_by")
-    both = _split(own, [], order, share).crossJoin(F.broadcast(least))  # one row
-    return both.withColumn("test", F.when(F.col("_least") < 2, F.col("test")).otherwise(F.col("_by"))).drop("_by", "_least")
-
-
-def _split(rows: DataFrame, by: list[str], order: list[Column], share: float) -> DataFrame:
-    w = Window.partitionBy(*by)
-    r = rows.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
+    unit = unit_hash(F.lit(seed), F.col(key).cast("string"))
+    by = [label] if label is not None else []
+    if by:  # classes are few: one look at their sizes decides for all
+        least = rows.groupBy(label).agg(F.count("*").alias("c")).agg(F.min("c")).first()[0]
+        by = by if least is None or least > 1 else []
+    r = numbered(rows, by, unit, [F.col(key)])
     return r.withColumn("test", F.col("_r") <= F.ceil(F.col("_n") * share)).drop("_r", "_n")
 
 
@@ -170,11 +164,7 @@ def sampled_negatives(available: DataFrame, positives: DataFrame, ratio: float =
     """id: a seeded sample of what is no positive, ``ratio`` times their number."""
     n = positives.select("id").distinct().join(available.select("id").distinct(), "id", "left_semi").agg(F.floor(F.count("*") * ratio).alias("_n"))
     rest = available.select("id").distinct().join(positives.select("id"), "id", "left_anti")
-    # equal buckets of the hash are ranked side by side, then their places shifted
-    b = rest.withColumn("_u", unit_hash(F.lit(seed), F.col("id"))).withColumn("_b", F.floor(F.col("_u") * 1024).cast("int"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    first = b.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
-    r = b.join(F.broadcast(first), "_b").withColumn("_r", F.col("_first") + F.row_number().over(Window.partitionBy("_b").orderBy("_u", "id")))
+    r = numbered(rest, [], unit_hash(F.lit(seed), F.col("id")), ["id"]).drop("_n")
     return r.crossJoin(F.broadcast(n)).where("_r <= _n").select("id")  # one row
 
 
@@ -241,56 +231,30 @@ def compared(results: DataFrame, base: str = "no_kg") -> DataFrame:
     return results.crossJoin(own).select("method", "metric", (F.col("metric") - F.col("_b")).alias("gain"), F.row_number().over(w).cast("long").alias("place"))
 
 
-def mlp_regression(points: DataFrame, queries: DataFrame, hidden: int = 100, steps: int = 200, rate: float = 0.01, most: int = 50_000, seed: int = 42) -> DataFrame:
-    """id, predicted: a network with one hidden layer (rectified), trained by Adam
-    in numpy on at most ``most`` rows of points (id, x, y), those with the least
-    hashes of id, and applied to queries (id, x) where they lie."""
-    import numpy as np
-    import pyarrow as pa
-
-    rows = points.select("x", "y", F.xxhash64("id").alias("_h"), "id").orderBy("_h", "id").limit(most).collect()
-    if not rows:
-        return queries.select("id", F.lit(None).cast("double").alias("predicted"))
-    x, y = np.array([r["x"] for r in rows], np.float64), np.array([r["y"] for r in rows], np.float64)
-    mean, dev = x.mean(axis=0), x.std(axis=0) + 1e-9
-    x, rng = (x - mean) / dev, np.random.default_rng(seed)
-    p = [rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, hidden), np.array(y.mean())]
-    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    for t in range(1, steps + 1):
-        own = rng.choice(len(x), min(len(x), 512), replace=False)
-        z = x[own] @ p[0] + p[1]
-        h = np.maximum(z, 0)
-        d = (h @ p[2] + p[3] - y[own]) / len(own)
-        back = np.outer(d, p[2]) * (z > 0)
-        for k, g in enumerate((x[own].T @ back, back.sum(axis=0), h.T @ d, d.sum())):
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.999 * v[k] + 0.001 * np.square(g)
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    held = queries.sparkSession.sparkContext.broadcast((p, mean, dev))
-
-    def apply(batches):
-        (w, b, out, c), mu, sd = held.value
-        for batch in batches:
-            own = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, len(mu))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.maximum((own - mu) / sd @ w + b, 0) @ out + c)], names=["id", "predicted"])
-
-    return queries.select("id", "x").mapInArrow(apply, f"id {queries.schema['id'].dataType.simpleString()}, predicted double")
-
-
-def forest_regression(points: DataFrame, queries: DataFrame, trees: int = 100, seed: int = 42) -> DataFrame:
+def mlp_regression(points: DataFrame, queries: DataFrame, **options) -> DataFrame:
+    """id, predicted: a network with one hidden layer, fitted on all points (id, x,
+    y) by ``network.fit`` and applied to queries (id, x) where they lie."""
+    from graphloom.operators import network
+
+    return network.predict(network.fit(points, **options), queries)
+
+
+def forest_regression(points: DataFrame, queries: DataFrame, trees: int = 100, seed: int = 42, depth: int = 12) -> DataFrame:
     """The same by a random forest of Spark's own."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
-    forest = RandomForestRegressor(featuresCol="_v", labelCol="y", predictionCol="predicted", numTrees=trees, seed=seed)
+    forest = RandomForestRegressor(featuresCol="_v", labelCol="y", predictionCol="predicted", numTrees=trees, seed=seed, maxDepth=depth)
     model = forest.fit(points.withColumn("_v", array_to_vector("x")))
     return model.transform(queries.withColumn("_v", array_to_vector("x"))).select("id", "predicted")
 
 
 def ridge_regression(points: DataFrame, queries: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """The same by a ridge regression; one expression over an array of weights, so
+    the plan has one size for any width."""
     w, b = E.ridge(points, "x", "y", alpha)
-    terms = sum((F.element_at("x", k + 1) * float(c) for k, c in enumerate(w)), F.lit(float(b)))
-    return queries.select("id", terms.alias("predicted"))
+    products = F.zip_with("x", F.array(*[F.lit(float(c)) for c in w]) if len(w) else F.array().cast("array<double>"), lambda x, c: x * c)
+    return queries.select("id", (F.aggregate(products, F.lit(0.0), lambda a, x: a + x) + float(b)).alias("predicted"))
 
 
 #: Regressors by name; ``knn`` is ``evaluation.knn_regression``.

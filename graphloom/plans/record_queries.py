@@ -20,6 +20,7 @@ from graphloom.plans import projection as P
 from graphloom.plans import task_queries as TQ
 from graphloom.plans import text_queries as XQ
 from graphloom.plans.history_queries import HIST, W
+from graphloom.plans.projection import with_sql
 from graphloom.plans.queries import QUERIES, SCORED, SQL, query, rounded, scores
 
 #: Records: the query whose rows they are, their fields, and decimals where they
@@ -325,10 +326,12 @@ def r250_best_neighbors(spark, d):
 
 
 def e9_regression_fold(spark, d):
-    """Held-out regression of each gene's first feature from the others by three
+    """Held-out regression of each gene's first feature from all others by three
     regressors: fitted models, so there is no SQL; tests hold them to known functions."""
-    e = P.embeddings(spark, d).select("id", F.slice("emb", 2, 8).alias("x"), F.element_at("emb", 1).alias("y"))
-    rows, out = T.train_test(e, "id"), None
+    from graphloom.sources.graph_store import written
+
+    e = P.embeddings(spark, d).select("id", F.expr("slice(emb, 2, size(emb) - 1)").alias("x"), F.element_at("emb", 1).alias("y"))
+    rows, out = written(T.train_test(e, "id"), "split"), None
     for name in ("ridge", "forest", "mlp"):
         got = T.regressor(name)(rows.where("NOT test"), rows.where("test").select("id", "x"))
         pairs = got.join(rows.where("test").select("id", F.col("y").alias("truth")), "id").select(F.lit(name).alias("model"), F.xxhash64("id").alias("place"), "truth", "predicted")
@@ -340,6 +343,20 @@ def e9_regression_fold(spark, d):
 query()(e9_regression_fold)
 
 
+@query(with_sql("emb").rstrip() + " SELECT dim, 0.0::double AS gap FROM (SELECT DISTINCT unnest(range(2, len(emb) + 1)) AS dim FROM emb)")
+def e2_ridge_conditions(spark, d):
+    """What makes a ridge fit the least one: each centred feature's product with
+    the residuals, less its weight times the penalty, is zero (alpha 1, all rows)."""
+    e = P.embeddings(spark, d).select("id", F.expr("slice(emb, 2, size(emb) - 1)").alias("x"), F.element_at("emb", 1).alias("y"))
+    w, _ = E.ridge(e, "x", "y", 1.0)
+    fitted = T.regressor("ridge")(e, e.select("id", "x")).join(e, "id")
+    long = fitted.select((F.col("y") - F.col("predicted")).alias("r"), F.posexplode("x").alias("k", "v"))
+    per = long.groupBy("k").agg(F.sum(F.col("v") * F.col("r")).alias("s"), F.sum("r").alias("sr"), F.avg("v").alias("m"))
+    weight = F.element_at(F.array(*[F.lit(float(c)) for c in w]), F.col("k") + 1)
+    gap = F.round(F.col("s") - F.col("m") * F.col("sr") - weight, 6)
+    return per.select((F.col("k") + 2).cast("long").alias("dim"), F.when(gap == 0, 0.0).otherwise(gap).alias("gap"))
+
+
 # ---- parts of composite operators by themselves
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import leakage as L
+from graphloom.operators import clustering as C
 from graphloom.operators import evaluation as E
 from graphloom.operators import identifiers as I
 from graphloom.operators import rendering as R
 from graphloom.operators import retrieval as V
+from graphloom.operators import sampling as Sa
 from graphloom.operators.scoring import dot, norm
 from graphloom.plans import projection as P
 from graphloom.plans.projection import with_sql
@@ -257,17 +260,12 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 """
 
 
-def _index(spark, d):
+def _found(spark, d, k):
     unit = V.normalised(P.embeddings(spark, d).select("id", "emb"))
     e = P.edges(spark, d, ("PPI", "TRRUST"))
-    e = e.select(F.concat("src", F.lit(">"), "dst", F.lit(":"), "edge_type").alias("id"), "src", "dst", "edge_type", F.col("score").alias("conf"))
-    index = e.join(unit.select(F.col("id").alias("dst"), "emb"), "dst")
+    e = e.select(F.concat("src", F.lit(">"), "dst", F.lit(":"), "edge_type").alias("id"), F.col("dst").alias("key"), "src", "dst", "edge_type", F.col("score").alias("conf"))
     queries = unit.where(F.substring("id", 2, 20).cast("long") % 100 == 0).select(F.col("id").alias("query_id"), F.col("emb").alias("q_emb"))
-    return queries, index
-
-
-def _found(spark, d, k):
-    return V.top_k(*_index(spark, d), k)
+    return V.top_k_of(queries, unit.select(F.col("id").alias("key"), "emb"), e, k).drop("key")
 
 
 @query(TRIP + "SELECT query_id, id, rank, score FROM rk WHERE rank <= 10")
@@ -375,6 +373,13 @@ def e8_average_precision(spark, d):
     return rounded(E.average_precision(_scored(spark, d), ["g"]), "ap").select("ap")
 
 
+@query(SCORE + """, o AS (SELECT cand, (truth = cand)::int AS y, s FROM pr), r AS (SELECT cand, y, rank() OVER w + (count(*) OVER (PARTITION BY cand, s) - 1) / 2.0::double AS
+  r FROM o WINDOW w AS (PARTITION BY cand ORDER BY s)), u AS (SELECT cand, sum(r) FILTER (WHERE y = 1) AS s, sum(y) AS n1, count(*) - sum(y) AS n0
+  FROM r GROUP BY 1) SELECT round(avg((s - n1 * (n1 + 1) / 2.0::double) / (n1 * n0)), 6) AS auc FROM u WHERE n1 > 0 AND n0 > 0""")
+def e8_one_vs_rest(spark, d):
+    return rounded(E.one_vs_rest(_products(spark, d).select("truth", F.col("cand").alias("class"), F.col("s").alias("score"), F.lit(1).alias("g")), ["g"]), "auc").select("auc")
+
+
 @query(SCORE + """, k AS (SELECT DISTINCT truth AS c FROM pd UNION SELECT predicted FROM pd), f AS (SELECT c, (SELECT count(*) FROM pd WHERE truth = c AND predicted =
   c) AS tp, (SELECT count(*) FROM pd WHERE truth = c) AS t, (SELECT count(*) FROM pd WHERE predicted = c) AS p FROM k) SELECT round(sum(tp) / sum(t),
   6) AS accuracy, round(avg(tp * 2.0::double / greatest(t + p, 1)), 6) AS macro_f1 FROM f""")
@@ -389,10 +394,53 @@ s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM n) AS cj, (SELECT sum(a * (a -
   JOIN a USING (truth) JOIN b USING (predicted), t) AS mi, t FROM t)
 SELECT round((cj - ca * cb / (t * (t - 1) / 2)) / ((ca + cb) / 2 - ca * cb / (t * (t - 1) / 2)), 6) AS ari, round(mi / ha, 6) AS homogeneity, round(mi
   / hb, 6) AS completeness, round(2 * (mi / ha) * (mi / hb) / (mi / ha + mi / hb), 6) AS v_measure FROM s""")
-def e10_clustering(spark, d):
+def e10_label_agreement(spark, d):
     return rounded(E.clustering(_predicted(spark, d).withColumnRenamed("predicted", "cluster"), ["g"]), "ari", "homogeneity", "completeness", "v_measure").drop("g")
 
 
+def _clustered(spark, d):
+    e = P.embeddings(spark, d)
+    k = e.select("label").distinct().count()
+    return C.kmeans(e, max(1, k))[0]
+
+
+def e10_kmeans(spark, d):
+    """Every gene's cluster.  Fitted, so there is no SQL; tests hold it to numpy."""
+    return rounded(_clustered(spark, d).select("id", "cluster", "distance2"), "distance2")
+
+
+def e10_clustering(spark, d):
+    """Measures of a k-means clustering, one cluster a class, against the classes
+    and by itself."""
+    from graphloom.sources.graph_store import written
+
+    found = written(_clustered(spark, d).select("id", "emb", "label", "cluster").withColumn("g", F.lit(1)), "clusters")
+    outer = E.clustering(found.select("g", F.col("label").alias("truth"), "cluster"), ["g"]).drop("g")
+    inner = E.calinski_harabasz(found, "cluster", "emb").crossJoin(E.davies_bouldin(found, "cluster", "emb")).crossJoin(E.silhouette(found, "cluster", "emb"))  # one row each
+    names = ("ari", "homogeneity", "completeness", "v_measure", "calinski_harabasz", "davies_bouldin", "silhouette")
+    return rounded(outer.crossJoin(inner), *names)
+
+
+query()(e10_kmeans)
+query()(e10_clustering)
+
+#: Lloyd's rounds from given centres: the genes with the ten smallest hashes.
+_LLOYD = LONG + ", f AS (SELECT id, row_number() OVER (ORDER BY md5('7|' || id), id) - 1 AS k FROM emb QUALIFY k < 10), c0 AS (SELECT k, dim, x AS c FROM lg JOIN f USING (id))"
+for _r in range(4):
+    _LLOYD += f""", d{_r} AS MATERIALIZED (SELECT id, k, sum((x - c) * (x - c)) AS d FROM lg JOIN c{_r} USING (dim) GROUP BY 1, 2),
+  n{_r} AS MATERIALIZED (SELECT id, arg_min(k, d) AS k, min(d) AS d FROM d{_r} GROUP BY 1),
+  m{_r} AS (SELECT n{_r}.k, dim, avg(x) AS c FROM lg JOIN n{_r} USING (id) GROUP BY 1, 2),
+  c{_r + 1} AS MATERIALIZED (SELECT k, dim, coalesce(m{_r}.c, c{_r}.c) AS c FROM c{_r} LEFT JOIN m{_r} USING (k, dim))"""
+
+
+@query(_LLOYD + " SELECT id, k::bigint AS cluster, round(d, 6) AS distance2 FROM n3")
+def e10_lloyd(spark, d):
+    e = P.embeddings(spark, d)
+    first = e.orderBy(F.md5(F.concat(F.lit("7|"), "id").cast("binary")), "id").select("emb").limit(10).collect()
+    found = C.lloyd(e, [np.array([r.emb for r in first])], most=3, tol=-1.0)
+    return rounded(C.assigned(e.select("id", "emb"), found.centres).drop("emb"), "distance2")
+
+
 @query(LONG + """, c AS (SELECT label, dim, avg(x) AS c FROM lg GROUP BY 1, 2), w AS (SELECT sum((x - c) * (x - c)) AS w FROM lg JOIN c USING (label, dim)), t AS
   (SELECT sum(v) AS t FROM (SELECT var_pop(x) * count(*) AS v FROM lg GROUP BY dim)), k AS (SELECT count(DISTINCT label) AS k, count(*) AS n FROM emb)
   SELECT round((t - w) / (k - 1) / (w / (n - k)), 6) AS calinski_harabasz FROM w, t, k""")
@@ -459,6 +507,29 @@ def j6_pair_features(spark, d):
     return x.select("src", "dst", F.size("x").cast("long").alias("n_features"), F.round(F.element_at("x", 1) + F.element_at("x", -1), 6).alias("probe"))
 
 
+#: One draw's Feistel rounds, as ``sampling.permuted`` has them.
+_HALF = "(SELECT ceil(log2(greatest(2, count(*) * (count(*) - 1) // 2)) / 2.0)::bigint FROM part)"
+_F0 = "SELECT t, (t >> h) AS l, t & ((1::bigint << h) - 1) AS r, h FROM (SELECT unnest(range(least(1::bigint << (2 * h), (SELECT 12 * count(*) FROM ppi)))) AS t, h FROM hb)"
+_FEISTEL = f"hb AS (SELECT {_HALF} AS h), f0 AS ({_F0})" + "".join(
+    f", f{k + 1} AS (SELECT t, r AS l, xor(l, ('0x' || substr(md5('42|{k}|' || r), 1, 8))::bigint & ((1::bigint << h) - 1)) AS r, h FROM f{k})" for k in range(4)
+)
+
+
+@query(with_sql("ppi").rstrip() + f""", {_FEISTEL},
+g AS (SELECT 'P' || p_partkey AS gene, row_number() OVER (ORDER BY substr(md5('42|P' || p_partkey), 1, 8), 'P' || p_partkey) - 1 AS k FROM part),
+x AS (SELECT t, (l << h) | r AS x FROM f4), n AS (SELECT count(*) AS n FROM part), p AS (SELECT count(*) AS p FROM ppi),
+y AS (SELECT t, x, floor((sqrt(x * 8 + 1.0) + 1) / 2)::bigint AS i FROM x, n WHERE x < n * (n - 1) // 2),
+z AS (SELECT t, i, x - i * (i - 1) // 2 AS j FROM y),
+w AS (SELECT t, least(a.gene, b.gene) AS g1, greatest(a.gene, b.gene) AS g2 FROM z JOIN g a ON a.k = i JOIN g b ON b.k = j),
+o AS (SELECT w.* FROM w ANTI JOIN (SELECT least(src, dst) AS g1, greatest(src, dst) AS g2 FROM ppi) USING (g1, g2)),
+s AS (SELECT *, row_number() OVER (ORDER BY t) AS r FROM o)
+SELECT t AS draw, g1, g2 FROM s, n, p WHERE r <= least(floor(p * 1.5), n * (n - 1) // 2 - p)""")
+def j14_sampled_pairs(spark, d):
+    """Negative pairs, one and a half times as many as there are positive ones."""
+    genes = P.table(spark, d, "part").select(P.gene("p_partkey").alias("gene"))
+    return Sa.negative_pairs(genes, P.edges(spark, d, ("PPI",)).select(F.col("src").alias("g1"), F.col("dst").alias("g2")), 1.5)
+
+
 @query(with_sql("ppi") + """SELECT 'P' || a AS gene_a, 'P' || b AS gene_b FROM (SELECT p_partkey AS a, (p_partkey * 7919 + 13) % (SELECT count(*) FROM part) + 1 AS b FROM part)
   WHERE a <> b AND NOT EXISTS (SELECT 1 FROM ppi WHERE src = 'P' || least(a, b) AND dst = 'P' || greatest(a, b))""")
 def j14_negative_pairs(spark, d):
