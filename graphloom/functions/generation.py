@@ -1,24 +1,20 @@
 """Generation with two models, in passes, and with retrieved context.
 
 Clients are callables from a list of prompts to a list of texts (``llm_client``);
-they run on executors, a batch at a time, and their calls are counted by
-accumulators.  A client over HTTP is the user's to bring: there is no network here.
+they run on executors, a few calls side by side, and are counted by accumulators.  A client over HTTP is the user's to bring: there is no network here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.llm_client import described, generator
+from graphloom.functions.llm_client import COUNTING, Client, described, generator
 from graphloom.operators import rendering as R
 from graphloom.operators import retrieval as V
 
-Client = Callable[[list[str]], list[str]]
-
 
 @dataclass
 class Counted:
@@ -29,8 +25,9 @@ class Counted:
     prompts: object
 
     def __call__(self, prompts: list[str]) -> list[str]:
-        self.calls.add(1)
-        self.prompts.add(len(prompts))
+        with COUNTING:
+            self.calls.add(1)
+            self.prompts.add(len(prompts))
         return self.client(prompts)
 
 
@@ -55,7 +52,8 @@ class DualClient:
         return generator(self.counted("fast"))(prompt)
 
     def generate_strong(self, prompt: Column) -> Column:
-        return F.coalesce(generator(self.counted("strong"))(prompt), self.generate_fast(prompt))
+        """The fast model is asked only for prompts that the strong one left."""
+        return generator(self.counted("strong"), self.counted("fast"))(prompt)
 
     def with_system(self, system: str, prompt: Column, strong: bool = False) -> Column:
         whole = F.concat(F.lit(system + "\n\n"), prompt)

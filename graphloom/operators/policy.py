@@ -353,7 +353,10 @@ def reasoned_response(text: Column) -> dict[str, Column]:
 def repaired(responses: DataFrame, parsed: Column, repair) -> DataFrame:
     """responses with ``strategy``: what parses, else what a second response from
     ``repair`` (a column function of the text) parses to, else null.  Only failures
-    are asked again."""
-    first = responses.withColumn("strategy", parsed)
+    are asked again.  First responses are written before they are split: a client
+    is asked once for each, and a row is on one side."""
+    from graphloom.sources.graph_store import written
+
+    first = written(responses.withColumn("strategy", parsed), "responses")
     again = first.where(F.col("strategy").isNull()).withColumn("text", repair(F.col("text"))).withColumn("strategy", parsed)
     return first.where(F.col("strategy").isNotNull()).unionByName(again)

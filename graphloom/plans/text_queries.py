@@ -334,6 +334,17 @@ def m9_centred(spark, d):
     return V.centred(P.embeddings(spark, d)).select("id", F.round(weighed, 6).alias("checksum"))
 
 
+_UNIT = "((('0x' || substr(md5('0|' || id || '|' || dim || '|{}'), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)"
+
+
+@query(LONG + f""", m AS (SELECT dim, avg(x) AS m FROM lg GROUP BY 1), c AS (SELECT id, dim, x - m + 0.05::double * sqrt(ln({_UNIT.format('a')}) * -2.0::double) * cos({_UNIT.format('b')} * 2 *
+  pi()) AS y FROM lg JOIN m USING (dim)), n AS (SELECT id, greatest(sqrt(sum(y * y)), 1e-8::double) AS n FROM c GROUP BY 1) SELECT id, round(sum(y / n *
+  (dim + 1)), 6) AS checksum FROM c JOIN n USING (id) GROUP BY 1""")
+def m9_noised(spark, d):
+    weighed = F.aggregate(F.transform("emb", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return V.centred(P.embeddings(spark, d), spread=0.05).select("id", F.round(weighed, 6).alias("checksum"))
+
+
 # ---- evaluation ------------------------------------------------------------
 
 #: A deterministic score for each labelled vector: its product with the first

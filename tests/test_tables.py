@@ -73,9 +73,10 @@ def test_index_and_log(spark, tmp_path):
     path = str(tmp_path / "index")
     stores.save_index(t, v, path)
     assert {r.triplet_id for r in stores.load_index(spark, path).collect()} == {"t_0", "t_1"}
-    spark.createDataFrame([("GO", 7, 2)], "edge_type string, n long, dim int").write.mode("overwrite").parquet(f"{path}/manifest")
-    with pytest.raises(ValueError, match="manifest"):
+    stores.Store(spark, path).commit({"counts": spark.createDataFrame([("GO", 7, 2)], "edge_type string, n long, dim int")}, "overwrite")
+    with pytest.raises(ValueError, match="counts"):
         stores.load_index(spark, path)
+    assert stores.load_index(spark, path, 1).count() == 2
     log = stores.RunLog(spark, str(tmp_path / "log"), "r1")
     log.log("baseline", 0, metric=0.5)
     log.log("evaluation", 1, metric=0.7, edge="GO")
