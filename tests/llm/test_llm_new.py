@@ -267,3 +267,99 @@ def test_fim_shares_and_seed(spark):
     assert 0.07 < got["plain"] / 2000 < 0.13 and 0.15 < got["spm"] / (got["spm"] + got["psm"]) < 0.25
     assert fim.transform(df, share=0).where("form = 'plain'").count() == 2000 and fim.transform(df, share=100, spm=100).where("form = 'spm'").count() == 2000
     assert fim.transform(df, "2").select("output").collect() != fim.transform(df).select("output").collect()
+
+
+# ---- 10 toxicity: forward pass, gradients, thresholds, what is left out
+
+
+def small_net(seed=6, rows=30):
+    from graphloom.llm import langid, toxicity
+
+    rng = np.random.default_rng(seed)
+    kernels = {w: rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS}
+    total = toxicity.FILTERS * len(toxicity.WIDTHS)
+    embed = rng.normal(0, 1, (rows, toxicity.DIM))
+    embed[0] = 0
+    texts = [np.array([0, 0, *rng.integers(0, rows, rng.integers(0, 9)), 0, 0]) for _ in range(12)]
+    return toxicity.Net({}, embed, kernels, rng.normal(0, 0.3, total), rng.normal(0, 1, total + 1), 0.0, {}, langid.build({})), texts, rng.integers(0, 2, 12).astype(float)
+
+
+def plain_logit(net, ids):
+    """Filters and max pooling word by word; positions to the text's end."""
+    from graphloom.llm import toxicity
+
+    out, k = net.out[-1], 0
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            at = lambda i, w, f=f, width=width: sum(net.embed[ids[i + w]][d] * net.kernels[width][w][d][f] for d in range(toxicity.DIM)) if i + w < len(ids) else 0.0
+            best = max(sum(at(i, w) for w in range(width)) for i in range(len(ids)))
+            out += max(best + net.bias[k], 0) * net.out[k]
+            k += 1
+    return out
+
+
+def test_toxicity_forward_pass_by_loops():
+    net, texts, _ = small_net()
+    assert net.logits(texts) == pytest.approx([plain_logit(net, t) for t in texts])
+
+
+def test_toxicity_gradients_by_differences():
+    from graphloom.llm import toxicity
+
+    net, texts, y = small_net()
+
+    def loss():
+        z = np.array([plain_logit(net, t) for t in texts])
+        return float(np.mean(np.log1p(np.exp(z)) - y * z) + toxicity.DECAY / 2 * (net.out[:-1] ** 2).sum())
+
+    grad, rows, moved = toxicity.gradients(net, texts, y)
+    rng = np.random.default_rng(1)
+    for array, g in [(net.bias, grad["bias"]), (net.out, grad["out"]), *[(net.kernels[w], grad[f"k{w}"]) for w in toxicity.WIDTHS]]:
+        for _ in range(6):
+            at = tuple(rng.integers(0, s) for s in array.shape)
+            was, e = array[at], 1e-5
+            array[at] = was + e
+            up = loss()
+            array[at] = was - e
+            low = loss()
+            array[at] = was
+            assert g[at] == pytest.approx((up - low) / (2 * e), abs=1e-6)
+    for k in rng.choice(len(rows), 6):
+        if rows[k]:
+            at = (rows[k], 3)
+            was, e = net.embed[at], 1e-5
+            net.embed[at] = was + e
+            up = loss()
+            net.embed[at] = was - e
+            low = loss()
+            net.embed[at] = was
+            assert moved[k, 3] == pytest.approx((up - low) / (2 * e), abs=1e-6)
+
+
+def test_toxicity_thresholds_by_language():
+    from graphloom.llm import toxicity
+
+    class Given:
+        def logits(self, ids):
+            return np.array(ids, float)
+
+    rng = np.random.default_rng(2)
+    ya, yb = rng.integers(0, 2, 100), rng.integers(0, 2, 100)
+    z = [*(np.where(ya, 3.0, 1.0) + rng.uniform(-0.5, 0.5, 100)), *(np.where(yb, -1.0, -3.0) + rng.uniform(-0.5, 0.5, 100))]
+    shift = toxicity._thresholds(Given(), ["a"] * 100 + ["b"] * 100 + ["c"] * 5, [*z, 9, 9, 9, 9, 9], np.array([*ya, *yb, 1, 1, 1, 1, 1], float))
+    assert 1.5 < shift["a"] < 2.5 and -2.5 < shift["b"] < -1.5 and "c" not in shift and "" in shift
+
+
+def test_toxicity_labels_left_out_touch_no_weight():
+    from graphloom.llm import langid, toxicity
+
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 40, 30) for _ in range(200)]
+    labels = [int((d < 6).sum() > 4) for d in docs]
+    held, learn = toxicity.left_out(200)
+    assert sorted([*held, *learn]) == list(range(200)) and len(held) == 40
+    flipped = [1 - y if k in set(held.tolist()) else y for k, y in enumerate(labels)]
+    one, two = (toxicity.train(docs, ["x"] * 200, y, langid.build({})) for y in (labels, flipped))
+    assert one.rows == two.rows and (one.embed == two.embed).all() and (one.out == two.out).all() and all((one.kernels[w] == two.kernels[w]).all() for w in toxicity.WIDTHS)
+    moved = [docs[k] if k not in set(held.tolist()) else np.full(30, 99) for k in range(200)]
+    assert 99 not in toxicity.train(moved, ["x"] * 200, labels, langid.build({})).rows
