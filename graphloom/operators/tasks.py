@@ -143,6 +143,13 @@ def guarded(metrics: DataFrame, state: DataFrame, empty: dict[str, float]) -> Da
     return both.select(*[F.when(ok, F.col(c) if c in metrics.columns else F.lit(None).cast("double")).otherwise(F.lit(v)).alias(c) for c, v in empty.items()])
 
 
+def guarded_by(metrics: DataFrame, state: DataFrame, by: list[str], empty: dict[str, float]) -> DataFrame:
+    """``guarded`` for many groups at once: state has n and finite of each."""
+    ok = (F.col("n") > 0) & F.col("finite")
+    both = state.join(metrics, by, "left")
+    return both.select(*by, *[F.when(ok, F.col(c) if c in metrics.columns else F.lit(None).cast("double")).otherwise(F.lit(v)).alias(c) for c, v in empty.items()])
+
+
 def fold_means(folds: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Mean and population deviation of each metric over the folds."""
     return folds.groupBy(*by).agg(*[F.avg(m).alias(m) for m in metrics], *[F.stddev_pop(m).alias(f"{m}_std") for m in metrics])

@@ -31,9 +31,9 @@ def s8_tf_set(spark, d):
     return A.tf_set(part.select(F.when(F.col("p_partkey") % 10 != 0, F.concat(F.lit(" "), F.lower("p_brand"))).alias("tf")))
 
 
-@query("SELECT source, fetched FROM (VALUES " + ", ".join(f"('{s}', '{f}')" for s, f in A.CATALOGUE) + ") t(source, fetched)")
+@query(P.with_sql("all_edges").rstrip() + " SELECT source, fetched, CASE WHEN t.edge_type IS NOT NULL THEN coalesce(n, 0) END AS edges FROM (VALUES " + ", ".join(f"('{s}', '{f}')" for s, f in A.CATALOGUE) + ") c(source, fetched) LEFT JOIN (VALUES " + ", ".join(f"('{s}', '{t}')" for s, t in A.BRINGS.items()) + ") t(source, edge_type) USING (source) LEFT JOIN (SELECT edge_type, count(*) AS n FROM edges GROUP BY 1) e ON e.edge_type = t.edge_type")
 def s56_catalogue(spark, d):
-    return A.catalogue(spark)
+    return A.checked(spark, P.edges(spark, d, P.ALL_TYPES))
 
 
 @query("""WITH a AS (SELECT 'GO:' || p_type AS dst, (['P', 'F', 'C', 'X'])[p_size % 4 + 1] AS aspect, p_partkey AS pos FROM part),
@@ -134,10 +134,12 @@ def s26_generic_diseases(spark, d):
     return A.generic_disease_rows(rows).drop("pos")
 
 
-@query("SELECT omim_file, kind FROM (VALUES ('/x/morbidmap.txt', 'morbidmap'), ('genemap2.txt', 'genemap'), ('/y/Diseases.csv/', 'generic')) t(omim_file, kind)")
+@query("""SELECT p_partkey AS k, (['/x/MorbidMap', 'genemap2.', '/morbidmap/'])[p_partkey % 3 + 1] || lower(replace(p_brand, '#', '')) || CASE WHEN p_size % 2 = 0 THEN '.txt' ELSE
+  '.csv/' END AS omim_file, (['morbidmap', 'genemap', 'generic'])[p_partkey % 3 + 1] AS kind FROM part""")
 def s23_disease_layouts(spark, d):
-    files = ["/x/morbidmap.txt", "genemap2.txt", "/y/Diseases.csv/"]
-    return spark.createDataFrame([(f, A.omim_kind(f)) for f in files], "omim_file string, kind string")
+    head = F.element_at(F.array(F.lit("/x/MorbidMap"), F.lit("genemap2."), F.lit("/morbidmap/")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    file = F.concat(head, F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.when(F.col("p_size") % 2 == 0, ".txt").otherwise(".csv/"))
+    return P.table(spark, d, "part").select(F.col("p_partkey").alias("k"), file.alias("omim_file"), A.omim_kind_of(file).alias("kind"))
 
 
 # ---- complexes, cells, chromatin

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import adaptive as Ad
 from graphloom.operators import evaluation as E
 from graphloom.operators import history as H
 from graphloom.operators import scoring
@@ -188,3 +189,29 @@ def e2_knn_regression(spark, d):
     near = V.filtered(V.top_k(queries, unit.select("id", "emb"), 6), 5, F.col("id") != F.col("query_id"))
     near = near.select("query_id", "id", F.sqrt(F.greatest(F.lit(0.0), 2 - F.col("score") * 2)).alias("distance"))
     return rounded(E.knn_regression(near, unit.select("id", F.col("label").cast("double").alias("y"))), "predicted")
+
+
+#: Trends of the history, by the change from the iteration before.
+_TREND = """CASE WHEN d IS NULL THEN 'unknown' WHEN d > 0.2::double THEN 'improving' WHEN d < -0.2::double THEN 'declining' WHEN abs(d) < 0.05::double THEN 'plateau' ELSE 'oscillating' END"""
+_ON = "iteration >= 3 AND iteration - changed >= 2 AND trend <> 'unknown'"
+
+
+@query(with_sql("history").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""", t AS (SELECT task, iteration, {_TREND} AS trend FROM (SELECT *, metric - lag(metric) OVER (PARTITION BY task
+  ORDER BY iteration) AS d FROM hist)),
+r AS (SELECT task, 0::bigint AS iteration, 0.1::double AS baseline, 0.1::double AS relative, 0.8::double AS raw, 0.0::double AS bonus, -0.05::double AS plateau, 0::bigint AS changed
+  FROM (SELECT DISTINCT task FROM t)
+UNION ALL SELECT task, iteration, b / s, r / s, w / s, bonus, plateau, changed FROM (SELECT *, CASE WHEN act THEN b + r + w ELSE 1 END AS s FROM (SELECT task, iteration, act,
+  CASE WHEN act AND trend = 'oscillating' THEN least(0.5::double, baseline + 0.04::double) WHEN act AND trend = 'improving' THEN baseline + 0.3::double * (0.1::double - baseline) ELSE baseline END AS b,
+  CASE WHEN act AND trend = 'plateau' THEN least(0.7::double, relative + 0.05::double) WHEN act AND trend = 'declining' THEN greatest(0.3::double, relative - 0.02::double)
+    WHEN act AND trend = 'improving' THEN relative + 0.3::double * (0.1::double - relative) ELSE relative END AS r,
+  CASE WHEN act AND trend = 'declining' THEN least(0.4::double, raw + 0.03::double) WHEN act AND trend = 'improving' THEN raw + 0.3::double * (0.8::double - raw) ELSE raw END AS w,
+  CASE WHEN act AND trend = 'plateau' THEN least(0.2::double, bonus + 0.03::double) WHEN act AND trend = 'oscillating' THEN greatest(0.05::double, bonus - 0.02::double) ELSE bonus END AS bonus,
+  CASE WHEN act AND trend = 'plateau' THEN greatest(-0.05::double, plateau - 0.01::double) ELSE plateau END AS plateau,
+  CASE WHEN act THEN iteration ELSE changed END AS changed
+  FROM (SELECT t.task, t.iteration, t.trend, r.* EXCLUDE (task, iteration), ({_ON.replace("iteration", "t.iteration")}) AS act FROM r JOIN t ON t.task = r.task AND t.iteration = r.iteration + 1))))
+SELECT task, iteration, """ + ", ".join(f"round({c}, 9) AS {c}" for c in Ad.NAMES) + " FROM r WHERE iteration > 0")
+def r15_adaptive_weights(spark, d):
+    h = P.history(spark, d)
+    change = F.col("metric") - F.lag("metric").over(Window.partitionBy("task").orderBy("iteration"))
+    trend = F.when(F.col("d").isNull(), "unknown").when(F.col("d") > 0.2, "improving").when(F.col("d") < -0.2, "declining").when(F.abs("d") < 0.05, "plateau").otherwise("oscillating")
+    return rounded(Ad.adapted(h.withColumn("d", change).withColumn("trend", trend)), *Ad.NAMES, places=9).drop("state")

@@ -89,11 +89,15 @@ def w35_perturbations(spark, d):
 TASKS = ("ppi", "ggi", "cell", "celltype", "genetype", "geneattribute_bivalent", "geneattribute_dosage_sensitivity", "perturbation", "perturbation_norman", "dosage", "phenotype", "other")
 
 
-def _tasks(spark):
-    return spark.createDataFrame([(t, (k * 37 % 100) / 100, (k * 53 % 100) / 100, (k * 71 % 100) / 100, (k * 29 % 100) / 100) for k, t in enumerate(TASKS)], "task string, auc double, f1 double, accuracy double, ari double")
+def _tasks(spark, d):
+    """A task for each user of the event stream, with metrics from their events."""
+    v, k = F.col("value"), F.col("user_id") % len(TASKS)
+    e = P.table(spark, d, "events").groupBy("user_id").agg(*[F.round(x, 6).alias(n) for n, x in (("auc", F.avg(v) / 200.0), ("f1", F.avg(F.floor(v) % 7) / 7.0), ("accuracy", F.avg(F.floor(v) % 11) / 11.0), ("ari", F.avg(F.floor(v) % 5) / 5.0))])
+    return e.select(F.element_at(Po.array_of(TASKS), (k + 1).cast("int")).alias("task"), "auc", "f1", "accuracy", "ari")
 
 
-_task_sql = "WITH tk AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {(k * 37 % 100) / 100}::double, {(k * 53 % 100) / 100}::double, {(k * 71 % 100) / 100}::double, {(k * 29 % 100) / 100}::double)" for k, t in enumerate(TASKS)) + ") t(task, auc, f1, accuracy, ari)) "
+_task_sql = f"""WITH tk AS (SELECT ({list(TASKS)})[user_id % {len(TASKS)} + 1] AS task, round(avg(value) / 200.0::double, 6) AS auc, round(avg(floor(value) % 7) / 7.0::double, 6) AS f1,
+  round(avg(floor(value) % 11) / 11.0::double, 6) AS accuracy, round(avg(floor(value) % 5) / 5.0::double, 6) AS ari FROM events GROUP BY user_id) """
 _weights_sql = """SELECT task, CASE WHEN task LIKE 'perturbation%' THEN 0.05::double ELSE 0.1::double END AS baseline_weight, 0.1::double AS relative_weight, CASE WHEN
   task LIKE 'perturbation%' THEN 0.85::double ELSE 0.8::double END AS raw_weight, 0.0::double AS improvement_bonus, -0.05::double AS plateau_penalty
   FROM tk"""
@@ -101,7 +105,7 @@ _weights_sql = """SELECT task, CASE WHEN task LIKE 'perturbation%' THEN 0.05::do
 
 @query(_task_sql + _weights_sql)
 def w42_reward_weights(spark, d):
-    return Po.reward_weights(_tasks(spark).select("task"))
+    return Po.reward_weights(_tasks(spark, d).select("task"))
 
 
 @query("""WITH e AS (SELECT event_id AS id, event_id % 7 / 10.0::double AS b, event_id % 5 / 10.0::double AS r, event_id % 11 / 10.0::double AS w FROM events),
@@ -135,7 +139,7 @@ _lists = {k: "[" + ", ".join(f"'{t}'" for t in v) + "]" for k, v in Po.ADVICE.it
 
 @query(_task_sql + _advice_sql.format(**_lists))
 def x29_task_advice(spark, d):
-    return Po.task_advice(_tasks(spark)).withColumn("advice", F.array_join("advice", ";"))
+    return Po.task_advice(_tasks(spark, d)).withColumn("advice", F.array_join("advice", ";"))
 
 
 #: Proposals beside the strategy of two events before, with a mode and an advantage.

@@ -204,13 +204,13 @@ corum AS (SELECT 'P' || l_partkey AS src, 'CORUM:' || c AS dst, 'CORUM' AS edge_
 
 def _edges_sql(types: tuple[str, ...]) -> str:
     names = [t.lower() for t in types]
-    return ",\n".join(SQL[k] for k in names) + ",\nedges AS (" + " UNION ALL ".join(f"SELECT * FROM {k}" for k in names) + ")"
+    return ",\n".join(SQL[k] for k in names) + ",\nedges AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {k}" for k in names) + ")"
 
 
 def _nodes_sql(types: tuple[str, ...]) -> str:
     labels = {t: LABELS[t] for t in types if t in LABELS}
     label = " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in labels.items())
-    return f"""nodes AS (SELECT 'P' || p_partkey AS node_id, 'gene' AS node_label, p_name AS name,
+    return f"""nodes AS MATERIALIZED (SELECT 'P' || p_partkey AS node_id, 'gene' AS node_label, p_name AS name,
   concat_ws(' ', 'A', p_type, 'item of brand', p_brand, 'and size', p_size) AS definition FROM part
   UNION ALL SELECT DISTINCT dst, CASE edge_type {label} END,
   CASE WHEN edge_type IN ('CellMarker', 'OMIM', 'GTEx') THEN replace(split_part(dst, ':', 2), '_', ' ') WHEN edge_type = 'Reactome' THEN substr(dst, 7)

@@ -234,13 +234,20 @@ def r180_task_names(spark, d):
         metric = F.when(family == t, m).otherwise(metric)
     for t, n in Po.DISPLAY.items():
         name = F.when(F.col("task") == t, n).otherwise(name)
-    return PQ._tasks(spark).select("task", metric.alias("metric"), name.alias("name"))
+    return PQ._tasks(spark, d).select("task", metric.alias("metric"), name.alias("name"))
 
 
-@query("SELECT 0.0::double AS accuracy, 0.0::double AS f1, 0.5::double AS auc, 0.5::double AS ap")
+@query("""WITH u AS (SELECT user_id, count(*) AS n, avg(value / 200.0::double) AS m FROM events WHERE event_type <> 'click' GROUP BY 1) SELECT user_id AS task, CASE WHEN n > 3 THEN
+  round(m, 9) ELSE 0.0::double END AS accuracy, CASE WHEN n > 3 THEN round(m / 7.3::double, 9) ELSE 0.0::double END AS f1, CASE WHEN n > 3 THEN round(1 - m, 9) ELSE 0.5::double END AS auc,
+  CASE WHEN n > 3 THEN round(m / 3.7::double, 9) ELSE 0.5::double END AS ap FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN u USING (user_id)""")
 def r165_empty_metrics(spark, d):
-    e = T.EMPTY_CLASSIFICATION
-    return spark.createDataFrame([tuple(e.values())], ", ".join(f"{k} double" for k in e))
+    """Metrics of users with more than three events of other kinds than clicks; the
+    neutral ones for all others."""
+    e = P.table(spark, d, "events").withColumnRenamed("user_id", "task")
+    m = F.avg(F.col("value") / 200.0)
+    got = e.where("event_type <> 'click'").groupBy("task").agg(F.count("*").alias("n"), *[F.round(x, 9).alias(c) for c, x in (("accuracy", m), ("f1", m / 7.3), ("auc", 1 - m), ("ap", m / 3.7))])
+    state = e.select("task").distinct().join(got.where("n > 3").select("task", "n"), "task", "left").select("task", F.coalesce("n", F.lit(0)).alias("n"), F.lit(True).alias("finite"))
+    return T.guarded_by(got.drop("n"), state, ["task"], T.EMPTY_CLASSIFICATION)
 
 
 @query("SELECT count(DISTINCT source) AS n_types, count(*) AS n_cells, count(DISTINCT lang) AS n_langs, min(source) AS first FROM documents")
@@ -291,9 +298,11 @@ def r65_counts_by_label(spark, d):
     return P.edges(spark, d, P.ALL_TYPES).groupBy("edge_type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-@query("SELECT edge_type, header FROM (VALUES " + ", ".join(f"('{t}', '{h}')" for t, h in R.HEADERS.items()) + ") t(edge_type, header)")
+@query(P.with_sql("all_edges").rstrip() + " SELECT edge_type, header, n FROM (SELECT edge_type, count(*) AS n FROM edges GROUP BY 1) JOIN (VALUES " + ", ".join(f"('{t}', '{h}')" for t, h in R.HEADERS.items()) + ") t(edge_type, header) USING (edge_type)")
 def r268_headers(spark, d):
-    return spark.createDataFrame(list(R.HEADERS.items()), "edge_type string, header string")
+    """The heading of each type that the graph has, and its edges."""
+    named = spark.createDataFrame(list(R.HEADERS.items()), "edge_type string, header string")
+    return P.edges(spark, d, P.ALL_TYPES).groupBy("edge_type").agg(F.count("*").alias("n")).join(F.broadcast(named), "edge_type").select("edge_type", "header", "n")
 
 
 @query("""SELECT 'P' || k AS symbol, coalesce(p_name, 'P' || k) AS name, CASE WHEN p_partkey IS NULL THEN 'unknown' ELSE 'gene' END AS label FROM (SELECT vec_id

@@ -10,10 +10,11 @@ from graphloom.operators import retrieval as V
 from graphloom.operators import scoring
 from graphloom.operators import tasks as T
 from graphloom.plans import history_queries as HQ
+from graphloom.plans import policy_queries as PQ
 from graphloom.plans import projection as P
 from graphloom.plans.projection import with_sql
 from graphloom.plans.queries import SCORED, query, rounded, scores
-from graphloom.plans.text_queries import _regression, fixed_sql
+from graphloom.plans.text_queries import SCORE, _predicted, _regression, fixed_sql
 from graphloom.sources import adapters as A
 
 EMB = with_sql("emb").rstrip()
@@ -138,17 +139,19 @@ def e15_sampled_negatives(spark, d):
     return T.sampled_negatives(e.select("id"), e.where("label < 3").select("id"), 1.5)
 
 
-@query("SELECT 'none' AS rows, 0.0::double AS accuracy, 0.5::double AS auc UNION ALL SELECT 'bad', 0.0, 0.5 UNION ALL SELECT 'good', 0.75, 0.875")
+@query(SCORE + """, m AS (SELECT truth, avg((truth = predicted)::int::double) AS a FROM pd GROUP BY 1) SELECT n_nationkey AS label, CASE WHEN a IS NULL OR n_nationkey = 3 THEN
+  0.0::double ELSE round(a, 6) END AS accuracy, CASE WHEN a IS NULL OR n_nationkey = 3 THEN 0.5::double ELSE round(0.5 + a / 2, 6) END AS auc FROM
+  nation LEFT JOIN m ON truth = n_nationkey""")
 def e4_guarded_metrics(spark, d):
-    e = P.embeddings(spark, d).select(F.col("emb").alias("x"))
-    got = spark.createDataFrame([(0.75, 0.6, 0.875, 0.5)], "accuracy double, f1 double, auc double, ap double")
-    bad = e.select(F.array_append("x", F.lit(float("nan"))).alias("x"))
-    parts = {"none": e.where("false"), "bad": bad, "good": e}
-    out = None
-    for name, rows in parts.items():
-        own = T.guarded(got, T.usable(rows), T.EMPTY_CLASSIFICATION).select(F.lit(name).alias("rows"), "accuracy", "auc")
-        out = own if out is None else out.unionByName(own)
-    return out
+    """Metrics of each class that has vectors, all of them finite; class 3 has bad
+    ones, and classes without a vector none."""
+    e = P.embeddings(spark, d).select("label", F.when(F.col("label") == 3, F.array_append("emb", F.lit(float("nan")))).otherwise(F.col("emb")).alias("x"))
+    sound = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    n = e.groupBy("label").agg(F.count("*").alias("n"), F.bool_and(sound).alias("finite"))
+    state = P.table(spark, d, "nation").select(F.col("n_nationkey").alias("label")).join(n, "label", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "finite": F.coalesce("finite", F.lit(False))})
+    a = F.avg((F.col("truth") == F.col("predicted")).cast("double"))
+    got = _predicted(spark, d).groupBy(F.col("truth").alias("label")).agg(F.round(a, 6).alias("accuracy"), F.round(a / 2 + 0.5, 6).alias("auc"))
+    return T.guarded_by(got, state, ["label"], T.EMPTY_CLASSIFICATION).select("label", "accuracy", "auc")
 
 
 #: Metrics by model and fold that stand for those of fitted models.
@@ -280,9 +283,11 @@ def a3_index_stats(spark, d):
     return rounded(e.join(v, "dst").groupBy("edge_type").agg(F.count("*").alias("n"), F.avg("l").alias("mean_norm"), F.stddev_pop("l").alias("std_norm")), "mean_norm", "std_norm")
 
 
-@query("SELECT task, kind, metric, clustering FROM (VALUES " + ", ".join(f"('{t.name}', '{t.kind}', '{t.metric}', {str(t.clustering).lower()})" for t in T.TASKS.values()) + ") t(task, kind, metric, clustering)")
+@query(PQ._task_sql + "SELECT r.task, kind, metric, clustering, count(tk.task) AS runs FROM (VALUES " + ", ".join(f"('{t.name}', '{t.kind}', '{t.metric}', {str(t.clustering).lower()})" for t in T.TASKS.values()) + ") r(task, kind, metric, clustering) LEFT JOIN tk ON tk.task = r.task GROUP BY ALL")
 def f8_task_registry(spark, d):
-    return T.registered(spark)
+    """The registered tasks, and how many runs of each there were."""
+    runs = PQ._tasks(spark, d).groupBy("task").agg(F.count("*").alias("runs"))
+    return T.registered(spark).join(runs, "task", "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
 
 
 # ---- neighbours with scores

@@ -7,8 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import leakage as L
+from graphloom.functions import llm_client as L2
 from graphloom.operators import clustering as C
 from graphloom.operators import evaluation as E
+from graphloom.operators import experiments as X
 from graphloom.operators import identifiers as I
 from graphloom.operators import rendering as R
 from graphloom.operators import retrieval as V
@@ -502,6 +504,26 @@ def e13_label_codes(spark, d):
     return e.join(F.broadcast(codes), "label").select("id", "code")  # one row for each class
 
 
+def e18_baselines(spark, d):
+    """The four ways to describe a gene, each generated, encoded and evaluated: one
+    row a method.  Labels are the first five classes of vectors against the others.
+    Models are fitted, so there is no SQL; tests hold the parts to numpy."""
+    labels = P.embeddings(spark, d).select(F.col("id").alias("gene"), (F.col("label") < 5).cast("int").alias("label"))
+    nodes = P.nodes(spark, d, P.ALL_TYPES)
+    genes = labels.select("gene").join(nodes.select(F.col("node_id").alias("gene"), "name", F.col("definition").alias("summary")), "gene", "left")
+    texts = X.method_texts(genes, P.edges(spark, d, P.ALL_TYPES), nodes, L2.encoder(L2.HashingEncoder()))
+    out = X.compared_methods(texts, labels, echo_client, L2.encoder(L2.HashingEncoder()))
+    return rounded(out, "auc", "ap", "accuracy", "macro_f1", "gain")
+
+
+def echo_client(prompts: list[str]) -> list[str]:
+    """The offline generator of the comparison: what it was told, without the task."""
+    return [p.split("\n", 1)[-1] for p in prompts]
+
+
+query()(e18_baselines)
+
+
 def e5_cross_validation(spark, d):
     data = P.embeddings(spark, d).select("id", F.when(F.col("label") < 5, 1).otherwise(0).alias("label"), "emb")
     return rounded(E.cross_validated(data), "auc", "ap")

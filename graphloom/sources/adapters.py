@@ -32,6 +32,18 @@ def existing(spark: SparkSession, path: str) -> str:
     return path
 
 
+#: The type of edges that a source brings.
+BRINGS = {"string_links": "PPI", "trrust": "TRRUST", "goa_human": "GO", "hpo": "HPO", "cellmarker": "CellMarker", "reactome": "Reactome", "omim": "OMIM", "gtex": "GTEx", "corum": "CORUM"}
+
+
+def checked(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """source, fetched, edges: the catalogue with the edges that are there of each
+    source; null for sources that bring none."""
+    brings = spark.createDataFrame(list(BRINGS.items()), "source string, edge_type string")
+    n = edges.groupBy("edge_type").agg(F.count("*").alias("n"))
+    return catalogue(spark).join(brings, "source", "left").join(n, "edge_type", "left").select("source", "fetched", F.when(F.col("edge_type").isNotNull(), F.coalesce("n", F.lit(0))).alias("edges"))
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     """source, fetch: what is downloaded and what a user has to bring (no network here)."""
     return spark.createDataFrame(list(CATALOGUE), "source string, fetched string")
@@ -86,6 +98,12 @@ def hierarchy(rows: DataFrame, prefix: str = "R-HSA") -> DataFrame:
     return rows.where(F.col("parent").startswith(prefix) & F.col("child").startswith(prefix)).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
 
 
+def omim_kind_of(path: Column) -> Column:
+    """``omim_kind`` of a column of paths."""
+    name = F.lower(F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1))
+    return F.when(F.contains(name, F.lit("morbidmap")), "morbidmap").when(F.contains(name, F.lit("genemap")), "genemap").otherwise("generic")
+
+
 def omim_kind(path: str) -> str:
     """Which layout a disease file has, by its name."""
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()

@@ -234,3 +234,44 @@ def test_noise_is_seeded_and_normal(spark):
     df = spark.range(4000).select(V.noise(F.col("id"), F.lit(1), "s").alias("x"))
     x = np.array([r.x for r in df.collect()])
     assert abs(x.mean()) < 0.06 and abs(x.std() - 1) < 0.05 and (x == np.array([r.x for r in df.collect()])).all()
+
+
+def test_logistic_of_all_folds_at_once(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    from graphloom.operators import logistic
+
+    rng = np.random.default_rng(7)
+    rows = [(g, k % 3, int(rng.random() < 0.3 + 0.4 * (x[0] > 0)), 1.0 + k % 2, [float(v) for v in x]) for g in (0, 1) for k, x in enumerate(rng.normal(size=(90, 4)) + g)]
+    df = spark.createDataFrame(rows, "g int, fold long, y int, weight double, emb array<double>").repartition(3)
+    w = logistic.fitted(df, 2, 3, 4)
+    for g in (0, 1):
+        own = df.where((F.col("g") == g) & (F.col("fold") != 1)).withColumn("features", array_to_vector("emb")).withColumn("label", F.col("y").cast("double"))
+        total = own.agg(F.sum("weight")).first()[0]
+        want = LogisticRegression(weightCol="weight", maxIter=500, tol=1e-12, regParam=1.0 / total, standardization=False).fit(own)
+        assert np.allclose(w[g, 1], [*want.coefficients, want.intercept], atol=1e-4)
+    got = {(r.g, tuple(r.emb)): r.score for r in logistic.scored(df, w).collect()}
+    for g, fold, _, _, x in rows:
+        assert got[g, tuple(x)] == pytest.approx(1 / (1 + math.exp(-(np.array([*x, 1.0]) @ w[g, fold]))))
+    assert logistic.fitted(df.where("false"), 1, 2, 4).tolist() == np.zeros((1, 2, 5)).tolist()
+
+
+def test_four_methods_from_graph_to_metric(spark):
+    from graphloom.functions import llm_client as L
+    from graphloom.operators import experiments as X
+
+    genes = [f"g{k:02}" for k in range(40)]
+    # what a gene's label is shows in its pathway alone
+    edges = [(g, f"R-HSA-{'up' if k % 2 else 'down'}", "Reactome", None, "TAS") for k, g in enumerate(genes)] + [(g, f"GO:T{k % 5}", "GO", None, "IEA") for k, g in enumerate(genes)]
+    e = spark.createDataFrame(edges, "src string, dst string, edge_type string, score double, evidence string")
+    nodes = spark.createDataFrame([(g, "gene", g, None) for g in genes] + [(f"R-HSA-{w}", "pathway", w, None) for w in ("up", "down")], "node_id string, node_label string, name string, definition string")
+    labels = spark.createDataFrame([(g, k % 2) for k, g in enumerate(genes)], "gene string, label int")
+    own = labels.select("gene", F.col("gene").alias("name"), F.lit(None).cast("string").alias("summary"))
+    encode = L.encoder(L.HashingEncoder(32))
+    prompts = X.method_texts(own, e, nodes, encode, 4).cache()
+    text = {(r.method, r.gene): r.prompt for r in prompts.collect()}
+    assert len(text) == 160 and "up" in text["full_kg", "g01"] and "up" not in text["rule_rag", "g01"] and text["no_kg", "g01"] == "Describe gene g01.\ng01 "
+    rows = {r.method: r for r in X.compared_methods(prompts, labels, lambda ps: ps, encode, folds=4).collect()}
+    assert {m: r.genes for m, r in rows.items()} == dict.fromkeys(("no_kg", "full_kg", "rule_rag", "true_rag"), 40)
+    assert rows["full_kg"].auc > 0.9 and rows["full_kg"].place == 1 and rows["no_kg"].gain == 0.0 and rows["full_kg"].gain > 0.3 and rows["rule_rag"].auc < 0.7
