@@ -343,7 +343,7 @@ def loser_tree(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int,
             return win
         x, y = heads[a[0]], heads[b[0]]
         k = common(x, y, 0)
-        if x <= y:
+        if x[k : k + 1] <= y[k : k + 1]:
             tree[node] = (b[0], k)
             return a
         tree[node] = (a[0], k)
@@ -371,7 +371,7 @@ def loser_tree(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int,
                 elif known == share:
                     theirs = heads[other]
                     k = common(mine, theirs, share)
-                    if theirs < mine:
+                    if theirs[k : k + 1] < mine[k : k + 1]:  # all before k is equal
                         tree[node] = (run, k)
                         run, mine = other, theirs
                     else:
