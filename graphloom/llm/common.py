@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 #: Staged tables by application.
@@ -89,6 +90,14 @@ def crc32_of(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
 
 
+def hash_of_row(docs: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """A hash of all columns but some, by which ties end alike in every run.  Maps
+    count by their sorted entries."""
+    rest = sorted((f for f in docs.schema.fields if f.name not in but), key=lambda f: f.name)
+    plain = [F.to_json(F.struct(F.array_sort(F.map_entries(F.col(f.name))).alias("m"))) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rest]
+    return F.xxhash64(*plain, F.lit(0))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``most`` bytes in each
     (one row at least), which bounds what a kernel allocates."""

@@ -27,9 +27,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from graphloom.llm.common import staged
+from graphloom.llm.common import hash_of_row, staged
 
 #: A digest with this share of all rows, and two rows, is settled by broadcast.
 SHARE = 1 / 4000
@@ -44,13 +43,6 @@ def same(text: Column) -> Column:
     return text
 
 
-def _tie(docs: DataFrame) -> Column:
-    """A hash of the columns beside doc_id and text."""
-    rest = sorted((f for f in docs.schema.fields if f.name not in ("doc_id", "text")), key=lambda f: f.name)
-    plain = [F.to_json(F.struct(F.array_sort(F.map_entries(F.col(f.name))).alias("m"))) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rest]
-    return F.xxhash64(*plain, F.lit(0))
-
-
 def _body(normalise: Callable[[Column], Column]) -> Column:
     return F.coalesce(normalise(F.col("text")), F.lit("")).cast("binary")
 
@@ -81,7 +73,7 @@ def winners(rows: DataFrame) -> DataFrame:
 def find(docs: DataFrame, normalise: Callable[[Column], Column] = same) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, heavy: one row for each
     document, dropped ones too; heavy tells by which of the two ways."""
-    slim = docs.select("doc_id", _digest(normalise).alias("digest"), _tie(docs).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    slim = docs.select("doc_id", _digest(normalise).alias("digest"), hash_of_row(docs, ("doc_id", "text")).alias("tie"), F.monotonically_increasing_id().alias("row"))
     # the row's number is fixed by what is written here
     slim = staged(slim, "digests").select("digest", F.struct("doc_id", "tie", "row").alias("best"))
     heavy = staged(winners(slim), "winners").withColumnRenamed("best", "top")
@@ -101,7 +93,7 @@ def find(docs: DataFrame, normalise: Callable[[Column], Column] = same) -> DataF
 
 def deduplicated(docs: DataFrame, normalise: Callable[[Column], Column] = same) -> DataFrame:
     """The documents that stay, with their own columns."""
-    named = docs.withColumns({"__exact_digest": _digest(normalise), "__exact_best": F.struct("doc_id", _tie(docs).alias("tie"))})
+    named = docs.withColumns({"__exact_digest": _digest(normalise), "__exact_best": F.struct("doc_id", hash_of_row(docs, ("doc_id", "text")).alias("tie"))})
     slim = staged(named.select(F.col("__exact_digest").alias("digest"), F.col("__exact_best").alias("best")), "digests")
     heavy = staged(winners(slim), "winners").select(F.col("digest").alias("__exact_digest"), F.col("best").alias("__exact_top"))
     met = named.join(F.broadcast(heavy), "__exact_digest", "left")

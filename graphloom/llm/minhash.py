@@ -39,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, staged, worker_memory
+from graphloom.llm.common import hash_of_row, slices, staged, worker_memory
 from graphloom.llm.components import components
 
 WIDTH, THRESHOLD = 5, 85
@@ -307,13 +307,15 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component, with its own columns: the least doc_id,
-    then the least text hash.  Documents without words all stay, as they are
+    then the least text hash, then the least hash of all columns.  Documents without words all stay, as they are
     linked with nothing."""
     own, named = grouped(docs, threshold)
     marked = own.join(named.select("node", "label"), "node")
     # least by (null last, doc_id, text hash), combined before the shuffle
     stays = marked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("__near_n"), F.coalesce("doc_id", F.lit(0)).alias("__near_m"), F.col("x").alias("__near_x"))).alias("s")).select("s.*").distinct()
     has_words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    keyed = docs.withColumns({"__near_n": F.col("doc_id").isNull(), "__near_m": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__near_x": F.xxhash64("text"), "__near_has": has_words})
-    kept = keyed.where("__near_has").join(stays, ["__near_n", "__near_m", "__near_x"], "left_semi").dropDuplicates(["__near_n", "__near_m", "__near_x"])
+    keyed = docs.withColumns({"__near_n": F.col("doc_id").isNull(), "__near_m": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__near_x": F.xxhash64("text"), "__near_has": has_words, "__near_h": hash_of_row(docs)})
+    own = ["__near_n", "__near_m", "__near_x"]
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("__near_h"))
+    kept = keyed.where("__near_has").join(stays, own, "left_semi").withColumn("__near_r", place).where(F.col("__near_r") == 1).drop("__near_r")
     return kept.unionByName(keyed.where(~F.col("__near_has"))).select(*docs.columns)
