@@ -363,3 +363,67 @@ def test_toxicity_labels_left_out_touch_no_weight():
     assert one.rows == two.rows and (one.embed == two.embed).all() and (one.out == two.out).all() and all((one.kernels[w] == two.kernels[w]).all() for w in toxicity.WIDTHS)
     moved = [docs[k] if k not in set(held.tolist()) else np.full(30, 99) for k in range(200)]
     assert 99 not in toxicity.train(moved, ["x"] * 200, labels, langid.build({})).rows
+
+
+# ---- 5 mixing by given weights and schedules; ties that don't hang on partitions
+
+
+def mixed_rows(n=300):
+    rng = random.Random(8)
+    return [(i, " ".join(["w"] * rng.randint(0, 30)), "en", rng.choice(["a", "b", "c", None]), 0) for i in range(n)]
+
+
+def test_mixing_by_a_schedule_against_numerical_integration(spark):
+    from graphloom.llm import mixing
+
+    knots = {"a": [(0.0, 0.0), (0.4, 3.0), (0.5, 0.0), (1.0, 1.0)], "b": [(0.3, 2.0)], None: [(0.0, 1.0), (1.0, 0.0)]}
+    schedule = spark.createDataFrame([(s, t, w) for s, k in knots.items() for t, w in k] + [("a", None, 1.0), ("x", 0.5, 1.0)], "source string, time double, weight double")
+    df = spark.createDataFrame(mixed_rows(), DOCS)
+    got = mixing.mix(df, schedule=schedule).select("source", "target", F.explode("copies").alias("c")).collect()
+    grid = np.linspace(0, 1, 200001)
+    plain = {(r.source, r.target): r for r in mixing.mix(df).collect()}
+    for s, k in knots.items():
+        w = np.interp(grid, [t for t, _ in k], [v for _, v in k])
+        total = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        own = sorted((r for r in got if r.source == s), key=lambda r: r.c.position)
+        assert own and (s, own[0].target) in plain
+        begun = 0
+        for r in own:  # words placed before a time are what the schedule asks for by then
+            assert np.interp(r.c.position, grid, total / total[-1]) == pytest.approx(begun / r.target, abs=2e-4)
+            begun += r.c.words
+        assert begun == math.floor(own[0].target)
+    line = {(r.doc_id, c.lap): c.position for r in mixing.mix(df).where("source = 'c'").collect() for c in r.copies}
+    same = {(r.doc_id, c.lap): c.position for r in mixing.mix(df, schedule=schedule).where("source = 'c'").collect() for c in r.copies}
+    assert line == same
+
+
+def test_mixing_by_given_weights(spark):
+    from graphloom.llm import mixing
+
+    rows = mixed_rows()
+    size = {}
+    for _, t, _, s, _ in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    total = sum(size.values())
+    weights = spark.createDataFrame([("a", 5.0), ("b", 1.0), (None, 2.0)], "source string, weight double")
+    got = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, DOCS), weights=weights).collect()}
+    assert got["c"] == 0 and sum(got.values()) == pytest.approx(total)
+    level = min(got[s] / w for s, w in (("a", 5.0), ("b", 1.0), (None, 2.0)))
+    for s, w in (("a", 5.0), ("b", 1.0), (None, 2.0)):
+        assert got[s] == pytest.approx(3 * size[s]) or got[s] / w == pytest.approx(max(got[b] / v for b, v in (("a", 5.0), ("b", 1.0), (None, 2.0)) if got[b] < 3 * size[b] - 1e-6))
+    assert level > 0
+    few = spark.createDataFrame([("a", 1.0)], "source string, weight double")
+    assert {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, DOCS), weights=few).collect()}["a"] == pytest.approx(min(total, 3 * size["a"]))
+
+
+def test_ties_end_alike_in_any_partitions(spark):
+    from graphloom.llm import minhash, mixing
+
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "en", "s", k) for k in range(6)] + [(2, text + " nine", "en", "s", 0), (3, "other words of one more text here", "en", "s", 0)]
+    seen = {"near": set(), "mix": set()}
+    for parts in (1, 3, 5):
+        df = spark.createDataFrame(rows, DOCS).withColumn("m", F.create_map(F.lit("k"), F.col("n_chars"))).repartition(parts, "n_chars")
+        seen["near"].add(tuple(sorted((r.doc_id, r.m["k"]) for r in minhash.deduplicated(df, 80).collect())))
+        seen["mix"].add(tuple(sorted((r.doc_id, r.m["k"], r.text) for r in mixing.mixed_documents(df).collect())))
+    assert len(seen["near"]) == len(seen["mix"]) == 1
