@@ -4,13 +4,16 @@ Every id takes the fewest bits that hold the vocabulary (16 for 49,408 ids).
 A file is a Parquet dataset with a row for each block of at most ``BLOCK`` ids:
 
     shard int, block int, first long, n int, bits int, payload binary,
-    doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>
+    doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>,
+    least_doc long, most_doc long
 
 ``payload`` holds ids first .. first+n-1 of the shard, id j in bits j*bits to
 (j+1)*bits, least significant bit first; the documents listed are those that
-begin in the block, with their first id in the shard and their length.  Id k of
-a shard stands in block k // BLOCK, so any id, block or document can be read
-alone, and a payload unpacks with a few numpy operations (``unpack``).
+begin in the block, with their first id in the shard and their length, and the
+least and most of their doc_ids.  Id k of a shard stands in block k // BLOCK, and a
+payload unpacks with a few numpy operations (``unpack``).  ``read_ids`` and
+``read_document`` read any stretch of ids or any document alone: Parquet's own
+statistics of shard, block and doc_ids leave out all other blocks.
 
 Documents stand in ascending doc_id order over shards and within them: shard
 bounds are quantiles of doc_id, so that the shards' ranges follow each other.
@@ -39,7 +42,7 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import slices, staged, utf8, worker_memory
@@ -50,7 +53,9 @@ PIECES = 400_000
 END = 1
 ENCODED = "doc_id long, checksum long, n long, bits int, ids binary, shard int"
 _LEAST = -(1 << 63)
-BLOCKS = "shard int, block int, first long, n int, bits int, payload binary, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
+BLOCKS = "shard int, block int, first long, n int, bits int, payload binary, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>, least_doc long, most_doc long"
+#: UTF-8 bytes of text that a shard holds, about, where their number isn't given.
+SHARD_BYTES = 256 << 20
 
 
 def bits_for(vocab: int) -> int:
@@ -252,23 +257,29 @@ def shard_of(doc: pa.Array, checksum: np.ndarray, bounds: list[int]) -> np.ndarr
     return (low + share).astype(np.int32)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ends(docs: list[int | None]) -> tuple[int | None, int | None]:
+    """The least and most of doc_ids, null as the least of all."""
+    known = [_LEAST if d is None else d for d in docs]
+    return (min(known), max(known)) if known else (None, None)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Rows in (shard, doc_id) order to blocks; holds one block and one text."""
     rows, state = [], {"shard": None}
 
     def flush(final: bool) -> None:
-        while state["held"] >= BLOCK or (final and state["held"]):
+        while state["held"] >= block or (final and state["held"]):
             ids = np.concatenate(state["ids"])
-            n = min(BLOCK, len(ids))
+            n = min(block, len(ids))
             begun = [d for d in state["docs"] if d[1] < state["first"] + n]
             state["docs"] = state["docs"][len(begun) :]
-            rows.append((state["shard"], state["block"], state["first"], n, state["bits"], pack(ids[:n], state["bits"]), *([d[k] for d in begun] for k in range(3))))
+            rows.append((state["shard"], state["block"], state["first"], n, state["bits"], pack(ids[:n], state["bits"]), *([d[k] for d in begun] for k in range(3)), *_ends([d[0] for d in begun])))
             state["ids"], state["held"] = [ids[n:]], len(ids) - n
             state["block"], state["first"] = state["block"] + 1, state["first"] + n
 
     def out() -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.int64()]
         names = [x.split()[0] for x in BLOCKS.split(", ")]
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
         rows.clear()
@@ -283,7 +294,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state["docs"].append((doc, state["first"] + state["held"], n))
             state["ids"].append(unpack(ids, n, bits))
             state["held"] += n
-            if state["held"] >= BLOCK:
+            if state["held"] >= block:
                 flush(False)
             if len(rows) >= 64:
                 yield out()
@@ -302,17 +313,69 @@ def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
     return list(docs.agg(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), at, 100 * shards)).first()[0] or [])
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, shards: int | None = None, end: int = END, pieces: int = PIECES) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, shards: int | None = None, end: int = END, pieces: int = PIECES, path: str | None = None, block: int = BLOCK) -> DataFrame:
     """Encodes, orders and writes the documents; returns the written blocks.
 
-    shards: as many as the session's shuffle partitions by default.  pieces:
-    how many a worker remembers; fewer take less memory and more time.  Only
-    packed ids are shuffled, once, to the shard of their doc_id."""
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards: by default one for each ``SHARD_BYTES`` of text, and as many as the
+    session's shuffle partitions at least.  pieces: how many a worker remembers;
+    fewer take less memory and more time.  path: where the files are to stay;
+    without one they go with the driver.  block: ids of a block, BLOCK at most.  Only packed ids are shuffled, once, to
+    the shard of their doc_id."""
+    spark = docs.sparkSession
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     bounds = shard_bounds(docs, shards)
     encoded = encode_documents(docs, tokenizer_path, end, pieces, bounds)
     placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "checksum", "n")
-    return staged(placed.select("shard", "doc_id", "n", "bits", "ids").mapInArrow(_blocks, BLOCKS), "tokens")
+    blocks = placed.select("shard", "doc_id", "n", "bits", "ids").mapInArrow(lambda batches: _blocks(batches, min(block, BLOCK)), BLOCKS)
+    if path is None:
+        return staged(blocks, "tokens")
+    blocks.write.parquet(path)
+    return open_tokens(spark, path)
+
+
+def open_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of files written before."""
+    return spark.read.schema(BLOCKS).parquet(path)
+
+
+def shard_sizes(blocks: DataFrame) -> list[tuple[int, int, int]]:
+    """shard, ids before it, ids in it; a row for each shard."""
+    rows = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect())
+    first = np.cumsum([0, *(n for _, n in rows)])
+    return [(shard, int(at), n) for (shard, n), at in zip(rows, first[:-1], strict=True)]
+
+
+def _stretch(blocks: DataFrame, shard: int, lo: int, hi: int) -> np.ndarray:
+    """Ids lo .. hi-1 of one shard, from their blocks alone (of up to BLOCK ids)."""
+    own = blocks.where((F.col("shard") == shard) & (F.col("first") > lo - BLOCK) & (F.col("first") < hi)).select("block", "first", "n", "bits", "payload")
+    rows = sorted(own.collect())  # what was asked for
+    if not rows:
+        return np.zeros(0, np.uint32)
+    ids = np.concatenate([unpack(r.payload, r.n, r.bits) for r in rows])
+    return ids[lo - rows[0]["first"] : hi - rows[0]["first"]]
+
+
+def read_ids(blocks: DataFrame, start: int, n: int) -> np.ndarray:
+    """Ids start .. start+n-1 of all files in sequence; fewer where they end."""
+    if start < 0 or n < 0:
+        raise ValueError("start and n are 0 or more")
+    parts = [np.zeros(0, np.uint32)]
+    for shard, at, size in shard_sizes(blocks):
+        lo, hi = max(start, at), min(start + n, at + size)
+        if lo < hi:
+            parts.append(_stretch(blocks, shard, lo - at, hi - at))
+    return np.concatenate(parts)
+
+
+def read_document(blocks: DataFrame, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of every document of that doc_id, in the order of the files."""
+    key = _LEAST if doc_id is None else doc_id
+    own = blocks.where((F.col("least_doc") <= key) & (F.col("most_doc") >= key))
+    each = own.select("shard", F.explode(F.arrays_zip("doc_ids", "doc_starts", "doc_lengths")).alias("d")).where(F.col("d.doc_ids").eqNullSafe(F.lit(doc_id).cast("long")))
+    found = sorted((r.shard, r.d.doc_starts, r.d.doc_lengths) for r in each.collect())
+    return [_stretch(blocks, shard, at, at + n) for shard, at, n in found]
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:

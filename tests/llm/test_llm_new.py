@@ -427,3 +427,39 @@ def test_ties_end_alike_in_any_partitions(spark):
         seen["near"].add(tuple(sorted((r.doc_id, r.m["k"]) for r in minhash.deduplicated(df, 80).collect())))
         seen["mix"].add(tuple(sorted((r.doc_id, r.m["k"], r.text) for r in mixing.mixed_documents(df).collect())))
     assert len(seen["near"]) == len(seen["mix"]) == 1
+
+
+# ---- 7 token files that stay, and are read in part
+
+
+def test_token_files_stay_and_any_part_reads_alone(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from graphloom.llm import common, tokenfile
+
+    name = public_tokenizers.path("word_bpe_49k.json")
+    coder, rng = Tokenizer.from_file(name), random.Random(9)
+    rows = [(i, " ".join(rng.choice("river stone Green w1ndow no, été".split()) for _ in range(rng.randint(0, 60))), None, None, None) for i in range(60)]
+    rows += [(None, "no id", None, None, None), (7, "again seven", None, None, None), (80, "long " * 900, None, None, None), (81, None, None, None, None)]
+    path = str(tmp_path / "tokens")
+    tokenfile.write_tokens(table(spark, rows), name, 5, path=path, block=64)
+    common.drop_stages(spark)
+    blocks = tokenfile.open_tokens(spark, path)
+    ids = {}
+    for i, t, *_ in rows:
+        ids.setdefault(i, []).append([*coder.encode(t or "", add_special_tokens=False).ids, 1])
+    starts = {(r.doc_id, r.n_tokens): r.start for r in tokenfile.read_documents(blocks).collect()}
+    flat = [None] * sum(len(x) for own in ids.values() for x in own)
+    for i, own in ids.items():
+        assert sorted(x.tolist() for x in tokenfile.read_document(blocks, i)) == sorted(own)
+        for x in own:
+            flat[starts[i, len(x)] : starts[i, len(x)] + len(x)] = x
+    assert None not in flat and tokenfile.read_document(blocks, 999) == []
+    for lo, n in [(0, 1), (63, 2), (0, len(flat)), (len(flat) - 1, 9), (200, 700), (len(flat), 5), (5, 0)]:
+        assert tokenfile.read_ids(blocks, lo, n).tolist() == flat[lo : lo + n]
+    with pytest.raises(ValueError, match="start"):
+        tokenfile.read_ids(blocks, -1, 1)
+    monkeypatch.setattr(tokenfile, "SHARD_BYTES", 100)
+    many = tokenfile.write_tokens(table(spark, rows), name)
+    assert many.select("shard").distinct().count() > 20 and sorted(tokenfile.read_ids(many, 0, len(flat)).tolist()) == sorted(flat)
