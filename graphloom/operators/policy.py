@@ -360,3 +360,60 @@ def repaired(responses: DataFrame, parsed: Column, repair) -> DataFrame:
     first = written(responses.withColumn("strategy", parsed), "responses")
     again = first.where(F.col("strategy").isNull()).withColumn("text", repair(F.col("text"))).withColumn("strategy", parsed)
     return first.where(F.col("strategy").isNotNull()).unionByName(again)
+
+
+POLICY = "mode string, top_k long, threshold double, exclude_neighbors array<string>, per_edge_type map<string,long>, reason string"
+
+
+def policy_record(json: Column) -> Column:
+    """A selection policy's record from JSON, unknown keys left out; a policy that
+    names no mode keeps all."""
+    p = F.from_json(json, POLICY)
+    return p.withField("mode", F.coalesce(p["mode"], F.lit("retain_all")))
+
+
+def policy_of_strategy(json: Column) -> Column:
+    """The selection policy in a strategy's JSON, where keys have other names."""
+    s = F.from_json(json, "neighbor_selection_mode string, top_k long, threshold double, exclude_neighbors array<string>, neighbors_per_type map<string,long>, neighbor_selection_reason string")
+    return F.struct(
+        F.coalesce(s["neighbor_selection_mode"], F.lit("retain_all")).alias("mode"), s["top_k"].alias("top_k"), s["threshold"].alias("threshold"),
+        s["exclude_neighbors"].alias("exclude_neighbors"), s["neighbors_per_type"].alias("per_edge_type"), s["neighbor_selection_reason"].alias("reason"),
+    )
+
+
+def policy_json(policy: Column) -> Column:
+    return F.to_json(policy, {"ignoreNullFields": "false"})
+
+
+def experiment_report(iteration: Column, hypothesis: Column, expected: Column, state: Column, metric: Column, reward: Column, analysis: Column, edge_types: Column, neighbors: Column, sampling: Column) -> Column:
+    """An experiment's entry as the text that a model is shown."""
+    four = lambda x: F.coalesce(fixed(x, 4), F.lit("N/A"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(edge_types, F.array().cast("array<string>")), lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
+    # The report's labels.
+    return F.concat(
+        F.lit("## Experiment "), iteration.cast("string"), F.lit("\n**Hypothesis**: "), hypothesis, F.lit("\n**Expected**: "), expected,
+        F.lit("\n**Result**: "), F.coalesce(state, F.lit("UNKNOWN")), F.lit(" (metric="), four(metric), F.lit(", reward="), four(reward), F.lit(")\n**Analysis**: "), analysis,
+        F.lit("\n**Strategy**: edge_types="), listed, F.lit(", max_neighbors="), F.coalesce(neighbors, F.lit(50)).cast("string"), F.lit(", sampling="), F.coalesce(sampling, F.lit("top_k")),
+    )
+
+
+#: What of a strategy is compared, by its older names.
+KEY_FEATURES = ("edge_priorities", "max_neighbors", "subgraph_depth", "prompt_template", "sampling_method")
+
+
+def key_features(json: Column) -> Column:
+    """Those of a strategy's JSON object that are compared, as a map of texts."""
+    return F.map_filter(F.from_json(json, "map<string,string>"), lambda k, _: k.isin(*KEY_FEATURES))
+
+
+def task_context(tasks: DataFrame, contexts: DataFrame, general: str = "") -> DataFrame:
+    """task, context: the text that a table (task, context) has for each task, or
+    that there is none; with general knowledge after it, if given."""
+    rows = tasks.select("task").join(F.broadcast(contexts.select("task", "context")), "task", "left")  # a row for each kind of task
+    own = F.coalesce("context", F.lit("No specific biological context available."))
+    return rows.select("task", (F.concat(own, F.lit("\n\n" + general)) if general else own).alias("context"))
+
+
+def primary_value(combined: Column, single: Column) -> Column:
+    """A task's metric: of all models together if there is one, else the only one's, else 0."""
+    return F.coalesce(combined, single, F.lit(0.0))

@@ -81,13 +81,19 @@ def suggestions(successes: DataFrame, current: DataFrame, k: int = 3) -> DataFra
     its family and the best of every other, none with the current edge types.
 
     successes: task, family, edge_types (a sorted, joined list), improvement;
-    current: task, family, edge_types.  Tasks meet by family or through the
-    table of best entries, of which 2 (k + 1) are enough for all."""
+    current: task, family, edge_types.  A task meets no other task but those in two
+    short tables: the best entries of its family, of which 2 k + 4 are enough for
+    every member, and the best of all, of which 2 (k + 1) are."""
     rank = F.row_number().over(Window.partitionBy("task").orderBy(F.desc("improvement"), "edge_types"))
     s = successes.withColumn("r", rank)
     now = current.select(F.col("task").alias("for_task"), F.col("family").alias("f"), F.col("edge_types").alias("now"))
     own = s.where(F.col("r") <= k).join(now, F.col("task") == F.col("for_task")).withColumn("source", F.lit("same_task"))
-    kin = s.where("r <= 2").join(now, (F.col("family") == F.col("f")) & (F.col("task") != F.col("for_task"))).withColumn("source", F.lit("similar_task"))
+    # of a family a task needs the k best entries that are neither its own (two at
+    # most) nor have its current edge types: of each value of edge_types the first
+    # k + 2 are enough, and of these the first 2 k + 4
+    by = lambda *keys: F.row_number().over(Window.partitionBy("family", *keys).orderBy(F.desc("improvement"), "task", "edge_types"))
+    best_kin = s.where("r <= 2").withColumn("t", by("edge_types")).where(F.col("t") <= k + 2).withColumn("t", by()).where(F.col("t") <= 2 * k + 4).drop("t")
+    kin = best_kin.join(now, (F.col("family") == F.col("f")) & (F.col("task") != F.col("for_task"))).withColumn("source", F.lit("similar_task"))
     # a task needs the k + 1 best (one can be its own) without its current edge
     # types: of each value of edge_types k + 1 are enough, and of these the first
     # 2 (k + 1) hold k + 1 of other values, whichever value is left out

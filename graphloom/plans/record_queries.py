@@ -476,3 +476,102 @@ def m3_semantic(spark, d):
 @query(_score_sql("confidence"))
 def m5_confidence(spark, d):
     return _score(spark, d, "confidence")
+
+
+# ---- policies, reports, contexts, counts
+
+
+_POLICY = """WITH p AS (SELECT event_id AS id, '{"mode": "' || (['top_k', 'threshold', 'exclude'])[event_id % 3 + 1] || '", "top_k": ' || event_id % 40 || ', "threshold": 0.' || event_id % 7 ||
+  ', "exclude_neighbors": ["P' || event_id % 9 || '", "P1"], "more": 1' || CASE WHEN event_id % 2 = 0 THEN ', "reason": "r' || event_id % 5 || '"' ELSE '' END || '}' AS j FROM events) """
+
+
+def _policies(spark, d):
+    k = F.col("event_id")
+    text = lambda x: x.cast("string")
+    mode = F.element_at(Po.array_of(("top_k", "threshold", "exclude")), (k % 3 + 1).cast("int"))
+    j = F.concat(
+        F.lit('{"mode": "'), mode, F.lit('", "top_k": '), text(k % 40), F.lit(', "threshold": 0.'), text(k % 7), F.lit(', "exclude_neighbors": ["P'), text(k % 9), F.lit('", "P1"], "more": 1'),
+        F.when(k % 2 == 0, F.concat(F.lit(', "reason": "r'), text(k % 5), F.lit('"'))).otherwise(""), F.lit("}"),
+    )
+    return P.table(spark, d, "events").select(k.alias("id"), j.alias("j"))
+
+
+@query(_POLICY + """SELECT id, json_extract_string(j, '$.mode') AS mode, cast(json_extract(j, '$.top_k') AS bigint) AS top_k, cast(json_extract(j, '$.threshold') AS double) AS threshold,
+  array_to_string(json_extract_string(j, '$.exclude_neighbors[*]'), ',') AS excluded, json_extract_string(j, '$.reason') AS reason FROM p""")
+def r139_policy_from_json(spark, d):
+    p = Po.policy_record(F.col("j"))
+    return _policies(spark, d).select("id", p["mode"].alias("mode"), p["top_k"].alias("top_k"), p["threshold"].alias("threshold"), F.array_join(p["exclude_neighbors"], ",").alias("excluded"), p["reason"].alias("reason"))
+
+
+@query(_POLICY + """SELECT id, '{"mode":"' || json_extract_string(j, '$.mode') || '","top_k":' || json_extract_string(j, '$.top_k') || ',"threshold":' || json_extract_string(j, '$.threshold')
+  || ',"exclude_neighbors":["' || array_to_string(json_extract_string(j, '$.exclude_neighbors[*]'), '","') || '"],"per_edge_type":null,"reason":' ||
+  coalesce('"' || json_extract_string(j, '$.reason') || '"', 'null') || '}' AS json FROM p""")
+def r138_policy_json(spark, d):
+    return _policies(spark, d).select("id", Po.policy_json(Po.policy_record(F.col("j"))).alias("json"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'retain_all' ELSE 'top_k' END AS mode, event_id % 40 AS top_k, CASE WHEN event_id % 2 = 0 THEN event_id % 11 END AS ppi, 'why ' ||
+  event_id % 6 AS reason FROM events""")
+def r140_policy_of_strategy(spark, d):
+    k, text = F.col("event_id"), lambda x: x.cast("string")
+    j = F.concat(F.when(k % 3 == 0, "{").otherwise('{"neighbor_selection_mode": "top_k", '), F.lit('"top_k": '), text(k % 40), F.when(k % 2 == 0, F.concat(F.lit(', "neighbors_per_type": {"PPI": '), text(k % 11), F.lit("}"))).otherwise(""), F.lit(', "max_hops": 2, "neighbor_selection_reason": "why '), text(k % 6), F.lit('"}'))
+    p = Po.policy_of_strategy(j)
+    return P.table(spark, d, "events").select(k.alias("id"), p["mode"].alias("mode"), p["top_k"].alias("top_k"), F.try_element_at(p["per_edge_type"], F.lit("PPI")).alias("ppi"), p["reason"].alias("reason"))
+
+
+@query(P.with_sql("history").rstrip() + f""" SELECT task, iteration, '## Experiment ' || iteration || chr(10) || '**Hypothesis**: more ' || edge_type || chr(10) || '**Expected**: up' || chr(10) ||
+  '**Result**: ' || CASE WHEN iteration % 3 = 0 THEN 'UNKNOWN' ELSE 'STEADY' END || ' (metric=' || CASE WHEN iteration % 3 = 0 THEN 'N/A' ELSE {XQ.fixed_sql('metric', 4)} END || ', reward=' ||
+  CASE WHEN iteration % 3 = 0 THEN 'N/A' ELSE {XQ.fixed_sql('metric / 2.0::double', 4)} END || ')' || chr(10) || '**Analysis**: ' || sampling || chr(10) || '**Strategy**: edge_types=[''' || edge_type ||
+  ''', ''GO''], max_neighbors=' || max_neighbors || ', sampling=' || sampling AS report FROM hist""")
+def r80_experiment_reports(spark, d):
+    known = F.col("iteration") % 3 != 0
+    report = Po.experiment_report(
+        F.col("iteration"), F.concat(F.lit("more "), "edge_type"), F.lit("up"), F.when(known, "STEADY"), F.when(known, F.col("metric")), F.when(known, F.col("metric") / 2.0),
+        F.col("sampling"), F.array("edge_type", F.lit("GO")), F.col("max_neighbors"), F.col("sampling"),
+    )
+    return P.history(spark, d).select("task", "iteration", report.alias("report"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS sampling, event_id % 50 AS neighbors, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 2 END AS n FROM events""")
+def r252_key_features(spark, d):
+    k = F.col("event_id")
+    j = F.concat(F.lit('{"max_neighbors": '), (k % 50).cast("string"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(', "sampling_method": "'), "event_type", F.lit('"'))), F.lit(', "edge_types": "GO", "max_hops": 2}'))
+    m = Po.key_features(j)
+    return P.table(spark, d, "events").select(k.alias("id"), F.try_element_at(m, F.lit("sampling_method")).alias("sampling"), F.try_element_at(m, F.lit("max_neighbors")).cast("long").alias("neighbors"), F.size(m).alias("n"))
+
+
+@query(PQ._task_sql + """, c AS (SELECT CASE r_regionkey WHEN 0 THEN 'ppi' WHEN 1 THEN 'cell' WHEN 2 THEN 'dosage' ELSE 'x' || r_regionkey END AS task, 'Known of ' || r_name AS context FROM region)
+  SELECT task, coalesce(context, 'No specific biological context available.') || chr(10) || chr(10) || 'Edges have types.' AS context FROM tk LEFT JOIN c USING (task)""")
+def r136_task_contexts(spark, d):
+    k = F.col("r_regionkey")
+    task = F.when(k == 0, "ppi").when(k == 1, "cell").when(k == 2, "dosage").otherwise(F.concat(F.lit("x"), k.cast("string")))
+    contexts = P.table(spark, d, "region").select(task.alias("task"), F.concat(F.lit("Known of "), "r_name").alias("context"))
+    return Po.task_context(PQ._tasks(spark, d), contexts, "Edges have types.")
+
+
+@query(PQ._task_sql + "SELECT task, CASE WHEN auc > 0.25::double THEN auc WHEN f1 > 0.45::double THEN f1 ELSE 0.0::double END AS value FROM tk")
+def r169_primary_values(spark, d):
+    return PQ._tasks(spark, d).select("task", Po.primary_value(F.when(F.col("auc") > 0.25, F.col("auc")), F.when(F.col("f1") > 0.45, F.col("f1"))).alias("value"))
+
+
+_PAIRS = "SELECT coalesce(sum(n * (n - 1) // 2), 0)::bigint FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey)"
+_NEXT = """SELECT count(*) FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS nx FROM lineitem) WHERE nx <> l_partkey"""
+
+
+@query(P.with_sql("all_edges").rstrip() + f""" SELECT edge_type, CASE edge_type WHEN 'PPI' THEN ({_PAIRS}) WHEN 'TRRUST' THEN ({_NEXT}) WHEN 'GO' THEN (SELECT 3 * count(*) FROM part) WHEN 'OMIM' THEN
+  (SELECT count(*) FROM part) ELSE (SELECT count(*) FROM lineitem) END AS raw, count(*) AS edges, count(DISTINCT dst) AS nodes FROM edges GROUP BY 1""")
+def r35_source_counts(spark, d):
+    """What each source has: rows before keys are made unique, edges, and nodes."""
+    part, lines = P.table(spark, d, "part"), P.table(spark, d, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    n = F.countDistinct("l_partkey")
+    pairs = lines.groupBy("l_orderkey").agg((n * (n - 1) / 2).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw"))
+    follow = lines.select("l_partkey", F.lead("l_partkey").over(w).alias("nx")).where("nx <> l_partkey").agg(F.count("*").alias("raw"))
+    rows = lines.agg(F.count("*").alias("raw"))
+    raw = {"PPI": pairs, "TRRUST": follow, "GO": part.agg((F.count("*") * 3).alias("raw")), "OMIM": part.agg(F.count("*").alias("raw"))} | {t: rows for t in ("HPO", "CellMarker", "Reactome", "GTEx", "CORUM")}
+    out = None
+    for t, one in raw.items():
+        own = one.select(F.lit(t).alias("edge_type"), "raw")
+        out = own if out is None else out.unionByName(own)
+    kept = P.edges(spark, d, P.ALL_TYPES).groupBy("edge_type").agg(F.count("*").alias("edges"), F.countDistinct("dst").alias("nodes"))
+    return kept.join(F.broadcast(out), "edge_type")  # a row for each type

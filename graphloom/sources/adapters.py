@@ -83,6 +83,19 @@ def hpo_edges(rows: DataFrame) -> DataFrame:
     return first_of(own, ["src", "dst"], ["pos"]).select("src", "dst", "frequency")
 
 
+def marker_rows(sheet: DataFrame) -> DataFrame:
+    """species, cancer_type, symbol, cell_name, tissue, ontology, pmid, pos of a
+    sheet of cell markers; genes stand under Symbol or, without it, marker, and
+    numbers lose their fraction.  Columns that the sheet lacks are null."""
+    has = {c.lower(): c for c in sheet.columns}
+    own = lambda *names: next((F.trim(F.col(f"`{has[n]}`")) for n in names if n in has), F.lit(None).cast("string"))
+    number = F.regexp_replace(own("pmid"), r"\.0*$", "")
+    return sheet.select(
+        own("species").alias("species"), own("cancer_type").alias("cancer_type"), own("symbol", "marker").alias("symbol"), own("cell_name").alias("cell_name"),
+        own("tissue_type").alias("tissue"), own("cellontology_id").alias("ontology"), number.alias("pmid"), "pos",
+    )
+
+
 def cell_nodes(rows: DataFrame, species: str, cancer: str | None = None) -> DataFrame:
     """Cells of a marker table with the tissue of their first row."""
     own = rows.where((F.col("species") == species) & F.col("cell_name").isNotNull())
