@@ -173,7 +173,7 @@ def ridge(points: DataFrame, features: str, target: str, alpha: float = 1.0):
     return w, float(sy / m - sx @ w / m)
 
 
-def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int = 100):
+def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int = 100, depth: int = 30):
     """Fold metrics of a balanced logistic regression and a random forest.
 
     points: id, label (0/1), emb.  Returns rows of model, fold, auc, ap."""
@@ -189,7 +189,7 @@ def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int
     # every fold reads the rows again: from a written table, not from executors' memory
     data = written(data, "folds").withColumn("features", array_to_vector("emb"))
     out, size = None, max(1, data.count())
-    models = {"logistic": LogisticRegression(labelCol="y", weightCol="weight", maxIter=1000, regParam=1.0 / size, standardization=False), "forest": RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, seed=42)}
+    models = {"logistic": LogisticRegression(labelCol="y", weightCol="weight", maxIter=1000, regParam=1.0 / size, standardization=False), "forest": RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, seed=42, maxDepth=depth)}
     for f in range(k):
         for name, model in models.items():
             test = model.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f))

@@ -246,7 +246,7 @@ def mlp_regression(points: DataFrame, queries: DataFrame, **options) -> DataFram
     return network.predict(network.fit(points, **options), queries)
 
 
-def forest_regression(points: DataFrame, queries: DataFrame, trees: int = 100, seed: int = 42, depth: int = 12) -> DataFrame:
+def forest_regression(points: DataFrame, queries: DataFrame, trees: int = 100, seed: int = 42, depth: int = 30) -> DataFrame:
     """The same by a random forest of Spark's own."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph, history, scoring
 from graphloom.plans import projection as P
 from graphloom.plans.projection import with_sql
+from graphloom.sources.graph_store import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,6 +180,12 @@ scores AS (SELECT * EXCLUDE (raw), round(raw, 9) AS total FROM sc)
 
 
 def scores(spark, d) -> DataFrame:
+    """Scored neighbours, kept like the edges: many queries read them."""
+    files = P._files(d, ["part", "embeddings", *(n for t in P.TYPES for n in P._INPUTS[t])])
+    return kept(spark, "scores", files, lambda: _scores(spark, d))
+
+
+def _scores(spark, d) -> DataFrame:
     e = P.edges(spark, d)
     near = graph.typed_neighbors(e, 10).select("center", "neighbor", "edge_type", "direction")
     emb = P.embeddings(spark, d)
