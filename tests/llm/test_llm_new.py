@@ -463,3 +463,27 @@ def test_token_files_stay_and_any_part_reads_alone(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(tokenfile, "SHARD_BYTES", 100)
     many = tokenfile.write_tokens(table(spark, rows), name)
     assert many.select("shard").distinct().count() > 20 and sorted(tokenfile.read_ids(many, 0, len(flat)).tolist()) == sorted(flat)
+
+
+# ---- 3 neighbours: a table many times the sample
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_of_a_table_eleven_times_the_sample(spark, monkeypatch, clusters):
+    from graphloom.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "SAMPLE", 900)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(10_000, 24))
+    if clusters:
+        x = rng.normal(size=(clusters, 24))[rng.integers(0, clusters, len(x))] * 3 + x * 0.6
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = 0
+    for q in range(0, len(x), 100):
+        s = (x[q] * x).sum(axis=1)
+        s[q] = -np.inf
+        found += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & got[q])
+    assert found / (20 * 100) >= 0.9
