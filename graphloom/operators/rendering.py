@@ -71,15 +71,18 @@ def section_line(name: Column) -> Column:
 
 def sections(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One text for each (center, section): a count and the first lines, by place
-    and then id.  Rows are ranked and cut first; names come to what is left."""
-    w = Window.partitionBy("center", "section")
-    ranked = section_rows(edges).withColumn("r", F.row_number().over(w.orderBy("place", "neighbor"))).withColumn("n", F.count("*").over(w))
+    and then id.  Rows are ranked and cut before the shuffle, counts are combined
+    before theirs, so a hub's edges never meet; names come to what is left."""
+    rows, longest = section_rows(edges), max(10, *(k for _, _, k in SECTIONS.values()))
+    counts = rows.groupBy("center", "section").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("center", "section").orderBy("place", "neighbor"))
+    ranked = rows.withColumn("r", place).where(F.col("r") <= longest)
     most = F.lit(10)
     for name, (_, _, k) in SECTIONS.items():
         most = F.when(F.col("section") == name, k).otherwise(most)
     names = nodes.select(F.col("node_id").alias("neighbor"), "name")
     shown = ranked.where(F.col("r") <= most).join(names, "neighbor", "left").withColumn("line", section_line(F.coalesce("name", "neighbor")))
-    shown = shown.groupBy("center", "section").agg(F.max("n").alias("n"), F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("r", "line"))).alias("rows"))
+    shown = shown.groupBy("center", "section").agg(F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("r", "line"))).alias("rows")).join(counts, ["center", "section"])
     body = F.array_join(F.transform("rows", lambda x: F.concat(F.lit("  "), x["r"].cast("string"), F.lit(". "), x["line"])), "\n")
     head = F.lit("")
     for name, (text, _, _) in SECTIONS.items():

@@ -100,6 +100,35 @@ def condition_features(delta: DataFrame, embeddings: DataFrame) -> DataFrame:
     return y.join(v, F.col("cond") == F.col("name")).select("cond", "x", "y")
 
 
+def condition_means(cells: DataFrame, least: int = 1) -> DataFrame:
+    """cond, gene, m: mean expression in each condition with ``least`` cells or more.
+
+    cells: cond, gene, cell, v (one row for each cell and gene)."""
+    means = cells.groupBy("cond", "gene").agg(F.avg("v").alias("m"))
+    if least <= 1:
+        return means
+    # distinct cells are counted in two steps, so a condition's cells don't meet
+    enough = cells.select("cond", "cell").distinct().groupBy("cond").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    return means.join(enough, "cond", "left_semi")
+
+
+def pseudo_bulk(cells: DataFrame, controls: DataFrame, least: int = 3) -> DataFrame:
+    """cond, gene, delta: what each condition's mean differs by from the control's,
+    for conditions with ``least`` cells; a gene that the control lacks counts as 0 there.
+
+    controls: cond, the conditions that are no perturbation; their mean is that of
+    all their cells together."""
+    named = F.broadcast(controls.select("cond").distinct())  # few names
+    base = cells.join(named, "cond", "left_semi").groupBy("gene").agg(F.avg("v").alias("base"))
+    other = condition_means(cells.join(named, "cond", "left_anti"), least)
+    return other.join(base, "gene", "left").select("cond", "gene", (F.col("m") - F.coalesce("base", F.lit(0.0))).alias("delta"))
+
+
+def perturbation_info(delta: DataFrame) -> DataFrame:
+    """One row: how many conditions there are, and how many genes an answer has."""
+    return delta.agg(F.countDistinct("cond").alias("num_conditions"), F.countDistinct("gene").alias("output_dim"))
+
+
 def pair_genes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("g1").alias("gene")).union(pairs.select("g2")).distinct()
 
@@ -206,6 +235,7 @@ def baseline_text(gene: Column, summary: Column) -> Column:
 
 def clustering_text(m: dict[str, Column]) -> Column:
     """The lines of clustering metrics by name."""
+    # The labels.
     line = lambda label, c, places=4: F.concat(F.lit(f"    - {label}: "), fixed(m[c], places))
     return F.concat_ws(
         "\n", F.lit("Clustering Metrics:"), F.lit("  External (vs true labels):"), line("Adjusted Rand Index", "ari"), line("Normalized Mutual Info", "nmi"), line("V-measure", "v_measure"),
@@ -214,6 +244,8 @@ def clustering_text(m: dict[str, Column]) -> Column:
 
 
 def regression_text(m: dict[str, Column]) -> Column:
+    """The lines of regression metrics by name."""
+    # The labels.
     line = lambda label, c, places: F.concat(F.lit(f"  - {label}: "), fixed(m[c], places))
     std = F.concat(F.lit("    (std: "), fixed(m["delta_correlation_std"], 4), F.lit(")"))
     return F.concat_ws(

@@ -554,6 +554,11 @@ def r169_primary_values(spark, d):
     return PQ._tasks(spark, d).select("task", Po.primary_value(F.when(F.col("auc") > 0.25, F.col("auc")), F.when(F.col("f1") > 0.45, F.col("f1"))).alias("value"))
 
 
+@query(f"SELECT count(DISTINCT cond) AS num_conditions, count(DISTINCT gene) AS output_dim FROM ({SQL['a9_pseudo_bulk_delta']})")
+def r219_perturbation_info(spark, d):
+    return T.perturbation_info(XQ.a9_pseudo_bulk_delta(spark, d))
+
+
 _PAIRS = "SELECT coalesce(sum(n * (n - 1) // 2), 0)::bigint FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey)"
 _NEXT = """SELECT count(*) FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS nx FROM lineitem) WHERE nx <> l_partkey"""
 

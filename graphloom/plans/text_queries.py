@@ -15,6 +15,7 @@ from graphloom.operators import identifiers as I
 from graphloom.operators import rendering as R
 from graphloom.operators import retrieval as V
 from graphloom.operators import sampling as Sa
+from graphloom.operators import tasks as T
 from graphloom.operators.scoring import dot, norm
 from graphloom.plans import projection as P
 from graphloom.plans.projection import with_sql
@@ -697,10 +698,6 @@ def a9_pseudo_bulk_delta(spark, d):
     o = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("cond"))
     p = P.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene"))
     x = lines.join(o, "l_orderkey").join(p, "l_partkey").groupBy("cond", "gene", "l_orderkey").agg(F.sum("l_quantity").cast("double").alias("v"))
-    m = x.groupBy("cond", "gene").agg(F.avg("v").alias("m"))
-    enough = x.groupBy("cond").agg(F.countDistinct("l_orderkey").alias("c")).where("c >= 3").select("cond")
-    first = o.agg(F.min("cond").alias("control"))
-    m = m.crossJoin(F.broadcast(first))  # one row
-    control = m.where("cond = control").select("gene", F.col("m").alias("cm"))
-    return rounded(m.where("cond <> control").join(enough, "cond", "left_semi").join(control, "gene", "left").select("cond", "gene", (F.col("m") - F.coalesce("cm", F.lit(0.0))).alias("delta")), "delta")
+    first = o.agg(F.min("cond").alias("cond"))
+    return rounded(T.pseudo_bulk(x.withColumnRenamed("l_orderkey", "cell"), first), "delta")
 

@@ -275,3 +275,61 @@ def test_four_methods_from_graph_to_metric(spark):
     rows = {r.method: r for r in X.compared_methods(prompts, labels, lambda ps: ps, encode, folds=4).collect()}
     assert {m: r.genes for m, r in rows.items()} == dict.fromkeys(("no_kg", "full_kg", "rule_rag", "true_rag"), 40)
     assert rows["full_kg"].auc > 0.9 and rows["full_kg"].place == 1 and rows["no_kg"].gain == 0.0 and rows["full_kg"].gain > 0.3 and rows["rule_rag"].auc < 0.7
+
+
+def test_fold_metrics_of_a_separate_fit(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 60)
+    df = spark.createDataFrame([(f"p{k:02}", int(t), [float(v) for v in rng.normal(size=3) + t]) for k, t in enumerate(y)], "id string, label int, emb array<double>")
+    got = {r.fold: r for r in E.cross_validated(df, 3, trees=5).where("model = 'logistic'").collect()}
+    assert set(got) == {0, 1, 2}
+    dealt = E.folds(df, 3, "label", "id")
+    assert dealt.groupBy("label", "fold").count().agg((F.max("count") - F.min("count")).alias("d")).first().d <= 11
+    n = {r.label: r["count"] for r in df.groupBy("label").count().collect()}
+    data = dealt.withColumn("features", array_to_vector("emb")).withColumn("y", F.col("label").cast("double")).withColumn("weight", F.when(F.col("label") == 1, 30.0 / n[1]).otherwise(30.0 / n[0]))
+    for f in range(3):
+        model = LogisticRegression(labelCol="y", weightCol="weight", maxIter=1000, regParam=1 / 60, standardization=False).fit(data.where(F.col("fold") != f))
+        rows = [(r.label, round(r.s, 9)) for r in model.transform(data.where(F.col("fold") == f)).select("label", vector_to_array("probability")[1].alias("s")).collect()]
+        pos, neg = [s for t, s in rows if t], [s for t, s in rows if not t]
+        assert got[f].auc == pytest.approx(sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg)))
+        ap = sum(sum(t for t, s in rows if s == c) / len(pos) * sum(t for t, s in rows if s >= c) / sum(1 for _, s in rows if s >= c) for c in {s for _, s in rows})
+        assert got[f].ap == pytest.approx(ap)
+
+
+LOST = """
+import numpy as np
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from graphloom.operators import network
+
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+rng = np.random.default_rng(1)
+x = rng.normal(size=(200, 2))
+df = spark.createDataFrame([(k, [float(v) for v in r], float(r[0] - r[1] ** 2)) for k, r in enumerate(x)], "id long, x array<double>, y double").repartition(2, "id")
+whole, lost = network.written, spark.sparkContext.accumulator(0)
+
+def losing(rows, name):
+    def run(batches):
+        context = TaskContext.get()
+        if context.attemptNumber() == 0 and context.partitionId() == 0:
+            raise RuntimeError("lost")
+        yield from batches
+    return whole(rows, name).mapInArrow(run, rows.schema)
+
+calm = network.fit(df, hidden=8, rounds=3)
+network.written = losing
+assert (network.fit(df, hidden=8, rounds=3).weights == calm.weights).all()
+print("SAME WEIGHTS")
+"""
+
+
+def test_network_after_lost_tasks():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", LOST], capture_output=True, text=True, timeout=300)
+    assert "SAME WEIGHTS" in done.stdout, done.stderr[-2000:]
