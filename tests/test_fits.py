@@ -64,8 +64,10 @@ def test_kmeans_of_odd_rows(spark):
     assert none.count() == 0 and nothing is None and "cluster" in none.columns
 
 
-def test_tree_sum_in_two_steps(spark, monkeypatch):
-    monkeypatch.setattr(partials, "FAN", 4)
+@pytest.mark.parametrize(("fan", "few"), [(4, 2), (64, 2), (64, 30)])
+def test_tree_sum_in_two_steps(spark, monkeypatch, fan, few):
+    monkeypatch.setattr(partials, "FAN", fan)
+    monkeypatch.setattr(partials, "FEW", few)
     df = spark.range(0, 1000, 1, 11).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("emb"))
 
     def kernel(batches):
