@@ -35,6 +35,19 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def variance(values: Column) -> Column:
+    """Population variance of an array, value after value by Welford's update with the
+    new mean.  Spark's var_pop rounds that update otherwise, and thresholds and printed
+    digits show the last bit, so the order of steps is fixed here."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("d"))
+
+    def step(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1.0)
+        return F.struct((a["n"] + 1.0).alias("n"), mean.alias("mean"), (a["d"] + (x - mean) * (x - a["mean"])).alias("d"))
+
+    return F.aggregate(values, start, step, lambda a: F.when(a["n"] > 0, a["d"] / F.greatest(a["n"], F.lit(1.0))))
+
+
 def absolute_reward(metric: Column) -> Column:
     linear = metric * 2 - 1
     return F.when(metric > 0.8, F.least(F.lit(1.0), linear + (metric - 0.8) * (metric - 0.8) * 5)).otherwise(clip(linear, -1.0, 1.0))
@@ -54,7 +67,7 @@ def gated_rewards(history: DataFrame) -> DataFrame:
     three = by().rowsBetween(-3, -1)  # the last three before this one
     delta, threshold = F.col("metric") - F.col("previous"), F.greatest(F.col("previous"), F.lit(0.01)) * PLATEAU_SHARE
     small = (F.col("n") >= 2) & (F.abs(delta) < threshold)
-    h = h.withColumn("std", F.stddev_pop("metric").over(three)).withColumn("delta", delta).withColumn("thr", threshold)
+    h = h.withColumn("std", F.sqrt(variance(F.collect_list("metric").over(three)))).withColumn("delta", delta).withColumn("thr", threshold)
     h = h.withColumn("inc", F.when(small & (F.col("std") < F.col("thr") * 1.5), 1).otherwise(0))
     reset = F.when(F.col("n") == 0, 1).when(small, 1 - F.col("inc")).when(F.col("improved"), 1).otherwise(0)
     h = h.withColumn("island", F.sum(reset).over(by().rowsBetween(Window.unboundedPreceding, 0)))
@@ -98,7 +111,7 @@ def trends(history: DataFrame) -> DataFrame:
     w = last(3)
     # least squares over places 0, 1, 2 of a window
     slope = (F.col("metric") - F.lag("metric", 2).over(by())) / 2.0
-    h = h.withColumn("slope", slope).withColumn("var", F.var_pop("metric").over(w)).withColumn("top", F.max("metric").over(w))
+    h = h.withColumn("slope", slope).withColumn("var", variance(F.collect_list("metric").over(w))).withColumn("top", F.max("metric").over(w))
     enough = F.col("n") >= 3
     direction = F.when(~enough, "unknown").when(F.col("var") < FLAT, "plateau").when(F.col("slope") > STEEP, "improving").when(F.col("slope") < -STEEP, "declining").otherwise("plateau")
     strength = F.when(~enough, 0.0).when(F.col("var") < FLAT, 1 - F.col("var") / FLAT).when(F.abs("slope") > STEEP, F.least(F.lit(1.0), F.abs("slope") / (STEEP * 5))).otherwise(0.5)
@@ -201,7 +214,7 @@ def critic_values(history: DataFrame, direction: DataFrame) -> DataFrame:
     decline = (F.col("metric") <= F.lag("metric", 1).over(by())) & (F.lag("metric", 1).over(by()) <= F.lag("metric", 2).over(by()))
     trend = F.when(F.coalesce(decline, F.lit(False)), "declining").otherwise(F.col("direction"))
     h = h.withColumn("trend", trend).withColumn("best", F.max("metric").over(by().rowsBetween(Window.unboundedPreceding, 0)))
-    mean, std, n = F.avg("metric").over(last(5)), F.stddev_pop("metric").over(last(5)), F.row_number().over(by())
+    mean, std, n = F.avg("metric").over(last(5)), F.sqrt(variance(F.collect_list("metric").over(last(5)))), F.row_number().over(by())
     h = h.withColumn("mean", mean).withColumn("std", std).withColumn("n", n)
     consistency = F.when((F.col("n") >= 3) & (F.col("mean") > 1e-8), 1 - F.least(F.lit(1.0), F.col("std") / F.greatest("mean", F.lit(1e-8)) * 2)).otherwise(0.5)
     value = F.lit(TREND_VALUES["unknown"])
