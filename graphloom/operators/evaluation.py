@@ -173,6 +173,10 @@ def ridge(points: DataFrame, features: str, target: str, alpha: float = 1.0):
     return w, float(sy / m - sx @ w / m)
 
 
+#: Rows of a task that fits a forest or a regression.
+FIT_ROWS = 4096
+
+
 def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int = 100, depth: int = 30):
     """Fold metrics of a balanced logistic regression and a random forest.
 
@@ -187,13 +191,18 @@ def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int
     weights = n.select("label", (total / (F.lit(2) * F.col("_c"))).alias("weight"))
     data = folds(points, k, "label", "id", seed).join(F.broadcast(weights), "label").select("id", F.col("label").cast("double").alias("y"), "fold", "weight", "emb")
     # every fold reads the rows again: from a written table, not from executors' memory
+    size = max(1, points.count())
+    data = data.repartition(-(-size // FIT_ROWS), "id").sortWithinPartitions("id")
     data = written(data, "folds").withColumn("features", array_to_vector("emb"))
-    out, size = None, max(1, data.count())
-    models = {"logistic": LogisticRegression(labelCol="y", weightCol="weight", maxIter=1000, regParam=1.0 / size, standardization=False), "forest": RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, seed=42, maxDepth=depth)}
+    out = None
+    # rows keep the node they have reached in each tree: without that, every level ships the
+    # trees so far to all tasks and sends each row through them again
+    models = {"logistic": LogisticRegression(labelCol="y", weightCol="weight", maxIter=1000, regParam=1.0 / size, standardization=False), "forest": RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, seed=42, maxDepth=depth, cacheNodeIds=True)}
     for f in range(k):
         for name, model in models.items():
             test = model.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f))
             s = test.select(F.lit(name).alias("model"), F.lit(f).cast("long").alias("fold"), F.round(vector_to_array("probability")[1], 9).alias("score"), "y")
+            s = written(s, "scored")  # so that one fold's model is held at a time
             out = s if out is None else out.unionByName(s)
     return areas(out, ["model", "fold"])
 

@@ -279,11 +279,12 @@ def mlp_regression(points: DataFrame, queries: DataFrame, **options) -> DataFram
 
 
 def forest_regression(points: DataFrame, queries: DataFrame, trees: int = 100, seed: int = 42, depth: int = 30) -> DataFrame:
-    """The same by a random forest of Spark's own."""
+    """The same by a random forest of Spark's own; rows keep the node they have
+    reached in each tree, so no level ships the trees so far."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
-    forest = RandomForestRegressor(featuresCol="_v", labelCol="y", predictionCol="predicted", numTrees=trees, seed=seed, maxDepth=depth)
+    forest = RandomForestRegressor(featuresCol="_v", labelCol="y", predictionCol="predicted", numTrees=trees, seed=seed, maxDepth=depth, cacheNodeIds=True)
     model = forest.fit(points.withColumn("_v", array_to_vector("x")))
     return model.transform(queries.withColumn("_v", array_to_vector("x"))).select("id", "predicted")
 
