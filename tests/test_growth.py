@@ -18,3 +18,11 @@ def test_a_hub_is_ranked_once_not_for_each_centre(spark):
     assert not re.search(r"windowspecdefinition\(center#\d+, node#\d+", plan(out))
     got = out.where("center = 'g0' AND hop = 2").select("node").orderBy("node").collect()
     assert [r.node for r in got] == [f"g{i}" for i in range(30, 40)]
+
+
+def test_texts_to_encode_are_dealt_by_number(spark, monkeypatch):
+    from graphloom.operators import experiments as X
+
+    monkeypatch.setattr(X, "CALL_ROWS", 10)
+    own = X.spread(spark.range(95).selectExpr("id", "'t' AS text"), "id")
+    assert own.rdd.getNumPartitions() == 10 and own.count() == 95
