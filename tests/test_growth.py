@@ -26,3 +26,12 @@ def test_texts_to_encode_are_dealt_by_number(spark, monkeypatch):
     monkeypatch.setattr(X, "CALL_ROWS", 10)
     own = X.spread(spark.range(95).selectExpr("id", "'t' AS text"), "id")
     assert own.rdd.getNumPartitions() == 10 and own.count() == 95
+
+
+def test_vectors_travel_as_stored(spark):
+    from graphloom.plans.queries import QUERIES
+    from graphloom.plans import catalogue  # noqa: F401
+
+    lines = plan(QUERIES["j6_pair_features"](spark, "/root/testdata/sf0.001")).splitlines()
+    join = next(k for k, line in enumerate(lines) if "Join" in line)
+    assert not any("transform(" in line for line in lines[join:])
