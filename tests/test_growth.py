@@ -35,3 +35,40 @@ def test_vectors_travel_as_stored(spark):
     lines = plan(QUERIES["j6_pair_features"](spark, "/root/testdata/sf0.001")).splitlines()
     join = next(k for k, line in enumerate(lines) if "Join" in line)
     assert not any("transform(" in line for line in lines[join:])
+
+
+def test_a_source_s_edges_past_its_best_are_not_ranked_again(spark):
+    rows = [("a", f"n{i}", "PPI", 1 - i / 100, None, i + 1) for i in range(9)] + [("a", f"n{i}", "TRRUST", None, None, i + 1) for i in range(9)] + [("a", "t", "GO", None, None, None)]
+    e = spark.createDataFrame(rows, "src string, dst string, edge_type string, score double, evidence string, place int")
+    got = {(r.center, r.neighbor, r.edge_type) for r in G.incident(e, best=5).collect()}
+    out = {("a", f"n{i}", t) for i in range(5) for t in ("PPI", "TRRUST")} | {("a", "t", "GO")}
+    assert got == out | {(f"n{i}", "a", "PPI") for i in range(9)}
+    near = lambda df: sorted(map(tuple, G.typed_neighbors(df, 5).collect()), key=repr)
+    assert near(e) == near(e.drop("place"))
+
+
+def test_places_are_ranks_among_a_source_s_edges(spark):
+    from graphloom.plans import projection as P
+
+    for t in ("PPI", "TRRUST"):
+        e = P.edges(spark, "/root/testdata/sf0.001", (t,), places=True)
+        w = F.row_number().over(G.Window.partitionBy("src").orderBy(F.coalesce("score", F.lit(0.0)).desc(), "dst"))
+        assert e.count() and e.withColumn("r", w).where("place IS NULL OR place <> r").count() == 0
+
+
+def test_rows_of_a_hub_are_dealt_over_tasks(spark):
+    rows = spark.createDataFrame([(f"c{i}", "hub") for i in range(400)] + [("c1", "x"), ("c2", None), ("c3", "lost")], "center string, neighbor string")
+    facts = spark.createDataFrame([("hub", 7), ("x", 8), ("y", 9)], "neighbor string, v int")
+    counts = rows.groupBy("neighbor").agg(F.count("*").alias("n"))
+    out = G.looked_up(rows, facts, "neighbor", "center", counts)
+    assert out.where("neighbor = 'hub'").select(F.spark_partition_id()).distinct().count() > 1
+    want = rows.join(facts, "neighbor", "left").select("center", "neighbor", "v")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_nothing_is_sorted_below_the_shuffle_of_neighbourhoods(spark):
+    from graphloom.plans import projection as P
+
+    near = G.typed_neighbors(P.edges(spark, "/root/testdata/sf0.001"), 10)
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in text[text.index("Exchange") :]
