@@ -5,6 +5,8 @@ A scored table has y (0/1), score; a clustered one has truth, cluster.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,7 +143,6 @@ def ridge(points: DataFrame, features: str, target: str, alpha: float = 1.0):
 
     Each partition adds up its Gram matrix, a row a key; these are summed in a
     tree (``partials``), and the driver solves width x width equations."""
-    import numpy as np
 
     from graphloom.operators.partials import collected, tree_sum, vectors
 
@@ -207,40 +208,70 @@ def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int
     return areas(out, ["model", "fold"])
 
 
-SILHOUETTE_BLOCK = 2048
+#: Points of a block: a cell holds two, and distances of a slice of one to the other.
+SILHOUETTE_BLOCK, SILHOUETTE_SLICE = 16384, 128
 
 
 def silhouette(points: DataFrame, label: str, emb: str) -> DataFrame:
     """Mean Euclidean silhouette of all points, exactly.
 
     Points are dealt to blocks; each pair of blocks is one task's bounded
-    distance matrix, of which only sums by point and class leave the task, so
-    no pair of points is ever a row.  The work is quadratic, as the measure is."""
-    import numpy as np
-    import pyarrow as pa
-
-    blocks = max(1, -(-points.count() // SILHOUETTE_BLOCK))
+    distances, taken once for both, of which only sums by point and class leave
+    the task, so no pair of points is ever a row.  The work is quadratic, as the
+    measure is; a point travels once for each block."""
+    n = points.count()
+    # small sets in blocks enough for their tasks
+    blocks = max(1, -(-n // SILHOUETTE_BLOCK), min(12, -(-n // 1024)))
     own = points.select("id", F.col(label).cast("string").alias("label"), F.col(emb).alias("emb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("home"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = own.select("id", "label", F.col("emb").alias("a"), F.col("home").alias("i"), every.alias("j"))
-    right = own.select(F.col("id").alias("other"), F.col("label").alias("to"), F.col("emb").alias("b"), every.alias("i"), F.col("home").alias("j"))
+    left = own.select("id", "label", "emb", F.col("home").alias("i"), F.explode(F.sequence(F.col("home"), F.lit(blocks - 1))).alias("j"))
+    right = own.where("home > 0").select("id", "label", "emb", F.explode(F.sequence(F.lit(0), F.col("home") - 1)).alias("i"), F.col("home").alias("j"))
+    kind = pa.schema([("id", pa.string()), ("label", pa.string()), ("to", pa.string()), ("s", pa.float64()), ("n", pa.int64())])
+
+    def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Euclidean distances of all rows of x to all of y, by one product of matrices;
+        those that it would blur, of close rows, by their differences."""
+        a, b = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[None]
+        d = np.maximum(a + b - 2 * (x @ y.T), 0.0)
+        close = d < 1e-6 * (a + b)
+        for k in np.flatnonzero(close.any(axis=1)):
+            at = np.flatnonzero(close[k])
+            d[k, at] = ((y[at] - x[k]) ** 2).sum(axis=1)
+        return np.sqrt(d)
+
+    def by_class(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, labels and vectors in the order of labels, and where each label begins."""
+        names = np.array(t.column("label").to_pylist())
+        order = np.argsort(names, kind="stable")
+        flat = t.column("emb").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return np.array(t.column("id").to_pylist())[order], names[order], flat.reshape(len(t), -1)[order], np.unique(names[order], return_index=True)[1]
 
     def sums(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not len(x) or not len(y):
-            return pa.table({"id": pa.array([], pa.string()), "label": pa.array([], pa.string()), "to": pa.array([], pa.string()), "s": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-        p, q = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((x, "a"), (y, "b")))
-        ids, names = x.column("id").to_pylist(), y.column("other").to_pylist()
-        classes, code = np.unique(np.array(y.column("to").to_pylist()), return_inverse=True)
-        at, out = {n: k for k, n in enumerate(names)}, []
-        for k, one in enumerate(p):
-            d = np.sqrt(((q - one) ** 2).sum(axis=1))
-            n = np.bincount(code, minlength=len(classes))
-            if ids[k] in at:
-                d[at[ids[k]]], n = 0.0, n - (np.arange(len(classes)) == code[at[ids[k]]])
-            out += [(ids[k], classes[c], s, int(n[c])) for c, s in enumerate(np.bincount(code, d, len(classes))) if n[c]]
-        label_of = dict(zip(ids, x.column("label").to_pylist(), strict=True))
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table({"id": pa.array(cols[0], pa.string()), "label": pa.array([label_of[i] for i in cols[0]], pa.string()), "to": pa.array([str(c) for c in cols[1]], pa.string()), "s": pa.array(cols[2], pa.float64()), "n": pa.array(cols[3], pa.int64())})
+        if not len(x) or not (len(y) or x.column("i")[0].as_py() == x.column("j")[0].as_py()):
+            return kind.empty_table()
+        same = not len(y)
+        xs, out = by_class(x), []
+        ys = xs if same else by_class(y)
+        center = ys[2].mean(axis=0)
+        p, q = xs[2] - center, ys[2] - center
+        back = np.zeros((len(xs[3]), len(q)))
+        for lo in range(0, len(p), SILHOUETTE_SLICE):
+            d = distances(p[lo : lo + SILHOUETTE_SLICE], q)
+            if same:
+                d[np.arange(len(d)), lo + np.arange(len(d))] = 0.0
+            else:
+                place = np.searchsorted(xs[3], lo + np.arange(len(d)), side="right") - 1
+                first = np.flatnonzero(np.diff(place, prepend=-1))
+                back[place[first]] += np.add.reduceat(d, first, axis=0)
+            out.append(np.add.reduceat(d, ys[3], axis=1))
+        ends = [(xs, ys, np.concatenate(out))] + ([] if same else [(ys, xs, back.T)])
+        tables = []
+        for a, b, total in ends:
+            to, each = b[1][b[3]], np.diff(np.append(b[3], len(b[1])))
+            count = np.broadcast_to(each, total.shape) - (same & (a[1][:, None] == to[None]))
+            met = count > 0
+            r, c = np.nonzero(met)
+            tables.append(pa.Table.from_arrays([pa.array(a[0][r], pa.string()), pa.array(a[1][r], pa.string()), pa.array(to[c], pa.string()), pa.array(total[met]), pa.array(count[met].astype(np.int64))], schema=kind))
+        return pa.concat_tables(tables)
 
     parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(sums, "id string, label string, to string, s double, n long")
     mean = parts.groupBy("id", "label", "to").agg((F.sum("s") / F.sum("n")).alias("m"))

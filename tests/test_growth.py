@@ -72,3 +72,25 @@ def test_nothing_is_sorted_below_the_shuffle_of_neighbourhoods(spark):
     near = G.typed_neighbors(P.edges(spark, "/root/testdata/sf0.001"), 10)
     text = near._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in text[text.index("Exchange") :]
+
+
+def test_silhouette_in_blocks_equals_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from graphloom.operators import evaluation as E
+
+    monkeypatch.setattr(E, "SILHOUETTE_BLOCK", 40)
+    monkeypatch.setattr(E, "SILHOUETTE_SLICE", 7)
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(0, 1, (150, 3)) + 1000, rng.integers(0, 3, 150)
+    x[10:30] = x[10]  # copies
+    label[0] = 9  # a class of one
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    of = lambda k, c: d[k, (label == c) & (np.arange(150) != k)]
+    s = []
+    for k in range(150):
+        a, b = of(k, label[k]), min(of(k, c).mean() for c in set(label) - {label[k]})
+        s.append((b - a.mean()) / max(a.mean(), b) if len(a) else 0.0)
+    df = spark.createDataFrame([(f"P{k}", int(label[k]), x[k].tolist()) for k in range(150)], "id string, label int, emb array<double>")
+    got = E.silhouette(df, "label", "emb")
+    assert abs(got.first().silhouette - np.mean(s)) < 1e-9
