@@ -10,10 +10,11 @@ between the classes, the rest at random from a fixed seed.  Since a filter is
 linear before the maximum, its response is the sum of one table entry for each
 word it covers, so a text costs a few gathers a word.
 
-The logit is shifted by a threshold for the text's language, chosen on a tenth of
-the sampled documents, so that 0.5 is each language's best cut.  These are set aside
-first: their labels touch neither the log-odds, nor which buckets have an embedding,
-nor any weight.  The language is predicted from the text alone (``langid``).
+The logit is shifted by a threshold for the text's language, so that 0.5 is each
+language's best cut.  ``scored`` chooses it from counts of all labelled documents
+that were not learned from; ``fit`` alone, for later texts, from a tenth of the sample.
+These are set aside first: their labels touch neither the log-odds, nor which buckets
+have an embedding, nor any weight.  The language is predicted from the text alone (``langid``).
 
 The fit takes a bounded sample: of each class the labelled documents with the
 smallest hashes of doc_id until ``PER_CLASS`` documents or ``CHARS`` characters are
@@ -34,7 +35,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid
-from graphloom.llm.common import slices
+from graphloom.llm.common import slices, staged
 
 PER_CLASS, CHARS, LONGEST = 3_000, 16 << 20, 1 << 18
 MIN_DOCS = 3
@@ -81,6 +82,7 @@ class Net:
     prior: float
     shift: dict[str, float]
     languages: langid.Model
+    learned: list[int] = field(default_factory=list)  # places, in ``fit`` ids, of the documents learned from
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -178,6 +180,7 @@ def train(docs: list[np.ndarray], found: list[str], labels: list[int], languages
     net.out = np.append(rng.normal(0.2, 0.1, total), -0.5)
     ids = [net.rows_of(d) for d in docs]
     _optimise(net, [ids[k] for k in learn], y[learn], rng)
+    net.learned = learn.tolist()
     net.shift = _thresholds(net, [found[k] for k in held], [ids[k] for k in held], y[held])
     return net
 
@@ -277,7 +280,68 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic")
     ids = rows.column("ids").combine_chunks()
     at = ids.offsets.to_numpy()
     flat = ids.values.to_numpy(zero_copy_only=False).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-    return train([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], rows.column("lang").to_pylist(), rows.column("y").to_pylist(), languages)
+    net = train([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], rows.column("lang").to_pylist(), rows.column("y").to_pylist(), languages)
+    net.learned = rows.column("doc_id").take(pa.array(net.learned, pa.int64())).to_pylist()
+    return net
+
+
+#: Logits are counted in steps of this for thresholds, and held to +-50.
+STEP = 1 / 256
+
+
+def thresholds(raw: DataFrame, marked: DataFrame, learned: list[int]) -> dict[str, float]:
+    """The logit that best splits each language's labelled documents ("" for all),
+    from counts of all that were not learned from.
+
+    raw: doc_id, logit, lang_pred; marked: doc_id, _y.  The driver gets counts by
+    language, class and step of the logit, whose number doesn't follow the rows."""
+    known = raw.sparkSession.createDataFrame([(x,) for x in learned], "doc_id long")
+    own = raw.join(marked, "doc_id").join(F.broadcast(known), "doc_id", "left_anti")  # PER_CLASS ids of a class at most
+    step = F.round(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("logit"))) / STEP).cast("int")
+    seen = own.groupBy("lang_pred", step.alias("z")).agg(F.sum(F.col("_y").cast("long")).alias("p"), F.count("*").alias("n")).toArrow()
+    lang, z = np.array(seen.column("lang_pred").to_pylist()), seen.column("z").to_numpy()
+    pos = seen.column("p").to_numpy()
+    neg, out = seen.column("n").to_numpy() - pos, {}
+    for name in ["", *sorted(set(lang.tolist()))]:
+        at = np.ones(len(z), bool) if not name else lang == name
+        steps, place = np.unique(z[at], return_inverse=True)
+        p, n = np.bincount(place, pos[at]), np.bincount(place, neg[at])
+        if p.sum() + n.sum() < LEAST or not p.sum() or not n.sum():
+            continue
+        # right answers with a cut below each step, in either class evenly
+        right = np.concatenate([[0], np.cumsum(n / n.sum())]) + np.concatenate([np.cumsum((p / p.sum())[::-1])[::-1], [0]])
+        edges = np.concatenate([[steps[0] - 1 / STEP], (steps[1:] + steps[:-1]) / 2, [steps[-1] + 1 / STEP]]) * STEP
+        good = np.flatnonzero(right >= right.max() - 1e-9)
+        out[str(name)] = float((edges[good[0]] + edges[good[-1]]) / 2)
+    return out
+
+
+def scored(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic") -> DataFrame:
+    """doc_id, score, lang_pred of every document, with a net learned from a sample
+    and thresholds from all other labelled documents where ``learn`` holds.
+
+    Every document goes through the net once: its logit is written, and thresholds
+    come from the written ones."""
+    net = fit(docs, labels, learn, label)
+    if not len(net.out):  # one class, or no label
+        return score(docs, net)
+    marked = labels.where(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y")).distinct()
+    net.shift = {}  # scores without thresholds are logits through a sigmoid
+    held = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            own = batch.column(1).to_pylist()
+            z = held.value.logits([held.value.ids(t) for t in own])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(z, pa.float64()), pa.array(held.value.languages.predict(own)[0], pa.string())], names=["doc_id", "logit", "lang_pred"])
+
+    raw = staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, logit double, lang_pred string"), "logits")
+    shift = thresholds(raw, marked, net.learned)
+    cut = F.lit(shift.pop("", 0.0))
+    for name, x in shift.items():
+        cut = F.when(F.col("lang_pred") == name, F.lit(x)).otherwise(cut)
+    z = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("logit") - cut))
+    return raw.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"), "lang_pred")
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:

@@ -487,3 +487,17 @@ def test_recall_of_a_table_eleven_times_the_sample(spark, monkeypatch, clusters)
         s[q] = -np.inf
         found += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & got[q])
     assert found / (20 * 100) >= 0.9
+
+
+def test_toxicity_thresholds_count_every_labelled_document(spark):
+    from graphloom.llm import toxicity
+
+    rows = [(k, k / 100, "en") for k in range(300)] + [(1000 + k, k / 10 - 5, "de") for k in range(50)]
+    marks = [(k, int(k >= 200)) for k in range(300)] + [(1000 + k, int(k >= 20)) for k in range(50)]
+    raw, marked = spark.createDataFrame(rows, "doc_id long, logit double, lang_pred string"), spark.createDataFrame(marks, "doc_id long, _y int")
+    got = toxicity.thresholds(raw, marked, [])
+    assert got["en"] == pytest.approx(1.995, abs=0.01) and got["de"] == pytest.approx(-3.05, abs=0.01) and set(got) == {"", "en", "de"}
+    # those learned from set nothing
+    assert set(toxicity.thresholds(raw, marked, [1000 + k for k in range(11)])) == {"", "en"}
+    shifted = marked.withColumn("_y", F.when(F.col("doc_id") == 199, 1).otherwise(F.col("_y")))
+    assert toxicity.thresholds(raw, shifted, [])["en"] == pytest.approx(1.985, abs=0.01)
