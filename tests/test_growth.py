@@ -94,3 +94,20 @@ def test_silhouette_in_blocks_equals_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(f"P{k}", int(label[k]), x[k].tolist()) for k in range(150)], "id string, label int, emb array<double>")
     got = E.silhouette(df, "label", "emb")
     assert abs(got.first().silhouette - np.mean(s)) < 1e-9
+
+
+def test_tasks_have_a_bound_whatever_the_shuffle_partitions(spark, monkeypatch):
+    from graphloom.sources import graph_store as S
+
+    monkeypatch.setattr(S, "TASK_ROWS", 5)
+    monkeypatch.setattr(S, "MOST_ROWS", 10)
+    assert S.dealt(spark.range(95), 95, "id").rdd.getNumPartitions() == 10
+    assert S.dealt(spark.range(8), 8, "id").rdd.getNumPartitions() <= 4 and S.dealt(spark.range(95), None, "id").rdd.getNumPartitions() == 4
+
+
+def test_cells_are_placed_among_a_source_s_edges(spark):
+    from graphloom.plans import projection as P
+
+    e = P.edges(spark, "/root/testdata/sf0.001", ("CellMarker",), places=True)
+    w = F.row_number().over(G.Window.partitionBy("src").orderBy("dst"))
+    assert e.count() and e.withColumn("r", w).where("place IS NULL OR place <> r").count() == 0
