@@ -111,3 +111,14 @@ def test_cells_are_placed_among_a_source_s_edges(spark):
     e = P.edges(spark, "/root/testdata/sf0.001", ("CellMarker",), places=True)
     w = F.row_number().over(G.Window.partitionBy("src").orderBy("dst"))
     assert e.count() and e.withColumn("r", w).where("place IS NULL OR place <> r").count() == 0
+
+
+def test_scores_tell_of_all_edges(spark):
+    rows = [("c", "n", "PPI", "in"), ("c", "n", "PPI", "out"), ("c", "n", "TRRUST", "out"), ("c", "m", "GO", "out"), ("d", "n", "PPI", "in")]
+    near = spark.createDataFrame(rows, "center string, neighbor string, edge_type string, direction string")
+    deg = spark.createDataFrame([("n", 3)], "node string, degree long")
+    nodes = spark.createDataFrame([("n", "gene")], "node_id string, node_label string")
+    emb = spark.createDataFrame([], "id string, emb array<double>")
+    s = C.score_neighbors(near, deg, nodes, None, emb, None)
+    assert sorted(tuple(r) for r in s.select("center", "neighbor", "edge_type", "direction").collect()) == [("c", "m", "GO", "out"), ("c", "n", "TRRUST", "out"), ("d", "n", "PPI", "in")]
+    assert sorted(map(tuple, C.edges_of(s, tuple(C.IMPORTANCE)).collect())) == sorted(rows)
