@@ -122,3 +122,10 @@ def test_scores_tell_of_all_edges(spark):
     s = C.score_neighbors(near, deg, nodes, None, emb, None)
     assert sorted(tuple(r) for r in s.select("center", "neighbor", "edge_type", "direction").collect()) == [("c", "m", "GO", "out"), ("c", "n", "TRRUST", "out"), ("d", "n", "PPI", "in")]
     assert sorted(map(tuple, C.edges_of(s, tuple(C.IMPORTANCE)).collect())) == sorted(rows)
+
+
+def test_selected_subgraphs_read_scores_alone(spark):
+    from graphloom.plans import catalogue
+
+    text = plan(catalogue.QUERIES["g6_selected_subgraph"](spark, "/root/testdata/sf0.001"))
+    assert "Join" not in text and text.count("Relation") == 1
