@@ -129,3 +129,30 @@ def test_selected_subgraphs_read_scores_alone(spark):
 
     text = plan(catalogue.QUERIES["g6_selected_subgraph"](spark, "/root/testdata/sf0.001"))
     assert "Join" not in text and text.count("Relation") == 1
+
+
+def test_draws_are_hashed_once_and_equal_the_fold(spark):
+    from graphloom.operators import sampling as Sa
+
+    t = Sa.drawn(5, 200, 4, "42", spark).where("x < 100")
+    assert plan(t).count("md5(") == Sa.FEISTEL
+    fold = spark.range(5, 200).select(F.col("id").alias("draw"), Sa.permuted(F.col("id"), 4, "42").alias("x")).where("x < 100")
+    assert sorted(map(tuple, t.collect())) == sorted(map(tuple, fold.collect()))
+
+
+def test_the_nth_least_is_found_by_counts(spark):
+    from graphloom.operators import sampling as Sa
+
+    rows = spark.createDataFrame([(x,) for x in range(7, 5_000_000, 49_999)], "x long")
+    assert [Sa.nth_least(rows, "x", n, 5_000_000) for n in (1, 2, 57, 100)] == [7, 50_006, 7 + 56 * 49_999, 7 + 99 * 49_999]
+
+
+def test_negative_pairs_are_numbers_until_the_sample_is_known(spark):
+    from graphloom.operators import sampling as Sa
+
+    genes = spark.createDataFrame([(f"g{k}",) for k in range(30)], "gene string")
+    known = spark.createDataFrame([("g1", "g2"), ("g2", "g1"), ("g3", "g3"), ("g4", "zz"), ("g5", "g6"), ("g9", "g7")], "g1 string, g2 string")
+    out = Sa.negative_pairs(genes, known, 20.0)
+    assert "Window" not in plan(out)
+    got = {(r.g1, r.g2) for r in out.collect()}
+    assert len(got) == out.count() == 60 and not got & {("g1", "g2"), ("g5", "g6"), ("g7", "g9")} and all(a < b for a, b in got)
