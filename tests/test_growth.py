@@ -156,3 +156,55 @@ def test_negative_pairs_are_numbers_until_the_sample_is_known(spark):
     assert "Window" not in plan(out)
     got = {(r.g1, r.g2) for r in out.collect()}
     assert len(got) == out.count() == 60 and not got & {("g1", "g2"), ("g5", "g6"), ("g7", "g9")} and all(a < b for a, b in got)
+
+
+def test_a_vector_s_length_is_taken_once(spark):
+    from graphloom.operators import retrieval as V
+
+    df = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", None)], "id string, emb array<double>")
+    out = V.normalised(df)
+    assert "/ greatest(aggregate" not in plan(out)
+    assert [r.emb for r in out.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
+def test_nearest_rows_equal_those_of_all_products():
+    import numpy as np
+
+    from graphloom.operators import retrieval as V
+
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=(3000, 8)), rng.integers(-2, 3, (3000, 8)).astype(float), 1000 + 1e-9 * rng.normal(size=(700, 8)), np.ones((50, 8)), 1e25 * rng.normal(size=(90, 8))):
+        q = np.concatenate([rng.normal(size=(20, 8)), x[:5], np.zeros((1, 8))])
+        for k in (1, 7, 49, 5000):
+            of, row, score = V.nearest(q, x, x.astype(np.float32), float(np.sqrt((x * x).sum(axis=1).max())), k)
+            s = np.round(np.einsum("ij,kj->ik", q, x), 9)
+            least = np.sort(s, axis=1)[:, -k][:, None] if k < len(x) else -np.inf
+            want = s >= (least - 1e-9 * (1 + abs(least)) if k < len(x) else least)
+            assert np.allclose(score, s[of, row], rtol=1e-12, atol=1e-9) and want[of, row].all()
+            assert (np.bincount(of, minlength=len(q)) >= min(k, len(x))).all()
+
+
+def test_large_indexes_come_in_few_cells(spark, monkeypatch):
+    from graphloom.operators import retrieval as V
+
+    cells, made = spark.sparkContext.accumulator(0), V._cell
+
+    def counting(*a):
+        run = made(*a)
+
+        def counted(left, right):
+            cells.add(1)
+            return run(left, right)
+
+        return counted
+
+    monkeypatch.setattr(V, "_cell", counting)
+    monkeypatch.setattr(V, "LARGEST_BLOCK", 200)
+    monkeypatch.setattr(V, "INDEX_BLOCK", 20)
+    index = spark.range(1000).selectExpr("concat('i', id) AS id", "array(double(id % 7), double(id % 11)) AS emb")
+    queries = spark.createDataFrame([("q", [1.0, 0.5]), ("r", [0.0, 1.0])], "query_id string, q_emb array<double>")
+    out = V.top_k(queries, index, 5)
+    got = [(r.query_id, r.id) for r in out.orderBy("query_id", "rank").collect()]
+    of = lambda a, b: [f"i{k}" for _, _, k in sorted((-(a * (k % 7) + b * (k % 11)), f"i{k}", k) for k in range(1000))[:5]]
+    assert got == [("q", i) for i in of(1.0, 0.5)] + [("r", i) for i in of(0.0, 1.0)]
+    assert 5 <= cells.value <= 8
