@@ -5,6 +5,7 @@ are inner, so rows without a vector are left out, as counts of them show."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -279,12 +280,19 @@ def mlp_regression(points: DataFrame, queries: DataFrame, **options) -> DataFram
 
 
 def forest_regression(points: DataFrame, queries: DataFrame, trees: int = 100, seed: int = 42, depth: int = 30) -> DataFrame:
-    """The same by a random forest of Spark's own; rows keep the node they have
-    reached in each tree, so no level ships the trees so far."""
+    """The same by a random forest, a third of the features at a node: grown on executors
+    (``operators.forest``), or where a task can't hold the rows' bins by Spark's own, where rows keep the
+    node they have reached in each tree, so no level ships the trees so far."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
+    from graphloom.operators import forest as own
+
     forest = RandomForestRegressor(featuresCol="_v", labelCol="y", predictionCol="predicted", numTrees=trees, seed=seed, maxDepth=depth, cacheNodeIds=True)
+    both = points.where("y IS NOT NULL").select("id", F.lit(-1).alias("fold"), F.col("y").cast("double").alias("y"), F.lit(1.0).alias("weight"), "x").unionByName(queries.select("id", F.lit(0).alias("fold"), F.lit(0.0).alias("y"), F.lit(1.0).alias("weight"), "x"))
+    if own.fits(both, "x"):
+        third = lambda width: math.ceil(width / 3)
+        return own.held_out(both, [0], forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed(), third).select("id", "predicted")
     model = forest.fit(points.withColumn("_v", array_to_vector("x")))
     return model.transform(queries.withColumn("_v", array_to_vector("x"))).select("id", "predicted")
 
