@@ -5,6 +5,8 @@ A scored table has y (0/1), score; a clustered one has truth, cluster.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -185,6 +187,7 @@ def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    from graphloom.operators import forest
     from graphloom.sources.graph_store import written
 
     n = points.groupBy("label").agg(F.count("*").alias("_c"))
@@ -195,10 +198,14 @@ def cross_validated(points: DataFrame, k: int = 5, seed: str = "42", trees: int
     size = max(1, points.count())
     data = data.repartition(-(-size // FIT_ROWS), "id").sortWithinPartitions("id")
     data = written(data, "folds").withColumn("features", array_to_vector("emb"))
-    out = None
+    out, on_executors = None, forest.fits(data, "emb")
     # rows keep the node they have reached in each tree: without that, every level ships the
     # trees so far to all tasks and sends each row through them again
     models = {"logistic": LogisticRegression(labelCol="y", weightCol="weight", maxIter=1000, regParam=1.0 / size, standardization=False), "forest": RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, seed=42, maxDepth=depth, cacheNodeIds=True)}
+    if on_executors:  # the same settings, by trees that the driver never sees
+        own = models.pop("forest")
+        s = forest.held_out(data.select("id", "fold", "y", "weight", F.col("emb").alias("x")), list(range(k)), own.getNumTrees(), own.getMaxDepth(), own.getSeed(), lambda width: math.ceil(math.sqrt(width)))
+        out = written(s.select(F.lit("forest").alias("model"), F.col("fold").cast("long").alias("fold"), F.round("predicted", 9).alias("score"), "y"), "scored")
     for f in range(k):
         for name, model in models.items():
             test = model.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f))
