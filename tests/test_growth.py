@@ -208,3 +208,28 @@ def test_large_indexes_come_in_few_cells(spark, monkeypatch):
     of = lambda a, b: [f"i{k}" for _, _, k in sorted((-(a * (k % 7) + b * (k % 11)), f"i{k}", k) for k in range(1000))[:5]]
     assert got == [("q", i) for i in of(1.0, 0.5)] + [("r", i) for i in of(0.0, 1.0)]
     assert 5 <= cells.value <= 8
+
+
+def test_sections_come_together_in_one_shuffle(spark):
+    from graphloom.operators import rendering as R
+
+    edges = spark.createDataFrame(
+        [("a", f"b{k:02}", "PPI", k / 100, "STRING") for k in range(14)] + [("z", "a", "TRRUST", None, "Activation"), ("a", "T:x", "GO", None, "IEA"), ("b01", "T:y", "GO", None, "IEA")],
+        "src string, dst string, edge_type string, score double, evidence string",
+    )
+    nodes = spark.createDataFrame([("T:x", "ex"), ("a", "gene a")], "node_id string, name string")
+
+    def texts(few):
+        import unittest.mock
+
+        with unittest.mock.patch.object(R, "HUBS", few):
+            return R.sections(edges, nodes)
+
+    one, many = texts(1024), texts(0)
+    p = one._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("RepartitionByExpression") == 1
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(one) == rows(many)
+    got = {(r.center, r.section): (r.n, r.text) for r in one.collect()}
+    assert got["a", "PPI"][0] == 14 and got["a", "PPI"][1].startswith("Found 14 protein interaction partners:\n  1. b13 (") and got["a", "PPI"][1].endswith("... and 4 more")
+    assert got["a", "GO"][1].endswith("1. ex") and got["b01", "GO"][1].endswith("1. T:y") and got["a", "TRRUST_IN"] == (1, "Regulated by 1 transcription factors:\n  1. z (Activation)")
