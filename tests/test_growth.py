@@ -233,3 +233,20 @@ def test_sections_come_together_in_one_shuffle(spark):
     got = {(r.center, r.section): (r.n, r.text) for r in one.collect()}
     assert got["a", "PPI"][0] == 14 and got["a", "PPI"][1].startswith("Found 14 protein interaction partners:\n  1. b13 (") and got["a", "PPI"][1].endswith("... and 4 more")
     assert got["a", "GO"][1].endswith("1. ex") and got["b01", "GO"][1].endswith("1. T:y") and got["a", "TRRUST_IN"] == (1, "Regulated by 1 transcription factors:\n  1. z (Activation)")
+
+
+def test_edges_to_hubs_travel_once(spark, monkeypatch):
+    from graphloom.operators import rendering as R
+
+    monkeypatch.setattr(R, "HUBS", 2)
+    edges = spark.createDataFrame(
+        [(f"a{k}", "HP:1", "HPO", None, "3") for k in range(6)] + [(f"a{k}", "lost", "HPO", None, None) for k in range(5)] + [("a1", "a2", "PPI", 0.5, None), ("a2", None, "TRRUST", None, "Activation")],
+        "src string, dst string, edge_type string, score double, evidence string",
+    )
+    nodes = spark.createDataFrame([("HP:1", "one", None), ("a1", "gene 1", None), ("a2", "gene 2", None)], "node_id string, name string, definition string")
+    out = R.sentences(edges, nodes)
+    p = out._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("RepartitionByExpression") == 3 and "Union" in p  # two by source, one by target
+    got = sorted(r.text for r in out.collect() if r.text is not None)
+    want = [f"{x} is associated with phenotype one (frequency: 3)" for x in ("a0", "gene 1", "gene 2", "a3", "a4", "a5")] + [f"{x} is associated with phenotype lost" for x in ("a0", "gene 1", "gene 2", "a3", "a4")]
+    assert got == sorted([*want, "gene 1 physically interacts with gene 2 (confidence: 0.50)"]) and out.count() == 13
