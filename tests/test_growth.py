@@ -250,3 +250,14 @@ def test_edges_to_hubs_travel_once(spark, monkeypatch):
     got = sorted(r.text for r in out.collect() if r.text is not None)
     want = [f"{x} is associated with phenotype one (frequency: 3)" for x in ("a0", "gene 1", "gene 2", "a3", "a4", "a5")] + [f"{x} is associated with phenotype lost" for x in ("a0", "gene 1", "gene 2", "a3", "a4")]
     assert got == sorted([*want, "gene 1 physically interacts with gene 2 (confidence: 0.50)"]) and out.count() == 13
+
+
+def test_texts_of_genes_take_the_sections_one_shuffle(spark):
+    from graphloom.plans import catalogue
+
+    for name in ("x7_format_subgraph", "x15_feature_selection", "x17_styled_prompt", "x18_style_context"):
+        df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert plan(df).count("RepartitionByExpression") == 1, name
+        text = df._jdf.queryExecution().executedPlan().toString()
+        # one by centre, and at most the genes' own beside it
+        assert sum("Exchange" in line and "Broadcast" not in line for line in text.split("Initial Plan")[0].splitlines()) <= 3, text
